@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from skyframe.llm.bpe_stream import op3_bpe
+from skyframe.llm.decontamination import op5_decontamination
+from skyframe.llm.near_dedup import op2_near_dedup
+from skyframe.llm.quality_rules import op8_quality_rules
 from skyframe.llm.sharding import op6_sharding
+from skyframe.llm.substring_dedup import op10_substring_dedup
 from skyframe.llm.token_files import op9_token_files
 
+QUERIES = [op2_near_dedup, op3_bpe, op5_decontamination, op6_sharding, op8_quality_rules, op9_token_files, op10_substring_dedup]
+
 
 def queries():
-    return {"op6_sharding": op6_sharding, "op9_token_files": op9_token_files}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql():
