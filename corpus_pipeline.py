@@ -1,0 +1,66 @@
+"""From raw documents to token ids: quality rules, near-duplicates, repeated passages, benchmark items, BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
+columns of ``documents``. A stage's result is written as Parquet and read again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyframe.llm import bpe_stream, decontamination, near_dedup, quality_rules, substring_dedup
+from skyframe.llm.common import read_table, small_side, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    docs = docs.select(*COLUMNS)
+    return quality_rules.filter_documents(docs, quality_rules.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near copies."""
+    docs = docs.select(*COLUMNS)
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(small_side(stored(gone, "near-copies")), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that earlier documents have; n_chars follows the text."""
+    docs = docs.select(*COLUMNS)
+    cut = substring_dedup.cut_documents(docs, substring_dedup.find_repeated(docs))
+    return cut.select("doc_id", F.col("kept").alias("text"), F.col("_other_lang").alias("lang"), F.col("_other_source").alias("source"), F.length("kept").cast("long").alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    docs = docs.select(*COLUMNS)
+    return decontamination.clean_documents(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed little-endian unsigned 32-bit integers), their count, and digests of ids and decoded text."""
+    out = bpe_stream.decode_documents(bpe_stream.encode_documents(docs))
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicates", drop_near_copies),
+    ("repeated passages", cut_repeats),
+    ("benchmark items", drop_contaminated),
+    ("BPE", encode),
+]
+
+#: Trees, signatures and merges can't be expressed in SQL; tests compare every stage with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
