@@ -87,7 +87,9 @@ SELECT CAST(o_orderkey AS STRING) AS sample_id, o_orderpriority AS truth, CASE W
   CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '2-HIGH' END AS predicted_b, o_orderstatus AS regime FROM {orders}"""
 INPUTS["multi"] = """
 SELECT l_orderkey AS sample_id, concat(l_returnflag, l_linestatus) AS label, CASE WHEN l_linenumber % 3 = 0 THEN 'XX' ELSE concat(l_returnflag, l_linestatus) END AS guess,
-  l_linenumber AS k, l_extendedprice AS snr FROM {lineitem}"""
+  l_linenumber AS k, CAST(floor(l_extendedprice) AS DOUBLE) AS snr FROM {lineitem}"""
 INPUTS["ledger"] = """
 SELECT CAST(conv_id AS STRING) AS object_id, turn AS seq, role AS status, CASE WHEN role = 'user' THEN NULL ELSE text END AS answer,
   (conv_id * 7 + turn) % 50 + 1 AS tokens FROM {conversations}"""
+INPUTS["clean_ids"] = "SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN concat('  ', c_name, ' ') WHEN c_custkey % 5 = 0 THEN '   ' ELSE c_name END AS raw, c_mktsegment AS label, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS maybe, c_acctbal AS v, c_nationkey AS nation FROM {customer}"
+INPUTS["arr"] = "SELECT l_orderkey AS object_id, l_linenumber AS pos, CASE WHEN l_linenumber % 5 = 4 THEN -1e0 ELSE 1000 + (l_partkey * 37 % 8000) / 1e0 END AS wave, floor(l_extendedprice) / 1e3 AS flux, l_discount AS ivar, (l_linenumber % 4 = 0) AS masked FROM {lineitem}"

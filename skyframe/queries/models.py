@@ -1,0 +1,428 @@
+"""Queries of scoring, resampling, inference, learning, ledgers, files and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from skyframe.operators import checks, infer, probe, resample, scoring, splits
+from skyframe.queries.base import INPUTS, ORACLES, QUERIES, frame, plain, query
+from skyframe.sources import io
+from skyframe.streaming import ledger as streams
+
+LABELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+IN = "('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skyframe-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# --- scoring ------------------------------------------------------------------------------------------------------------
+
+
+@query("d8_confusion", "predictions", sql="SELECT truth, " + ", ".join(f"count(*) FILTER (WHERE predicted = '{v}') AS \"{v}\"" for v in LABELS) + ', count(*) FILTER (WHERE predicted IS NULL) AS "(unparsed)" FROM {predictions} GROUP BY truth')
+def d8(rows: DataFrame) -> DataFrame:
+    return scoring.confusion(rows, "truth", "predicted", LABELS)
+
+
+@query("d9_accuracy", "predictions", sql="SELECT count(*) AS n, CAST(sum(CAST(coalesce(predicted = truth, false) AS INT)) AS BIGINT) AS n_correct, round(avg(CAST(coalesce(predicted = truth, false) AS INT)), 6) AS accuracy FROM {predictions}")
+def d9(rows: DataFrame) -> DataFrame:
+    return scoring.accuracy(rows.withColumn("predicted", F.lower("predicted")), "truth", "predicted", fold_case=True)
+
+
+REPORT = f"""l AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', '6-NEVER']) AS label),
+s AS (SELECT label, (SELECT count(*) FROM {{predictions}} WHERE truth = label AND predicted = label) AS tp, (SELECT count(*) FROM {{predictions}} WHERE predicted = label) AS np, (SELECT count(*) FROM {{predictions}} WHERE truth = label) AS support FROM l),
+r AS (SELECT *, coalesce(tp / nullif(np, 0), 0) AS p, coalesce(tp / nullif(support, 0), 0) AS rc FROM s), f AS (SELECT *, coalesce(2 * p * rc / nullif(p + rc, 0), 0) AS f1 FROM r)"""
+
+
+@query("d10_classification_report", "predictions", sql=f"WITH {REPORT} SELECT label, round(p, 6) AS precision, round(rc, 6) AS recall, round(f1, 6) AS f1, support FROM f")
+def d10(rows: DataFrame) -> DataFrame:
+    out = scoring.classification_report(rows, "truth", "predicted", [*LABELS, "6-NEVER"])
+    return out.select("label", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"), "support")
+
+
+@query("d11_benchmark_metrics", "predictions", sql=f"""WITH {REPORT}
+SELECT (SELECT count(*) FROM {{predictions}}) AS n, (SELECT round(avg(CAST(coalesce(predicted = truth, false) AS INT)), 6) FROM {{predictions}}) AS accuracy, round(avg(f1), 6) AS macro_f1, round(avg(CASE WHEN support > 0 THEN rc END), 6) AS balanced_accuracy,
+(SELECT round(avg(CAST(predicted IS NOT NULL AS INT)), 6) FROM {{predictions}}) AS parse_rate, (SELECT count(*) FROM {{predictions}} WHERE predicted IS NULL) AS n_unparsed FROM f""")
+def d11(rows: DataFrame) -> DataFrame:
+    return scoring.benchmark_metrics(rows, "truth", "predicted", [*LABELS, "6-NEVER"])
+
+
+GROUPS = {"1-URGENT": "fast", "2-HIGH": "fast", "3-MEDIUM": "slow", "4-NOT SPECIFIED": "slow", "5-LOW": "slow"}
+
+
+@query("d12_group_report", "predictions", sql="""
+WITH s AS (SELECT CASE WHEN truth IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END AS g, CASE WHEN predicted = truth THEN 1.0 WHEN predicted IS NOT NULL AND (predicted IN ('1-URGENT', '2-HIGH')) = (truth IN ('1-URGENT', '2-HIGH')) THEN 0.5 ELSE 0 END AS score FROM {predictions})
+SELECT g AS "group", count(*) AS n, round(avg(CAST(score AS DOUBLE)), 6) AS score FROM s GROUP BY g UNION ALL SELECT 'all', count(*), round(avg(CAST(score AS DOUBLE)), 6) FROM s""")
+def d12(rows: DataFrame) -> DataFrame:
+    return scoring.group_report(rows, "truth", "predicted", GROUPS)
+
+
+INPUTS["votes"] = "SELECT vec_id, CAST(label AS STRING) AS truth, CASE WHEN vec_id % 7 <> 0 THEN CAST((label + vec_id) % 3 AS STRING) END AS predicted, (vec_id * 37 % 101) / 1e2 AS a, (vec_id * 53 % 97) / 1e2 AS b, vec_id % 6 = 0 AS a_mask, vec_id % 9 <> 0 AS matched FROM {embeddings} WHERE label < 3"
+MARGINS = "CASE WHEN NOT a_mask THEN greatest(0, least(1, (a - 0.3) / 0.7)) END AS m0, CASE WHEN NOT a_mask THEN least(greatest(0, least(1, a)), greatest(0, least(1, (0.5 - b) / 0.5))) END AS m1, greatest(CASE WHEN NOT a_mask THEN greatest(0, least(1, (0.8 - a) / 0.8)) ELSE 0 END, greatest(0, least(1, (b - 0.2) / 0.8))) AS m2"
+
+
+def _margins() -> dict:
+    a = lambda op, v: scoring.condition_margin(F.col("a"), F.col("a_mask"), op, v)
+    b = lambda op, v: scoring.condition_margin(F.col("b"), F.lit(False), op, v)
+    return {"0": scoring.class_margin([[a(">", 0.3)]]), "1": scoring.class_margin([[a(">", 1.0)], [b("<", 0.5)]]), "2": scoring.class_margin([[a("<", 0.8), b(">", 0.2)]])}
+
+
+@query("g24_class_margins", "votes", sql=f"SELECT vec_id, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2 FROM (SELECT *, {MARGINS} FROM {{votes}})")
+def g24(votes: DataFrame) -> DataFrame:
+    return votes.select("vec_id", *[F.round(m, 6).alias(f"m{k}") for k, m in _margins().items()])
+
+
+SOFT = f"""m AS (SELECT *, {MARGINS} FROM {{votes}}), o AS (SELECT *, CASE truth WHEN '0' THEN m0 WHEN '1' THEN m1 ELSE m2 END AS own, CASE predicted WHEN '0' THEN m0 WHEN '1' THEN m1 WHEN '2' THEN m2 END AS got FROM m),
+s AS (SELECT *, CASE WHEN own IS NOT NULL AND own > 0 AND predicted IS NOT NULL THEN CASE WHEN truth = predicted THEN 1.0 WHEN got IS NOT NULL THEN least(1.0, got / own) END END AS score,
+CASE WHEN NOT matched THEN 'unmatched' WHEN predicted IS NULL THEN 'unparsed' WHEN own IS NULL OR own <= 0 THEN 'true_margin' WHEN truth <> predicted AND got IS NULL THEN 'predicted_margin' ELSE 'scored' END AS status FROM o)"""
+
+
+@query("g25_soft_score", "votes", sql=f"WITH {SOFT} SELECT vec_id, round(CAST(score AS DOUBLE), 6) AS score, status FROM s")
+def g25(votes: DataFrame) -> DataFrame:
+    m, t, p = _margins(), F.col("truth"), F.col("predicted")
+    score = scoring.soft_score(m, t, p)
+    table = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)])
+    known = (t == p) | F.try_element_at(table, p).isNotNull()
+    return votes.select("vec_id", F.round(F.when(known, score), 6).alias("score"), scoring.soft_status(m, t, p, F.col("matched")).alias("status"))
+
+
+@query("d13_soft_report", "votes", sql=f"""WITH {SOFT} SELECT round(avg(CASE WHEN status = 'scored' THEN CAST(score AS DOUBLE) END), 6) AS mean_score, """ + ", ".join(f"count(*) FILTER (WHERE status = '{k}') AS n_{k}" for k in ("scored", "unmatched", "unparsed", "true_margin", "predicted_margin")) + " FROM s")
+def d13(votes: DataFrame) -> DataFrame:
+    m, t, p = _margins(), F.col("truth"), F.col("predicted")
+    return scoring.soft_report(votes, scoring.soft_score(m, t, p), scoring.soft_status(m, t, p, F.col("matched")))
+
+
+SETS = """g AS (SELECT sample_id, list_distinct(list(label)) AS a, CASE WHEN sample_id % 17 <> 0 THEN list_distinct(list(guess) FILTER (WHERE guess <> 'XX')) END AS b, CASE sample_id % 3 WHEN 0 THEN 'pure_negative' WHEN 1 THEN 'high_snr_positive' ELSE 'mixed' END AS regime FROM {multi} GROUP BY sample_id),
+t AS (SELECT regime, CASE WHEN regime = 'pure_negative' THEN [] ELSE a END AS a, coalesce(b, []) AS b FROM g),
+s AS (SELECT regime, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS jaccard, CASE WHEN len(a) = 0 THEN CAST(len(b) = 0 AS INT) ELSE len(list_intersect(a, b)) / len(a) END AS recall, CAST(len(list_intersect(a, b)) = len(list_distinct(list_concat(a, b))) AS INT) AS perfect FROM t)"""
+
+
+def _sets(multi: DataFrame) -> DataFrame:
+    g = multi.groupBy("sample_id").agg(F.collect_set("label").alias("a"), F.collect_set(F.when(F.col("guess") != "XX", F.col("guess"))).alias("b"))
+    regime = F.when(F.col("sample_id") % 3 == 0, "pure_negative").when(F.col("sample_id") % 3 == 1, "high_snr_positive").otherwise("mixed")
+    none = F.array().cast("array<string>")
+    return g.withColumn("regime", regime).withColumn("a", F.when(F.col("regime") == "pure_negative", none).otherwise(F.col("a"))).withColumn("b", F.when(F.col("sample_id") % 17 != 0, F.col("b")))
+
+
+@query("d15_multilabel_report", "multi", sql=f"WITH {SETS} SELECT count(*) AS n, round(avg(jaccard), 6) AS jaccard, round(avg(recall), 6) AS recall, round(avg(perfect), 6) AS perfect FROM s")
+def d15(multi: DataFrame) -> DataFrame:
+    return scoring.multilabel_report(_sets(multi), "a", "b")
+
+
+@query("d16_regime_report", "multi", sql=f"WITH {SETS} SELECT regime, count(*) AS n, round(avg(jaccard), 6) AS jaccard, CASE WHEN regime = 'pure_negative' THEN round(avg(perfect), 6) END AS perfect, CASE WHEN regime = 'high_snr_positive' THEN round(avg(recall), 6) END AS recall FROM s GROUP BY regime")
+def d16(multi: DataFrame) -> DataFrame:
+    return scoring.regime_report(_sets(multi), "a", "b")
+
+
+@query("d17_caption_diagnostics", "ledger", sql="""
+SELECT round(avg(length(coalesce(answer, ''))), 6) AS mean_chars, round(avg(len(list_filter(string_split_regex(coalesce(answer, ''), '\\s+'), lambda w : w <> ''))), 6) AS mean_words, round(avg(CAST(status = 'assistant' AS INT)), 6) AS parse_rate, round(avg(CAST(tokens % 2 = 0 AS INT)), 6) AS fallback_rate FROM {ledger}""")
+def d17(ledger: DataFrame) -> DataFrame:
+    rows = ledger.withColumn("ok", F.col("status") == "assistant").withColumn("forced", F.col("tokens") % 2 == 0)
+    return scoring.caption_diagnostics(rows, "answer", "ok", "forced")
+
+
+@query("d19_runtime_summary", "ledger", sql="SELECT CAST(sum(tokens) AS BIGINT) AS total_seconds, round(avg(tokens), 6) AS mean_seconds FROM {ledger}")
+def d19(ledger: DataFrame) -> DataFrame:
+    return infer.runtime_summary(ledger, "tokens")
+
+
+@query("d20_budget_stop", "ledger", sql="""
+WITH r AS (SELECT object_id, seq, concat(lpad(object_id, 12, '0'), lpad(CAST(seq AS VARCHAR), 12, '0')) AS o, tokens * 0.25 AS cost FROM {ledger}), s AS (SELECT *, sum(cost) OVER (ORDER BY o) AS running FROM r)
+SELECT object_id, seq, CAST(running AS DOUBLE) AS running FROM s WHERE running <= 150""")
+def d20(ledger: DataFrame) -> DataFrame:
+    rows = ledger.withColumn("o", F.concat(F.lpad("object_id", 12, "0"), F.lpad(F.col("seq").cast("string"), 12, "0"))).withColumn("cost", F.col("tokens") * 0.25)
+    return infer.within_budget(rows, "cost", 150.0, "o").select("object_id", "seq", F.col("running").cast("double").alias("running"))
+
+
+@query("d20_usage_spend", "ledger", sql="SELECT status AS run, count(*) AS n_calls, round(CAST(sum(tokens * 0.5 + seq * 2) AS DOUBLE), 6) AS spend FROM {ledger} GROUP BY 1")
+def d20_spend(ledger: DataFrame) -> DataFrame:
+    return infer.usage_spend(ledger.withColumn("run", F.col("status")), "run", "tokens", "seq", 0.5, 2.0)
+
+
+INPUTS["results"] = "SELECT o_orderstatus AS model, o_orderpriority AS task, round(avg(o_totalprice), 4) AS score FROM {orders} GROUP BY o_orderstatus, o_orderpriority"
+
+
+@query("d26_leaderboard", "results", sql="SELECT r.model, r.task, r.score, round(r.score - b.score, 6) AS delta FROM {results} r LEFT JOIN {results} b ON b.task = r.task AND b.model = 'O'")
+def d26(results: DataFrame) -> DataFrame:
+    return scoring.leaderboard(results, "O")
+
+
+@query("d27_regime_table", "results", sql="SELECT model, max(score) FILTER (WHERE task = '1-URGENT') AS \"1-URGENT\", max(score) FILTER (WHERE task = '5-LOW') AS \"5-LOW\" FROM {results} GROUP BY model")
+def d27(results: DataFrame) -> DataFrame:
+    return scoring.regime_table(results.withColumnRenamed("task", "regime"), ["1-URGENT", "5-LOW"])
+
+
+# --- resampling ---------------------------------------------------------------------------------------------------------
+
+
+def _round(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(x, 9).alias(x) if k == "double" else F.col(x) for x, k in df.dtypes])
+
+
+@query("h1_bootstrap_ci", "predictions")
+def h1(rows: DataFrame) -> DataFrame:
+    return _round(resample.bootstrap_ci(rows.withColumn("s", F.coalesce(F.col("truth") == F.col("predicted"), F.lit(False)).cast("double")), "s"))
+
+
+@query("h2_bootstrap_by_regime", "multi")
+def h2(multi: DataFrame) -> DataFrame:
+    s = _sets(multi)
+    jaccard = scoring.set_scores(F.col("a"), F.col("b"))["jaccard"]
+    return _round(resample.bootstrap_by(s.withColumn("s", F.round(jaccard, 9)), "s", "regime", 2000))
+
+
+@query("h3_stratified_bootstrap", "predictions")
+def h3(rows: DataFrame) -> DataFrame:
+    return _round(resample.stratified_bootstrap(rows, "truth", "predicted", LABELS, 2000))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    ok = lambda x: F.coalesce(F.col("truth") == F.col(x), F.lit(False)).cast("double")
+    return rows.select("sample_id", "regime", ok("predicted").alias("a"), ok("predicted_b").alias("b"))
+
+
+@query("h4_paired_bootstrap", "predictions")
+def h4(rows: DataFrame) -> DataFrame:
+    return _round(resample.paired_bootstrap(_paired(rows), "a", "b"))
+
+
+@query("h5_paired_by_regime", "predictions")
+def h5(rows: DataFrame) -> DataFrame:
+    return _round(resample.paired_bootstrap_by(_paired(rows), "a", "b", "regime", 2000))
+
+
+@query("h6_compare_all", "predictions")
+def h6(rows: DataFrame) -> DataFrame:
+    p = _paired(rows)
+    long = p.select("sample_id", F.col("regime").alias("task"), F.explode(F.create_map(F.lit("first"), "a", F.lit("target"), "b")).alias("model", "score"))
+    return _round(resample.compare_all(long, "target", replicates=2000))
+
+
+@query("h1_poisson_ci", "orders")
+def h1_poisson(orders: DataFrame) -> DataFrame:
+    return resample.poisson_ci(orders, "o_totalprice", 200).select(F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+
+
+INPUTS["answers_prompts"] = "SELECT o_orderkey AS k, o_orderstatus AS o, concat('status ', o_orderstatus) AS prompt FROM {orders}"
+
+# --- inference and learning ---------------------------------------------------------------------------------------------
+
+
+@query("j1_encode", "embeddings")
+def j1(embeddings: DataFrame) -> DataFrame:
+    out = infer.encode(embeddings.withColumnRenamed("vec_id", "object_id"), "embedding", infer.projection_encoder(4), 4, "spec1")
+    return out.select("object_id", "n_tokens", F.round(F.aggregate(F.flatten("embedding"), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def _mock(answers: dict[str, str], vague: str | None = None):
+    return infer.mock_client(answers, "FINAL ANSWER: C", vague)
+
+
+@query("j2_generate", "answers_prompts", sql="SELECT k, CASE o WHEN 'O' THEN 'A' WHEN 'F' THEN 'B' ELSE 'C' END AS answer, o = 'F' AS forced, CAST(CASE WHEN o = 'F' THEN 2 ELSE 1 END AS INT) AS n_calls FROM {answers_prompts}")
+def j2(rows: DataFrame) -> DataFrame:
+    import re
+
+    parse = lambda x: m[1] if (m := re.search(r"FINAL ANSWER: (\w)", x)) else None
+    out = infer.generate(rows, "prompt", _mock({"status O": "FINAL ANSWER: A", "status F": "FINAL ANSWER: B"}, "status F"), "k", parse=parse, second=lambda p, a: f"FORCED {p}")
+    return out.select("k", "answer", "forced", "n_calls")
+
+
+@query("j3_mock_answers", "answers_prompts", sql="SELECT CASE WHEN o = 'O' THEN 'yes' ELSE 'FINAL ANSWER: C' END AS answer, count(*) AS n FROM {answers_prompts} GROUP BY 1")
+def j3(rows: DataFrame) -> DataFrame:
+    return infer.generate(rows, "prompt", _mock({"status O": "yes"}), "k").groupBy("answer").agg(F.count("*").alias("n"))
+
+
+@query("j4_judge", "answers_prompts", sql="SELECT k, CASE WHEN k % 5 = 0 THEN NULL WHEN o = 'O' THEN 'open' ELSE 'other' END AS predicted, false AS failed FROM {answers_prompts}")
+def j4(rows: DataFrame) -> DataFrame:
+    df = rows.withColumn("caption", F.when(F.col("k") % 5 != 0, F.col("prompt")).otherwise("  "))
+    return infer.judge(df, "caption", infer.mock_client({"status O": "0"}, "1"), ["open", "other"], "k")
+
+
+@query("j5_evaluate_captions", "answers_prompts", sql="SELECT k AS sample_id, CASE WHEN o = 'O' THEN 'open' ELSE 'done' END AS predicted, (o = 'O') = (k % 2 = 0) AS correct FROM {answers_prompts} WHERE k % 3 = 0")
+def j5(rows: DataFrame) -> DataFrame:
+    bench = rows.select(F.col("k").alias("sample_id"), F.when(F.col("k") % 2 == 0, "open").otherwise("done").alias("truth"))
+    caps = rows.where("k % 3 = 0").select(F.col("k").alias("sample_id"), F.col("prompt").alias("caption"))
+    out = infer.evaluate_captions(bench, caps, infer.mock_client({"status O": "FINAL ANSWER: A"}, "FINAL ANSWER: B"), {"A": "open", "B": "done"}, "{caption}\n{options}")
+    return out.select("sample_id", "predicted", "correct")
+
+
+@query("j6_resumable_run", "answers_prompts", sql="SELECT k, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS seq FROM {answers_prompts}")
+def j6(rows: DataFrame) -> DataFrame:
+    path, hashed = work_path(rows.sparkSession, "ledger"), F.sha2("prompt", 256)
+
+    def step(todo: DataFrame, fail: bool) -> DataFrame:
+        reason = F.when((F.col("k") % 4 == 0) & F.lit(fail), "timeout")
+        return todo.select("k", F.lit("a").alias("answer"), F.coalesce(reason, F.lit("")).alias("failure_reason"))
+
+    ok = F.col("failure_reason") == ""
+    infer.resumable_run(rows, lambda d: step(d, True), path, "k", "s1", hashed, success=ok)
+    return infer.resumable_run(rows, lambda d: step(d, False), path, "k", "s1", hashed, success=ok).select("k", F.col("seq").cast("int").alias("seq"))
+
+
+@query("j7_budget_guard", "answers_prompts", sql="""
+WITH r AS (SELECT k, lpad(CAST(k AS VARCHAR), 24, '0') AS o, (length(prompt) + 10) * 0.5 + 100 * 2 AS cost FROM {answers_prompts}), s AS (SELECT *, sum(cost) OVER (ORDER BY o) AS running FROM r) SELECT k, CAST(cost AS DOUBLE) AS cost FROM s WHERE running <= 5000""")
+def j7(rows: DataFrame) -> DataFrame:
+    priced = rows.withColumn("o", F.lpad(F.col("k").cast("string"), 24, "0")).withColumn("cost", infer.reserve(F.col("prompt"), 100, 0.5, 2.0, 10))
+    return infer.within_budget(priced, "cost", 5000.0, "o").select("k", F.col("cost").cast("double").alias("cost"))
+
+
+@query("k1_linear_probe", "embeddings")
+def k1(embeddings: DataFrame) -> DataFrame:
+    rows = embeddings.select(F.col("vec_id").alias("object_id"), "embedding", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("cls"))
+    out = probe.linear_probe(rows.where("object_id % 4 <> 0"), rows.where("object_id % 4 = 0"), "embedding", "cls", ["c0", "c1", "c2"], "object_id", grid=(0.01,), folds=2, max_iter=10)
+    return out.select("n", "accuracy", "macro_f1", "reg")
+
+
+# --- after a write ------------------------------------------------------------------------------------------------------
+
+
+def written(name: str, *inputs: str, sql: str | None = None):
+    """Register ``fn(spark, *frames)``."""
+
+    def add(fn):
+        QUERIES[name] = lambda spark, sf_dir: fn(spark, *[frame(spark, sf_dir, i) for i in inputs])
+        if sql:
+            ORACLES[name] = plain(sql)
+        return fn
+
+    return add
+
+
+@written("a3_discover", "orders", sql="SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY 1")
+def a3(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    path = work_path(spark, "shards")
+    orders.select("o_orderstatus").write.parquet(path)
+    return spark.read.parquet(*io.discover(spark, f"{path}-none", path)).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@written("a5_caption_jsonl", "quotes", sql="""
+WITH r AS (SELECT object_id || '-' || pos AS k, CASE WHEN pos % 4 = 1 THEN 'INSUFFICIENT' WHEN pos % 4 = 2 THEN '' ELSE trim(text) END AS c FROM {quotes})
+SELECT k AS object_key, sha256(c) AS digest FROM r WHERE c NOT IN ('', 'INSUFFICIENT')""")
+def a5(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = work_path(spark, "captions")
+    text = F.when(F.col("pos") % 4 == 1, "INSUFFICIENT").when(F.col("pos") % 4 == 2, "").otherwise(F.trim("text"))
+    both = rows.select(F.concat_ws("-", "object_id", F.col("pos").cast("string")).alias("object_key"), F.struct(text.alias("caption"), F.lit(False).alias("is_insufficient")).alias("output"))
+    both.unionByName(both).write.json(path)
+    usable, _ = io.read_caption_jsonl(spark, path)
+    return usable.select("object_key", F.sha2("caption", 256).alias("digest"))
+
+
+@written("a6_predictions_jsonl", "predictions", sql="SELECT sample_id, predicted AS prediction FROM {predictions} WHERE CAST(sample_id AS BIGINT) % 2 = 0")
+def a6(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = work_path(spark, "predictions")
+    out = rows.select("sample_id", F.col("predicted").alias("prediction"))
+    out.withColumn("prediction", F.lit("old")).coalesce(1).write.json(f"{path}/a")
+    out.coalesce(1).write.json(f"{path}/b")
+    return io.read_predictions(spark, f"{path}/*", rows.where("CAST(sample_id AS BIGINT) % 2 = 0")).select("sample_id", "prediction")
+
+
+@written("a7_answers_document", "customer", sql="SELECT 'm' AS model, c_custkey AS id, c_mktsegment AS answer FROM {customer}")
+def a7(spark: SparkSession, customer: DataFrame) -> DataFrame:
+    path = work_path(spark, "answers")
+    # One document per market segment, as a job writes one for each run.
+    customer.groupBy("c_mktsegment").agg(F.first(F.lit("m")).alias("model"), F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("answer"))).alias("objects")).select("model", "objects").repartition(8).write.json(path)
+    return io.read_answers(spark, path, "model string, objects array<struct<id bigint, answer string>>")
+
+
+@written("a8_line_metadata", "orders", "lineitem", sql="""
+WITH t AS (SELECT o_custkey AS k, arg_min(o_orderpriority, o_orderkey) AS class, arg_min(o_orderstatus, o_orderkey) AS subclass FROM {orders} GROUP BY 1), l AS (SELECT l_suppkey AS k, count(*) AS n_lines FROM {lineitem} GROUP BY 1)
+SELECT CAST(t.k AS VARCHAR) AS id, class, subclass, coalesce(n_lines, 0) AS n_lines FROM t LEFT JOIN l USING (k)""")
+def a8(spark: SparkSession, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    path = work_path(spark, "csv")
+    orders.select(F.col("o_custkey").alias("wiki_entity_id"), F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("subclass"), F.col("o_orderkey").alias("row")).write.csv(f"{path}/types", header=True)
+    lineitem.select(F.col("l_suppkey").alias("wiki_entity_id"), F.col("l_returnflag").alias("LINE_NAME"), F.col("l_quantity").alias("SNR")).write.csv(f"{path}/lines", header=True)
+    types, lines = io.read_line_metadata(spark, f"{path}/types", f"{path}/lines")
+    n = lines.groupBy("wiki_entity_id").agg(F.count("*").alias("n_lines"))
+    return types.join(n, "wiki_entity_id", "left").select(F.col("wiki_entity_id").alias("id"), "class", "subclass", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+@written("a9_context_jsonl", "documents", sql="SELECT CAST(doc_id AS VARCHAR) AS object_id, length(left(text, 200)) AS n FROM {documents} WHERE trim(left(text, 200)) <> ''")
+def a9(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    path = work_path(spark, "context")
+    documents.select(F.col("doc_id").cast("string").alias("object_id"), F.left("text", F.lit(200)).alias("context")).where("trim(context) <> ''").write.json(path)
+    return io.read_context_jsonl(spark, path).select("object_id", F.length("context").cast("long").alias("n"))
+
+
+@written("a10_load_benchmark", "orders", sql="SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_totalprice AS ground_truth FROM {orders}")
+def a10(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    path = work_path(spark, "benchmark")
+    orders.select(F.col("o_orderkey").alias("object_id"), F.col("o_totalprice").alias("ground_truth")).write.parquet(path)
+    return io.load_benchmark(spark, "distance", path, {"ground_truth": "double"})
+
+
+@written("a12_write_manifest", "objects", sql="SELECT 'joint' AS tier, split, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (ORDER BY sha256(concat('42:', object_id))) <= round_even(count(*) OVER () * 0.1, 0) THEN 'val' WHEN row_number() OVER (ORDER BY sha256(concat('42:', object_id))) <= 2 * round_even(count(*) OVER () * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM {objects}) GROUP BY split")
+def a12(spark: SparkSession, objects: DataFrame) -> DataFrame:
+    path = work_path(spark, "manifest")
+    io.write_manifest(splits.assign_splits(objects.select("object_id").withColumn("tier", F.lit("joint"))), path)
+    return spark.read.parquet(path).groupBy("tier", "split").agg(F.count("*").alias("n"))
+
+
+@written("a13_write_captions", "quotes", sql="SELECT object_id, count(*) AS n FROM {quotes} GROUP BY 1")
+def a13(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    claims = F.array(F.struct("text", F.array(F.lit("image")).alias("supporting")))
+    caps = rows.select("object_id", "text", F.array(F.lit("image")).alias("subset"), claims.alias("claims"))
+    out = io.write_captions(caps, checks.leaking_claims(caps, "object_id", "subset", "claims"), work_path(spark, "captions"))
+    return out.groupBy("object_id").agg(F.count("*").alias("n"))
+
+
+@written("a14_embedding_cache", "embeddings", sql="SELECT vec_id AS object_id, 16 AS n_tokens, 'image' AS modality FROM {embeddings} WHERE vec_id % 6 <> 0")
+def a14(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
+    emb = infer.encode(embeddings.withColumnRenamed("vec_id", "object_id"), "embedding", infer.projection_encoder(4), 4, "spec1")
+    nan = F.array(F.array(F.lit(float("nan"))))
+    odd = emb.withColumn("embedding", F.when(F.col("object_id") % 6 == 0, nan).otherwise(F.col("embedding")))
+    index, _ = io.write_embedding_cache(odd, work_path(spark, "cache"), "image")
+    return index.select("object_id", "n_tokens", "modality")
+
+
+@written("a15_append_ledger", "ledger", sql="SELECT object_id, max(seq) AS seq, count(*) AS n FROM {ledger} GROUP BY 1")
+def a15(spark: SparkSession, ledger: DataFrame) -> DataFrame:
+    path = work_path(spark, "ledger")
+    for odd in (0, 1):
+        io.append_ledger(ledger.where(F.col("seq") % 2 == odd), path)
+    return io.read_ledger(spark, path, "object_id string, seq bigint, status string").groupBy("object_id").agg(F.max("seq").alias("seq"), F.count("*").alias("n"))
+
+
+@written("a16_summary_csv", "results", sql="SELECT model, printf('%.4f', max(score) FILTER (WHERE task = '1-URGENT')) AS \"1-URGENT\", printf('%.4f', max(score) FILTER (WHERE task = '5-LOW')) AS \"5-LOW\" FROM {results} GROUP BY model")
+def a16(spark: SparkSession, results: DataFrame) -> DataFrame:
+    path = work_path(spark, "summary")
+    io.export_summary_csv(results, ["1-URGENT", "5-LOW"], path)
+    return spark.read.csv(path, header=True)
+
+
+@written("v13_claims_json", "orders", sql="""
+SELECT o_orderkey AS object_id, CASE o_orderkey % 7 WHEN 1 THEN 'unknown_field' WHEN 2 THEN 'bad_band' WHEN 3 THEN 'bad_number' WHEN 4 THEN 'empty_quote' WHEN 5 THEN 'unknown_item_field' WHEN 6 THEN 'not_an_object' END AS problem FROM {orders} WHERE o_orderkey % 7 > 0""")
+def v13(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    good = '{"peaks": [{"band": "g", "time_days": 1.5, "magnitude": 20, "quote": "x"}], "gaps": []}'
+    bad = [good, good[:-1] + ', "colour": 1}', good.replace('"g"', '"z"'), good.replace("1.5", '"1.5"'), good.replace('"x"', '" "'), good.replace('"quote"', '"more": 1, "quote"'), "nothing"]
+    rows = orders.select(F.col("o_orderkey").alias("object_id"), F.get(F.array(*[F.lit(b) for b in bad]), F.col("o_orderkey") % 7).alias("j"))
+    return checks.bad_claims_json(rows, "object_id", "j")
+
+
+@written("l1_stream_ledger", "ledger", sql="SELECT object_id, seq, status FROM {ledger} QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY seq DESC) = 1")
+def l1(spark: SparkSession, ledger: DataFrame) -> DataFrame:
+    path, out, at = (work_path(spark, n) for n in ("stream", "latest", "offsets"))
+    rows = ledger.select("object_id", "seq", "status")
+    for part in range(3):
+        rows.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").json(path)
+    streams.stream_ledger(spark, path, "object_id string, seq bigint, status string", out, at, per_trigger=1).awaitTermination()
+    return streams.current_table(spark, out)
+
+
+@written("l2_stream_scores", "predictions", sql="SELECT regime AS route, count(*) AS n, round(avg(CAST(coalesce(predicted = truth, false) AS INT)), 6) AS accuracy, round(avg(CAST(predicted IS NOT NULL AS INT)), 6) AS parse_rate FROM {predictions} GROUP BY 1")
+def l2(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path, out, at = (work_path(spark, n) for n in ("stream", "scores", "offsets"))
+    rows.select(F.col("regime").alias("route"), "truth", F.col("predicted").alias("answer")).repartition(3).write.json(path)
+    sink = lambda df, _: df.write.mode("overwrite").parquet(out)
+    streams.stream_scores(spark, path, "route string, truth string, answer string", at, sink, per_trigger=1).awaitTermination()
+    done = spark.read.parquet(out)
+    return done.select("route", "n", F.round("accuracy", 6).alias("accuracy"), F.round("parse_rate", 6).alias("parse_rate"))
+
+

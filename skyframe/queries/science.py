@@ -1,0 +1,579 @@
+"""Queries of joins, light curves, arrays, captions and answer parsing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skyframe.functions import columns as c
+from skyframe.functions import text as t
+from skyframe.operators import arrays, captions, clean, joins, lightcurves, scoring, splits
+from skyframe.queries.base import INPUTS, query
+
+HAV = "degrees(2 * asin(sqrt(least(1.0, pow(sin(radians(b.dec - a.dec) / 2), 2) + cos(radians(a.dec)) * cos(radians(b.dec)) * pow(sin(radians(b.ra - a.ra) / 2), 2))))) * 3600"
+NEAR = f"""near AS (SELECT a.object_id AS a_id, b.object_id AS b_id, {HAV} AS sep FROM {{catalog_a}} a JOIN {{catalog_b}} b ON b.dec BETWEEN a.dec - 0.01 AND a.dec + 0.01),
+best AS (SELECT * FROM near WHERE sep <= 3 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY sep, b_id) = 1)"""
+
+
+@query("c1_outer_on_cell", "clean_ids", "supplier", sql="""
+WITH a AS (SELECT k, CASE WHEN k % 50 = 0 THEN NULL ELSE k * 2 END AS cell FROM {clean_ids}), b AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 20 = 0 THEN NULL ELSE s_suppkey * 3 END AS cell FROM {supplier})
+SELECT coalesce(a.cell, b.cell) AS cell, k, s FROM a FULL OUTER JOIN b ON a.cell IS NOT DISTINCT FROM b.cell""")
+def c1(rows: DataFrame, supplier: DataFrame) -> DataFrame:
+    a = rows.select("k", F.when(F.col("k") % 50 == 0, None).otherwise(F.col("k") * 2).alias("cell"))
+    b = supplier.select(F.col("s_suppkey").alias("s"), F.when(F.col("s_suppkey") % 20 == 0, None).otherwise(F.col("s_suppkey") * 3).alias("cell"))
+    return joins.outer_on_cell(a, b, "cell").select("cell", "k", "s")
+
+
+@query("c2_outer_on_object", "catalog_a", "supplier", sql="SELECT coalesce(object_id, CAST(s_suppkey AS VARCHAR)) AS object_id, survey, s_acctbal FROM {catalog_a} FULL OUTER JOIN {supplier} ON object_id = CAST(s_suppkey * 5 AS VARCHAR)".replace("coalesce(object_id, CAST(s_suppkey AS VARCHAR))", "coalesce(object_id, CAST(s_suppkey * 5 AS VARCHAR))"))
+def c2(catalog: DataFrame, supplier: DataFrame) -> DataFrame:
+    b = supplier.select((F.col("s_suppkey") * 5).alias("object_id"), "s_acctbal")
+    return joins.outer_on_object(catalog.select("object_id", "survey"), b)
+
+
+@query("c3_crossmatch", "catalog_a", "catalog_b", sql=f"""
+WITH {NEAR} SELECT a.object_id, best.b_id AS object_id_right, round(sep, 6) AS sep_arcsec FROM {{catalog_a}} a LEFT JOIN best ON a.object_id = a_id
+UNION ALL SELECT NULL, object_id, NULL FROM {{catalog_b}} WHERE object_id NOT IN (SELECT b_id FROM best)""")
+def c3(a: DataFrame, b: DataFrame) -> DataFrame:
+    out = joins.crossmatch(a.select("object_id", "ra", "dec"), b.select("object_id", "ra", "dec"), 3.0)
+    return out.select("object_id", "object_id_right", F.round("sep_arcsec", 6).alias("sep_arcsec"))
+
+
+@query("c4_attach_nearest", "catalog_a", "catalog_b", sql=f"""
+WITH {NEAR.replace("sep <= 3", "sep <= 20")} SELECT a.object_id, round(sep, 6) AS sep_arcsec, coalesce(sep <= 2, false) AS crossmatched, CASE WHEN sep <= 2 THEN b.vote END AS vote, CASE WHEN sep <= 2 THEN b.vote_mask ELSE true END AS vote_mask
+FROM {{catalog_a}} a LEFT JOIN best ON a.object_id = a_id LEFT JOIN {{catalog_b}} b ON b.object_id = b_id""")
+def c4(a: DataFrame, b: DataFrame) -> DataFrame:
+    return joins.attach_nearest(a, b, 2.0, 20.0, ["vote"], ["vote_mask"]).withColumn("sep_arcsec", F.round("sep_arcsec", 6))
+
+
+@query("c5_append_disjoint", "catalog_a", "catalog_b", sql="SELECT object_id, survey, CAST(NULL AS DOUBLE) AS vote FROM {catalog_a} UNION ALL SELECT object_id, NULL, vote FROM {catalog_b}")
+def c5(a: DataFrame, b: DataFrame) -> DataFrame:
+    return joins.append_disjoint(a.select("object_id", "survey"), b.select("object_id", "vote"))
+
+
+@query("c6_translate_ids", "orders", "customer", sql="""
+WITH m AS (SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS target FROM {orders} GROUP BY 1) SELECT target, c_mktsegment AS caption FROM {customer} JOIN m ON c_custkey = k""")
+def c6(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    mapping = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("target"), F.col("o_orderkey").alias("at"))
+    return joins.translate_ids(customer.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("caption")), mapping, "k", "target", "at").select("target", "caption")
+
+
+@query("c7_lookup_caption", "catalog_a", "customer", sql="""
+SELECT object_id, c_name AS caption FROM {catalog_a} JOIN {customer} ON CAST(c_custkey AS VARCHAR) = coalesce(CASE WHEN seq % 3 = 0 THEN CAST(seq + 1 AS VARCHAR) END, object_id)""")
+def c7(catalog: DataFrame, customer: DataFrame) -> DataFrame:
+    manifest = catalog.select("object_id", F.when(F.col("seq") % 3 == 0, (F.col("seq") + 1).cast("string")).alias("legacy"))
+    return joins.lookup_caption(manifest, customer.select(F.col("c_custkey").cast("string").alias("object_id"), F.col("c_name").alias("caption")), "legacy").select("object_id", "caption")
+
+
+@query("c8_attach_captions", "predictions", "customer", sql="SELECT sample_id, truth, c_name AS caption FROM {predictions} JOIN {customer} ON sample_id = CAST(c_custkey AS VARCHAR)")
+def c8(rows: DataFrame, customer: DataFrame) -> DataFrame:
+    return joins.attach_captions(rows.select("sample_id", "truth"), customer.select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_name").alias("caption")))
+
+
+@query("c9_pair_predictions", "predictions", sql="SELECT sample_id, predicted AS predicted_base, predicted_b AS predicted_treatment FROM {predictions}")
+def c9(rows: DataFrame) -> DataFrame:
+    return joins.pair_predictions(rows, rows.select("sample_id", F.col("predicted_b").alias("predicted")), "sample_id", ["predicted"])
+
+
+@query("c10_join_modalities", "lineitem", "orders", sql="SELECT l_orderkey AS k, l_linenumber % 3 AS m, l_quantity AS v, o_totalprice AS v_image FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey AND l_linenumber % 3 = o_custkey % 3")
+def c10(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    a = lineitem.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 3).cast("long").alias("m"), F.col("l_quantity").alias("v"))
+    b = orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).alias("m"), F.col("o_totalprice").alias("v"))
+    return joins.join_modalities(a, b, ["k", "m"], "_image").withColumn("m", F.col("m").cast("int"))
+
+
+@query("c11_align_to", "customer", "catalog_a", sql="SELECT object_id, CAST(seq * 7 % 1000 AS BIGINT) AS position, survey FROM {catalog_a} WHERE seq % 4 = 0")
+def c11(customer: DataFrame, catalog: DataFrame) -> DataFrame:
+    sample = customer.where("c_custkey % 4 = 0").select(F.col("c_custkey").cast("string").alias("object_id"), (F.col("c_custkey") * 7 % 1000).alias("position"))
+    return joins.align_to(sample, catalog.select("object_id", "survey"), "object_id", "position")
+
+
+@query("c12_pending", "customer", "orders", sql="SELECT c_custkey AS k FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F')")
+def c12(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    return joins.pending(customer.select(F.col("c_custkey").alias("k")), orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k")
+
+
+GAPS = """g AS (SELECT object_id, row_number() OVER w - 1 AS gap_pos, lag(mjd) OVER w AS a, mjd AS b FROM {points} WHERE used WINDOW w AS (PARTITION BY object_id ORDER BY mjd, pos)),
+cl AS (SELECT object_id, pos AS claim_pos, CASE WHEN pos % 5 <> 0 THEN mjd - 3 END AS s, CASE WHEN pos % 7 <> 0 THEN mjd + 4 END AS e, CASE WHEN pos % 3 = 0 THEN 5e0 END AS d FROM {points} WHERE NOT used)"""
+
+
+@query("c13_match_gap", "points", sql=f"""
+WITH {GAPS}, m AS (SELECT cl.object_id, claim_pos, s - a AS se, e - b AS ee, gap_pos FROM cl JOIN g USING (object_id) WHERE a IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY cl.object_id, claim_pos ORDER BY abs(a - s) + abs(b - e), gap_pos) = 1)
+SELECT cl.object_id, claim_pos, CASE WHEN gap_pos IS NOT NULL THEN 'matched' WHEN s IS NOT NULL AND e IS NOT NULL THEN 'no_gap' WHEN d IS NOT NULL THEN 'duration_only' ELSE 'no_numbers' END AS status, round(se, 6) AS start_error, round(ee, 6) AS end_error
+FROM cl LEFT JOIN m USING (object_id, claim_pos)""")
+def c13(points: DataFrame) -> DataFrame:
+    g = splits.gaps(points.where("used"), "object_id", "mjd", "pos")
+    when = lambda cond, v: F.when(F.expr(cond), v)
+    claims = points.where("NOT used").select("object_id", F.col("pos").alias("claim_pos"), when("pos % 5 <> 0", F.col("mjd") - 3).alias("start_days"), when("pos % 7 <> 0", F.col("mjd") + 4).alias("end_days"), when("pos % 3 = 0", F.lit(5.0)).alias("duration_days"))
+    out = joins.match_gap(claims, g)
+    return out.select("object_id", "claim_pos", "status", F.round("start_error", 6).alias("start_error"), F.round("end_error", 6).alias("end_error"))
+
+
+PEAKS = """z AS (SELECT object_id, min(mjd) AS t0 FROM {points} WHERE used GROUP BY 1),
+pk AS (SELECT p.object_id, CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END AS band, mjd - t0 AS t, CASE WHEN flux <> 0 THEN 27.5 - 2.5 * log10(abs(flux)) END AS mag FROM {points} p JOIN z USING (object_id) WHERE used QUALIFY row_number() OVER (PARTITION BY p.object_id, band_id ORDER BY flux DESC, mjd, pos) = 1)"""
+
+
+@query("c14_match_peak", "points", sql=f"""
+WITH {PEAKS}, cl AS (SELECT object_id, pos AS claim_pos, CASE pos % 3 WHEN 0 THEN 'g' WHEN 1 THEN 'r' ELSE 'i' END AS band, mjd / 10 AS td, 20e0 AS mg FROM {{points}} WHERE NOT used)
+SELECT cl.object_id, claim_pos, cl.band, CASE WHEN t IS NULL THEN 'band_absent' ELSE 'matched' END AS status, round(td - t, 6) AS time_error, round(mg - mag, 6) AS magnitude_error FROM cl LEFT JOIN pk ON pk.object_id = cl.object_id AND pk.band = cl.band""")
+def c14(points: DataFrame) -> DataFrame:
+    band = F.when(F.col("pos") % 3 == 0, "g").when(F.col("pos") % 3 == 1, "r").otherwise("i")
+    claims = points.where("NOT used").select("object_id", F.col("pos").alias("claim_pos"), band.alias("band"), (F.col("mjd") / 10).alias("time_days"), F.lit(20.0).alias("magnitude"))
+    out = joins.match_peak(claims, lightcurves.peak_facts(points))
+    return out.select("object_id", "claim_pos", "band", "status", F.round("time_error", 6).alias("time_error"), F.round("magnitude_error", 6).alias("magnitude_error"))
+
+
+@query("c15_closest_observation", "orders", sql="""
+SELECT o_custkey, o_orderkey FROM {orders} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END ASC NULLS LAST, o_orderkey) = 1""")
+def c15(orders: DataFrame) -> DataFrame:
+    d = orders.withColumn("d", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")))
+    return joins.closest_observation(d, "o_custkey", "d", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("c16_swap_donors", "objects", sql="""
+WITH p AS (SELECT object_id, lang_ AS g, row_number() OVER (PARTITION BY lang_ ORDER BY sha256(concat('9:', object_id)), object_id) - 1 AS i, count(*) OVER (PARTITION BY lang_) AS n FROM (SELECT object_id, coalesce(survey, 'none') AS lang_ FROM {objects}))
+SELECT a.object_id, b.object_id AS donor FROM p a JOIN p b ON a.g = b.g AND b.i = (a.i + 1 + 9 % greatest(a.n - 1, 1)) % a.n WHERE a.n > 1""")
+def c16(objects: DataFrame) -> DataFrame:
+    return joins.swap_donors(objects.select("object_id", F.coalesce("survey", F.lit("none")).alias("g")), "object_id", "g", 9)
+
+
+@query("c17_line_coverage", "catalog_a", sql="""
+WITH l AS (SELECT * FROM (VALUES ('Hbeta', 4861.33), ('Halpha', 6562.82), ('OII', 3727.09)) AS t(line, rest))
+SELECT object_id, line, round(CAST(rest AS DOUBLE) * (1 + dist), 6) AS observed FROM {catalog_a}, l WHERE CAST(rest AS DOUBLE) * (1 + dist) BETWEEN 4000 + seq % 1000 AND 8000""")
+def c17(catalog: DataFrame) -> DataFrame:
+    lines = catalog.sparkSession.createDataFrame([("Hbeta", 4861.33), ("Halpha", 6562.82), ("OII", 3727.09)], "line string, rest double")
+    rows = catalog.select("object_id", F.col("dist").alias("z"), (4000 + F.col("seq") % 1000).cast("double").alias("low"), F.lit(8000.0).alias("high"))
+    return joins.line_coverage(rows, lines, "object_id", "z", "low", "high").withColumn("observed", F.round("observed", 6))
+
+
+@query("c18_ground_truth", "orders", "lineitem", sql="""
+WITH l AS (SELECT l_orderkey AS k, string_agg(l_returnflag || l_linestatus || l_linenumber, '|' ORDER BY l_extendedprice DESC, l_returnflag || l_linestatus || l_linenumber) AS lines FROM {lineitem} GROUP BY 1)
+SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'Quasar' ELSE o_orderstatus END AS class, o_orderpriority AS subclass, CASE WHEN o_orderkey % 2 = 0 THEN coalesce(lines, '') END AS lines FROM {orders} LEFT JOIN l ON k = o_orderkey""")
+def c18(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    df = orders.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, "DESI").otherwise("SDSS").alias("survey"))
+    types = orders.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "O", "QSO").otherwise(F.col("o_orderstatus")).alias("class"), F.col("o_orderpriority").alias("subclass"))
+    lines = lineitem.select(F.col("l_orderkey").alias("k"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("label"), F.col("l_extendedprice").alias("snr"))
+    return joins.attach_ground_truth(df, types, lines, "k").select("k", "class", "subclass", F.array_join("lines", "|").alias("lines"))
+
+
+@query("c19_combine_sides", "predictions", sql="SELECT sample_id, truth AS base_answer, coalesce(predicted, 'none') AS equipped_answer FROM {predictions}")
+def c19(rows: DataFrame) -> DataFrame:
+    base = rows.select("sample_id", F.col("truth").alias("answer"))
+    out = joins.combine_sides(base, rows.select("sample_id", F.coalesce("predicted", F.lit("none")).alias("answer")), "sample_id", ["answer"])
+    return out.select("sample_id", F.col("base.answer").alias("base_answer"), F.col("equipped.answer").alias("equipped_answer"))
+
+
+# --- light curves -------------------------------------------------------------------------------------------------------
+
+WINDOWED = """d AS (SELECT *, CASE WHEN flux / err > 5 THEN mjd END AS hit FROM {points} WHERE used), w AS (SELECT *, min(hit) OVER (PARTITION BY object_id) AS f, max(hit) OVER (PARTITION BY object_id) AS l FROM d),
+k AS (SELECT * FROM w WHERE f IS NULL OR mjd BETWEEN f - 30 AND l), cap AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY sha256(concat('42:', object_id, ':', CAST(pos AS VARCHAR))), pos) <= 40)"""
+
+
+@query("b23_prepare_lightcurve", "points", sql=f"""
+WITH {WINDOWED} SELECT object_id, pos, CAST(row_number() OVER o AS INT) AS rank, round(mjd - first_value(mjd) OVER o, 6) AS t FROM cap WINDOW o AS (PARTITION BY object_id ORDER BY mjd, pos)""")
+def b23(points: DataFrame) -> DataFrame:
+    return lightcurves.prepare_points(points, 40).select("object_id", "pos", "rank", F.round("t", 6).alias("t"))
+
+
+@query("b24_retained_points", "points", sql="SELECT object_id, pos, mjd FROM {points} WHERE used")
+def b24(points: DataFrame) -> DataFrame:
+    return lightcurves.retained(points).select("object_id", "pos", "mjd")
+
+
+@query("d21_table_facts", "points", sql="SELECT object_id, count(*) AS n, round(max(mjd) - min(mjd), 6) AS span FROM {points} WHERE used GROUP BY 1")
+def d21(points: DataFrame) -> DataFrame:
+    return lightcurves.table_facts(points).withColumn("span", F.round("span", 6))
+
+
+@query("d21_peaks", "points", sql=f"WITH {PEAKS} SELECT object_id, band, round(t, 6) AS peak_time, round(mag, 6) AS peak_mag FROM pk")
+def d21_peaks(points: DataFrame) -> DataFrame:
+    return lightcurves.peak_facts(points).withColumn("peak_time", F.round("peak_time", 6)).withColumn("peak_mag", F.round("peak_mag", 6))
+
+
+@query("d22_photometry_summary", "points", sql="""
+WITH s AS (SELECT *, mjd - lag(mjd) OVER (PARTITION BY object_id ORDER BY mjd, pos) AS gap, CASE WHEN flux > 0 THEN 27.5 - 2.5 * log10(flux) END AS mag FROM {points} WHERE used),
+b AS (SELECT object_id, mag, mjd FROM s WHERE mag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY mag, mjd) = 1)
+SELECT s.object_id, round(max(s.mjd) - min(s.mjd), 6) AS baseline, count(*) FILTER (WHERE band_id = 1) AS n_g, count(*) FILTER (WHERE band_id = 2) AS n_r, round(max(gap), 6) AS largest_gap, round(any_value(b.mag), 6) AS brightest_mag, any_value(b.mjd) AS brightest_mjd
+FROM s LEFT JOIN b USING (object_id) GROUP BY s.object_id""")
+def d22(points: DataFrame) -> DataFrame:
+    out = lightcurves.photometry_summary(points)
+    return out.select("object_id", F.round("baseline", 6).alias("baseline"), "n_g", "n_r", F.round("largest_gap", 6).alias("largest_gap"), F.round("brightest_mag", 6).alias("brightest_mag"), "brightest_mjd")
+
+
+LINE = "concat_ws(' ', printf('%.5f', mjd - t0), CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END, printf('%.5f', flux), printf('%.5f', err), CASE WHEN flux <> 0 THEN printf('%.5f', 27.5 - 2.5 * log10(abs(flux))) ELSE 'nan' END, CASE WHEN flux <> 0 THEN printf('%.5f', err * (2.5 / ln(10)) / abs(flux)) ELSE 'nan' END)"
+
+
+@query("g17_render_table", "points", sql="""
+SELECT object_id, count(*) + 1 AS n_lines, sha256(string_agg(concat_ws(' ', CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END, printf('%.2f', err)), ';' ORDER BY mjd, pos)) AS digest FROM {points} WHERE used GROUP BY 1""")
+def g17(points: DataFrame) -> DataFrame:
+    lines = F.split("table", "\n")
+    parts = F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.concat_ws(" ", F.get(F.split(x, " "), F.lit(1)), F.get(F.split(x, " "), F.lit(3))))
+    return lightcurves.render_table(points, decimals=2).select("object_id", F.size(lines).cast("long").alias("n_lines"), F.sha2(F.array_join(parts, ";"), 256).alias("digest"))
+
+
+@query("g18_parse_table", "points", sql="""
+SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY mjd, pos) - 1 AS INT) AS pos, CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END AS band, round(flux, 5) AS flux, round(err, 5) AS err, true AS ok FROM {points} WHERE used""")
+def g18(points: DataFrame) -> DataFrame:
+    return lightcurves.parse_table(lightcurves.render_table(points), "object_id", "table").select("object_id", "pos", "band", F.round("flux", 5).alias("flux"), F.round("err", 5).alias("err"), "ok")
+
+
+@query("g26_score_spans", "points", sql="""
+SELECT object_id, round(abs(100 - (max(mjd) - min(mjd))), 6) AS abs_error, round(abs(100 - (max(mjd) - min(mjd))) / nullif(max(mjd) - min(mjd), 0), 6) AS rel_error FROM {points} WHERE used GROUP BY 1""")
+def g26(points: DataFrame) -> DataFrame:
+    claims = points.select("object_id").distinct().withColumn("duration", F.lit(100.0))
+    out = lightcurves.score_spans(claims, lightcurves.table_facts(points))
+    return out.select("object_id", F.round("abs_error", 6).alias("abs_error"), F.round("rel_error", 6).alias("rel_error"))
+
+
+@query("d18_claim_error_summary", "points", sql="""
+WITH e AS (SELECT 'flux' AS metric, abs(flux) AS v FROM {points} UNION ALL SELECT 'late', abs(CASE WHEN pos % 3 = 0 THEN mjd END) FROM {points})
+SELECT metric, count(v) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90 FROM e WHERE v IS NOT NULL GROUP BY metric""")
+def d18(points: DataFrame) -> DataFrame:
+    return lightcurves.claim_error_summary(points.select("flux", F.when(F.col("pos") % 3 == 0, F.col("mjd")).alias("late")), ["flux", "late"])
+
+
+@query("d28_claim_validation", "lineitem", "orders", sql="""
+WITH e AS (SELECT l_orderkey AS k, l_returnflag AS kind, count(*) AS n FROM {lineitem} GROUP BY ALL), r AS (SELECT o_orderkey AS k, unnest(['A', 'N']) AS kind, 2 AS n FROM {orders})
+SELECT kind, CAST(sum(coalesce(e.n, 0)) AS BIGINT) AS n_extracted, CAST(sum(coalesce(r.n, 0)) AS BIGINT) AS n_reviewed, count(*) FILTER (WHERE coalesce(e.n, 0) = coalesce(r.n, 0)) AS n_equal FROM e FULL OUTER JOIN r USING (k, kind) GROUP BY kind""")
+def d28(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    e = lineitem.groupBy(F.col("l_orderkey").alias("object_id"), F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("n"))
+    r = orders.select(F.col("o_orderkey").alias("object_id"), F.explode(F.array(F.lit("A"), F.lit("N"))).alias("kind"), F.lit(2).alias("n"))
+    return lightcurves.claim_validation_totals(e, r)
+
+
+# --- arrays -------------------------------------------------------------------------------------------------------------
+
+
+def _spectra(arr: DataFrame) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("pos", "wave", "flux", "ivar", "masked")))
+    return arr.groupBy("object_id").agg(rows.alias("r")).select("object_id", *[F.col(f"r.{f}").alias(f) for f in ("wave", "flux", "ivar", "masked")])
+
+
+@query("b18_select_bands", "lineitem", sql="""
+SELECT l_orderkey, CASE WHEN l_linenumber % 4 <> 3 THEN concat(l_quantity, '|', l_tax) END AS picked FROM {lineitem}""".replace("concat(l_quantity, '|', l_tax)", "l_quantity * 100 + l_tax"))
+def b18(lineitem: DataFrame) -> DataFrame:
+    image = lambda name, value: F.struct(F.lit(name).alias("band"), value.alias("flux"))
+    images = F.array(image("des-G", F.col("l_quantity")), image("des-i", F.lit(0.0)), image("DES_R", F.col("l_tax")))
+    images = F.when(F.col("l_linenumber") % 4 == 3, F.slice(images, 1, 2)).otherwise(images)
+    picked = arrays.select_bands(images, ["r", "g"])
+    return lineitem.select("l_orderkey", (F.get(picked, F.lit(1))["flux"] * 100 + F.get(picked, F.lit(0))["flux"]).alias("picked"))
+
+
+@query("b19_repair_rows", "embeddings")
+def b19(embeddings: DataFrame) -> DataFrame:
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when((k + F.col("vec_id")) % 5 != 0, F.transform(F.slice("embedding", k * 8 + 1, 8), lambda x: x.cast("double"))))
+    fixed = arrays.repair_rows(rows)
+    return embeddings.select("vec_id", F.size(fixed).alias("n_rows"), F.size(F.filter(F.flatten(fixed), lambda x: F.isnan(x))).alias("n_nan"))
+
+
+@query("b20_trim_spectrum", "arr", sql="SELECT object_id, count(*) AS n, round(sum(i * wave), 3) AS weighted FROM (SELECT object_id, wave, row_number() OVER (PARTITION BY object_id ORDER BY wave, pos) AS i FROM {arr} WHERE wave > 0) GROUP BY 1")
+def b20(arr: DataFrame) -> DataFrame:
+    trimmed = arrays.trim_spectrum(F.col("wave"), F.col("flux"), F.col("ivar"))
+    each = _spectra(arr).select("object_id", F.posexplode(trimmed).alias("i", "p"))
+    return each.groupBy("object_id").agg(F.count("*").alias("n"), F.round(F.sum((F.col("i") + 1) * F.col("p.wave")), 3).alias("weighted"))
+
+
+@query("b21_length_bucket", "arr", sql="SELECT bucket, count(*) AS n FROM (SELECT object_id, CAST(count(*) FILTER (WHERE wave > 0) AS INT) AS bucket FROM {arr} GROUP BY 1) GROUP BY 1")
+def b21(arr: DataFrame) -> DataFrame:
+    return _spectra(arr).groupBy(arrays.length_bucket(F.col("wave")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("b22_pad_spectra", "arr")
+def b22(arr: DataFrame) -> DataFrame:
+    padded = arrays.pad_spectra(_spectra(arr).withColumn("batch", F.pmod(F.col("object_id"), F.lit(50))), "batch", "wave", "flux", "ivar", "masked")
+    return padded.select("object_id", F.size("wave").alias("n"), F.round(F.element_at("wave", -1), 3).alias("last_wave"), F.size(F.filter("masked", lambda m: m)).alias("n_masked"))
+
+
+@query("b25_subsample", "embeddings", sql="SELECT vec_id, round(list_sum(list_transform(range(10), lambda i : CAST(embedding[CAST(floor(i * 63 / 9) AS BIGINT) + 1] AS DOUBLE))), 5) AS total FROM {embeddings}")
+def b25(embeddings: DataFrame) -> DataFrame:
+    some = arrays.subsample_linspace(F.transform("embedding", lambda x: x.cast("double")), 10)
+    return embeddings.select("vec_id", F.round(F.aggregate(some, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("b26_plot_bounds", "points", sql="""
+WITH q AS (SELECT object_id, count(*) AS n_points, quantile_cont(flux, 0.005) AS a, quantile_cont(flux, 0.995) AS b FROM {points} WHERE mjd > 0 AND used GROUP BY 1 HAVING count(*) >= 10)
+SELECT object_id, n_points, round(a - 0.1 * (b - a), 6) AS low, round(b + 0.1 * (b - a), 6) AS high FROM q""")
+def b26(points: DataFrame) -> DataFrame:
+    out = arrays.plot_bounds(points.withColumn("masked", ~F.col("used")), "object_id", "mjd", "flux", "masked")
+    return out.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
+
+
+@query("b27_pad_tokens", "embeddings")
+def b27(embeddings: DataFrame) -> DataFrame:
+    tokens = F.transform(F.sequence(F.lit(0), F.col("label").cast("int")), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda x: x.cast("double")))
+    p = arrays.pad_tokens(tokens, 6, 4)
+    return embeddings.select("vec_id", F.size(p["tokens"]).alias("n"), F.size(F.filter(p["mask"], lambda m: m)).alias("n_absent"))
+
+
+@query("b28_spectrum_extent", "arr", "orders", sql="""
+WITH w AS (SELECT object_id, min(wave) AS low, max(wave) AS high FROM {arr} GROUP BY 1), o AS (SELECT o_custkey, o_orderkey, o_orderpriority FROM {orders} JOIN w ON object_id = o_orderkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1)
+SELECT o_custkey AS owner, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS z, low, high FROM o JOIN w ON w.object_id = o_orderkey""")
+def b28(arr: DataFrame, orders: DataFrame) -> DataFrame:
+    rows = _spectra(arr).join(orders.select(F.col("o_orderkey").alias("object_id"), F.col("o_custkey").alias("owner"), F.substring("o_orderpriority", 1, 1).alias("z"), "o_totalprice"), "object_id")
+    return arrays.spectrum_extent(rows, "owner", "z", "wave", "o_totalprice", "object_id")
+
+
+@query("b29_caption_eligibility", "arr", sql="""
+SELECT object_id, CASE WHEN object_id % 5 = 0 THEN 'no_quotes' WHEN object_id % 7 = 0 THEN 'no_observation' WHEN object_id % 11 = 0 THEN 'invalid_spectrum' WHEN count(*) FILTER (WHERE wave > 0) < 3 THEN 'too_few_points' ELSE 'eligible' END AS status FROM {arr} GROUP BY object_id""")
+def b29(arr: DataFrame) -> DataFrame:
+    df = _spectra(arr).withColumn("quotes", F.when(F.col("object_id") % 5 != 0, F.array(F.lit("q")))).withColumn("n_obs", F.when(F.col("object_id") % 7 != 0, 1)).withColumn("n_points", F.when(F.col("object_id") % 11 != 0, F.size(arrays.trim_spectrum(F.col("wave")))))
+    return df.select("object_id", clean.caption_eligibility(df, "quotes", "n_obs", "n_points", 3).alias("status"))
+
+
+@query("g19_spectrum_text", "arr", sql="SELECT object_id, string_agg(printf('%.1f', wave) || ':' || printf('%.3f', flux), ' ' ORDER BY pos, wave, flux) AS text FROM {arr} GROUP BY 1")
+def g19(arr: DataFrame) -> DataFrame:
+    return _spectra(arr).select("object_id", arrays.spectrum_text(F.col("wave"), F.col("flux"), 100).alias("text"))
+
+
+@query("d29_half_precision_error", "embeddings")
+def d29(embeddings: DataFrame) -> DataFrame:
+    return arrays.fp16_error(embeddings, "embedding")
+
+
+@query("k2_flatten_tokens", "embeddings", sql="SELECT vec_id, CAST(len(embedding) AS INT) AS n, round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[64] AS DOUBLE), 5) AS ends FROM {embeddings}")
+def k2(embeddings: DataFrame) -> DataFrame:
+    flat = arrays.flatten_tokens(F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)))
+    return embeddings.select("vec_id", F.size(flat).alias("n"), F.round(F.get(flat, F.lit(0)).cast("double") + F.get(flat, F.lit(63)).cast("double"), 5).alias("ends"))
+
+
+# --- captions -----------------------------------------------------------------------------------------------------------
+
+VOCABULARY = {"image": ["the ", "le "], "spectra": ["tion", "cion"], "lightcurve": ["die ", "los "]}
+INPUTS["prose"] = "SELECT doc_id, lower(substring(replace(text, chr(10), ' '), 1, 400)) AS text, lang, source FROM {documents}"
+SENT = "SELECT doc_id, source, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda s : trim(s)), lambda s : s <> '')) AS s, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda s : trim(s)), lambda s : s <> ''), 1) - 1 AS i FROM {prose}".replace("\x01", "¦")
+CLAIMS = f"""s AS ({SENT}), c AS (SELECT doc_id, source, CAST(i AS INT) AS i, s, concat_ws('+', CASE WHEN contains(s, 'the ') OR contains(s, 'le ') THEN 'image' END, CASE WHEN contains(s, 'die ') OR contains(s, 'los ') THEN 'lightcurve' END, CASE WHEN doc_id % 4 <> 0 AND (contains(s, 'tion') OR contains(s, 'cion')) THEN 'spectra' END) AS support FROM s)"""
+
+
+def _claims(prose: DataFrame) -> DataFrame:
+    have = {"image": F.lit(True), "spectra": F.col("doc_id") % 4 != 0, "lightcurve": F.lit(True)}
+    return t.decompose_claims(prose, "doc_id", "text", "source", VOCABULARY, have)
+
+
+@query("g1_split_sentences", "prose", sql=f"SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM ({SENT}) GROUP BY doc_id")
+def g1(prose: DataFrame) -> DataFrame:
+    each = prose.select("doc_id", F.explode(t.split_sentences(F.col("text"))).alias("s"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("s")).cast("long").alias("longest"))
+
+
+@query("g2_tag_support", "prose", sql=f"WITH {CLAIMS} SELECT support, count(*) AS n FROM c GROUP BY support")
+def g2(prose: DataFrame) -> DataFrame:
+    have = {"image": F.lit(True), "spectra": F.col("doc_id") % 4 != 0, "lightcurve": F.lit(True)}
+    each = prose.select("doc_id", F.explode(t.split_sentences(F.col("text"))).alias("s"))
+    return each.groupBy(F.array_join(t.tag_support(F.col("s"), VOCABULARY, have), "+").alias("support")).agg(F.count("*").alias("n"))
+
+
+@query("g3_decompose_claims", "prose", sql=f"WITH {CLAIMS} SELECT doc_id, i AS claim_pos, support, CASE WHEN contains(support, '+') THEN 'relation' ELSE 'observation' END AS kind, source || '#sent' || i AS provenance FROM c WHERE support <> ''")
+def g3(prose: DataFrame) -> DataFrame:
+    return _claims(prose).select("doc_id", "claim_pos", F.array_join("supporting", "+").alias("support"), "kind", "provenance")
+
+
+COMPOSED = """one AS (SELECT doc_id, support AS subset, i, s FROM c WHERE support IN ('image', 'spectra', 'lightcurve')), full_ AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'image+lightcurve+spectra' ELSE 'image+lightcurve' END AS subset, i, s FROM c WHERE support <> ''), u AS (SELECT * FROM one UNION ALL SELECT * FROM full_)"""
+
+
+@query("g4_compose_captions", "prose", sql=f"WITH {CLAIMS}, {COMPOSED} SELECT doc_id, subset, sha256(string_agg(s, ' ' ORDER BY i)) AS digest, count(*) AS n_claims FROM u GROUP BY ALL")
+def g4(prose: DataFrame) -> DataFrame:
+    sets = F.when(F.col("doc_id") % 4 != 0, F.array(F.lit("image"), F.lit("lightcurve"), F.lit("spectra"))).otherwise(F.array(F.lit("image"), F.lit("lightcurve")))
+    out = captions.compose_captions(_claims(prose), prose.select("doc_id", sets.alias("subset")), "doc_id")
+    return out.select("doc_id", F.array_join("subset", "+").alias("subset"), F.sha2("text", 256).alias("digest"), "n_claims")
+
+
+@query("g5_assemble_captions", "prose", sql=f"""WITH {CLAIMS}, r AS (SELECT doc_id, i, s, support FROM c WHERE contains(support, '+') UNION ALL SELECT doc_id, -1, concat('lang ', lang), 'image' FROM {{prose}}),
+u AS (SELECT doc_id, 'image' AS subset, i, s FROM r WHERE support = 'image' UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'image+lightcurve+spectra' ELSE 'image+lightcurve' END, i, s FROM r)
+SELECT doc_id, subset, count(*) AS n_claims, sha256(string_agg(s, ' ' ORDER BY i)) AS digest FROM u GROUP BY ALL""")
+def g5(prose: DataFrame) -> DataFrame:
+    sets = F.when(F.col("doc_id") % 4 != 0, F.array(F.lit("image"), F.lit("lightcurve"), F.lit("spectra"))).otherwise(F.array(F.lit("image"), F.lit("lightcurve")))
+    vetted = prose.select("doc_id", F.concat(F.lit("lang "), "lang").alias("caption"))
+    out = captions.assemble_captions(_claims(prose), [("image", vetted)], prose.select("doc_id", sets.alias("subset")), "doc_id")
+    return out.select("doc_id", F.array_join("subset", "+").alias("subset"), "n_claims", F.sha2("text", 256).alias("digest"))
+
+
+@query("d4_caption_report", "prose", sql=f"""WITH {CLAIMS}, {COMPOSED}, k AS (SELECT DISTINCT doc_id, subset FROM u)
+SELECT (SELECT count(*) FROM k) AS n_captions, (SELECT count(DISTINCT doc_id) FROM k) AS n_captioned, (SELECT count(*) FROM c WHERE support <> '') AS n_claims, (SELECT count(*) FROM c WHERE contains(support, '+')) AS n_relations,
+(SELECT count(*) FROM {{prose}}) AS n_objects, round((SELECT count(DISTINCT doc_id) FROM k) / (SELECT count(*) FROM {{prose}}), 6) AS survival_rate""")
+def d4(prose: DataFrame) -> DataFrame:
+    sets = F.when(F.col("doc_id") % 4 != 0, F.array(F.lit("image"), F.lit("lightcurve"), F.lit("spectra"))).otherwise(F.array(F.lit("image"), F.lit("lightcurve")))
+    claims = _claims(prose)
+    return captions.caption_report(captions.compose_captions(claims, prose.select("doc_id", sets.alias("subset")), "doc_id"), claims, prose, "doc_id")
+
+
+@query("d5_joint_claims", "prose", sql=f"WITH {CLAIMS} SELECT round(avg(CAST(contains(support, '+') AS INT)), 6) AS joint_fraction FROM c WHERE support <> ''")
+def d5(prose: DataFrame) -> DataFrame:
+    return captions.joint_claim_fraction(_claims(prose))
+
+
+@query("d6_diversity_gate", "documents", sql="""
+WITH t AS (SELECT text, count(*) AS n FROM {documents} GROUP BY text), a AS (SELECT sum(n) AS n, count(*) AS d, max(n) AS m FROM t)
+SELECT CAST(n AS BIGINT) AS n_captions, d AS n_distinct, round(d / n, 6) AS distinct_share, round(m / n, 6) AS top_share, sha256((SELECT substr(text, 1, 200) FROM t ORDER BY t.n DESC, text DESC LIMIT 1)) AS top_digest, d / n >= 0.8 AND m / n <= greatest(0.05, 1.5 / n) AS passed FROM a""")
+def d6(documents: DataFrame) -> DataFrame:
+    return captions.diversity_gate(documents).select("n_captions", "n_distinct", "distinct_share", "top_share", F.sha2("top_text", 256).alias("top_digest"), "passed")
+
+
+@query("d7_change_gate", "orders", sql="""
+SELECT round(avg(levenshtein(o_orderpriority, '3-MEDIUM')), 6) AS mean_distance, round(avg(CAST(o_orderpriority <> '3-MEDIUM' AS INT)), 6) AS changed_share, avg(levenshtein(o_orderpriority, '3-MEDIUM')) < 3 AS null_distance, avg(CAST(o_orderpriority <> '3-MEDIUM' AS INT)) < 0.1 AS null_changed FROM {orders}""")
+def d7(orders: DataFrame) -> DataFrame:
+    return captions.change_gate(orders.select(F.col("o_orderpriority").alias("a"), F.lit("3-MEDIUM").alias("b")), "a", "b")
+
+
+@query("d23_mentions_summary", "quotes", sql="SELECT conv_id, count(DISTINCT role) AS n_mentions, count(*) AS n_quotes FROM {quotes} GROUP BY 1")
+def d23(rows: DataFrame) -> DataFrame:
+    return captions.mentions_summary(rows.withColumn("q", F.array("text")), "conv_id", "role", "q")
+
+
+@query("d24_lines_by_snr", "multi", sql="SELECT sample_id, string_agg(concat(label, k, printf(' (SNR %.1f)', snr)), '|' ORDER BY snr DESC, concat(label, k)) AS lines FROM {multi} GROUP BY 1")
+def d24(multi: DataFrame) -> DataFrame:
+    named = multi.withColumn("name", F.concat("label", F.col("k").cast("string")))
+    return scoring.lines_by_snr(named, "sample_id", "name", "snr").select("sample_id", F.array_join("lines", "|").alias("lines"))
+
+
+@query("d25_redshift_labels", "catalog_a", sql="""
+WITH m AS (SELECT survey, avg(dist) AS z FROM {catalog_a} GROUP BY 1) SELECT survey, round(z, 6) AS mean_z, chr(CAST(64 + row_number() OVER (ORDER BY z, survey) AS INT)) AS letter FROM m""")
+def d25(catalog: DataFrame) -> DataFrame:
+    return scoring.redshift_labels(catalog, "survey", "dist")
+
+
+@query("d30_class_weights", "predictions", sql="SELECT truth, count(*) AS n, round(sum(count(*)) OVER () / (5 * count(*)), 6) AS weight FROM {predictions} GROUP BY truth")
+def d30(rows: DataFrame) -> DataFrame:
+    return captions.class_weights(rows, "truth", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).withColumn("weight", F.round("weight", 6))
+
+
+# --- answers ------------------------------------------------------------------------------------------------------------
+
+INPUTS["answers"] = """
+SELECT o_orderkey AS k, o_orderpriority AS label, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'It looks LOW but ' WHEN o_orderkey % 4 = 1 THEN 'Class 12, then 3. ' ELSE 'Maybe high. ' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'no idea' WHEN o_orderkey % 5 = 1 THEN 'final answer: B' WHEN o_orderkey % 5 = 2 THEN concat('FINAL ANSWER: A, C and ', substring(o_orderpriority, 3, 1)) WHEN o_orderkey % 5 = 3 THEN 'FINAL ANSWER: none' ELSE concat('it is ', lower(substring(o_orderpriority, 3, 20)), '.') END) AS text FROM {orders}"""
+WORDS = {"Urgent": ["quick"], "High": ["tall"], "Medium": ["middle"], "Low": ["small"]}
+
+
+def _contains(words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+
+
+@query("g6_predict_label", "answers", sql=f"SELECT k, CASE WHEN {_contains(['urgent', 'quick'])} THEN 'Urgent' WHEN {_contains(['high', 'tall'])} THEN 'High' WHEN {_contains(['medium', 'middle'])} THEN 'Medium' WHEN {_contains(['low', 'small'])} THEN 'Low' END AS label FROM {{answers}}")
+def g6(answers: DataFrame) -> DataFrame:
+    return answers.select("k", t.predict_label(F.col("text"), WORDS).alias("label"))
+
+
+@query("g7_predict_code", "answers", sql="SELECT k, CASE WHEN k % 4 = 1 THEN 'three' END AS label FROM {answers}")
+def g7(answers: DataFrame) -> DataFrame:
+    return answers.select("k", t.predict_code(F.col("text"), {"3": "three", "1": "one"}).alias("label"))
+
+
+def _last(word: str) -> str:
+    return f"coalesce(length(nullif(regexp_extract(lower(text), '(?s)^.*\\b{word}\\b', 0), '')), 0)"
+
+
+@query("g8_last_mention", "answers", sql=f"""
+WITH e AS (SELECT k, unnest([{{'e': {_last('urgent')}, 'o': 0, 'l': 'Urgent'}}, {{'e': {_last('high')}, 'o': 1, 'l': 'High'}}, {{'e': {_last('medium')}, 'o': 2, 'l': 'Medium'}}, {{'e': {_last('low')}, 'o': 3, 'l': 'Low'}}], recursive := true) FROM {{answers}})
+SELECT k, CASE WHEN max(e) > 0 THEN arg_max(l, e * 10 - o) END AS label FROM e GROUP BY k""")
+def g8(answers: DataFrame) -> DataFrame:
+    return answers.select("k", t.last_mention(F.col("text"), {w: [] for w in WORDS}).alias("label"))
+
+
+@query("g9_predictor_formats", "answers", sql="SELECT 'logprob_argmax' AS format, label, count(*) AS n FROM {answers} GROUP BY ALL UNION ALL SELECT 'digit_code', CASE WHEN k % 4 = 1 THEN 'three' END, count(*) FROM {answers} GROUP BY ALL")
+def g9(answers: DataFrame) -> DataFrame:
+    out = None
+    for name in ("logprob_argmax", "digit_code"):
+        predict = t.make_predictor(name, WORDS, {"3": "three", "1": "one"})
+        one = answers.groupBy(F.lit(name).alias("format"), predict(F.col("text"), F.col("label")).alias("label")).agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("g10_argmax_label", "embeddings", sql="SELECT vec_id, CAST(list_position(list_slice(embedding, 1, 5), list_max(list_slice(embedding, 1, 5))) AS VARCHAR) AS label FROM {embeddings}")
+def g10(embeddings: DataFrame) -> DataFrame:
+    keys = F.array(*[F.lit(f" {k} ") for k in range(1, 6)])
+    return embeddings.select("vec_id", t.argmax_label(F.map_from_arrays(keys, F.slice("embedding", 1, 5))).alias("label"))
+
+
+@query("d14_margin_block", "embeddings", sql="""
+WITH s AS (SELECT list_sort(list_transform(embedding, lambda x : CAST(x AS DOUBLE)), 'DESC') AS v FROM {embeddings})
+SELECT count(*) AS n, round(avg(v[1] - v[2]), 5) AS mean_margin, count(*) FILTER (WHERE v[1] - v[2] < 0.02) AS n_narrow FROM s""")
+def d14(embeddings: DataFrame) -> DataFrame:
+    out = scoring.margin_block(embeddings, t.margin(F.transform("embedding", lambda x: x.cast("double"))), 0.02)
+    return out.withColumn("mean_margin", F.round("mean_margin", 5))
+
+
+@query("g11_final_sentence", "answers", sql="""
+WITH l AS (SELECT k, lower(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1¦', 'g'), '¦'), lambda s : s <> '')[-1]) AS s FROM {answers}),
+n AS (SELECT k, len(regexp_extract_all(s, '\\bhigh\\b')) AS h, len(regexp_extract_all(s, '\\blow\\b')) AS w, len(regexp_extract_all(s, '\\bmedium\\b')) AS m FROM l)
+SELECT k, CASE WHEN h + w + m = 1 THEN CASE WHEN h = 1 THEN 'High' WHEN w = 1 THEN 'Low' ELSE 'Medium' END END AS label FROM n""")
+def g11(answers: DataFrame) -> DataFrame:
+    return answers.select("k", t.parse_final_sentence(F.col("text"), ["High", "Low", "Medium"]).alias("label"))
+
+
+@query("g12_single_choice", "answers", sql="SELECT k, upper(nullif(regexp_extract(text, '(?i)FINAL ANSWER:\\s*([ABC])(?:[^A-Za-z]|$)', 1), '')) AS letter FROM {answers}")
+def g12(answers: DataFrame) -> DataFrame:
+    return answers.select("k", t.parse_single_choice(F.col("text"), "ABC").alias("letter"))
+
+
+@query("g13_multi_choice", "answers", sql="""
+SELECT k, CASE k % 5 WHEN 1 THEN 'B' WHEN 2 THEN CASE WHEN substr(label, 3, 1) IN ('H') THEN 'A,C,H' ELSE 'A,C' END WHEN 3 THEN '' END AS letters FROM {answers}""")
+def g13(answers: DataFrame) -> DataFrame:
+    return answers.select("k", F.array_join(t.parse_multi_choice(F.col("text"), "ABCH"), ",").alias("letters"))
+
+
+@query("g14_task_answer", "answers", sql=f"""
+WITH e AS (SELECT k, upper(nullif(regexp_extract(text, '(?i)FINAL ANSWER:\\s*([ABC])(?:[^A-Za-z]|$)', 1), '')) AS c, unnest([{{'e': {_last('high')}, 'o': 0, 'l': 'High'}}, {{'e': {_last('medium')}, 'o': 1, 'l': 'Medium'}}, {{'e': {_last('low')}, 'o': 2, 'l': 'Low'}}], recursive := true) FROM {{answers}})
+SELECT k, coalesce(CASE any_value(c) WHEN 'A' THEN 'High' WHEN 'B' THEN 'Medium' WHEN 'C' THEN 'Low' END, CASE WHEN max(e) > 0 THEN arg_max(l, e * 10 - o) END) AS label FROM e GROUP BY k""")
+def g14(answers: DataFrame) -> DataFrame:
+    return answers.select("k", t.parse_task_answer(F.col("text"), {"A": "High", "B": "Medium", "C": "Low"}).alias("label"))
+
+
+@query("g15_ground_truth", "orders", sql="SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '5-LOW' THEN 'Low' WHEN '3-MEDIUM' THEN 'Middle' ELSE 'UNKNOWN' END AS class FROM {orders}")
+def g15(orders: DataFrame) -> DataFrame:
+    truth = t.ground_truth_class(F.col("o_orderpriority"), {"1-URGENT": "Urgent", "5-low": "Low"}, {"3-medium": "Middle"})
+    return orders.select("o_orderkey", truth.alias("class"))
+
+
+@query("g16_extract_caption", "answers", sql="SELECT k, k % 2 = 0 AS has, CASE WHEN k % 2 = 0 THEN label ELSE trim(text) END AS caption FROM {answers}")
+def g16(answers: DataFrame) -> DataFrame:
+    raw = F.when(F.col("k") % 2 == 0, F.concat(F.lit("x CAPTION: a\nCaption: \""), "label", F.lit("\"  "))).otherwise(F.col("text"))
+    return answers.select("k", t.has_caption(raw).alias("has"), t.extract_caption(raw).alias("caption"))
+
+
+@query("g20_build_prompt", "orders", sql="SELECT o_orderkey, concat('Class ', o_orderstatus, chr(10), 'A) ', o_orderpriority, chr(10), 'B) none', chr(10), '1. ', CAST(o_custkey AS VARCHAR)) AS prompt FROM {orders}")
+def g20(orders: DataFrame) -> DataFrame:
+    options = t.lettered(F.array(F.col("o_orderpriority"), F.lit("none")))
+    quotes = t.numbered(F.array(F.col("o_custkey").cast("string")))
+    return orders.select("o_orderkey", t.fill_template("Class {cls}\n{options}\n{quotes}", cls=F.col("o_orderstatus"), options=options, quotes=quotes).alias("prompt"))
+
+
+@query("g21_human_subset", "objects", sql="""
+SELECT object_id, concat('The ', concat_ws(' and ', CASE WHEN has_label THEN 'a label' END, 'text'), ' of:', ' end') AS text FROM {objects}""")
+def g21(objects: DataFrame) -> DataFrame:
+    subset = F.array_compact(F.array(F.when(F.col("has_label"), "label"), F.lit("text")))
+    return objects.select("object_id", t.wrapper_text(subset, {"label": "a label"}, "The {modalities} of:", " end").alias("text"))
+
+
+@query("g22_fingerprint", "orders")
+def g22(orders: DataFrame) -> DataFrame:
+    return orders.select("o_orderkey", c.fingerprint(F.col("o_custkey"), F.col("o_orderstatus")).alias("fingerprint"), c.short_fingerprint(F.col("o_custkey")).alias("short"))
+
+
+@query("g23_edit_distance", "orders", sql="SELECT o_orderkey, CAST(levenshtein(o_orderpriority, concat(o_orderstatus, '-LOW')) AS INT) AS distance FROM {orders}")
+def g23(orders: DataFrame) -> DataFrame:
+    return orders.select("o_orderkey", t.edit_distance(F.col("o_orderpriority"), F.concat("o_orderstatus", F.lit("-LOW"))).alias("distance"))
+
+
+@query("g27_snr_and_haversine", "points", sql="SELECT pos, round(CASE WHEN err > 3 THEN flux / (err - 3) ELSE 0 END, 6) AS snr, round(degrees(2 * asin(sqrt(pow(sin(radians(0.5) / 2), 2) + cos(radians(10)) * cos(radians(10.5)) * pow(sin(radians(pos % 90) / 2), 2)))) * 3600, 4) AS sep FROM {points}")
+def g27(points: DataFrame) -> DataFrame:
+    sep = c.haversine_arcsec(F.lit(0.0), F.lit(10.0), (F.col("pos") % 90).cast("double"), F.lit(10.5))
+    return points.select("pos", F.round(c.snr(F.col("flux"), F.col("err") - 3), 6).alias("snr"), F.round(sep, 4).alias("sep"))
+
+
+@query("g28_is_correct", "predictions", sql="SELECT sample_id, coalesce(lower(trim(predicted)) = lower(trim(truth)), false) AS correct FROM {predictions}")
+def g28(rows: DataFrame) -> DataFrame:
+    return rows.select("sample_id", t.is_correct(F.concat(F.lit(" "), F.lower("predicted")), F.col("truth")).alias("correct"))
+
+
+@query("g29_caption_target", "prose", sql="SELECT doc_id, sha256(concat_ws(' ', list_aggregate(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w : w <> ''), 1, 8), 'string_agg', ' '), 'the end')) AS digest FROM {prose} WHERE trim(text) <> ''")
+def g29(prose: DataFrame) -> DataFrame:
+    return prose.where("trim(text) <> ''").select("doc_id", F.sha2(t.caption_target(F.col("text"), "the end", 10), 256).alias("digest"))
+
+
+@query("g30_build_record", "orders", sql="""
+SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END, 1.5) AS ra, lower(o_orderstatus) AS survey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS caption, o_orderkey % 3 = 0 OR o_orderpriority = '5-LOW' AS is_insufficient FROM {orders}""")
+def g30(orders: DataFrame) -> DataFrame:
+    df = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("ra"), F.lit(0.0).alias("dec"), F.lit(1.5).alias("ra_fallback"), F.lit(0.0).alias("dec_fallback"), F.col("o_orderstatus").alias("survey"), F.lit(1).alias("n_quotes"), F.lit(1).alias("n_mentions"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderpriority")).alias("caption"), F.lit(1).alias("input_tokens"), F.lit(2).alias("output_tokens"))
+    out = captions.build_record(df, "5-LOW", "o_orderkey")
+    return out.select("o_orderkey", "object.ra", "object.survey", "output.caption", "output.is_insufficient")

@@ -11,8 +11,6 @@ from skyframe.queries.base import INPUTS, query
 from skyframe.sources import io
 
 ID = r"CASE WHEN regexp_matches(trim(object_id), '^b''.*''$') THEN trim(regexp_extract(trim(object_id), '^b''(.*)''$', 1)) ELSE trim(object_id) END"
-INPUTS["clean_ids"] = "SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN concat('  ', c_name, ' ') WHEN c_custkey % 5 = 0 THEN '   ' ELSE c_name END AS raw, c_mktsegment AS label, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS maybe, c_acctbal AS v, c_nationkey AS nation FROM {customer}"
-INPUTS["arr"] = "SELECT l_orderkey AS object_id, l_linenumber AS pos, CASE WHEN l_linenumber % 5 = 4 THEN -1e0 ELSE 1000 + (l_partkey * 37 % 8000) / 1e0 END AS wave, l_extendedprice / 1e3 AS flux, l_discount AS ivar, (l_linenumber % 4 = 0) AS masked FROM {lineitem}"
 
 
 @query("a1_projected_scan", "lineitem", sql="SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity > 45")
