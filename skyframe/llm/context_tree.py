@@ -276,6 +276,21 @@ class Lookup:
         return out, found
 
 
+class SortedTable:
+    """Keys to values by binary search: less memory than :class:`Lookup`, for the few bytes that it doesn't know."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        found = self.keys[at] == keys
+        return np.where(found, self.values[at], 0), found
+
+
 def _parquet(uri: str) -> pa.Table:
     where, path = pafs.FileSystem.from_uri(uri)
     files = [f.path for f in where.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
@@ -284,12 +299,12 @@ def _parquet(uri: str) -> pa.Table:
 
 
 @lru_cache(maxsize=1)
-def _block(path: str, block: int) -> tuple[Lookup, Lookup]:
+def _block(path: str, block: int) -> tuple[Lookup, SortedTable]:
     """(whole bytes, nodes) of a block of the model; one block is in memory at a time."""
     table = pa.concat_tables([_parquet(f"{path}/block={block}"), _parquet(f"{path}-top")])
     keys, values = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
     node = keys >> _U(56) > 0
-    return Lookup(keys[~node], values[~node]), Lookup(keys[node], values[node])
+    return Lookup(keys[~node], values[~node]), SortedTable(keys[node], values[node])
 
 
 @lru_cache(maxsize=1)
@@ -298,7 +313,7 @@ def _top_words(uri: str) -> Lookup:
     return Lookup(table["key"].to_numpy().view(np.uint64), table["value"].to_numpy().astype(float))
 
 
-def log_probabilities(keys: np.ndarray, whole: Lookup, nodes: Lookup) -> np.ndarray:
+def log_probabilities(keys: np.ndarray, whole: Lookup, nodes: SortedTable) -> np.ndarray:
     """log10 probability of each position's byte."""
     out, found = whole.get(keys)
     out = out.astype(float)

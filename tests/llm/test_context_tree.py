@@ -111,7 +111,9 @@ def test_documents(spark):
     assert {r["doc_id"] for r in rows} == docs and len(rows) == len(docs)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in rows)
     held = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # Two megabytes to learn from: the words' own counts are as good; with more text the trees are better.
+    assert sum(r["score"] for r in held) > 1.03 * sum(r["base_score"] for r in held)
+    assert sum(r["bits_per_byte"] for r in held) / len(held) < 2.7
     assert all(r["score"] < 0 and r["n_known"] <= r["n_tokens"] for r in rows)
 
 
