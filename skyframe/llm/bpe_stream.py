@@ -19,6 +19,7 @@ columns are left out.
 from __future__ import annotations
 
 import codecs
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -53,6 +54,9 @@ def lookahead(tables: dict) -> int:
     return most + max(size.values())
 
 
+NEVER = 1 << 60
+
+
 class Merger:
     """Merges of one piece of bytes."""
 
@@ -63,19 +67,15 @@ class Merger:
     def short(self, piece: bytes) -> list[int]:
         """Least rank first, leftmost at a tie; for pieces of a few dozen bytes."""
         ids, rank = [self.single[b] for b in piece], self.rank.get
-        while len(ids) > 1:
-            best = min([rank((a << 20) | b, 1 << 60) for a, b in zip(ids, ids[1:])])
-            if best == 1 << 60:
-                break
-            result, out, k, n = best & 0xFFFFF, [], 0, len(ids)
-            while k < n:
-                if k + 1 < n and rank((ids[k] << 20) | ids[k + 1]) == best:
-                    out.append(result)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        ranks = [rank((a << 20) | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            k = ranks.index(best)
+            ids[k] = best & 0xFFFFF
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank((ids[k] << 20) | ids[k + 1], NEVER)
+            if k:
+                ranks[k - 1] = rank((ids[k - 1] << 20) | ids[k], NEVER)
         return ids
 
     def long(self, piece: bytes) -> list[int]:
@@ -139,14 +139,12 @@ class StreamEncoder:
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pieces(self, pieces: list[str]) -> bytes:
         got = list(map(self.known.get, pieces))
-        if None in got:
-            for k, packed in enumerate(got):
-                if packed is None:
-                    got[k] = self._piece(pieces[k])
+        for k in [k for k, packed in enumerate(got) if packed is None]:
+            got[k] = self._piece(pieces[k])
         return b"".join(got)
 
     def _piece(self, piece: str) -> bytes:
