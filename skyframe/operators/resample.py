@@ -67,13 +67,17 @@ def bootstrap_by(df: DataFrame, score: str, by: str, replicates: int = 10_000, s
 
 
 def poisson_ci(df: DataFrame, score: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Interval for scores with very many values: each row gets a Poisson(1) weight per replicate, summed where rows are read."""
+    """Interval for scores with very many values: each row gets a Poisson(1) weight per replicate, summed where rows are read.
+
+    Generators are seeded by task and batch, so another layout draws other weights.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        from pyspark import TaskContext
+
+        for k, b in enumerate(batches):
             v = b[score].to_numpy(float)
-            key = int(pd.util.hash_array(v.view(np.int64)).sum() & 0xFFFFFFFF)
-            w = np.random.default_rng([seed, key, len(v)]).poisson(1.0, (replicates, len(v)))
+            w = np.random.default_rng([seed, TaskContext.get().partitionId(), k]).poisson(1.0, (replicates, len(v)))
             yield pd.DataFrame({"replicate": range(replicates), "s": w @ v, "w": w.sum(axis=1)})
 
     sums = df.select(score).where(F.col(score).isNotNull()).mapInPandas(run, "replicate long, s double, w double").groupBy("replicate").agg((F.sum("s") / F.sum("w")).alias("mean"))
@@ -105,10 +109,11 @@ def stratified_bootstrap(df: DataFrame, truth: str, predicted: str, labels: list
 
 def paired_bootstrap(df: DataFrame, base: str, treatment: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """One row: means of both runs and of their difference with intervals, and the share of replicates without a gain."""
-    cells = _cells(df.where(F.col(base).isNotNull() & F.col(treatment).isNotNull()), [base, treatment])
+    both = df.select(F.col(base).alias("_base"), F.col(treatment).alias("_treatment")).dropna()
+    cells = _cells(both, ["_base", "_treatment"])
     if not len(cells):
         raise ValidationError("no pairs")
-    n, a, b = int(cells["n"].sum()), cells[base].to_numpy(float), cells[treatment].to_numpy(float)
+    n, a, b = int(cells["n"].sum()), cells["_base"].to_numpy(float), cells["_treatment"].to_numpy(float)
     p = cells["n"].to_numpy() / n
 
     def draw(g: np.random.Generator) -> dict[str, float]:
