@@ -98,10 +98,10 @@ def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 keys, counts = np.unique(keys, return_counts=True)
                 held[kind].append((keys, counts))
                 size[kind] += len(keys)
-                if size[kind] > 6_000_000:
+                if size[kind] > 3_000_000:
                     keys, counts = merged(kind)
                     held[kind], size[kind] = [(keys, counts)], len(keys)
-                    if size[kind] > 3_000_000:
+                    if size[kind] > 1_500_000:
                         yield batch(kind)
     for kind in held:
         if held[kind]:
