@@ -16,6 +16,16 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 MAX_BROADCAST_ROWS = 400_000
 
 
+#: Rows of an Arrow batch. Texts are long; small batches bound the off-heap and Python memory of a task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS where it is higher."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +52,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,4 +77,5 @@ def small_side(side: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 def unclash(df: DataFrame, keep: list[str]) -> DataFrame:
     """Only the columns an operator needs, so that extra columns can't clash with its own names."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in keep])

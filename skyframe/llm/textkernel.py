@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Documents are handled together up to this many bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 5)
 _U64 = np.uint64
 
