@@ -11,9 +11,10 @@ between passes, so that pairs already connected aren't looked at again:
 1. every document with the bucket leader (least id) that it shares most bands with;
 2. every document with its other leaders; and in buckets that still hold several components, with ``FEW`` rows or less
    outside the largest one, those rows with all the others;
-3. documents that meet in crowded buckets, with more such rows, form crowds; those outside a crowd's largest component
-   are compared with all of it, ``ASKERS`` by ``MEMBERS`` at a time, where they share two bands (a pair at the threshold
-   does with a chance of 0.9999).
+3. crowded buckets, with more such rows, are counted again: where ``FEW`` or less are left, those are compared with all
+   the others as in pass 2;
+4. documents that meet in the other crowded buckets form crowds; those outside a crowd's largest component are compared
+   with all of it, ``ASKERS`` by ``MEMBERS`` at a time, where they share a band.
 
 No group is collected: leaders come from partial aggregates and joins, pairs within a bucket
 from joins of a few of its rows with the rest or inside blocks of bounded size.
@@ -209,8 +210,7 @@ def _compare_blocks(percent: int):
         members = np.flatnonzero(~ask)
         out_u, out_v = [], []
         for i in np.flatnonzero(ask):
-            # Members that share two bands at least; the rest can't reach the threshold but for a chance of 1e-4.
-            near = members[((bands[members] == bands[i]).sum(axis=1) >= 2) & (comp[members] != comp[i])]
+            near = members[(bands[members] == bands[i]).any(axis=1) & (comp[members] != comp[i])]
             if not len(near):
                 continue
             own, sizes = sets[i], np.array([len(sets[m]) for m in near])
@@ -263,8 +263,10 @@ def link(signed: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     thin, crowded = F.col("others") <= FEW, F.col("others") > FEW
     rows = stored(_unsettled(linker, members.select("key", "doc_id")), "unsettled")
     linker.test(linker.across(led.select("u", "v").unionByName(_across_pairs(rows.where(thin)))))
-    # A pair that shares a bucket with few rows outside its largest component has been compared by now.
-    crowded_rows = stored(_unsettled(linker, rows.where(crowded).select("key", "doc_id")).where(crowded).select("key", "doc_id"), "crowded")
+    # Pass 2 has compared the pairs of thin buckets only. Crowded ones that have become thin are compared now, the others as crowds.
+    rows = stored(_unsettled(linker, rows.where(crowded).select("key", "doc_id")), "crowded")
+    linker.test(linker.across(_across_pairs(rows.where(thin))))
+    crowded_rows = rows.where(crowded).select("key", "doc_id")
     if not crowded_rows.isEmpty():
         linker.add(_crowd_links(linker, crowded_rows, signed))
     empty = members.select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).where("false")

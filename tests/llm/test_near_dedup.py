@@ -76,6 +76,15 @@ def test_crowded_buckets(spark):
     agrees(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_crowded_buckets_that_become_thin(spark):
+    """Near copies around a shared text: pass 2 leaves 1 to 8 rows of some crowded buckets outside the largest component."""
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(60)]
+    rows = [(32_000 + k, " ".join(shared + [word() for _ in range(rng.randrange(7, 14))])) for k in range(40)]
+    agrees(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One TWO"), (5, "one two"), (6, "one two three"), (8, "x y z w v u " * 9000), (9, "X y z w v u " * 9000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bands", F.lit(1)).withColumn("u", F.lit("a"))
