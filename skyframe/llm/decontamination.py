@@ -1,18 +1,18 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is the hash of the words that a fixed mask selects from ``SPAN`` consecutive words; the words it leaves out may
-differ. Benchmark items give seeds at every position; training texts at every ``STRIDE``-th, which still meets every
-alignment, since two texts that share a passage share it at all offsets. With these masks an overlap of 16 words is hit
-always with two words changed and in 97 of 100 cases with three. Equal seeds give a diagonal (document position
-minus item position), and around the hit the words of both texts are compared: a document is contaminated if, on some
-diagonal, ``OVERLAP`` consecutive positions (or the whole item, if shorter) agree in at least ``PERCENT`` per cent.
+A seed is the hash of the words that a fixed mask selects from consecutive words; the words it leaves out may differ.
+Benchmark items and training texts give seeds at every position. Equal seeds give a diagonal (document position minus
+item position), and around the hit the words of both texts are compared: a document is contaminated if, on some
+diagonal, ``OVERLAP`` consecutive positions (or the whole item, if shorter) agree in at least ``PERCENT`` per cent. The
+masks lose no such overlap: whichever words are changed, up to that share, a mask fits between them (the tests try all
+cases). Items of ``HARD`` lengths need one mask more, which texts are only searched with if there are such items.
 
 Everything is DataFrame expressions: words are split, hashed once, and selected from arrays. Seeds of items are broadcast only if a
 count shows that they are few; else seeds meet in a shuffled join. Items shorter than ``SPAN`` words are looked for as a
-whole, at every position, through a seed of their own length.
+whole and unchanged, at every position, through a seed of their own length.
 
 Defined cases: letters are compared in lower case and punctuation at the ends of a word is left out; null or empty texts and
-items match nothing; repeated rows are judged alike; rows with a null id are judged like others by their text; an empty
+items match nothing; items of equal words are found together; repeated rows are judged alike; rows with a null id are judged like others by their text; an empty
 table gives an empty result.
 """
 
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from skyframe.llm.common import SPACE_CLASS, read_table, small_side, unclash
 
-#: Fixed masks over SPAN consecutive words: 1 selects a word, 0 leaves it out.
-MASKS = ["11010011", "11101001", "10111001"]
-SPAN, STRIDE, OVERLAP, PERCENT, MAX_SEEDS = 8, 2, 16, 80, 200_000
+#: Fixed masks over SPAN consecutive words at most: 1 selects a word, 0 leaves it out. The last is for items of HARD lengths.
+MASKS = ["111011", "11111", "11010011"]
+HARD = [10, 11]
+SPAN, OVERLAP, PERCENT, MAX_SEEDS = 8, 16, 80, 200_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -39,11 +40,14 @@ def _seed(words: Column, at: Column, mask: str, k: int) -> Column:
     return F.xxhash64(F.lit(k), *[F.get(words, at + j) for j, bit in enumerate(mask) if bit == "1"])
 
 
-def _seeds(rows: DataFrame, stride: int, masks: list[str] = MASKS) -> Column:
-    """Array of (seed, position) of rows with ``words`` and ``n``."""
-    at = F.sequence(F.lit(0), F.col("n") - SPAN, F.lit(stride))
-    each = F.transform(at, lambda p: F.array(*[F.struct(_seed(F.col("words"), p, m, k).alias("seed"), p.alias("at")) for k, m in enumerate(masks)]))
-    return F.when(F.col("n") >= SPAN, F.flatten(each))
+def _seeds(masks: list[str]) -> Column:
+    """Array of (seed, position) of rows with ``words`` and ``n``, at every position where a mask fits."""
+
+    def of(k: int, mask: str) -> Column:
+        at = F.sequence(F.lit(0), F.col("n") - len(mask))
+        return F.transform(at, lambda p: F.struct(_seed(F.col("words"), p, mask, k).alias("seed"), p.alias("at")))
+
+    return F.when(F.col("n") >= SPAN, F.concat(*[of(k, m) for k, m in enumerate(masks)]))
 
 
 def _agreement(doc: Column, item: Column, low: Column, size: Column, diagonal: Column) -> Column:
@@ -60,14 +64,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, max_seeds: int = M
 
     ``docs`` needs doc_key and text.
     """
-    items = unclash(benchmark, ["item_id", "text"]).select("item_id", word_hashes(F.col("text")).alias("item"))
-    items = items.withColumn("m", F.size("item")).where("m > 0").dropDuplicates(["item"])
+    named = unclash(benchmark, ["item_id", "text"]).select("item_id", word_hashes(F.col("text")).alias("item"))
+    named = named.withColumn("m", F.size("item")).where("m > 0").withColumn("item_key", F.struct(F.xxhash64("item"), F.hash("item")))
+    items = named.select("item_key", "item", "m").dropDuplicates(["item_key"])
     texts = docs.select("doc_key", word_hashes(F.col("text")).alias("words")).withColumn("n", F.size("words"))
 
-    long_items = items.where(F.col("m") >= SPAN)
-    item_rows = long_items.select("item_id", "item", F.col("item").alias("words"), F.col("m").alias("n"))
-    item_seeds = item_rows.select("item_id", "item", F.explode(_seeds(item_rows, 1)).alias("s")).select("item_id", "item", "s.seed", F.col("s.at").alias("item_at"))
-    doc_seeds = texts.select("doc_key", "words", F.explode(_seeds(texts, STRIDE)).alias("s"))
+    lengths = [r[0] for r in items.where(F.col("m") < OVERLAP).select("m").distinct().collect()]  # fewer than OVERLAP values
+    hard = F.col("n").isin(HARD)
+    item_rows = items.where(F.col("m") >= SPAN).select("item_key", "item", F.col("item").alias("words"), F.col("m").alias("n"))
+    item_seeds = item_rows.select("item_key", "item", F.explode(F.when(hard, _seeds(MASKS)).otherwise(_seeds(MASKS[:2]))).alias("s")).select("item_key", "item", "s.seed", F.col("s.at").alias("item_at"))
+    doc_seeds = texts.select("doc_key", "words", F.explode(_seeds(MASKS if set(HARD) & set(lengths) else MASKS[:2])).alias("s"))
 
     few = item_seeds.limit(max_seeds + 1).count() <= max_seeds
     if few:
@@ -75,21 +81,20 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, max_seeds: int = M
         hits = doc_seeds.select("doc_key", "words", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")).join(F.broadcast(item_seeds), "seed")
     else:
         met = doc_seeds.select("doc_key", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")).join(item_seeds.drop("item"), "seed").drop("seed").distinct()
-        hits = met.join(texts.select("doc_key", "words"), "doc_key").join(items.select("item_id", "item"), "item_id")
+        hits = met.join(texts.select("doc_key", "words"), "doc_key").join(items.select("item_key", "item"), "item_key")
     diagonal, size = F.col("at") - F.col("item_at"), F.least(F.size("item"), F.lit(OVERLAP))
-    # The seed's middle stands for the hit: every window that could make the overlap is tried around it.
-    scored = hits.select("doc_key", "item_id", _agreement(F.col("words"), F.col("item"), F.col("item_at") + SPAN // 2, size, diagonal).alias("agreeing"), size.alias("_size"))
-    found = scored.where(100 * F.col("agreeing") >= PERCENT * F.col("_size")).groupBy("doc_key", "item_id").agg(F.max("agreeing").alias("agreeing"))
+    # A place inside every mask stands for the hit: every window that could make the overlap is tried around it.
+    scored = hits.select("doc_key", "item_key", _agreement(F.col("words"), F.col("item"), F.col("item_at") + SPAN // 2, size, diagonal).alias("agreeing"), size.alias("_size"))
+    found = scored.where(100 * F.col("agreeing") >= PERCENT * F.col("_size")).groupBy("doc_key", "item_key").agg(F.max("agreeing").alias("agreeing"))
 
-    short = items.where(F.col("m") < SPAN).select("item_id", "m", F.xxhash64("item").alias("whole"))
-    lengths = [r[0] for r in short.select("m").distinct().collect()]  # fewer than SPAN values
-    for m in lengths:
+    short = items.where(F.col("m") < SPAN).select("item_key", "m", F.xxhash64("item").alias("whole"))
+    for m in [m for m in lengths if m < SPAN]:
         whole_at = lambda p: F.xxhash64(F.slice(F.col("words"), p + 1, m))  # noqa: B023, E731
         places = F.when(F.col("n") >= m, F.sequence(F.lit(0), F.col("n") - m))
         wholes = texts.select("doc_key", F.explode(F.array_distinct(F.transform(places, whole_at))).alias("whole"))
-        own = short.where(F.col("m") == m).select("item_id", "whole")
-        found = found.unionByName(wholes.join(small_side(own), "whole").select("doc_key", "item_id", F.lit(m).alias("agreeing")).distinct())
-    return found
+        own = short.where(F.col("m") == m).select("item_key", "whole")
+        found = found.unionByName(wholes.join(small_side(own), "whole").select("doc_key", "item_key", F.lit(m).alias("agreeing")).distinct())
+    return found.join(small_side(named.select("item_key", "item_id")), "item_key").groupBy("doc_key", "item_id").agg(F.max("agreeing").alias("agreeing"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

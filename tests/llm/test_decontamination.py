@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import string
@@ -67,6 +68,36 @@ def test_substitutions(spark):
         assert hit <= all_ and len(hit) >= 0.97 * len(all_) and (2000, 2) in hit
 
 
+def test_masks_lose_nothing():
+    """Every overlap of 8 to 16 words with up to 20 per cent of them changed leaves room for a mask."""
+    for m in range(d.SPAN, d.OVERLAP + 1):
+        masks = d.MASKS if m in d.HARD else d.MASKS[:2]
+        places = [{at + j for j, bit in enumerate(k) if bit == "1"} for k in masks for at in range(m - len(k) + 1)]
+        for changed in itertools.combinations(range(m), m * (100 - d.PERCENT) // 100):
+            assert any(p.isdisjoint(changed) for p in places), (m, changed)
+
+
+def test_short_items_at_both_parities(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs, items = [], []
+    for m in range(8, 17):
+        item = [word() for _ in range(m)]
+        items += [(m, " ".join(item)), (100 + m, " ".join(item).upper())]
+        for k in range(24):
+            part = list(item)
+            for p in rng.sample(range(m), k % (m // 5 + 2)):
+                part[p] = word()
+            docs.append((1000 * m + k, " ".join([word() for _ in range(k)] + part + [word() for _ in range(k // 2 % 3)])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, i) for k, v in brute(docs, items).items() for i in v}
+    for limit in (d.MAX_SEEDS, 3):
+        found = d.contaminated_pairs(frames[0].withColumnRenamed("doc_id", "doc_key"), frames[1], limit).collect()
+        assert {(r["doc_key"], r["item_id"]) for r in found} == want
+    rows = d.decontaminate(*frames).collect()
+    assert {(r["doc_id"], i) for r in rows for i in r["item_ids"] or []} == want and all(r["n_items"] in (0, 2) for r in rows)
+
+
 def test_odd_rows(spark):
     item = " ".join(f"w{k}" for k in range(20))
     docs = spark.createDataFrame([(1, None), (2, ""), (None, item), (3, item), (3, item), (4, "x " * 50_000)], "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("n", F.lit(1))
