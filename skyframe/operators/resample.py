@@ -12,12 +12,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyframe.operators.checks import ValidationError
 
 MAX_CELLS = 100_000
+#: Replicates of a group that one call draws.
+BLOCK = 500
 
 
 def _cells(df: DataFrame, columns: list[str]) -> pd.DataFrame:
@@ -57,13 +60,47 @@ def bootstrap_ci(df: DataFrame, score: str, replicates: int = 10_000, seed: int
     return _interval(reps, ["mean"], {"mean": float(p @ values)}, {"n": n})
 
 
+def _grouped(df: DataFrame, columns: list[str], by: str, replicates: int, seed: int, draw: Callable[[np.ndarray, list[np.ndarray]], dict[str, float]], names: list[str], empty: bool) -> DataFrame:
+    """Per group: ``n``, and for each name the value of the cells (``name``) and its two quantiles (``_name``), besides all replicates' ``delta <= 0`` if there is a delta.
+
+    Cells of all groups are counted at once; tasks get the cells of a group and a block of replicates. Rows with a null
+    among the columns count only as members of their group; a group without other rows has zeros, or is an error unless ``empty``.
+    """
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(f"`{c}`").isNotNull()
+    cells = df.select(F.col(by).alias("_by"), *[F.when(known, F.col(f"`{c}`")).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
+    cells = cells.groupBy(*cells.columns).agg(F.count("*").alias("_n"))
+    per = cells.groupBy("_by").agg(F.count("_x0").alias("k")).agg(F.min("k"), F.max("k")).first()
+    if per[1] is not None and per[1] > MAX_CELLS:
+        raise ValidationError(f"more than {MAX_CELLS} distinct cells; round the scores or use poisson_ci")
+    if per[0] == 0 and not empty:
+        raise ValidationError("no pairs")
+
+    def run(table: pa.Table) -> pa.Table:
+        first, group = table["_first"][0].as_py(), table["_by"].slice(0, 1).combine_chunks()
+        rows = table.select([c for c in table.column_names if c not in ("_by", "_first")]).to_pandas().dropna().sort_values([f"_x{k}" for k in range(len(columns))])
+        n, values = int(rows["_n"].sum()), [rows[f"_x{k}"].to_numpy(float) for k in range(len(columns))]
+        p = rows["_n"].to_numpy() / max(n, 1)
+        size = min(BLOCK, replicates - first)
+        each = [draw(np.random.default_rng([seed, r]).multinomial(n, p) / n, values) if n else dict.fromkeys(names, 0.0) for r in range(first, first + size)]
+        points = draw(p, values) if n else dict.fromkeys(names, 0.0)
+        out = {"_by": group.take(pa.array([0] * size)), "n": pa.array([n] * size, pa.int64())}
+        out |= {c: pa.array([points[c]] * size, pa.float64()) for c in names}
+        return pa.table(out | {f"_{c}": pa.array([float(e[c]) for e in each], pa.float64()) for c in names})
+
+    blocks = cells.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))))
+    kind = cells.schema["_by"].dataType.simpleString()
+    reps = blocks.groupBy("_by", "_first").applyInArrow(run, ", ".join([f"_by {kind}", "n long", *[f"`{c}` double" for c in names], *[f"`_{c}` double" for c in names]]))
+    q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
+    gains = [F.avg((F.col("_delta") <= 0).cast("int")).alias("p_value")] if "delta" in names else []
+    return reps.groupBy("_by").agg(F.max("n").cast("int").alias("n"), *[F.max(c).alias(c) for c in names], *[q(f"_{c}").alias(f"_{c}") for c in names], *gains)
+
+
 def bootstrap_by(df: DataFrame, score: str, by: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    """Interval of the mean score in each group (a few groups)."""
-    out = None
-    for (group,) in df.select(by).distinct().orderBy(by).limit(1000).collect():
-        one = bootstrap_ci(df.where(F.col(by).eqNullSafe(F.lit(group))), score, replicates, seed).withColumn(by, F.lit(group))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Interval of the mean score in each group."""
+    out = _grouped(df, [score], by, replicates, seed, lambda w, v: {"mean": float(w @ v[0])}, ["mean"], True)
+    return out.select(F.lit("mean").alias("metric"), F.col("mean").alias("value"), F.get("_mean", F.lit(0)).alias("low"), F.get("_mean", F.lit(1)).alias("high"), "n", F.col("_by").alias(by))
 
 
 def poisson_ci(df: DataFrame, score: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -129,11 +166,12 @@ def paired_bootstrap(df: DataFrame, base: str, treatment: str, replicates: int =
 
 
 def paired_bootstrap_by(df: DataFrame, base: str, treatment: str, by: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    out = None
-    for (group,) in df.select(by).distinct().orderBy(by).limit(1000).collect():
-        one = paired_bootstrap(df.where(F.col(by).eqNullSafe(F.lit(group))), base, treatment, replicates, seed).withColumn(by, F.lit(group))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """:func:`paired_bootstrap` of each group."""
+    names = ["base", "treatment", "delta"]
+    draw = lambda w, v: {"base": float(w @ v[0]), "treatment": float(w @ v[1]), "delta": float(w @ (v[1] - v[0]))}
+    out = _grouped(df, [base, treatment], by, replicates, seed, draw, names, False)
+    cols = [x for c in names for x in (F.col(c), F.get(f"_{c}", F.lit(0)).alias(f"{c}_low"), F.get(f"_{c}", F.lit(1)).alias(f"{c}_high"))]
+    return out.select(*cols, "p_value", "n", F.col("_by").alias(by))
 
 
 def compare_all(scores: DataFrame, target: str, key: str = "sample_id", replicates: int = 10_000, seed: int = 42) -> DataFrame:

@@ -251,3 +251,20 @@ def test_crossmatch_result_does_not_depend_on_layout(spark):
     b = a.withColumn("object_id", F.concat(F.lit("b"), "object_id")).withColumn("dec", F.col("dec") * 0.9999999)
     same = [sorted(map(str, joins.crossmatch(x, y, 2.0).collect())) for x, y in ((a, b), (a.repartition(9), b.coalesce(1)))]
     assert same[0] == same[1]
+
+
+def test_bootstrap_of_many_groups(spark):
+    rows = [(f"m{g:04d}", "t", str(k), float((g * 7 + k * k) % 5)) for g in range(1100) for k in range(4)]
+    scores = spark.createDataFrame(rows, "model string, task string, sample_id string, score double")
+    own = scores.where("model = 'm1090'")
+    by = {r["model"]: r for r in resample.bootstrap_by(scores, "score", "model", 20).collect()}
+    one = resample.bootstrap_ci(own, "score", 20).first()
+    assert len(by) == 1100 and all(abs(by["m1090"][c] - one[c]) < 1e-9 for c in ("value", "low", "high", "n"))
+    pairs = {r["model"]: r for r in resample.compare_all(scores, "m0000", replicates=20).collect()}
+    target = scores.where("model = 'm0000'").select("sample_id", F.col("score").alias("target"))
+    one = resample.paired_bootstrap(own.join(target, "sample_id"), "score", "target", 20).first()
+    assert len(pairs) == 1099 and all(abs(pairs["m1090"][c] - one[c]) < 1e-9 for c in one.asDict())
+    odd = spark.createDataFrame([(None, 1.0), (7, None), (8, 2.0), (8, 4.0)], "g long, s double")
+    assert sorted((str(r["g"]), r["value"], r["n"]) for r in resample.bootstrap_by(odd, "s", "g", 20).collect()) == [("7", 0.0, 0), ("8", 3.0, 2), ("None", 1.0, 1)]
+    with pytest.raises(checks.ValidationError):
+        resample.paired_bootstrap_by(odd, "s", "s", "g", 20)
