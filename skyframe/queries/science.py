@@ -339,7 +339,7 @@ def k2(embeddings: DataFrame) -> DataFrame:
 # --- captions -----------------------------------------------------------------------------------------------------------
 
 VOCABULARY = {"image": ["the ", "le "], "spectra": ["tion", "cion"], "lightcurve": ["die ", "los "]}
-INPUTS["prose"] = "SELECT doc_id, lower(substring(replace(text, chr(10), ' '), 1, 400)) AS text, lang, source FROM {documents}"
+INPUTS["prose"] = "SELECT doc_id, lower(replace(text, chr(10), ' ')) AS text, lang, source FROM {documents}"
 SENT = "SELECT doc_id, source, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda s : trim(s)), lambda s : s <> '')) AS s, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda s : trim(s)), lambda s : s <> ''), 1) - 1 AS i FROM {prose}".replace("\x01", "¦")
 CLAIMS = f"""s AS ({SENT}), c AS (SELECT doc_id, source, CAST(i AS INT) AS i, s, concat_ws('+', CASE WHEN contains(s, 'the ') OR contains(s, 'le ') THEN 'image' END, CASE WHEN contains(s, 'die ') OR contains(s, 'los ') THEN 'lightcurve' END, CASE WHEN doc_id % 4 <> 0 AND (contains(s, 'tion') OR contains(s, 'cion')) THEN 'spectra' END) AS support FROM s)"""
 

@@ -268,3 +268,11 @@ def test_bootstrap_of_many_groups(spark):
     assert sorted((str(r["g"]), r["value"], r["n"]) for r in resample.bootstrap_by(odd, "s", "g", 20).collect()) == [("7", 0.0, 0), ("8", 3.0, 2), ("None", 1.0, 1)]
     with pytest.raises(checks.ValidationError):
         resample.paired_bootstrap_by(odd, "s", "s", "g", 20)
+
+
+def test_prose_holds_whole_texts(spark, sf):
+    from skyframe import registry
+
+    docs = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.length("text")).collect())
+    prose = dict(registry.base.frame(spark, sf, "prose").select("doc_id", F.length("text")).collect())
+    assert prose == docs and max(n or 0 for n in docs.values()) > 400
