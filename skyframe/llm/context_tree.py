@@ -6,41 +6,41 @@ Krichevsky-Trofimov estimate from its counts of zeros and ones; the weighted pro
 estimate plus half the product of its children's, so all depths are mixed, and the code length of a byte given the
 training counts is the sum over its decisions of the mixed estimate along its path. Nodes never seen give one half.
 
-At scale. One pass counts words and (context, byte) runs of training documents, pre-aggregated in numpy and summed by
-Spark. Trees are built by partitions of the last two context bytes, bottom-up for the weights and, once the two top
-levels are known (at most 255 decisions for each of 257 contexts), top-down for the mixed estimates. The model
-is a table in the shared folder. Scorers read it in blocks of bounded size by the last two context bytes, so memory stays fixed
-however large the table grows; a model that fits one block needs one pass over the documents.
-
-Base score. Frequent training words (``TOP_WORDS``, a bounded table) are looked up where texts are read; all others meet
-their counts in a shuffled join.
-
-Defined cases: a null text counts as empty; an empty text has its end token only; a document with a null id is trained
-on; rows that are repeated are scored alike and each keeps a row; without training documents every byte costs eight bits and the
-base score is 0; an empty table gives an empty result.
+At scale. Texts are dealt into units of bounded size where they are read; a unit's distinct words and (context, byte) runs
+are its lookups, with their counts in training documents (0 in the others). Counts are summed over units. Trees are
+built from runs with the same last ``SPLIT`` context bytes, bottom-up; the levels above are aggregates, and the way down
+is one join a level. So every run that any text has gets its log probability, also those without a training count: their
+nodes weigh nothing and change no other. Lookups meet these values in a join on the run, go back to their unit, and the
+unit's texts are scored behind them. Each text is read twice however large the model is, a task holds one unit's table
+or one group of runs, and the rows that share a key are one a unit at most.
+
+Defined cases: a null text counts as empty; an empty text has its end token only; a document with a null id is scored and
+trained on like others; repeated rows are scored alike and each keeps a row; a null condition counts as false; without
+training documents every byte costs eight bits and the base score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import fresh_path, read_table, stored, unclash
+from skyframe.llm.common import read_table, stored, unclash
 from skyframe.llm.textkernel import Words, chunks
 
-DEPTH, TOP_WORDS, BLOCK_NODES = 5, 1 << 18, 1 << 24
+DEPTH, SPLIT = 5, 3
+#: A unit of texts ends with its task, or where it has so many distinct runs and words or so many bytes.
+UNIT_KEYS, UNIT_BYTES = 1 << 21, 1 << 28
+#: Runs that are made into trees together, unless one context of SPLIT bytes alone has more.
+GROUP_ROWS = 1 << 17
 END = 10
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-WORD, GRAM = 0, 1
 
 
 def canonical(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -77,35 +77,75 @@ def gram_keys(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key[keep], begins - DEPTH * np.arange(len(begins))
 
 
-def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {WORD: [], GRAM: []}
-    size = {WORD: 0, GRAM: 0}
-
-    def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-        keys, inverse = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(inverse, weights=counts).astype(np.int64)
-
-    def batch(kind: int) -> pa.RecordBatch:
-        keys, counts = merged(kind)
-        held[kind], size[kind] = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts)], ["kind", "key", "n"])
-
-    for one in batches:
-        for _, _, data, offsets in chunks(one.column(0)):
-            words = Words(data, offsets)
-            for kind, keys in ((WORD, words.hashes(lower=True)), (GRAM, gram_keys(*canonical(words))[0])):
-                keys, counts = np.unique(keys, return_counts=True)
-                held[kind].append((keys, counts))
-                size[kind] += len(keys)
-                if size[kind] > 3_000_000:
-                    keys, counts = merged(kind)
-                    held[kind], size[kind] = [(keys, counts)], len(keys)
-                    if size[kind] > 1_500_000:
-                        yield batch(kind)
-    for kind in held:
-        if held[kind]:
-            yield batch(kind)
+def word_keys(words: Words) -> np.ndarray:
+    """Hashes of words, with the highest bit set: runs of bytes don't have it."""
+    return (words.hashes(lower=True) >> _U(1)) | _U(1 << 63)
+
+
+class Tally:
+    """Distinct keys with their counts, merged whenever as many again have come in."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.held, self.waiting = np.empty(0, _U), np.empty(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, training: bool) -> None:
+        found, counts = np.unique(keys, return_counts=True)
+        self.held.append((found, counts if training else np.zeros(len(found), np.int64)))
+        self.waiting += len(found)
+        if self.waiting > max(500_000, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *[k for k, _ in self.held]])
+        counts = np.concatenate([self.counts, *[n for _, n in self.held]])
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
+        self.keys, self.counts = keys[fresh], np.add.reduceat(counts, fresh) if len(keys) else counts
+        self.held, self.waiting = [], 0
+
+
+_UNIT_NAMES = ["unit", "doc_id", "held_out", "text", "keys", "counts"]
+_UNIT_KINDS = "unit long, doc_id long, held_out boolean, text string, keys array<long>, counts array<long>"
+
+
+def _unit_batches(unit_keys: int):
+    """The documents with the number of their unit, and behind them the unit's keys and counts in lists."""
+
+    def lists(unit: int, tally: Tally) -> Iterator[pa.RecordBatch]:
+        tally.merge()
+        for k in range(0, len(tally.keys), 1 << 18):
+            keys, counts = tally.keys[k : k + (1 << 18)].view(np.int64), tally.counts[k : k + (1 << 18)]
+            offsets = pa.array(np.append(np.arange(0, len(keys), 4096), len(keys)).astype(np.int32))
+            n = len(offsets) - 1
+            none = [pa.nulls(n, kind) for kind in (pa.int64(), pa.bool_(), pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), *none, pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.ListArray.from_arrays(offsets, pa.array(counts))], _UNIT_NAMES)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, tally, size = uuid.uuid4().int >> 65, Tally(), 0
+        for one in batches:
+            held_out = one.column(1).to_numpy(zero_copy_only=False)
+            for start, end, data, offsets in chunks(one.column(2)):
+                words = Words(data, offsets)
+                scored, begins = canonical(words)
+                grams, firsts = gram_keys(scored, begins)
+                held = held_out[start:end]
+                of_words, of_grams = np.repeat(held, np.diff(words.bounds)), np.repeat(held, np.diff(firsts))
+                every = word_keys(words)
+                for out in (False, True):
+                    if (held == out).any():
+                        tally.add(np.concatenate([every[of_words == out], grams[of_grams == out]]), not out)
+                size += len(data)
+            n = one.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), *one.columns, *[pa.nulls(n, pa.list_(pa.int64()))] * 2], _UNIT_NAMES)
+            if size >= UNIT_BYTES or len(tally.keys) + tally.waiting >= unit_keys:
+                tally.merge()
+                if size >= UNIT_BYTES or len(tally.keys) >= unit_keys:
+                    yield from lists(unit, tally)
+                    unit, tally, size = uuid.uuid4().int >> 65, Tally(), 0
+        yield from lists(unit, tally)
+
+    return run
 
 
 # --- the weighted trees -------------------------------------------------------------------------------------------------
@@ -169,75 +209,101 @@ def build_levels(keys: np.ndarray, counts: np.ndarray, top: int) -> list[Level]:
     return levels
 
 
-def tag(depth: int, nodes: np.ndarray) -> np.ndarray:
-    return nodes | _U((depth + 1) << 56)
-
-
-def _read_batches(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [], []
-    for b in batches:
-        keys.append(b.column(0).to_numpy().view(np.uint64))
-        counts.append(b.column(1).to_numpy())
-    return (np.concatenate(keys), np.concatenate(counts).astype(float)) if keys else (np.empty(0, _U), np.empty(0))
-
-
-def _depth_two(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = _read_batches(batches)
-    if len(keys):
-        low = build_levels(keys, counts, 2)[0]
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``part``, several whole parts at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < GROUP_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        part = table["part"].to_numpy()
+        cut = int(np.searchsorted(part, part[-1]))
+        if cut:
+            yield table.slice(0, cut)
+            held, n = table.slice(cut).to_batches(), len(part) - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _weigh_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of depth SPLIT with their counts and log weighted probability."""
+    for table in _groups(batches):
+        low = build_levels(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float), SPLIT)[0]
         yield pa.RecordBatch.from_arrays([pa.array(low.nodes.view(np.int64)), pa.array(low.zeros), pa.array(low.ones), pa.array(low.weighted)], ["node", "zeros", "ones", "weighted"])
 
 
-def _mixed(top_nodes: np.ndarray, top_sure: np.ndarray, top_rest: np.ndarray):
-    """Rows of the model: nodes with their probability of a one, and whole bytes with their log10 probability."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _read_batches(batches)
-        if not len(keys):
-            return
-        above, sure, rest = top_nodes, top_sure, top_rest
-        for level in build_levels(keys, counts, 2):
+def _value_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """log10 probability of each run, from the mixture at depth SPLIT (rows with ``sure``) and the runs below it."""
+    for table in _groups(batches):
+        key, sure = table["key"].to_numpy().view(np.uint64), table["sure"].to_numpy()
+        run = np.isnan(sure)
+        order = np.flatnonzero(~run)[np.argsort(key[~run])]
+        above, sure, rest = key[order], sure[order], table["rest"].to_numpy()[order]
+        keys, counts = key[run], table["n"].to_numpy()[run].astype(float)
+        for level in build_levels(keys, counts, SPLIT + 1):
             up = parents(level.nodes, level.depth, above)
             sure, rest = level.mix(sure[up], rest[up], level.depth == DEPTH)
             above = level.nodes
-            yield pa.RecordBatch.from_arrays([pa.array(tag(level.depth, level.nodes).view(np.int64)), pa.array((sure + rest / 2).astype(np.float32))], ["key", "value"])
         byte, total = keys & _U(255), np.zeros(len(keys))
         for b in range(8):
             q = sure[np.searchsorted(above, ((keys >> _U(8)) << _U(8)) | _U(1 << b) | (byte >> _U(8 - b)))]
             total += np.log10(np.where((byte >> _U(7 - b)) & _U(1), q, 1 - q))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total.astype(np.float32))], ["key", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], ["key", "value"])
+
+
+def _log_gamma(x: Column) -> Column:
+    """:func:`log_gamma` as an expression."""
+    y, product = x + 8, x
+    for k in range(1, 8):
+        product = product * (x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * float(np.log(2 * np.pi)) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - F.log(product)
+
+
+def _own() -> Column:
+    zeros, ones = F.col("zeros"), F.col("ones")
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - float(np.log(np.pi))
+
+
+def _parent(depth: int) -> Column:
+    """The node one context byte shorter than ``node`` of a depth."""
+    return F.shiftleft(F.shiftright("node", 8).bitwiseAND((1 << (8 * (depth - 1))) - 1), 8).bitwiseOR(F.col("node").bitwiseAND(255))
 
-    return run
 
+def _weigh_above(level: DataFrame, depth: int) -> DataFrame:
+    """The level above one of a depth. A node has 256 children at most."""
+    sums = level.groupBy(_parent(depth).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("_below"))
+    own = sums.withColumn("_own", _own())
+    both = F.greatest("_own", "_below") + F.log1p(F.exp(-F.abs(F.col("_own") - F.col("_below"))))
+    return own.select("node", "zeros", "ones", (both + float(np.log(0.5))).alias("weighted"))
 
-def build_model(grams: DataFrame, path: str, block_nodes: int = BLOCK_NODES) -> int:
-    """Write the model for gram counts (key, n) below ``path`` by block; returns the number of blocks."""
-    spark = grams.sparkSession
-    pair = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
-    dealt = grams.select("key", "n").repartition(pair)
-    # At most 255 decisions for each of 65,536 contexts of two bytes, whatever the corpus.
-    low = dealt.mapInArrow(_depth_two, "node long, zeros double, ones double, weighted double").orderBy("node").toArrow()
-    nodes = low["node"].to_numpy().view(np.uint64)
-    levels = [None, None, Level(2, nodes, low["zeros"].to_numpy(), low["ones"].to_numpy(), low["weighted"].to_numpy())]
-    for d in (1, 0):
-        key = (((nodes >> _U(8)) & _mask(d)) << _U(8)) | (nodes & _U(255))
-        own, inverse = np.unique(key, return_inverse=True)
-        levels[d] = Level(d, own, np.bincount(inverse, weights=levels[2].zeros, minlength=len(own)), np.bincount(inverse, weights=levels[2].ones, minlength=len(own)))
-        levels[d].weigh(levels[d + 1])
-    sure, rest = levels[0].mix(np.zeros(len(levels[0].nodes)), np.ones(len(levels[0].nodes)), False)
-    zero = (tag(0, levels[0].nodes), sure + rest / 2)
-    up = parents(levels[1].nodes, 1, levels[0].nodes)
-    sure, rest = levels[1].mix(sure[up], rest[up], False)
-    tops = np.concatenate([zero[0], tag(1, levels[1].nodes)]), np.concatenate([zero[1], sure + rest / 2])
-    size = grams.count() * 6  # about six nodes for each counted run
-    blocks = max(1, -(-size // block_nodes))
-    rows = dealt.mapInArrow(_mixed(levels[1].nodes, sure, rest), "key long, value float")
-    # Whole bytes have no tag; nodes carry their context one byte higher either way.
-    block = F.pmod(F.xxhash64(pair), F.lit(blocks)).cast("int")
-    rows.withColumn("block", block).write.partitionBy("block").parquet(path)
-    top_rows = pa.table({"key": tops[0].view(np.int64), "value": tops[1].astype(np.float32)})
-    spark.createDataFrame(top_rows).coalesce(1).write.parquet(f"{path}-top")
-    return blocks
+
+def _mix_below(above: DataFrame | None, level: DataFrame, depth: int) -> DataFrame:
+    """(node, sure, rest): the mixed probability of a one down to this depth, and the weight left for deeper nodes."""
+    stay = F.exp(float(np.log(0.5)) + _own() - F.col("weighted"))
+    rows = level.select("node", stay.alias("_stay"), ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("_one"))
+    if above is None:
+        return rows.select("node", (F.col("_stay") * F.col("_one")).alias("sure"), (1 - F.col("_stay")).alias("rest"))
+    joined = rows.withColumn("_up", _parent(depth)).join(above.select(F.col("node").alias("_up"), "sure", "rest"), "_up")
+    return joined.select("node", (F.col("sure") + F.col("rest") * F.col("_stay") * F.col("_one")).alias("sure"), (F.col("rest") * (1 - F.col("_stay"))).alias("rest"))
+
+
+def run_values(grams: DataFrame) -> DataFrame:
+    """(key, value): the log10 probability of each run of ``grams`` (key, n) by its byte, under the tree of all of them."""
+    part = lambda column: F.shiftright(column, 8).bitwiseAND((1 << (8 * SPLIT)) - 1).cast("int").alias("part")
+    rows = grams.select(part("key"), "key", "n")
+    levels = {SPLIT: stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_weigh_batches, "node long, zeros double, ones double, weighted double"), "tree-level")}
+    for depth in range(SPLIT, 0, -1):
+        above = _weigh_above(levels[depth], depth)
+        levels[depth - 1] = stored(above, "tree-level")
+    mixed = None
+    for depth in range(SPLIT + 1):
+        mixed = _mix_below(mixed, levels[depth], depth)
+    tops = mixed.select(part("node"), F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), "sure", "rest")
+    nan = F.lit(float("nan"))
+    both = tops.unionByName(rows.withColumn("sure", nan).withColumn("rest", nan))
+    return both.repartition("part").sortWithinPartitions("part").mapInArrow(_value_batches, "key long, value double")
 
 
 class Lookup:
@@ -262,8 +328,8 @@ class Lookup:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
 
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, found) of each key."""
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, 0 where there is none."""
         slot = self._slot(keys)
         found = self.used[slot] & (self.keys[slot] == keys)
         out = np.where(found, self.values[slot], 0)
@@ -273,138 +339,69 @@ class Lookup:
             hit = self.used[slot[left]] & (self.keys[slot[left]] == keys[left])
             out[left[hit]], found[left[hit]] = self.values[slot[left[hit]]], True
             left = left[~hit & self.used[slot[left]]]
-        return out, found
-
-
-class SortedTable:
-    """Keys to values by binary search: less memory than :class:`Lookup`, for the few bytes that it doesn't know."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        if not len(self.keys):
-            return np.zeros(len(keys)), np.zeros(len(keys), bool)
-        found = self.keys[at] == keys
-        return np.where(found, self.values[at], 0), found
-
-
-def _parquet(uri: str) -> pa.Table:
-    where, path = pafs.FileSystem.from_uri(uri)
-    files = [f.path for f in where.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-    parts = [t for t in (pq.read_table(f, filesystem=where, partitioning=None) for f in files) if t.num_rows]
-    return pa.concat_tables(parts) if parts else pa.table({"key": pa.array([], pa.int64()), "value": pa.array([], pa.float32())})
-
-
-@lru_cache(maxsize=1)
-def _block(path: str, block: int) -> tuple[Lookup, SortedTable]:
-    """(whole bytes, nodes) of a block of the model; one block is in memory at a time."""
-    table = pa.concat_tables([_parquet(f"{path}/block={block}"), _parquet(f"{path}-top")])
-    keys, values = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
-    node = keys >> _U(56) > 0
-    return Lookup(keys[~node], values[~node]), SortedTable(keys[node], values[node])
-
-
-@lru_cache(maxsize=1)
-def _top_words(uri: str) -> Lookup:
-    table = _parquet(uri)
-    return Lookup(table["key"].to_numpy().view(np.uint64), table["value"].to_numpy().astype(float))
-
-
-def log_probabilities(keys: np.ndarray, whole: Lookup, nodes: SortedTable) -> np.ndarray:
-    """log10 probability of each position's byte."""
-    out, found = whole.get(keys)
-    out = out.astype(float)
-    for i in range(0, len(missing := np.flatnonzero(~found)), 1 << 16):
-        at = missing[i : i + (1 << 16)]
-        some, byte, total = keys[at], keys[at] & _U(255), np.zeros(len(at))
-        for b in range(8):
-            q, open_ = np.full(len(at), 0.5), np.ones(len(at), bool)
-            for d in range(DEPTH, -1, -1):
-                rows = np.flatnonzero(open_)
-                if not len(rows):
-                    break
-                node = (((some[rows] >> _U(8)) & _mask(d)) << _U(8)) | _U(1 << b) | (byte[rows] >> _U(8 - b))
-                value, hit = nodes.get(tag(d, node))
-                q[rows[hit]] = value[hit]
-                open_[rows[hit]] = False
-            total += np.log10(np.where((byte >> _U(7 - b)) & _U(1), q, 1 - q))
-        out[at] = total
-    return out
-
-
-def _score_batches(model: str, block: int, blocks: int, block_of, words_uri: str, end_value: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _top_words(words_uri)
-        whole, nodes = _block(model, block)
-        for one in batches:
-            for start, end, data, offsets in chunks(one.column(2)):
-                words, docs = Words(data, offsets), end - start
-                scored, begins = canonical(words)
-                keys, firsts = gram_keys(scored, begins)
-                doc = np.repeat(np.arange(docs), np.diff(firsts))
-                if blocks > 1:
-                    own = block_of[((keys >> _U(8)) & _U(0xFFFF)).astype(np.int64)] == block
-                    keys, doc = keys[own], doc[own]
-                score = np.bincount(doc, weights=log_probabilities(keys, whole, nodes), minlength=docs).astype(float)
-                n_tokens = np.diff(words.bounds) + 1
-                hashes = words.hashes(lower=True)
-                word_doc = np.repeat(np.arange(docs), n_tokens - 1)
-                value, hit = top.get(hashes)
-                base = np.bincount(word_doc, weights=value, minlength=docs).astype(float) + end_value
-                known = np.bincount(word_doc[hit], minlength=docs) + (end_value > 0)
-                if block:  # the base belongs to the first block's pass
-                    base, known, hit = np.zeros(docs), np.zeros(docs, np.int64), np.ones(len(hit), bool)
-                rare = hashes[~hit].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(word_doc[~hit], minlength=docs))]).astype(np.int32)), pa.array(rare))
-                yield pa.RecordBatch.from_arrays([one.column(0).slice(start, docs), one.column(1).slice(start, docs), pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(firsts).astype(np.int64)), lists], ["doc_id", "print", "n_tokens", "known", "base", "score", "n_bytes", "rare"])
-
-    return run
-
-
-def score_documents(docs: DataFrame, held_out, top_words: int = TOP_WORDS, block_nodes: int = BLOCK_NODES) -> DataFrame:
+        return out
+
+
+def _score_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of documents; of each unit, all lookups come before its documents."""
+    current, held, table = None, [], None
+    for batch in batches:
+        units = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.append(True, units[1:] != units[:-1])) if len(units) else []
+        for a, b in zip(edges, [*edges[1:], len(units)], strict=True):
+            part = batch.slice(a, b - a)
+            if units[a] != current:
+                current, held, table = units[a], [], None
+            n = len(part) - part.column(1).null_count
+            if n:
+                held.append((part.column(1).slice(0, n).to_numpy().view(np.uint64), part.column(2).slice(0, n).to_numpy()))
+            if n == len(part):
+                continue
+            if table is None:
+                keys, values = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, _U), np.empty(0))
+                held, table = [], Lookup(keys, values)
+            docs = part.slice(n)
+            for start, end, data, offsets in chunks(docs.column(5)):
+                words, size = Words(data, offsets), end - start
+                keys, firsts = gram_keys(*canonical(words))
+                score = np.bincount(np.repeat(np.arange(size), np.diff(firsts)), weights=table.get(keys), minlength=size).astype(float)
+                of = np.repeat(np.arange(size), np.diff(words.bounds))
+                value = table.get(word_keys(words))
+                base, known = np.bincount(of, weights=value, minlength=size).astype(float), np.bincount(of[value > 0], minlength=size)
+                yield pa.RecordBatch.from_arrays([docs.column(3).slice(start, size), docs.column(4).slice(start, size), pa.array(np.diff(words.bounds).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(firsts).astype(np.int64))], ["doc_id", "held_out", "words", "known", "base", "score", "n_bytes"])
+
+
+def score_documents(docs: DataFrame, held_out: Column, unit_keys: int = UNIT_KEYS) -> DataFrame:
     """Scores of all documents by a model of those that ``held_out`` (a condition) leaves in.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte.
     """
     spark = docs.sparkSession
-    docs = unclash(docs, ["doc_id", "text"]).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    training = docs.where("NOT held_out")
-    counts = stored(training.select("text").mapInArrow(_count_batches, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words, grams = counts.where(f"kind = {WORD}").select("key", "n"), counts.where(f"kind = {GRAM}").select("key", "n")
-    n_docs = training.count()
-    seen = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    docs = unclash(docs, ["doc_id", "text"]).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    # The more text a unit has, the fewer lookups a text needs: four tasks' splits are read as one while all cores stay busy.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 4)
+    units = stored(docs.coalesce(tasks).mapInArrow(_unit_batches(unit_keys), _UNIT_KINDS), "units")
+    lookups = units.where("keys IS NOT NULL").select("unit", F.explode(F.arrays_zip("keys", "counts")).alias("k")).select("unit", F.col("k.keys").alias("key"), F.col("k.counts").alias("n"))
+    counts = stored(lookups.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    words = counts.where("key < 0")
+    texts = units.where("keys IS NULL").select("unit", "doc_id", "held_out", "text")
+    n_docs = texts.where("NOT held_out").count()
+    seen = words.agg(F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     tokens, distinct = seen["n"] + n_docs, seen["v"] + (n_docs > 0)
-    model, frequent = fresh_path(spark, "context-tree"), fresh_path(spark, "frequent-words")
-    blocks = build_model(grams, model, block_nodes) if n_docs else 1
-    # top_words rows at most, by the limit; every other word meets its count in the join below.
-    words.orderBy(F.desc("n"), "key").limit(top_words).select("key", F.log10(F.col("n") + 1).alias("value")).coalesce(1).write.parquet(frequent)
-    block_of = None
-    if blocks > 1:
-        at = spark.range(65536).select(F.pmod(F.xxhash64(F.col("id")), F.lit(blocks)).cast("int").alias("b"), "id").orderBy("id").toArrow()
-        block_of = at["b"].to_numpy()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
-    kinds = "doc_id long, print long, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>"
-    passes = [keyed.mapInArrow(_score_batches(model, b, blocks, block_of, frequent, float(np.log10(n_docs + 1))), kinds) for b in range(blocks)]
-    first = stored(passes[0], "scores")
-    scores = first.drop("rare")
-    if blocks > 1:
-        rest = passes[1]
-        for p in passes[2:]:
-            rest = rest.unionByName(p)
-        more = rest.dropDuplicates(["doc_id", "print", "score"]).groupBy(F.col("doc_id").alias("_d"), F.col("print").alias("_p")).agg(F.sum("score").alias("_more"))
-        scores = scores.join(more, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("print").eqNullSafe(F.col("_p")), "left").withColumn("score", F.col("score") + F.coalesce("_more", F.lit(0.0))).drop("_d", "_p", "_more")
-    rare = first.where("size(rare) > 0").select("doc_id", "print", "rare").dropDuplicates(["doc_id", "print"]).select("doc_id", "print", F.explode("rare").alias("key"))
-    found = rare.join(words, "key").groupBy(F.col("doc_id").alias("_d"), F.col("print").alias("_p")).agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("n") + 1)).alias("_base"))
-    out = scores.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("print").eqNullSafe(F.col("_p")), "left")
-    each = F.lit(float(np.log10(tokens + distinct + 1)))
-    base = F.col("base") + F.coalesce("_base", F.lit(0.0)) - each * F.col("n_tokens")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))
+
+    values = run_values(counts.where("key >= 0")).unionByName(words.select("key", F.log10(F.col("n") + 1).alias("value")))
+    found = lookups.select("unit", "key").join(values, "key").select("unit", "key", "value")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = found.select("unit", "key", "value", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
+    rows = rows.unionByName(texts.select("unit", none("long").alias("key"), none("double").alias("value"), "doc_id", "held_out", "text"))
+    dealt = rows.repartition("unit").sortWithinPartitions("unit", F.asc_nulls_last("key"))
+    out = dealt.mapInArrow(_score_batches, "doc_id long, held_out boolean, words long, known long, base double, score double, n_bytes long")
+    each, end = float(np.log10(tokens + distinct + 1)), float(np.log10(n_docs + 1))
+    n_tokens = F.col("words") + 1
+    return out.select("doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known") + F.lit(int(n_docs > 0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + end - each * n_tokens).alias("base_score"), "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     out = score_documents(read_table(spark, sf_dir, "documents"), held_out)
-    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

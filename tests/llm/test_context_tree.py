@@ -85,23 +85,39 @@ def test_log_gamma():
     assert np.allclose(c.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
 
 
-def test_against_brute_force(spark):
-    rows = [(k, t) for k, t in enumerate(["the cat sat on the mat", "The Cat ate", "", None, "a rat sat", "zebra é quick", "the cat"] * 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("key", F.lit("x"))
-    held = F.col("doc_id") % 3 == 2
-    train = [t for k, t in rows if k % 3 != 2]
+def check(spark, rows, unit_keys):
+    """Every row's figures against the textbook recursion."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("key", F.lit("x")).withColumn("unit", F.lit(2))
+    train = [t for k, t in rows if k is None or k % 3 != 2]
     brute = Brute(train, c.DEPTH)
     counts = Counter(w for t in train for w in [*canon(t).decode()[:-1].split(" "), None] if w != "")
     total, distinct = sum(counts.values()), len(counts)
-    for top, nodes in ((1 << 18, 1 << 24), (2, 100)):
-        out = {r["doc_id"]: r for r in c.score_documents(docs, held, top, nodes).collect()}
-        assert len(out) == len(rows)
-        for k, t in rows:
-            toks = [w for w in canon(t).decode()[:-1].split(" ") if w] + [None]
-            r = out[k]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(toks), sum(w in counts for w in toks), total)
-            assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in toks), rel_tol=1e-9)
-            assert math.isclose(r["score"], brute.score(t), rel_tol=1e-5), (t, r["score"], brute.score(t))
+    want = []
+    for k, t in rows:
+        toks = [w for w in canon(t).decode()[:-1].split(" ") if w] + [None]
+        want.append((k is None, k or 0, k is not None and k % 3 == 2, len(toks), sum(w in counts for w in toks), total, len(canon(t)), sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in toks), brute.score(t)))
+    out = c.score_documents(docs, F.expr(HELD), unit_keys).collect()
+    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["n_bytes"], r["base_score"], r["score"]) for r in out]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:7] == b[:7] and math.isclose(a[7], b[7], rel_tol=1e-9) and math.isclose(a[8], b[8], rel_tol=1e-7), (a, b)
+
+
+HELD = "doc_id % 3 = 2"
+FEW = ["the cat sat on the mat", "The Cat ate", "", None, "a rat sat", "zebra \u00e9 quick", "the cat"]
+
+
+def test_against_brute_force(spark):
+    rows = [(k, t) for k, t in enumerate(FEW * 2)]
+    for unit_keys in (1 << 21, 1):
+        check(spark, rows, unit_keys)
+
+
+def test_many_units_repeated_rows_null_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(c, "GROUP_ROWS", 50)
+    odd = ["\u00f8\u00f8", "\u00f8\u00f8\u00f8\u00f8", "\u00f8\u00f8", "aaaa", "q" * 3000, "the  cat\n" * 400]
+    rows = [(k, t) for k, t in enumerate([*FEW, *odd] * 3)] + [(None, "a null id"), (None, "a null id"), (None, None), (5, odd[0]), (5, odd[0]), (5, odd[0]), (5, "other"), (7, FEW[0]), (7, FEW[0])]
+    check(spark, rows, 40)
 
 
 def test_documents(spark):
@@ -117,6 +133,12 @@ def test_documents(spark):
     assert all(r["score"] < 0 and r["n_known"] <= r["n_tokens"] for r in rows)
 
 
+def test_expressions(spark):
+    x = [0.5, 1.0, 1.5, 7.5, 100.5, 1e6, 1e12]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(c._log_gamma(F.col("x")).alias("y")).collect()
+    assert np.allclose([r["y"] for r in got], [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+
+
 def test_no_training_and_empty(spark):
     docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = c.score_documents(docs, F.lit(True)).first()
