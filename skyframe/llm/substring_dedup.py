@@ -5,17 +5,19 @@ earlier document (one with a smaller doc_id). Windows are judged on the input, n
 
 Fingerprints. Every window has a least 10-word hash; consecutive windows with the same one form a run, about one run for
 21 words, and equal windows lie in runs with the same least hash, wherever they are. So the index holds runs instead of
-windows and still misses none: (least hash, hash of the run's whole span, a second check hash, document, first and last
-window).
+windows and still misses none: (least hash, digest of the words of the run's whole span, document, first and last
+window). Hashes only bring candidates together; equality is judged on the words themselves, by 128 bits of the SHA-256
+digest of the words joined by one space, computed from each text.
 
 Index. Each batch is written as an immutable table sorted by least hash; when ``fanout`` tables of a level are there,
-they are merged into one of the next level that keeps the earliest document of each span.
+they are merged into one of the next level that keeps the earliest document of each span. A corpus comes in ``BATCHES``
+batches, so that the later ones meet merged tables.
 
 Matching a batch against itself and the history, on the least hash:
 
-* runs with the same whole span (both hashes) as a run of an earlier document go entirely;
+* runs with the words of a whole run of an earlier document go entirely;
 * where spans with one least hash differ, as at the ends of a passage, the earliest document of each span is looked at
-  window by window: their windows are hashed from the texts and compared exactly.
+  window by window: their windows are read from the texts and compared by the digests of their words.
 
 Copies of one passage therefore cost one row a run and never meet each other in pairs; every step is a partial aggregate
 or an equi-join, and hot hashes are split by skew-aware joins.
@@ -27,6 +29,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -35,14 +38,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import fresh_path, read_table, small_side, stored, unclash
-from skyframe.llm.textkernel import Words, as_long, chunks, grams, mix, sliding_min, word_range_hashes
+from skyframe.llm.common import drop_stored, fresh_path, read_table, small_side, stored, unclash
+from skyframe.llm.textkernel import IS_SPACE, Words, as_long, chunks, grams, sliding_min
 
-WINDOW, GRAM = 50, 10
-RUN_SCHEMA = "least long, span long, check int, doc_id long, print long, first int, last int"
+WINDOW, GRAM, BATCHES, FANOUT = 50, 10, 3, 2
+RUN_SCHEMA = "least long, span long, check long, doc_id long, print long, first int, last int"
 SPAN = ["least", "span", "check"]
 
 
+class Digests:
+    """Digests of runs of words of a chunk, the words joined by one space."""
+
+    def __init__(self, words: Words):
+        kept = ~IS_SPACE[words.data]
+        inner = np.ones(len(words.ends), bool)
+        last = words.bounds[1:][np.diff(words.bounds) > 0] - 1
+        inner[last] = False  # the byte after a document's last word may be another document's
+        kept[words.ends[inner]] = True
+        joined = words.data.copy()
+        joined[words.ends[inner]] = 32
+        before = np.cumsum(kept) - kept
+        self.raw = memoryview(joined[kept])
+        self.starts = before[words.starts]
+        self.ends = self.starts + words.ends - words.starts
+
+    def of(self, firsts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Two longs for the words from each of ``firsts`` up to before ``ends``."""
+        digest, raw = hashlib.sha256, self.raw
+        found = b"".join([digest(raw[a:b]).digest()[:16] for a, b in zip(self.starts[firsts].tolist(), self.ends[ends - 1].tolist(), strict=True)])
+        both = np.frombuffer(found, "<i8").reshape(-1, 2)
+        return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
+
+
 def _run_batches(window: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,11 +87,10 @@ def _run_batches(window: int, gram: int):
                 closing = np.ones(len(least), bool)
                 closing[:-1] = ~inside[1:] | (least[1:] != least[:-1])
                 lasts = np.flatnonzero(inside & closing)
-                span = word_range_hashes(hashes, firsts, lasts + window)
-                check = word_range_hashes(mix(hashes ^ np.uint64(0x94D049BB133111EB)), firsts, lasts + window)
+                span, check = Digests(words).of(firsts, lasts + window)
                 rows = pa.array(doc[firsts] + start)
                 at = words.bounds[doc[firsts]]
-                yield pa.RecordBatch.from_arrays([as_long(least[firsts]), as_long(span), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((firsts - at).astype(np.int32)), pa.array((lasts - at).astype(np.int32))], ["least", "span", "check", "doc_id", "print", "first", "last"])
+                yield pa.RecordBatch.from_arrays([as_long(least[firsts]), span, check, batch.column(0).take(rows), batch.column(1).take(rows), pa.array((firsts - at).astype(np.int32)), pa.array((lasts - at).astype(np.int32))], ["least", "span", "check", "doc_id", "print", "first", "last"])
 
     return run
 
@@ -124,15 +150,13 @@ class FingerprintIndex:
 
 
 def _window_batches(window: int):
-    """Windows of the listed runs: (least, hash, document, window)."""
+    """Windows of the listed runs: (least, digest, document, window)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted, fresh = batch.column(2), batch.column(3)
             for start, end, data, offsets in chunks(batch.column(4)):
-                words = Words(data, offsets)
-                hashes = words.hashes()
-                out = []
+                words, out = Words(data, offsets), []
                 for k in range(start, end):
                     runs = wanted[k].values
                     leasts, firsts, lasts = (runs.field(i).to_numpy() for i in range(3))
@@ -140,9 +164,9 @@ def _window_batches(window: int):
                     at = np.repeat(firsts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                     out.append((np.full(len(at), k), np.repeat(leasts, sizes), at, at + words.bounds[k - start]))
                 rows, leasts, at, place = (np.concatenate(x) for x in zip(*out, strict=True))
-                found = word_range_hashes(hashes, place, place + window)
+                span, check = Digests(words).of(place, place + window)
                 rows = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(leasts), as_long(found), batch.column(0).take(rows), batch.column(1).take(rows), fresh.take(rows), pa.array(at.astype(np.int32))], ["least", "hash", "doc_id", "print", "fresh", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(leasts), span, check, batch.column(0).take(rows), batch.column(1).take(rows), fresh.take(rows), pa.array(at.astype(np.int32))], [*SPAN, "doc_id", "print", "fresh", "first"])
 
     return run
 
@@ -152,11 +176,12 @@ def repeated_runs(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, w
 
     ``texts`` must hold the texts of all documents in the index and in the batch.
     """
+    spark = batch.sparkSession
     history = index.read([p for _, p in index.tables()])
     own = index.read([index.add(window_runs(batch, window, gram))]).withColumn("fresh", F.lit(True))
     rows = own if history is None else own.unionByName(history.withColumn("fresh", F.lit(False)))
     shared = rows.groupBy("least").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("fresh").alias("fresh")).where("a <> b AND fresh")
-    rows = stored(rows.join(shared.select("least"), "least", "left_semi"), "shared-runs")
+    rows = shared_runs = stored(rows.join(shared.select("least"), "least", "left_semi"), "shared-runs")
     spans = rows.groupBy(*SPAN).agg(F.min("doc_id").alias("earliest"), F.max("fresh").alias("_any"))
     matched = stored(rows.join(spans.drop("_any"), SPAN), "matched-runs")
     whole = matched.where("fresh AND doc_id > earliest").select("doc_id", "print", "first", "last")
@@ -167,10 +192,13 @@ def repeated_runs(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, w
     ids = wanted.select("doc_id").distinct()
     some = _keyed(texts).join(small_side(ids), "doc_id", "left_semi")
     looked = wanted.join(some, ["doc_id", "print"]).select("doc_id", "print", "runs", "fresh", "text")
-    windows = stored(looked.mapInArrow(_window_batches(window), "least long, hash long, doc_id long, print long, fresh boolean, first int"), "windows")
-    earliest = windows.groupBy("least", "hash").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("least", "hash", "_a")
-    single = windows.where("fresh").join(earliest, ["least", "hash"]).where("doc_id > _a").select("doc_id", "print", "first", F.col("first").alias("last"))
-    return whole.unionByName(single)
+    windows = stored(looked.mapInArrow(_window_batches(window), "least long, span long, check long, doc_id long, print long, fresh boolean, first int"), "windows")
+    # Written, so that the join below has an exchange of its own on either side and its hot windows can be split.
+    earliest = stored(windows.groupBy(*SPAN).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select(*SPAN, "_a"), "earliest")
+    single = windows.where("fresh").join(earliest, SPAN).where("doc_id > _a").select("doc_id", "print", "first", F.col("first").alias("last"))
+    found = stored(whole.unionByName(single), "repeated-runs")
+    drop_stored(spark, shared_runs, matched, wanted, windows, earliest)
+    return found
 
 
 def _cut_batches(window: int, layout: bool):
@@ -221,7 +249,7 @@ def cut_documents(docs: DataFrame, repeated: DataFrame, window: int = WINDOW, la
     return joined.mapInArrow(_cut_batches(window, layout), kinds)
 
 
-def find_repeated(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = 4, index: FingerprintIndex | None = None) -> DataFrame:
+def find_repeated(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, index: FingerprintIndex | None = None) -> DataFrame:
     """Feed documents in ascending id order, in batches of about equal size, to an index; returns their repeated runs."""
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark, fanout=fanout)

@@ -66,6 +66,28 @@ def test_index_grows_and_compacts(spark):
     assert {n for n, _ in s.FingerprintIndex(spark, index.path).tables()} == {0, 2}
 
 
+def test_default_batches_meet_a_merged_table(spark):
+    text = " ".join(f"a{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"x{k} {text} y{k % 3}") for k in range(12)], "doc_id long, text string")
+    index = s.FingerprintIndex(spark, fanout=s.FANOUT)
+    out = s.cut_documents(docs, s.find_repeated(docs, index=index), layout=False).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out) == sorted(brute([tuple(r) for r in docs.collect()], 50))
+    assert {n for n, _ in index.tables()} == {0, 1}
+
+
+def test_digests_are_of_the_words():
+    import pyarrow as pa
+
+    texts = ["ab  c\nd", "e f", "", " g ", "h\u00e9 i"]
+    for _, _, data, offsets in s.chunks(pa.array(texts)):
+        words = s.Words(data, offsets)
+        every = [w for t in texts for w in t.split()]
+        spans = [(a, b) for d in range(len(texts)) for a in range(words.bounds[d], words.bounds[d + 1]) for b in range(a + 1, words.bounds[d + 1] + 1)]
+        one, two = s.Digests(words).of(*map(s.np.array, zip(*spans, strict=True)))
+        for (a, b), x, y in zip(spans, one.to_pylist(), two.to_pylist(), strict=True):
+            assert hashlib.sha256(" ".join(every[a:b]).encode()).digest()[:16] == x.to_bytes(8, "little", signed=True) + y.to_bytes(8, "little", signed=True)
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(1, None), (2, ""), (3, text), (4, "\n" + text + "  end\n"), (4, text + " other"), (None, text), (5, "a " * 70_000)]
