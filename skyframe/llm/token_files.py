@@ -1,13 +1,15 @@
 """Token ids in binary files: independent zstandard frames with a trailing seek table.
 
-A file holds consecutive documents in ascending doc_id order. Frame 0 lists them (validity bytes, then ids as 64-bit
-integers); every further frame is one document's token ids as little-endian unsigned 32-bit integers. The file ends with
+A file holds consecutive documents in ascending doc_id order. Each frame is one document's token ids as little-endian
+unsigned 32-bit integers; the last frame lists the documents (validity bytes, then ids as 64-bit integers). The file ends with
 a skippable frame that gives each frame's compressed size, size and xxHash64 checksum (low 32 bits), as in the public
 zstandard seekable format, so a reader finds, decompresses and checks just the documents asked for.
 
 Work: texts are encoded where they are read; only compressed frames are shuffled, to the file that their id falls in
 (bounds are quantiles of the id, so files are about equal); each task writes its files under names of its own, so a
-retried task leaves nothing wrong, and the manifest lists the files of the attempts that counted.
+retried task leaves nothing wrong, and the manifest lists the files of the attempts that counted. Frames are written as
+they come; a writer holds the sizes of one file's frames, and a file has ``docs_per_file`` documents, about. Files are
+read back by as many tasks as there are files.
 
 Defined cases: a null or empty text gives just the end id; null doc_ids come first; rows with equal doc_ids are all
 kept, ordered by length and checksum; an empty table gives no file and an empty result.
@@ -32,23 +34,35 @@ from skyframe.llm.bpe_tables import default_vocabulary
 from skyframe.llm.common import fresh_path, read_table, stored, unclash
 
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
-MAX_FILES = 4096
 
 
 def _checksum(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
 
 
-def write_file(uri: str, doc_ids: list[int | None], frames: list[tuple[bytes, int, int]], level: int = 3) -> None:
-    """Frames are (compressed, size, checksum)."""
-    where, path = pafs.FileSystem.from_uri(uri)
-    head = bytes(d is not None for d in doc_ids) + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-    frames = [(zstandard.ZstdCompressor(level=level).compress(head), len(head), _checksum(head)), *frames]
-    table = b"".join(struct.pack("<III", len(c), n, s) for c, n, s in frames)
-    with where.open_output_stream(path, compression=None) as out:
-        for c, _, _ in frames:
-            out.write(c)
-        out.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(frames), CHECKED, SEEKABLE))
+class TokenWriter:
+    """Writes one file frame by frame."""
+
+    def __init__(self, uri: str, level: int = 3):
+        where, path = pafs.FileSystem.from_uri(uri)
+        self.out, self.level = where.open_output_stream(path, compression=None), level
+        self.doc_ids: list[int | None] = []
+        self.table: list[bytes] = []
+
+    def add(self, doc_id: int | None, frame: bytes, size: int, checksum: int) -> None:
+        self.doc_ids.append(doc_id)
+        self._frame(frame, size, checksum)
+
+    def _frame(self, frame: bytes, size: int, checksum: int) -> None:
+        self.out.write(frame)
+        self.table.append(struct.pack("<III", len(frame), size, checksum))
+
+    def close(self) -> None:
+        names = bytes(d is not None for d in self.doc_ids) + np.array([d or 0 for d in self.doc_ids], "<i8").tobytes()
+        self._frame(zstandard.ZstdCompressor(level=self.level).compress(names), len(names), _checksum(names))
+        table = b"".join(self.table)
+        self.out.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(self.table), CHECKED, SEEKABLE))
+        self.out.close()
 
 
 class TokenFile:
@@ -63,10 +77,10 @@ class TokenFile:
             raise ValueError(f"{uri} has no seek table")
         self.table = np.frombuffer(self.file.read_at(12 * n, end - 9 - 12 * n), "<u4").reshape(n, 3)
         self.at = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
-        raw, docs = self.frame(0), n - 1
+        raw, docs = self.frame(n - 1), n - 1
         ids = np.frombuffer(raw[docs:], "<i8").tolist()
         self.doc_ids = [d if ok else None for d, ok in zip(ids, raw[:docs], strict=True)]
-        self.lengths = self.table[1:, 1] // 4
+        self.lengths = self.table[:-1, 1] // 4
 
     def frame(self, k: int) -> bytes:
         raw = zstandard.ZstdDecompressor().decompress(self.file.read_at(int(self.table[k, 0]), int(self.at[k])), max_output_size=int(self.table[k, 1]))
@@ -76,7 +90,7 @@ class TokenFile:
 
     def ids(self, position: int) -> np.ndarray:
         """Token ids of the document at a position of this file."""
-        return np.frombuffer(self.frame(position + 1), "<u4")
+        return np.frombuffer(self.frame(position), "<u4")
 
 
 def _encode(vocabulary: str, end_id: int, bounds: list[int], level: int):
@@ -105,23 +119,23 @@ def _encode(vocabulary: str, end_id: int, bounds: list[int], level: int):
 def _write(folder: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        part, ids, frames = None, [], []
+        part, file, uri, n_ids = None, None, "", 0
 
         def close():
-            uri = f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.ids.zst"
-            write_file(uri, ids, frames)
-            done.append((part, uri, len(ids), sum(f[1] // 4 for f in frames)))
+            file.close()
+            done.append((part, uri, len(file.doc_ids), n_ids))
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for doc, p, size, total, _, frame in zip(*cols, strict=True):
-                if p != part and ids:
-                    close()
-                    ids, frames = [], []
-                part = p
-                ids.append(doc)
-                frames.append((frame, size, total))
-        if ids:
+                if p != part:
+                    if file:
+                        close()
+                    uri = f"{folder}/part-{p:08d}-{uuid.uuid4().hex}.ids.zst"
+                    part, file, n_ids = p, TokenWriter(uri), 0
+                file.add(doc, frame, size, total)
+                n_ids += size // 4
+        if file:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "uri", "n_docs", "n_ids"])
 
@@ -132,7 +146,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     """Write token files; returns their manifest (part, uri, n_docs, n_ids, start), one row per file in doc_id order."""
     spark = docs.sparkSession
     docs = unclash(docs, ["doc_id", "text"])
-    files = min(MAX_FILES, docs.count() // docs_per_file + 1)
+    files = docs.count() // docs_per_file + 1
     cuts = [k / files for k in range(1, files)]
     bounds = sorted(set((docs.agg(F.percentile_approx("doc_id", cuts, 100 * files).alias("b")).first()["b"] if cuts else None) or []))
     folder = fresh_path(spark, "token-files")
@@ -140,16 +154,15 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     encoded = docs.mapInArrow(_encode(vocabulary or default_vocabulary(), end_id, bounds, level), "doc_id long, part int, size long, sum long, crc long, frame binary")
     dealt = encoded.repartition(files, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "size", "crc")
     manifest = stored(dealt.mapInArrow(_write(folder), "part int, uri string, n_docs long, n_ids long"), "token-manifest")
-    # One row per file, MAX_FILES at most.
+    # One row per file.
     return manifest.withColumn("start", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            file, crcs = TokenFile(uri), []
-            for k in range(len(file.doc_ids)):
-                crcs.append(zlib.crc32(file.ids(k).astype("<u4").tobytes()))
+            file = TokenFile(uri)
+            crcs = [zlib.crc32(file.ids(k)) for k in range(len(file.doc_ids))]
             n = file.lengths.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -157,7 +170,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the files."""
     files = manifest.select("uri", "start")
-    return files.repartition("uri").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # An explicit count, so that adaptive execution doesn't merge these few and small rows, each a whole file, into one task.
+    return files.repartition(max(1, min(manifest.count(), 20_000)), "uri").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

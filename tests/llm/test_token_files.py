@@ -59,13 +59,15 @@ def test_random_access_and_damage(tmp_path):
     import zstandard
 
     ids = [np.arange(k, dtype="<u4") for k in (3, 0, 50)]
-    frames = [(zstandard.ZstdCompressor().compress(x.tobytes()), x.nbytes, token_files._checksum(x.tobytes())) for x in ids]
     uri = f"file://{tmp_path}/f"
-    token_files.write_file(uri, [5, None, 7], frames)
+    out = token_files.TokenWriter(uri)
+    for doc, x in zip([5, None, 7], ids, strict=True):
+        out.add(doc, zstandard.ZstdCompressor().compress(x.tobytes()), x.nbytes, token_files._checksum(x.tobytes()))
+    out.close()
     file = token_files.TokenFile(uri)
     assert file.doc_ids == [5, None, 7] and file.ids(2).tolist() == list(range(50))
     raw = bytearray((tmp_path / "f").read_bytes())
-    raw[int(file.at[3]) + 12] ^= 1
+    raw[int(file.at[2]) + 12] ^= 1
     (tmp_path / "f").write_bytes(raw)
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_files.TokenFile(uri).ids(2)
