@@ -4,8 +4,8 @@ Signatures. The words of a whole text (A-Z in lower case) give its set of distin
 universal hashes keep their minima over the set, and the minima of a band make one key. Documents at the threshold of
 0.75 share a given band with a chance of 0.75 ** 5 = 0.24, and miss all 45 with a chance of 5e-6.
 
-Links. Documents with equal sets form classes first (by set size and two 64-bit set fingerprints); only the least document of a class goes
-on. Candidate pairs are confirmed on the full sets of both whole texts. They come in passes, and components are formed
+Links. Documents with equal sets form classes first, by the SHA-256 digest of the whole sorted set; only the least
+document of a class goes on. Candidate pairs are confirmed on the full sets of both whole texts. They come in passes, and components are formed
 between passes, so that pairs already connected aren't looked at again:
 
 1. every document with the bucket leader (least id) that it shares most bands with;
@@ -16,16 +16,20 @@ between passes, so that pairs already connected aren't looked at again:
 4. documents that meet in the other crowded buckets form crowds; those outside a crowd's largest component are compared
    with all of it, ``ASKERS`` by ``MEMBERS`` at a time, where they share a band.
 
+The rule is one and the same everywhere: two documents that share a band, and aren't connected yet, are compared in full.
+``FEW`` only decides whether such pairs are listed or met inside blocks, which is cheaper where they are many.
+
 No group is collected: leaders come from partial aggregates and joins, pairs within a bucket
 from joins of a few of its rows with the rest or inside blocks of bounded size.
 
 Defined cases: a text without words has no shingles, is linked with nothing and is its own component; with fewer words
 than a shingle, the whole sequence is its one shingle; rows with a null id are kept and never linked; rows with the same
-id count as one document; an empty table gives an empty result.
+id count as one document, which has the links of each of its texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -84,28 +88,27 @@ class Signer:
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = Signer()
 
-    def out(ids, sizes, ones, twos, keys):
+    def out(ids, sizes, digests, keys):
         flat = as_long(np.concatenate(keys)) if keys else pa.array([], pa.int64())
         offs = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), as_long(np.array(ones, np.uint64)), as_long(np.array(twos, np.uint64)), pa.ListArray.from_arrays(pa.array(offs), flat)], ["doc_id", "n_shingles", "print1", "print2", "bands"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offs), flat)], ["doc_id", "n_shingles", "digest", "bands"])
 
     for batch in batches:
-        first, sizes, ones, twos, keys = 0, [], [], [], []
+        first, sizes, digests, keys = 0, [], [], []
         for items in shingle_sets(batch.column(1)):
             sizes.append(len(items))
-            ones.append(int(mix(items).sum(dtype=np.uint64)))
-            twos.append(int(np.bitwise_xor.reduce(mix(items ^ np.uint64(0x5851F42D4C957F2D)))) if len(items) else 0)
+            digests.append(hashlib.sha256(items).digest())
             keys.append(signer.bands(items) if len(items) else np.empty(0, np.uint64))
             if len(sizes) == 2000:
-                yield out(batch.column(0).slice(first, 2000), sizes, ones, twos, keys)
-                first, sizes, ones, twos, keys = first + 2000, [], [], [], []
+                yield out(batch.column(0).slice(first, 2000), sizes, digests, keys)
+                first, sizes, digests, keys = first + 2000, [], [], []
         if sizes:
-            yield out(batch.column(0).slice(first), sizes, ones, twos, keys)
+            yield out(batch.column(0).slice(first), sizes, digests, keys)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and its band keys."""
-    return unclash(docs, ["doc_id", "text"]).mapInArrow(_sign, "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>")
+    """doc_id, n_shingles, the digest of the set, and its band keys."""
+    return unclash(docs, ["doc_id", "text"]).mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _confirm(percent: int):
@@ -127,10 +130,16 @@ def _confirm(percent: int):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents; repeated rows give one row."""
+    found = unclash(docs, ["doc_id", "text"]).join(small_side(ids), "doc_id", "left_semi")
+    return found.groupBy("doc_id", F.xxhash64("text").alias("_print")).agg(F.max("text").alias("text")).select("doc_id", "text")
+
+
 def confirm_pairs(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """Those of the pairs (u, v) whose full shingle sets reach the similarity."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = unclash(docs, ["doc_id", "text"]).join(small_side(ids), "doc_id", "left_semi")
+    texts = _texts(docs, ids)
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("_left"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("_right"))
     joined = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "_left", "_right")
@@ -243,8 +252,7 @@ def _crowd_links(linker: _Linker, crowded: DataFrame, signed: DataFrame) -> Data
     asking = rows.where("ask").withColumn("_a", spot(n_ask)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)))
     asked = rows.withColumn("ask", F.lit(False)).withColumn("_b", spot(n_all)).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), n_ask - 1)))
     blocks = asking.unionByName(asked).select("crowd", "_a", "_b", "ask", "doc_id", "_c")
-    needed = small_side(rows.select("doc_id").distinct())
-    texts = unclash(linker.docs, ["doc_id", "text"]).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = _texts(linker.docs, rows.select("doc_id").distinct())
     loaded = blocks.join(signed.select("doc_id", "bands"), "doc_id").join(texts, "doc_id")
     return loaded.groupBy("crowd", "_a", "_b").applyInArrow(_compare_blocks(linker.percent), "u long, v long").distinct()
 
@@ -277,9 +285,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = stored(signatures(docs), "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("n_shingles", "print1", "print2").agg(F.min("doc_id").alias("least"))
-    of_class = stored(known.select("doc_id", "n_shingles", "print1", "print2").join(classes, ["n_shingles", "print1", "print2"]).select("doc_id", "least"), "classes")
-    leaders = known.join(of_class.where("doc_id = least").select("doc_id").distinct(), "doc_id", "left_semi")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    of_class = stored(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "least"), "classes")
+    least = of_class.where("doc_id = least").select("doc_id", "digest").distinct()
+    leaders = known.join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     links = link(leaders.select("doc_id", "bands"), docs, percent)
     edges = links.unionByName(of_class.where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")))
     found = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

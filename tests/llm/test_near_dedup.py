@@ -93,3 +93,12 @@ def test_odd_rows(spark):
     out = near_dedup.near_duplicates(more).collect()
     assert len(out) == 10 and [r["component_id"] for r in out if r["doc_id"] is None] == [None]
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_id_with_several_texts_and_repeated_rows(spark):
+    """A document has the links of each of its texts, and keeps a row for each of its rows."""
+    base = [f"w{k}" for k in range(40)]
+    near = lambda k: " ".join([*base, f"x{k}"])
+    rows = [(1, near(1)), (2, near(2)), (2, "b c d e f g h i"), (2, near(2)), (3, "b c d e f g h i"), (4, "nothing of the kind at all")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
