@@ -5,8 +5,10 @@ emitted once no text to come can change them. How far ahead that is follows from
 undo or add a merge m only if it undoes or adds an earlier merge s that starts where m ends (m's right part is s's left
 part or s's result), so the reach of a change is the heaviest chain of such merges, which :func:`lookahead` computes in
 one pass over the list in rank order. A cut at a token boundary never changes what follows it, so the encoder keeps just
-the bytes after the last stable token. Memory is constant: a block, a window of a few lookaheads, a bounded cache of
-short pieces.
+the bytes after the last stable token. Every piece goes this way: whole pieces of a block are closed at once, with the
+transducer's output for pieces that come again held in a bounded memo, and the piece that a block ends in is fed as far
+as it is settled. Memory is constant besides the ids put out: a block, a window of a few lookaheads, the memo. Texts are
+read from Arrow's bytes block by block.
 
 Decoding. Ids become bytes by table, bytes become text by a state machine that holds at most three bytes of an
 unfinished character; wrong bytes become U+FFFD, one for each longest wrong prefix.
@@ -37,7 +39,7 @@ from skyframe.llm.common import read_table, unclash
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Classes of characters that one piece can run over, as patterns.
 RUNS = {"letter": r"\p{L}+", "number": r"\p{N}+", "other": r"[^\s\p{L}\p{N}]+", "space": r"\s+"}
-MARGIN, BLOCK, LONG_PIECE, MAX_CACHED, MAX_CACHED_PIECE = 3, 1 << 16, 2048, 300_000, 64
+MARGIN, BLOCK, MAX_CACHED, MAX_CACHED_PIECE = 3, 1 << 16, 300_000, 64
 
 
 def lookahead(tables: dict) -> int:
@@ -58,12 +60,15 @@ NEVER = 1 << 60
 
 
 class Merger:
-    """Merges of one piece of bytes."""
+    """Merges of a window of bytes; :meth:`short` and :meth:`long` give the same, each for the sizes where it is fast."""
 
     def __init__(self, tables: dict):
         self.single = tables["bytes"]
         self.rank = {(a << 20) | b: (k << 20) | c for k, (a, b, c) in enumerate(tables["merges"])}
 
+    def merge(self, piece: bytes) -> list[int]:
+        return self.short(piece) if len(piece) <= MAX_CACHED_PIECE else self.long(piece)
+
     def short(self, piece: bytes) -> list[int]:
         """Least rank first, leftmost at a tie; for pieces of a few dozen bytes."""
         ids, rank = [self.single[b] for b in piece], self.rank.get
@@ -148,11 +153,11 @@ class StreamEncoder:
         return b"".join(got)
 
     def _piece(self, piece: str) -> bytes:
+        """A whole piece: the transducer's output, closed at the piece's end."""
         packed = self.known.get(piece)
         if packed is None:
-            raw = piece.encode()
-            packed = self._pack(self.merger.short(raw) if len(raw) <= MAX_CACHED_PIECE else self.merger.long(raw))
-            if len(raw) <= MAX_CACHED_PIECE:
+            packed = self._run_bytes(piece.encode(), True)
+            if len(piece) <= MAX_CACHED_PIECE:
                 if len(self.known) >= MAX_CACHED:
                     self.known.clear()
                 self.known[piece] = packed
@@ -169,7 +174,7 @@ class StreamEncoder:
             kept += len(pieces.pop())
         out += self._pieces(pieces)
         self.text = self.text[len(self.text) - kept :]
-        if len(self.text) > LONG_PIECE:  # the last piece is a long run: from now on it is encoded as it comes
+        if len(self.text) > MARGIN + 2:  # the kind of the open piece is settled: it is encoded as it comes
             self.run = next((k for k, p in self.runs.items() if p.fullmatch(self.text[1:-MARGIN])), "")
             if self.run:
                 out += self._go_on_with_run(first=1)
@@ -189,13 +194,13 @@ class StreamEncoder:
         return out
 
     def _run_bytes(self, raw: bytes, last: bool) -> bytes:
-        """Stable tokens of the long piece so far: those that end more than the lookahead before its end."""
+        """Stable tokens of the open piece so far: those that end more than the lookahead before its end, or all at its end."""
         self.tail += raw
         out = []
         while len(self.tail) >= self.window or last and self.tail:
             part = self.tail[: self.window]
             closing = last and len(part) == len(self.tail)
-            ids, at = self.merger.long(part), 0
+            ids, at = self.merger.merge(part), 0
             if closing:
                 out += ids
                 self.tail = b""
@@ -218,8 +223,10 @@ class StreamEncoder:
         self.text = ""
         return out
 
-    def encode(self, text: str) -> bytes:
-        out = [self.feed(text[k : k + BLOCK]) for k in range(0, len(text), BLOCK)]
+    def encode(self, raw: memoryview | bytes) -> bytes:
+        """Ids of a text given as UTF-8, block by block."""
+        letters = codecs.getincrementaldecoder("utf-8")()
+        out = [self.feed(letters.decode(raw[k : k + BLOCK])) for k in range(0, len(raw), BLOCK)]
         return b"".join([*out, self.finish()])
 
 
@@ -263,7 +270,7 @@ def _encode_batches(vocabulary: str):
         for batch in batches:
             docs, texts, first, out, size = batch.column(0), batch.column(1), 0, [], 0
             for k in range(len(texts)):
-                out.append(encode(texts[k].as_py() or ""))
+                out.append(encode(memoryview(texts[k].as_buffer()) if texts[k].is_valid else b""))
                 size += len(out[-1])
                 if size > OUT_BYTES or k == len(texts) - 1:
                     yield pa.RecordBatch.from_arrays([docs.slice(first, len(out)), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
