@@ -2,16 +2,18 @@
 
 A seed is the hash of the words that a fixed mask selects from consecutive words; the words it leaves out may differ.
 Benchmark items and training texts give seeds at every position. Equal seeds give a diagonal (document position minus
-item position), and around the hit the words of both texts are compared: a document is contaminated if, on some
+item position), and along it the words of both texts are compared: a document is contaminated if, on some
 diagonal, ``OVERLAP`` consecutive positions (or the whole item, if shorter) agree in at least ``PERCENT`` per cent. The
 masks lose no such overlap: whichever words are changed, up to that share, a mask fits between them (the tests try all
 cases). Items of ``HARD`` lengths need one mask more, which texts are only searched with if there are such items.
 
-Everything is DataFrame expressions: words are split, hashed once, and selected from arrays. Seeds of items are broadcast only if a
-count shows that they are few; else seeds meet in a shuffled join. Items shorter than ``SPAN`` words are looked for as a
+Everything is DataFrame expressions: words are split and hashed once, positions are exploded, and a seed is one hash of
+words that generated code picks from the array, in one stage with the join on it. Seeds of items are broadcast only if a
+count shows that they are few; else they meet in a shuffled join. Diagonals of seeds that met are made distinct, and
+only documents that have one are read again. Items shorter than ``SPAN`` words are looked for as a
 whole and unchanged, at every position, through a seed of their own length.
 
-Defined cases: letters are compared in lower case and punctuation at the ends of a word is left out; null or empty texts and
+Defined cases: words are runs of ASCII letters and digits and of all other characters above ASCII, in lower case; null or empty texts and
 items match nothing; items of equal words are found together; repeated rows are judged alike; rows with a null id are judged like others by their text; an empty
 table gives an empty result.
 """
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import SPACE_CLASS, read_table, small_side, unclash
+from skyframe.llm.common import read_table, small_side, stored, unclash
 
 #: Fixed masks over SPAN consecutive words at most: 1 selects a word, 0 leaves it out. The last is for items of HARD lengths.
 MASKS = ["111011", "11111", "11010011"]
@@ -29,34 +31,47 @@ HARD = [10, 11]
 SPAN, OVERLAP, PERCENT, MAX_SEEDS = 8, 16, 80, 200_000
 
 
+#: What parts words, after letters are in lower case: all other ASCII characters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def word_hashes(text: Column) -> Column:
-    """Hashes of a text's words, A-Z in lower case, without ASCII punctuation at their ends."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{SPACE_CLASS}+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))))
+    """Hashes of a text's words in lower case."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _run_hash(k: int, offsets: list[int]) -> Column:
+    """Hash of the words at some offsets from position ``at``."""
+    return F.xxhash64(F.lit(k), *[F.get("words", F.col("at") + j) for j in offsets])
 
 
-def _seed(words: Column, at: Column, mask: str, k: int) -> Column:
-    """Seed of a mask at a position counted from 0."""
-    return F.xxhash64(F.lit(k), *[F.get(words, at + j) for j, bit in enumerate(mask) if bit == "1"])
+def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
+    """``rows`` (with words and n) for each seed: at every position where a mask fits; the HARD mask where ``hard`` holds."""
+    # Outer explodes: for others, a test of the array's size would be inferred, which hashes all words once more.
+    places = F.when(F.col("n") >= SPAN, F.sequence(F.lit(0), F.col("n") - min(map(len, masks))))
+    placed = rows.select("*", F.explode_outer(places).alias("at"))
+    picked = [[j for j, bit in enumerate(mask) if bit == "1"] for mask in masks]
+    fits = [(F.col("at") <= F.col("n") - len(mask)) & (F.col("hard") if k == 2 else F.lit(True)) for k, mask in enumerate(masks)]
+    seeds = F.array(*[F.when(fit, _run_hash(k, offsets)) for k, (fit, offsets) in enumerate(zip(fits, picked, strict=True))])
+    return placed.select("*", F.explode_outer(seeds).alias("seed")).where("seed IS NOT NULL")
 
 
-def _seeds(masks: list[str]) -> Column:
-    """Array of (seed, position) of rows with ``words`` and ``n``, at every position where a mask fits."""
+def _agreement(doc: Column, item: Column, size: Column, diagonal: Column) -> Column:
+    """Greatest number of agreeing positions in any window of ``size`` item positions along a diagonal, in one pass."""
+    low, high = F.greatest(F.lit(0), -diagonal), F.least(F.size(item), F.size(doc) - diagonal)
+    agree = lambda p: F.coalesce((F.get(item, p) == F.get(doc, p + diagonal)).cast("int"), F.lit(0))
 
-    def of(k: int, mask: str) -> Column:
-        at = F.sequence(F.lit(0), F.col("n") - len(mask))
-        return F.transform(at, lambda p: F.struct(_seed(F.col("words"), p, mask, k).alias("seed"), p.alias("at")))
+    def step(s: Column, p: Column) -> Column:
+        inside = s["inside"] + agree(p) - F.when(p - size >= low, agree(p - size)).otherwise(0)
+        return F.struct(inside.alias("inside"), F.greatest(s["most"], F.when(p - low + 1 >= size, inside)).alias("most"))
 
-    return F.when(F.col("n") >= SPAN, F.concat(*[of(k, m) for k, m in enumerate(masks)]))
+    start = F.struct(F.lit(0).alias("inside"), F.lit(0).alias("most"))
+    return F.when(high - low >= size, F.aggregate(F.sequence(low, high - 1), start, step, lambda s: s["most"])).otherwise(F.lit(0))
 
 
-def _agreement(doc: Column, item: Column, low: Column, size: Column, diagonal: Column) -> Column:
-    """Greatest number of agreeing positions in a window of ``size`` item positions, over windows that hold position ``low``."""
-    begin = F.greatest(low - size + 1, F.lit(0), -diagonal)
-    end = F.least(low, F.size(item) - size, F.size(doc) - size - diagonal)
-    agree = lambda p: (F.get(item, p) == F.get(doc, p + diagonal)).cast("int")
-    whole = lambda b: F.aggregate(F.sequence(b, b + size - 1), F.lit(0), lambda s, p: s + F.coalesce(agree(p), F.lit(0)))
-    return F.when(end >= begin, F.array_max(F.transform(F.sequence(begin, end), whole))).otherwise(F.lit(0))
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_key", word_hashes(F.col("text")).alias("words")).withColumn("n", F.size("words"))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
@@ -67,32 +82,25 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, max_seeds: int = M
     named = unclash(benchmark, ["item_id", "text"]).select("item_id", word_hashes(F.col("text")).alias("item"))
     named = named.withColumn("m", F.size("item")).where("m > 0").withColumn("item_key", F.struct(F.xxhash64("item"), F.hash("item")))
     items = named.select("item_key", "item", "m").dropDuplicates(["item_key"])
-    texts = docs.select("doc_key", word_hashes(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    texts = _words(docs)
 
     lengths = [r[0] for r in items.where(F.col("m") < OVERLAP).select("m").distinct().collect()]  # fewer than OVERLAP values
-    hard = F.col("n").isin(HARD)
-    item_rows = items.where(F.col("m") >= SPAN).select("item_key", "item", F.col("item").alias("words"), F.col("m").alias("n"))
-    item_seeds = item_rows.select("item_key", "item", F.explode(F.when(hard, _seeds(MASKS)).otherwise(_seeds(MASKS[:2]))).alias("s")).select("item_key", "item", "s.seed", F.col("s.at").alias("item_at"))
-    doc_seeds = texts.select("doc_key", "words", F.explode(_seeds(MASKS if set(HARD) & set(lengths) else MASKS[:2])).alias("s"))
-
-    few = item_seeds.limit(max_seeds + 1).count() <= max_seeds
-    if few:
-        # At most max_seeds rows, counted above; words of a document only travel along where a seed matches.
-        hits = doc_seeds.select("doc_key", "words", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")).join(F.broadcast(item_seeds), "seed")
-    else:
-        met = doc_seeds.select("doc_key", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")).join(item_seeds.drop("item"), "seed").drop("seed").distinct()
-        hits = met.join(texts.select("doc_key", "words"), "doc_key").join(items.select("item_key", "item"), "item_key")
-    diagonal, size = F.col("at") - F.col("item_at"), F.least(F.size("item"), F.lit(OVERLAP))
-    # A place inside every mask stands for the hit: every window that could make the overlap is tried around it.
-    scored = hits.select("doc_key", "item_key", _agreement(F.col("words"), F.col("item"), F.col("item_at") + SPAN // 2, size, diagonal).alias("agreeing"), size.alias("_size"))
+    item_rows = items.where(F.col("m") >= SPAN).select("item_key", "item", F.col("item").alias("words"), F.col("m").alias("n"), F.col("m").isin(HARD).alias("hard"))
+    item_seeds = _seeds(item_rows, MASKS).select("item_key", "seed", F.col("at").alias("item_at"))
+    doc_seeds = _seeds(texts.withColumn("hard", F.lit(True)), MASKS if set(HARD) & set(lengths) else MASKS[:2])
+    met = doc_seeds.select("doc_key", "seed", "at").join(small_side(item_seeds, max_seeds), "seed")
+    diagonals = stored(met.select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "diagonals")
+    again = _words(docs.join(small_side(diagonals.select("doc_key").distinct()), "doc_key", "left_semi")).select("doc_key", "words")
+    hits = diagonals.join(again, "doc_key").join(small_side(items.select("item_key", "item")), "item_key")
+    size = F.least(F.size("item"), F.lit(OVERLAP))
+    scored = hits.select("doc_key", "item_key", _agreement(F.col("words"), F.col("item"), size, F.col("diagonal")).alias("agreeing"), size.alias("_size"))
     found = scored.where(100 * F.col("agreeing") >= PERCENT * F.col("_size")).groupBy("doc_key", "item_key").agg(F.max("agreeing").alias("agreeing"))
 
-    short = items.where(F.col("m") < SPAN).select("item_key", "m", F.xxhash64("item").alias("whole"))
     for m in [m for m in lengths if m < SPAN]:
-        whole_at = lambda p: F.xxhash64(F.slice(F.col("words"), p + 1, m))  # noqa: B023, E731
-        places = F.when(F.col("n") >= m, F.sequence(F.lit(0), F.col("n") - m))
-        wholes = texts.select("doc_key", F.explode(F.array_distinct(F.transform(places, whole_at))).alias("whole"))
-        own = short.where(F.col("m") == m).select("item_key", "whole")
+        words = F.col("item").alias("words")
+        own = items.where(F.col("m") == m).select("item_key", words, F.lit(0).alias("at")).select("item_key", _run_hash(m, range(m)).alias("whole"))
+        placed = texts.select("doc_key", "words", F.explode_outer(F.when(F.col("n") >= m, F.sequence(F.lit(0), F.col("n") - m))).alias("at"))
+        wholes = placed.select("doc_key", F.when(F.col("at").isNotNull(), _run_hash(m, range(m))).alias("whole"))
         found = found.unionByName(wholes.join(small_side(own), "whole").select("doc_key", "item_key", F.lit(m).alias("agreeing")).distinct())
     return found.join(small_side(named.select("item_key", "item_id")), "item_key").groupBy("doc_key", "item_id").agg(F.max("agreeing").alias("agreeing"))
 
