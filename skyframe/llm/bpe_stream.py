@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import bpe_tables
-from skyframe.llm.common import read_table, unclash
+from skyframe.llm.common import lean, read_table, unclash
 
 #: Fixed value: the pattern that splits text into pieces for byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Classes of characters that one piece can run over, as patterns.
 RUNS = {"letter": r"\p{L}+", "number": r"\p{N}+", "other": r"[^\s\p{L}\p{N}]+", "space": r"\s+"}
-MARGIN, BLOCK, MAX_CACHED, MAX_CACHED_PIECE = 3, 1 << 16, 300_000, 64
+MARGIN, BLOCK, MAX_CACHED, MAX_CACHED_PIECE = 3, 1 << 16, 1 << 17, 64
 
 
 def lookahead(tables: dict) -> int:
@@ -293,12 +293,13 @@ def _decode_batches(vocabulary: str):
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (packed little-endian unsigned 32-bit integers) of every document."""
-    return unclash(docs, ["doc_id", "text"]).mapInArrow(_encode_batches(vocabulary or bpe_tables.default_vocabulary()), "doc_id long, n_tokens long, ids binary")
+    vocabulary = vocabulary or bpe_tables.default_vocabulary()
+    return unclash(docs, ["doc_id", "text"]).mapInArrow(lean(_encode_batches(vocabulary), lambda: _encoder(vocabulary).known.clear()), "doc_id long, n_tokens long, ids binary")
 
 
 def decode_documents(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The encoded documents with their text as ``decoded``."""
-    return unclash(tokens, ["doc_id", "n_tokens", "ids"]).mapInArrow(_decode_batches(vocabulary or bpe_tables.default_vocabulary()), "doc_id long, n_tokens long, ids binary, decoded string")
+    return unclash(tokens, ["doc_id", "n_tokens", "ids"]).mapInArrow(lean(_decode_batches(vocabulary or bpe_tables.default_vocabulary())), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

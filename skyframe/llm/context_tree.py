@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import read_table, stored, unclash
+from skyframe.llm.common import lean, read_table, stored, unclash
 from skyframe.llm.textkernel import Words, chunks
 
 DEPTH, SPLIT = 5, 3
@@ -293,7 +293,7 @@ def run_values(grams: DataFrame) -> DataFrame:
     """(key, value): the log10 probability of each run of ``grams`` (key, n) by its byte, under the tree of all of them."""
     part = lambda column: F.shiftright(column, 8).bitwiseAND((1 << (8 * SPLIT)) - 1).cast("int").alias("part")
     rows = grams.select(part("key"), "key", "n")
-    levels = {SPLIT: stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_weigh_batches, "node long, zeros double, ones double, weighted double"), "tree-level")}
+    levels = {SPLIT: stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(lean(_weigh_batches), "node long, zeros double, ones double, weighted double"), "tree-level")}
     for depth in range(SPLIT, 0, -1):
         above = _weigh_above(levels[depth], depth)
         levels[depth - 1] = stored(above, "tree-level")
@@ -303,7 +303,7 @@ def run_values(grams: DataFrame) -> DataFrame:
     tops = mixed.select(part("node"), F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), "sure", "rest")
     nan = F.lit(float("nan"))
     both = tops.unionByName(rows.withColumn("sure", nan).withColumn("rest", nan))
-    return both.repartition("part").sortWithinPartitions("part").mapInArrow(_value_batches, "key long, value double")
+    return both.repartition("part").sortWithinPartitions("part").mapInArrow(lean(_value_batches), "key long, value double")
 
 
 class Lookup:
@@ -380,7 +380,7 @@ def score_documents(docs: DataFrame, held_out: Column, unit_keys: int = UNIT_KEY
     docs = unclash(docs, ["doc_id", "text"]).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     # The more text a unit has, the fewer lookups a text needs: four tasks' splits are read as one while all cores stay busy.
     tasks = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 4)
-    units = stored(docs.coalesce(tasks).mapInArrow(_unit_batches(unit_keys), _UNIT_KINDS), "units")
+    units = stored(docs.coalesce(tasks).mapInArrow(lean(_unit_batches(unit_keys)), _UNIT_KINDS), "units")
     lookups = units.where("keys IS NOT NULL").select("unit", F.explode(F.arrays_zip("keys", "counts")).alias("k")).select("unit", F.col("k.keys").alias("key"), F.col("k.counts").alias("n"))
     counts = stored(lookups.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("key < 0")
@@ -395,7 +395,7 @@ def score_documents(docs: DataFrame, held_out: Column, unit_keys: int = UNIT_KEY
     rows = found.select("unit", "key", "value", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
     rows = rows.unionByName(texts.select("unit", none("long").alias("key"), none("double").alias("value"), "doc_id", "held_out", "text"))
     dealt = rows.repartition("unit").sortWithinPartitions("unit", F.asc_nulls_last("key"))
-    out = dealt.mapInArrow(_score_batches, "doc_id long, held_out boolean, words long, known long, base double, score double, n_bytes long")
+    out = dealt.mapInArrow(lean(_score_batches), "doc_id long, held_out boolean, words long, known long, base double, score double, n_bytes long")
     each, end = float(np.log10(tokens + distinct + 1)), float(np.log10(n_docs + 1))
     n_tokens = F.col("words") + 1
     return out.select("doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known") + F.lit(int(n_docs > 0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + end - each * n_tokens).alias("base_score"), "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import read_table, small_side, stored, unclash
+from skyframe.llm.common import lean, read_table, small_side, stored, unclash
 from skyframe.llm.components import connected_components
 from skyframe.llm.textkernel import Words, as_long, chunks, grams, mix, word_range_hashes
 
@@ -108,7 +108,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the digest of the set, and its band keys."""
-    return unclash(docs, ["doc_id", "text"]).mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return unclash(docs, ["doc_id", "text"]).mapInArrow(lean(_sign), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _confirm(percent: int):
@@ -143,7 +143,7 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataF
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("_left"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("_right"))
     joined = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "_left", "_right")
-    return joined.mapInArrow(_confirm(percent), "u long, v long")
+    return joined.mapInArrow(lean(_confirm(percent)), "u long, v long")
 
 
 class _Linker:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import read_table, unclash
+from skyframe.llm.common import lean, read_table, unclash
 from skyframe.llm.textkernel import Words, byte_range_hashes, chunks, grams, mix
 
 MIN_WORDS, KEEP_AT, MAX_LABELLED = 50, 0.5, 6000
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def judge(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, the statistics, base_failed, score and kept of every document."""
-    return unclash(docs, ["doc_id", "text"]).mapInArrow(_batches(model, keep_at, 1), f"doc_id long, {_COLUMNS}")
+    return unclash(docs, ["doc_id", "text"]).mapInArrow(lean(_batches(model, keep_at, 1)), f"doc_id long, {_COLUMNS}")
 
 
 def filter_documents(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT) -> DataFrame:
@@ -220,7 +220,7 @@ def filter_documents(docs: DataFrame, model: Trees | None, keep_at: float = KEEP
             if marks:
                 yield batch.filter(pa.concat_arrays(marks))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import drop_stored, fresh_path, read_table, small_side, stored, unclash
+from skyframe.llm.common import drop_stored, fresh_path, lean, read_table, small_side, stored, unclash
 from skyframe.llm.textkernel import IS_SPACE, Words, as_long, chunks, grams, sliding_min
 
 WINDOW, GRAM, BATCHES, FANOUT = 50, 10, 3, 2
@@ -102,7 +102,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def window_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The runs of all documents with an id."""
-    return _keyed(docs.where("doc_id IS NOT NULL")).mapInArrow(_run_batches(window, gram), RUN_SCHEMA)
+    return _keyed(docs.where("doc_id IS NOT NULL")).mapInArrow(lean(_run_batches(window, gram)), RUN_SCHEMA)
 
 
 class FingerprintIndex:
@@ -192,7 +192,7 @@ def repeated_runs(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, w
     ids = wanted.select("doc_id").distinct()
     some = _keyed(texts).join(small_side(ids), "doc_id", "left_semi")
     looked = wanted.join(some, ["doc_id", "print"]).select("doc_id", "print", "runs", "fresh", "text")
-    windows = stored(looked.mapInArrow(_window_batches(window), "least long, span long, check long, doc_id long, print long, fresh boolean, first int"), "windows")
+    windows = stored(looked.mapInArrow(lean(_window_batches(window)), "least long, span long, check long, doc_id long, print long, fresh boolean, first int"), "windows")
     # Written, so that the join below has an exchange of its own on either side and its hot windows can be split.
     earliest = stored(windows.groupBy(*SPAN).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select(*SPAN, "_a"), "earliest")
     single = windows.where("fresh").join(earliest, SPAN).where("doc_id > _a").select("doc_id", "print", "first", F.col("first").alias("last"))
@@ -246,7 +246,7 @@ def cut_documents(docs: DataFrame, repeated: DataFrame, window: int = WINDOW, la
     keyed = docs.withColumn("_text_print", F.xxhash64("text"))
     joined = keyed.join(runs, (keyed["doc_id"] == runs["_id"]) & (keyed["_text_print"] == runs["_print"]), "left").select(docs["doc_id"], docs["text"], "_runs", *[docs[c].alias(f"_other_{c}") for c in others])
     kinds = ", ".join(["doc_id long, n_words long, n_removed long, kept string", *[f"`_other_{c}` {docs.schema[c].dataType.simpleString()}" for c in others]])
-    return joined.mapInArrow(_cut_batches(window, layout), kinds)
+    return joined.mapInArrow(lean(_cut_batches(window, layout)), kinds)
 
 
 def find_repeated(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, index: FingerprintIndex | None = None) -> DataFrame:
