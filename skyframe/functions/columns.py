@@ -39,7 +39,8 @@ def magnitude_error(flux: Column, err: Column) -> Column:
 
 
 def snr(flux: Column, err: Column) -> Column:
-    return F.when(err > 0, flux / err).otherwise(0.0)
+    """Flux over error; 0 without a positive error. NaN ranks above all numbers in comparisons, so it is left out by name."""
+    return F.when((err > 0) & ~F.isnan(err), flux / err).otherwise(0.0)
 
 
 def band_name(c: Column) -> Column:
@@ -91,6 +92,7 @@ def line_name(name: Column) -> Column:
 
 #: Emission line names and how they are shown.
 LINE_LABELS = {
+    "LYALPHA": "Lyα",
     "NV_1240": "N V 1240",
     "OI_1304": "O I 1304",
     "SILIV_1396": "Si IV 1396",

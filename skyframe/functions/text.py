@@ -52,8 +52,8 @@ def last_mention(text: Column, synonyms: dict[str, list[str]]) -> Column:
 
 
 def predict_free_text(text: Column, synonyms: dict[str, list[str]]) -> Column:
-    """Last mention in a FINAL ANSWER line if there is one, else in the whole text."""
-    final = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(r"(?i)FINAL ANSWER:\s*([^\n]*)"), F.lit(1))), -1)
+    """Last mention in what follows the first FINAL ANSWER on its line, if it has one, else in the whole text."""
+    final = F.regexp_extract(text, r"(?i)FINAL ANSWER\s*:\s*([^\n]+)", 1)
     return F.coalesce(F.when(final != "", last_mention(final, synonyms)), last_mention(text, synonyms))
 
 
@@ -92,9 +92,10 @@ def parse_final_sentence(text: Column, labels: list[str]) -> Column:
 
 
 def parse_single_choice(text: Column, letters: str) -> Column:
-    """Last allowed letter after FINAL ANSWER:, with optional "option" or "choice" and brackets."""
-    pattern = rf"(?i)FINAL ANSWER:\s*(?:option\s+|choice\s+)?[\[(]?\s*([{letters}])(?![A-Za-z])"
-    return F.upper(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)))
+    """Last allowed letter behind FINAL ANSWER:, after "option" or "choice" and opening marks; only closing marks and white space may follow."""
+    pattern = r"(?i)FINAL ANSWER:\s*(?:option\s*|choice\s*)?[*(\[]*([A-Z])[*)\].:]*(?:\s|$)"
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.upper)
+    return F.try_element_at(F.filter(found, lambda x: x.isin(*letters.upper())), F.lit(-1))
 
 
 def parse_multi_choice(text: Column, letters: str) -> Column:
@@ -127,6 +128,16 @@ def ground_truth_class(name: Column, aliases: dict[str, str], categories: dict[s
     return F.coalesce(F.try_element_at(exact, name), F.try_element_at(folded, low), F.try_element_at(category, low), F.lit("UNKNOWN"))
 
 
+def ground_truth_lines(detected: Column, snr_of: Column) -> Column:
+    """Map of each detected line to its signal-to-noise ratio, 1.0 where ``snr_of`` (a map) has none; null without a list."""
+    return F.map_from_entries(F.transform(F.array_distinct(detected), lambda x: F.struct(x, F.coalesce(F.try_element_at(snr_of, x), F.lit(1.0)))))
+
+
+def truth_labels(lines: Column) -> Column:
+    """Lines of a ground-truth map, sorted; ``regime`` isn't one. Null counts as none."""
+    return F.coalesce(F.array_sort(F.filter(F.map_keys(lines), lambda x: x != "regime")), F.array().cast("array<string>"))
+
+
 def has_caption(raw: Column) -> Column:
     return F.coalesce(raw.rlike(r"(?i)CAPTION:"), F.lit(False))
 

@@ -83,12 +83,17 @@ def spectrum_text(wave: Column, flux: Column, n: int = 100) -> Column:
     return F.concat_ws(" ", pairs)
 
 
-def plot_bounds(points: DataFrame, key: str, wave: str, flux: str, masked: str, least: int = 10, pad: float = 0.1) -> DataFrame:
-    """(key, n_points, low, high): padded flux range between the 0.5 and 99.5 percentiles of valid points."""
-    ok = points.where((F.col(wave) > 0) & ~F.isnan(flux) & (F.abs(flux) != float("inf")) & ~F.col(masked))
+def plot_bounds(points: DataFrame, key: str, wave: str, flux: str, masked: str, least: int = 10, below: float = 0.08, above: float = 0.35, least_range: float = 1e-4) -> DataFrame:
+    """(key, n_points, low, high): flux range between the 0.5 and 99.5 percentiles of valid points, with room below and, for labels, above.
+
+    Valid points have a positive finite wavelength and a finite flux and aren't masked.
+    """
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) != float("inf"))
+    ok = points.where((F.col(wave) > 0) & finite(wave) & finite(flux) & ~F.col(masked))
     q = ok.groupBy(key).agg(F.count("*").alias("n_points"), F.percentile(flux, F.array(F.lit(0.005), F.lit(0.995))).alias("_q")).where(F.col("n_points") >= least)
     low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
-    return q.select(key, "n_points", (low - pad * (high - low)).alias("low"), (high + pad * (high - low)).alias("high"))
+    size = F.greatest(high - low, F.lit(least_range))
+    return q.select(key, "n_points", (low - below * size).alias("low"), (high + above * size).alias("high"))
 
 
 def pad_tokens(tokens: Column, length: int, width: int) -> Column:

@@ -36,12 +36,23 @@ def assemble_captions(text_claims: DataFrame, vetted: list[tuple[str, DataFrame]
 
 
 def caption_report(captions: DataFrame, claims: DataFrame, objects: DataFrame, key: str = "object_id") -> DataFrame:
-    """One row: captions, captioned objects, all objects, survival rate, claims, relations."""
+    """One row: captions, captioned objects, all objects and those without any text, survival rate, claims by kind."""
     a = captions.agg(F.count("*").alias("n_captions"), F.count_distinct(key).alias("n_captioned"))
-    b = claims.agg(F.count("*").alias("n_claims"), F.count_if(F.col("kind") == "relation").alias("n_relations"))
+    b = claims.agg(F.count("*").alias("n_claims"), F.count_if(F.col("kind") == "relation").alias("n_relations"), F.count_if(F.col("kind") == "observation").alias("n_observations"))
     c = objects.agg(F.count_distinct(key).alias("n_objects"))
     out = a.join(b, how="cross").join(c, how="cross")  # single rows
-    return out.withColumn("survival_rate", F.round(F.try_divide("n_captioned", "n_objects"), 6))
+    return out.withColumn("n_without_text", F.col("n_objects") - F.col("n_captioned")).withColumn("survival_rate", F.round(F.try_divide("n_captioned", "n_objects"), 6))
+
+
+def match_rates(available: DataFrame, captioned: DataFrame, key: str = "object_id") -> DataFrame:
+    """(modality, n_available, n_matched, n_unmatched, match_rate, n_foreign): captions of a modality against the objects that have it.
+
+    Both tables have (key, modality). ``n_foreign`` counts captions of objects that don't have the modality.
+    """
+    have = available.select(key, "modality").distinct().withColumn("_have", F.lit(1))
+    both = have.join(captioned.select(key, "modality").distinct().withColumn("_cap", F.lit(1)), [key, "modality"], "full_outer")
+    out = both.groupBy("modality").agg(F.count("_have").alias("n_available"), F.count(F.when(F.col("_have").isNotNull(), F.col("_cap"))).alias("n_matched"), F.count_if(F.col("_have").isNull()).alias("n_foreign"))
+    return out.select("modality", "n_available", "n_matched", (F.col("n_available") - F.col("n_matched")).alias("n_unmatched"), F.round(F.try_divide("n_matched", "n_available"), 6).alias("match_rate"), "n_foreign")
 
 
 def joint_claim_fraction(claims: DataFrame) -> DataFrame:

@@ -119,8 +119,14 @@ def prepare_groups(df: DataFrame, key: str, surveys: list[str], limit: int = 0,
 
 
 def group_digest(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, digest): SHA-256 over the sorted digests of an object's rows, so that row order doesn't matter."""
-    names = sorted(columns)
+    """(key, digest): SHA-256 over the sorted digests of an object's rows, so that row order doesn't matter.
+
+    Numbers that aren't finite count as null, in arrays too.
+    """
+    kinds = dict(df.dtypes)
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    plain = {"double": finite, "float": finite, "array<double>": lambda c: F.transform(c, finite), "array<float>": lambda c: F.transform(c, finite)}
+    names = [plain.get(kinds[n], lambda c: c)(F.col(n)).alias(n) for n in sorted(columns)]
     row = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
     return df.select(key, row.alias("_row")).groupBy(key).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("_row"))), 256).alias("digest"))
 

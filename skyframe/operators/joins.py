@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions.columns import draw_key, haversine_arcsec
 from skyframe.operators.checks import overlap, require_empty
+from skyframe.operators.splits import ranked
 
 
 def _suffixed(df: DataFrame, other: DataFrame, keys: list[str], suffix: str) -> DataFrame:
@@ -187,8 +188,7 @@ def swap_donors(df: DataFrame, key: str, group: str, seed: int, has: str | None
 
     With ``has``, pairs whose donor lacks that modality are left out.
     """
-    by_draw = Window.partitionBy(group).orderBy(draw_key(seed, F.col(key)), key)
-    place = df.select(key, group, *([has] if has else [])).withColumn("_at", F.row_number().over(by_draw) - 1)
+    place = ranked(df.select(key, group, *([has] if has else [])), [group], draw_key(seed, F.col(key)), key, "_at").withColumn("_at", F.col("_at") - 1)
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     shift = F.lit(1) + F.pmod(F.lit(seed), F.greatest(F.col("_n") - 1, F.lit(1)))
     placed = place.join(sizes, group).where("_n > 1").withColumn("_to", F.pmod(F.col("_at") + shift, F.col("_n")))
@@ -198,15 +198,37 @@ def swap_donors(df: DataFrame, key: str, group: str, seed: int, has: str | None
 
 
 #: Rest wavelengths in angstrom.
-REST_LINES = [("CIV", 1549.06), ("CIII", 1908.73), ("MgII", 2798.75), ("OII", 3727.09), ("Hdelta", 4101.74), ("Hgamma", 4340.47), ("Hbeta", 4861.33), ("OIII", 5006.84), ("Halpha", 6562.82), ("SII", 6716.44)]
-
-
-def line_coverage(spectra: DataFrame, lines: DataFrame, key: str, z: str, low: str, high: str) -> DataFrame:
+REST_LINES = [
+    ("Lyalpha", 1215.67),
+    ("Hdelta", 4101.74),
+    ("Hgamma", 4340.47),
+    ("Hbeta", 4861.33),
+    ("Halpha", 6562.82),
+    ("OII 3727", 3727.09),
+    ("OIII 4959", 4958.91),
+    ("OIII 5007", 5006.84),
+    ("OI 6300", 6300.30),
+    ("NII 6583", 6583.45),
+    ("SII 6716", 6716.44),
+    ("SII 6731", 6730.82),
+    ("CIV", 1549.06),
+    ("CIII", 1908.73),
+    ("MgII", 2798.75),
+    ("HeII", 4685.70),
+    ("CaII K", 3933.66),
+    ("CaII H", 3968.47),
+    ("G band", 4304.40),
+    ("MgI b", 5175.40),
+    ("NaI D", 5892.94),
+]
+
+
+def line_coverage(spectra: DataFrame, key: str, z: str, low: str, high: str, lines: list[tuple[str, float]] = REST_LINES) -> DataFrame:
     """(key, line, observed): lines whose redshifted wavelength lies in the object's range.
 
     ``lines`` is a fixed list of rest wavelengths, so it is carried as an array with each object and not joined.
     """
-    table = F.array(*[F.struct(F.lit(r["line"]).alias("line"), F.lit(float(r["rest"])).alias("rest")) for r in lines.collect()])
+    table = F.array(*[F.struct(F.lit(name).alias("line"), F.lit(float(rest)).alias("rest")) for name, rest in lines])
     ok = spectra.where((F.col(z) > -0.01) & ~F.isnan(z))
     each = ok.select(key, z, low, high, F.explode(table).alias("l")).withColumn("observed", F.col("l.rest") * (1 + F.col(z)))
     return each.where(F.col("observed").between(F.col(low), F.col(high))).select(key, "l.line", "observed")

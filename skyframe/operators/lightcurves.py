@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.columns import band_name, draw_key, magnitude, magnitude_error, snr
+from skyframe.operators.checks import require_empty
 
 ARRAYS = ["mjd", "flux", "err", "band_id", "used"]
 
@@ -23,8 +24,9 @@ def retained(points: DataFrame) -> DataFrame:
 
 def detection_window(points: DataFrame, key: str = "object_id", limit: float = 5.0, before: float = 30.0) -> DataFrame:
     """Accepted points from ``before`` days ahead of the first detection to the last one; all where there is none."""
-    finite = ~F.isnan("flux") & (F.abs("flux") != float("inf"))
-    seen = points.where("used").withColumn("_hit", F.when(finite & (snr(F.col("flux"), F.col("err")) > limit), F.col("mjd")))
+    ratio = snr(F.col("flux"), F.col("err"))
+    finite = ~F.isnan(ratio) & (F.abs(ratio) != float("inf"))
+    seen = points.where("used").withColumn("_hit", F.when(finite & (ratio > limit), F.col("mjd")))
     whole = Window.partitionBy(key)
     marked = seen.withColumn("_first", F.min("_hit").over(whole)).withColumn("_last", F.max("_hit").over(whole))
     keep = F.col("_first").isNull() | F.col("mjd").between(F.col("_first") - before, F.col("_last"))
@@ -32,7 +34,12 @@ def detection_window(points: DataFrame, key: str = "object_id", limit: float = 5
 
 
 def prepare_points(points: DataFrame, cap: int = 243, seed: int = 42, key: str = "object_id") -> DataFrame:
-    """Windowed points, at most ``cap`` per object drawn by hash, with time since the first kept point and their rank in time."""
+    """Windowed points, at most ``cap`` per object drawn by hash, with time since the first kept point and their rank in time.
+
+    An object without an accepted point is an error.
+    """
+    none = points.groupBy(key).agg(F.count_if("used").alias("n_accepted")).where("n_accepted = 0")
+    require_empty(none, "objects without accepted points")
     draw = Window.partitionBy(key).orderBy(draw_key(seed, F.col(key), F.col("pos")), "pos")
     kept = detection_window(points, key).withColumn("_draw", F.row_number().over(draw)).where(F.col("_draw") <= cap).drop("_draw")
     order = Window.partitionBy(key).orderBy("mjd", "pos")
@@ -62,17 +69,28 @@ def peak_facts(points: DataFrame, key: str = "object_id") -> DataFrame:
 
 
 def photometry_summary(points: DataFrame, key: str = "object_id") -> DataFrame:
-    """Baseline, counts per band, largest gap, and the brightest positive point by magnitude, then time."""
+    """Per object: baseline, counts per band, the largest gap with its ends, and per band the brightest point.
+
+    Times are days from the first accepted point. A brightest point has positive flux; magnitude, then time, orders
+    them; its magnitude, error and time are null in a band without one. The gap of a single point is 0 from 0 to 0.
+    """
     order = Window.partitionBy(key).orderBy("mjd", "pos")
-    used = points.where("used").withColumn("_before", F.lag("mjd").over(order)).withColumn("_band", band_name(F.col("band_id")))
-    mag = F.when(F.col("flux") > 0, magnitude(F.col("flux")))
+    since = F.col("mjd") - F.first("mjd").over(order)
+    used = points.where("used").withColumn("_t", since).withColumn("_before", F.lag("_t").over(order)).withColumn("_band", band_name(F.col("band_id")))
+    bright = F.struct(magnitude(F.col("flux")).alias("mag"), F.col("_t").alias("day"), magnitude_error(F.col("flux"), F.col("err")).alias("error"))
+    best = lambda band: F.min(F.when((F.col("flux") > 0) & ~F.isnan("flux") & (F.col("_band") == band), bright)).alias(f"_{band}")
+    zero = F.lit(0.0)
     return used.groupBy(key).agg(
-        (F.max("mjd") - F.min("mjd")).alias("baseline"),
+        F.max("_t").alias("baseline"),
         F.count_if(F.col("_band") == "g").alias("n_g"),
         F.count_if(F.col("_band") == "r").alias("n_r"),
-        F.max(F.col("mjd") - F.col("_before")).alias("largest_gap"),
-        F.min(F.when(mag.isNotNull(), F.struct(mag.alias("mag"), "mjd", "_band"))).alias("_b"),
-    ).select(key, "baseline", "n_g", "n_r", "largest_gap", F.col("_b.mag").alias("brightest_mag"), F.col("_b.mjd").alias("brightest_mjd"), F.col("_b._band").alias("brightest_band"))
+        F.max(F.when(F.col("_before").isNotNull(), F.struct((F.col("_t") - F.col("_before")).alias("size"), F.col("_before").alias("start"), F.col("_t").alias("end")))).alias("_gap"),
+        best("g"),
+        best("r"),
+    ).select(
+        key, "baseline", "n_g", "n_r", F.coalesce("_gap.size", zero).alias("largest_gap"), F.coalesce("_gap.start", zero).alias("gap_start"), F.coalesce("_gap.end", zero).alias("gap_end"),
+        *[F.col(f"_{band}.{field}").alias(f"{field}_{band}") for band in ("g", "r") for field in ("mag", "error", "day")],
+    )
 
 
 HEADER = "TIME_DAYS BAND FLUXCAL FLUXCAL_ERR DIFF_MAG DIFF_MAG_ERR"

@@ -13,6 +13,19 @@ from skyframe.functions.columns import draw_key, hash_uniform
 from skyframe.operators.checks import ValidationError
 
 
+def ranked(df: DataFrame, by: list[str], draw: Column, key: str, name: str) -> DataFrame:
+    """``df`` with the rank (from 1) of each row in its group by draw key and id.
+
+    Rows are counted by the first three hexadecimal digits of the draw key; a row's rank is the count of its group's
+    earlier prefixes plus its place in its own, so a sort holds a 4096th of a group, however large the group is.
+    """
+    cut = df.withColumn("_draw", draw).withColumn("_group", F.struct(*by) if by else F.lit(0)).withColumn("_cut", F.substring("_draw", 1, 3))
+    sizes = cut.groupBy("_group", "_cut").agg(F.count("*").alias("_n"))
+    before = sizes.select("_group", "_cut", (F.sum("_n").over(Window.partitionBy("_group").orderBy("_cut")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_group", "_cut").orderBy("_draw", key))
+    return cut.join(before, ["_group", "_cut"]).withColumn(name, (F.col("_before") + place).cast("long")).drop("_draw", "_group", "_cut", "_before")
+
+
 def assign_splits(
     df: DataFrame,
     seed: int = 42,
@@ -50,9 +63,8 @@ def assign_splits(
     pool = F.when(F.col("_up") == "train", "upstream").when(F.col("_up").isNull() & eligible, "draw") if upstream else F.when(eligible, "draw")
     rows = rows.withColumn("_pool", pool)
     keys = ["_pool", *[f"_s_{c}" for c in names]]
-    order = Window.partitionBy(*keys).orderBy(draw_key(seed, F.col(key)), key)
     sizes = rows.where("_pool IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by("tier", key).alias("_tier"))
-    drawn = rows.where("_pool IS NOT NULL").withColumn("_at", F.row_number().over(order)).join(sizes, keys)
+    drawn = ranked(rows.where("_pool IS NOT NULL"), keys, draw_key(seed, F.col(key)), key, "_at").join(sizes, keys)
     fraction = lambda i, default: F.coalesce(*[F.when(F.col("_tier") == t, F.lit(f[i])) for t, f in (overrides or {}).items()], F.lit(default))
     n_val, n_test = F.bround(F.col("_n") * fraction(0, val)), F.bround(F.col("_n") * fraction(1, test))
     part = F.when(F.col("_at") <= n_val, "val").when((F.col("_at") <= n_val + n_test) & (F.col("_pool") == "draw"), "test").otherwise("train")
@@ -76,6 +88,7 @@ def class_quotas(df: DataFrame, label: str, n: int, vocabulary: list[str], least
     base = sizes.withColumn("_share", share).withColumn("_floor", F.least(F.col("size"), F.greatest(F.lit(least), F.floor("_share"))))
     ranked = base.withColumn("_rank", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.col("_share") - F.floor("_share")), "_order"))).withColumn("_off", F.lit(n) - F.sum("_floor").over(whole))
     steps = F.when(F.col("_off") > 0, F.col("size") - F.col("_floor")).when(F.col("_off") < 0, F.col("_floor") - F.least(F.col("size"), F.lit(least))).otherwise(0)
+    steps = F.least(steps, F.abs(F.col("_off")))  # no class takes more, so the rows below don't grow with the classes
     each = ranked.where(steps > 0).select(label, "_rank", "_off", F.explode(F.sequence(F.lit(1).cast("long"), steps.cast("long"))).alias("_pass"))
     turn = F.when(F.col("_off") > 0, F.col("_rank")).otherwise(-F.col("_rank"))
     taken = each.withColumn("_k", F.row_number().over(Window.partitionBy().orderBy("_pass", turn))).where("_k <= abs(_off)").groupBy(label).agg(F.count("*").alias("_steps"))
@@ -89,9 +102,9 @@ def stratified_sample(df: DataFrame, label: str, n: int, vocabulary: list[str],
     got = quotas.agg(F.sum("quota")).first()[0]
     if got != n:
         raise ValidationError(f"a sample of {n} isn't possible, only {got}")
-    order = Window.partitionBy(label).orderBy(draw_key(seed, F.col(key)), key)
     # One row for each class.
-    return df.join(F.broadcast(quotas.select(label, "quota")), label).withColumn("_at", F.row_number().over(order)).where("_at <= quota").drop("_at", "quota")
+    wanted = df.join(F.broadcast(quotas.select(label, "quota")), label)
+    return ranked(wanted, [label], draw_key(seed, F.col(key)), key, "_at").where("_at <= quota").drop("_at", "quota")
 
 
 def balanced_sample(df: DataFrame, label: str, per_class: int, seed: int = 42, key: str = "object_id") -> DataFrame:
@@ -99,15 +112,13 @@ def balanced_sample(df: DataFrame, label: str, per_class: int, seed: int = 42, k
     short = df.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") < per_class).limit(5).collect()
     if short:
         raise ValidationError(f"classes with fewer than {per_class} rows: {[tuple(r) for r in short]}")
-    order = Window.partitionBy(label).orderBy(draw_key(seed, F.col(key)), key)
-    return df.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_class).drop("_at")
+    return ranked(df, [label], draw_key(seed, F.col(key)), key, "_at").where(F.col("_at") <= per_class).drop("_at")
 
 
 def cv_folds(df: DataFrame, label: str, folds: int, namespace: str, key: str = "object_id") -> DataFrame:
     """(key, label, fold): per class in order of SHA-256 of namespace, NUL and id, dealt to folds in turn."""
     digest = F.sha2(F.concat(F.lit(namespace), F.lit("\0"), F.col(key)), 256)
-    at = F.row_number().over(Window.partitionBy(label).orderBy(digest, key))
-    return df.select(key, label, F.pmod(at - 1, F.lit(folds)).cast("int").alias("fold"))
+    return ranked(df.select(key, label), [label], digest, key, "_at").select(key, label, F.pmod(F.col("_at") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
 def expand_sample(fixed: DataFrame, pool: DataFrame, label: str, targets: dict[str, int], seed: int = 42, key: str = "object_id") -> DataFrame:
@@ -115,7 +126,7 @@ def expand_sample(fixed: DataFrame, pool: DataFrame, label: str, targets: dict[s
     spark = pool.sparkSession
     want = spark.createDataFrame(list(targets.items()), f"{label} string, _target long")
     have = want.join(fixed.groupBy(label).agg(F.count("*").alias("_have")), label, "left").withColumn("_need", F.col("_target") - F.coalesce("_have", F.lit(0)))
-    rest = pool.join(fixed.select(key), key, "left_anti").withColumn("_at", F.row_number().over(Window.partitionBy(label).orderBy(draw_key(seed, F.col(key)), key)))
+    rest = ranked(pool.join(fixed.select(key), key, "left_anti"), [label], draw_key(seed, F.col(key)), key, "_at")
     possible = have.join(rest.groupBy(label).agg(F.count("*").alias("_rest")), label, "left").where("_need < 0 OR _need > coalesce(_rest, 0)")
     wrong = [tuple(r) for r in possible.select(label, "_need").collect()]
     if wrong:
@@ -127,8 +138,7 @@ def expand_sample(fixed: DataFrame, pool: DataFrame, label: str, targets: dict[s
 
 def review_sample(captions: DataFrame, kind: Column, n: int, seed: int = 42, key: str = "object_id") -> DataFrame:
     """n rows of each kind in draw order."""
-    order = Window.partitionBy("_kind").orderBy(draw_key(seed, F.col(key)), key)
-    return captions.withColumn("_kind", kind).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at").withColumnRenamed("_kind", "kind")
+    return ranked(captions.withColumn("_kind", kind), ["_kind"], draw_key(seed, F.col(key)), key, "_at").where(F.col("_at") <= n).drop("_at").withColumnRenamed("_kind", "kind")
 
 
 def sample_subset(available: DataFrame, captioned: DataFrame, weights: DataFrame, epoch: int, seed: int = 42, key: str = "object_id") -> DataFrame:

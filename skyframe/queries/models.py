@@ -296,6 +296,33 @@ def written(name: str, *inputs: str, sql: str | None = None):
     return add
 
 
+@written("a1_projected_scan", "lineitem", sql="SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity > 45")
+def a1(spark: SparkSession, lineitem: DataFrame) -> DataFrame:
+    path = work_path(spark, "table")
+    lineitem.write.parquet(path)
+    return io.read_parquet_columns(spark, path, ["l_orderkey", "l_quantity"]).where("l_quantity > 45")
+
+
+@written("a2_union_of_files", "customer", "supplier", sql="""
+SELECT CAST(c_custkey AS VARCHAR) AS object_id, c_acctbal AS acctbal, c_mktsegment AS segment, 0 AS src_rank FROM {customer}
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_acctbal, NULL, 1 FROM {supplier}""")
+def a2(spark: SparkSession, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    path = work_path(spark, "union")
+    customer.select(F.col("c_custkey").alias("object_id"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment")).write.parquet(f"{path}/a")
+    supplier.select(F.col("s_suppkey").cast("string").alias("object_id"), F.col("s_acctbal").alias("acctbal")).write.parquet(f"{path}/b")
+    return io.read_union(spark, [f"{path}/a", f"{path}/b"])
+
+
+@written("a17_frozen_input_hashes", "orders", sql="""
+SELECT o_orderkey, sha256(concat(o_orderpriority, '|', o_orderstatus)) AS input_sha256, 'v1' AS contract FROM {orders}""")
+def a17(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    path = work_path(spark, "frozen")
+    rendered = orders.select("o_orderkey", F.concat("o_orderpriority", F.lit("|"), "o_orderstatus").alias("rendered"))
+    io.freeze_inputs(rendered, path, "v1", "o_orderkey", "rendered")
+    # The second call finds the snapshot and reuses it.
+    return io.freeze_inputs(rendered, path, "v1", "o_orderkey", "rendered").select("o_orderkey", "input_sha256", "contract")
+
+
 @written("a3_discover", "orders", sql="SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY 1")
 def a3(spark: SparkSession, orders: DataFrame) -> DataFrame:
     path = work_path(spark, "shards")
@@ -315,13 +342,20 @@ def a5(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return usable.select("object_key", F.sha2("caption", 256).alias("digest"))
 
 
-@written("a6_predictions_jsonl", "predictions", sql="SELECT sample_id, predicted AS prediction FROM {predictions} WHERE CAST(sample_id AS BIGINT) % 2 = 0")
+@written("a6_predictions_jsonl", "predictions", sql="""
+SELECT sample_id, CASE WHEN regime = 'F' THEN '["' || predicted || '"]' ELSE predicted END AS prediction, CASE WHEN regime = 'F' THEN 1 ELSE 0 END AS n_predicted,
+CASE WHEN regime = 'F' THEN 3.5 END AS snr, CASE WHEN regime = 'O' THEN NULL ELSE 'text of ' || sample_id END AS caption FROM {predictions} WHERE predicted IS NOT NULL""")
 def a6(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = work_path(spark, "predictions")
-    out = rows.select("sample_id", F.col("predicted").alias("prediction"))
-    out.withColumn("prediction", F.lit("old")).coalesce(1).write.json(f"{path}/a")
-    out.coalesce(1).write.json(f"{path}/b")
-    return io.read_predictions(spark, f"{path}/*", rows.where("CAST(sample_id AS BIGINT) % 2 = 0")).select("sample_id", "prediction")
+    rows.select("sample_id", F.lit("old").alias("prediction")).coalesce(1).write.json(f"{path}/a")
+    flat = rows.where("regime = 'O'").select("sample_id", F.col("predicted").alias("prediction"), F.col("truth").alias("ground_truth"))
+    nested = rows.where("regime <> 'O'").select("sample_id", F.struct(F.concat(F.lit("text of "), "sample_id").alias("text")).alias("caption"), "regime", "truth", "predicted")
+    one = nested.where("regime <> 'F'").select("sample_id", "caption", F.col("truth").alias("ground_truth"), F.struct(F.col("predicted").alias("prediction")).alias("frontier_evaluation"))
+    many = nested.where("regime = 'F'").select("sample_id", "caption", F.create_map("truth", F.lit(3.5)).alias("ground_truth"), F.struct(F.array("predicted").alias("prediction")).alias("frontier_evaluation"))
+    for name, part in (("b", flat), ("c", one), ("d", many)):
+        part.coalesce(1).write.json(f"{path}/{name}")
+    found = io.read_predictions(spark, f"{path}/*", rows.where("predicted IS NOT NULL"))
+    return found.select("sample_id", "prediction", F.coalesce(F.size(F.coalesce("predicted_lines", F.array().cast("array<string>"))), F.lit(0)).alias("n_predicted"), F.element_at(F.map_values("truth_lines"), 1).alias("snr"), F.col("caption.text").alias("caption"))
 
 
 @written("a7_answers_document", "customer", sql="SELECT 'm' AS model, c_custkey AS id, c_mktsegment AS answer FROM {customer}")
@@ -344,11 +378,11 @@ def a8(spark: SparkSession, orders: DataFrame, lineitem: DataFrame) -> DataFrame
     return types.join(n, "wiki_entity_id", "left").select(F.col("wiki_entity_id").alias("id"), "class", "subclass", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
-@written("a9_context_jsonl", "documents", sql="SELECT CAST(doc_id AS VARCHAR) AS object_id, length(left(text, 200)) AS n FROM {documents} WHERE trim(left(text, 200)) <> ''")
+@written("a9_context_jsonl", "documents", sql="SELECT CAST(doc_id AS VARCHAR) AS object_id, length(text) AS n FROM {documents} WHERE trim(text) <> ''")
 def a9(spark: SparkSession, documents: DataFrame) -> DataFrame:
     path = work_path(spark, "context")
-    documents.select(F.col("doc_id").cast("string").alias("object_id"), F.left("text", F.lit(200)).alias("context")).where("trim(context) <> ''").write.json(path)
-    return io.read_context_jsonl(spark, path).select("object_id", F.length("context").cast("long").alias("n"))
+    documents.select(F.col("doc_id").cast("string").alias("object_id"), F.col("text").alias("context")).where("trim(context) <> ''").write.json(path)
+    return io.read_context_jsonl(spark, path, 10_000_000).select("object_id", F.length("context").cast("long").alias("n"))
 
 
 @written("a10_load_benchmark", "orders", sql="SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_totalprice AS ground_truth FROM {orders}")

@@ -137,13 +137,12 @@ def c16(objects: DataFrame) -> DataFrame:
     return joins.swap_donors(objects.select("object_id", F.coalesce("survey", F.lit("none")).alias("g")), "object_id", "g", 9)
 
 
-@query("c17_line_coverage", "catalog_a", sql="""
-WITH l AS (SELECT * FROM (VALUES ('Hbeta', 4861.33), ('Halpha', 6562.82), ('OII', 3727.09)) AS t(line, rest))
-SELECT object_id, line, round(CAST(rest AS DOUBLE) * (1 + dist), 6) AS observed FROM {catalog_a}, l WHERE CAST(rest AS DOUBLE) * (1 + dist) BETWEEN 4000 + seq % 1000 AND 8000""")
+@query("c17_line_coverage", "catalog_a", sql=f"""
+WITH l AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {rest})" for name, rest in joins.REST_LINES)}) AS t(line, rest))
+SELECT object_id, line, round(CAST(rest AS DOUBLE) * (1 + dist), 6) AS observed FROM {{catalog_a}}, l WHERE CAST(rest AS DOUBLE) * (1 + dist) BETWEEN 4000 + seq % 1000 AND 8000""")
 def c17(catalog: DataFrame) -> DataFrame:
-    lines = catalog.sparkSession.createDataFrame([("Hbeta", 4861.33), ("Halpha", 6562.82), ("OII", 3727.09)], "line string, rest double")
     rows = catalog.select("object_id", F.col("dist").alias("z"), (4000 + F.col("seq") % 1000).cast("double").alias("low"), F.lit(8000.0).alias("high"))
-    return joins.line_coverage(rows, lines, "object_id", "z", "low", "high").withColumn("observed", F.round("observed", 6))
+    return joins.line_coverage(rows, "object_id", "z", "low", "high").withColumn("observed", F.round("observed", 6))
 
 
 @query("c18_ground_truth", "orders", "lineitem", sql="""
@@ -165,11 +164,13 @@ def c19(rows: DataFrame) -> DataFrame:
 
 # --- light curves -------------------------------------------------------------------------------------------------------
 
-WINDOWED = """d AS (SELECT *, CASE WHEN flux / err > 5 THEN mjd END AS hit FROM {points} WHERE used), w AS (SELECT *, min(hit) OVER (PARTITION BY object_id) AS f, max(hit) OVER (PARTITION BY object_id) AS l FROM d),
+#: Some errors are NaN or zero: such points are no detections.
+INPUTS["odd_points"] = "SELECT object_id, pos, mjd, flux, CASE WHEN pos % 17 = 0 THEN CAST('NaN' AS DOUBLE) WHEN pos % 17 = 1 THEN 0e0 ELSE err END AS err, band_id, used FROM {points}"
+WINDOWED = """d AS (SELECT *, CASE WHEN err > 0 AND NOT isnan(err) AND flux / err > 5 THEN mjd END AS hit FROM {odd_points} WHERE used), w AS (SELECT *, min(hit) OVER (PARTITION BY object_id) AS f, max(hit) OVER (PARTITION BY object_id) AS l FROM d),
 k AS (SELECT * FROM w WHERE f IS NULL OR mjd BETWEEN f - 30 AND l), cap AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY sha256(concat('42:', object_id, ':', CAST(pos AS VARCHAR))), pos) <= 40)"""
 
 
-@query("b23_prepare_lightcurve", "points", sql=f"""
+@query("b23_prepare_lightcurve", "odd_points", sql=f"""
 WITH {WINDOWED} SELECT object_id, pos, CAST(row_number() OVER o AS INT) AS rank, round(mjd - first_value(mjd) OVER o, 6) AS t FROM cap WINDOW o AS (PARTITION BY object_id ORDER BY mjd, pos)""")
 def b23(points: DataFrame) -> DataFrame:
     return lightcurves.prepare_points(points, 40).select("object_id", "pos", "rank", F.round("t", 6).alias("t"))
@@ -191,13 +192,17 @@ def d21_peaks(points: DataFrame) -> DataFrame:
 
 
 @query("d22_photometry_summary", "points", sql="""
-WITH s AS (SELECT *, mjd - lag(mjd) OVER (PARTITION BY object_id ORDER BY mjd, pos) AS gap, CASE WHEN flux > 0 THEN 27.5 - 2.5 * log10(flux) END AS mag FROM {points} WHERE used),
-b AS (SELECT object_id, mag, mjd FROM s WHERE mag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY mag, mjd) = 1)
-SELECT s.object_id, round(max(s.mjd) - min(s.mjd), 6) AS baseline, count(*) FILTER (WHERE band_id = 1) AS n_g, count(*) FILTER (WHERE band_id = 2) AS n_r, round(max(gap), 6) AS largest_gap, round(any_value(b.mag), 6) AS brightest_mag, any_value(b.mjd) AS brightest_mjd
-FROM s LEFT JOIN b USING (object_id) GROUP BY s.object_id""")
+WITH z AS (SELECT *, mjd - min(mjd) OVER (PARTITION BY object_id) AS t FROM {points} WHERE used), s AS (SELECT *, lag(t) OVER (PARTITION BY object_id ORDER BY mjd, pos) AS before FROM z),
+b AS (SELECT object_id, band_id, 27.5 - 2.5 * log10(flux) AS mag, err * (2.5 / ln(10)) / flux AS error, t FROM z WHERE flux > 0 QUALIFY row_number() OVER (PARTITION BY object_id, band_id ORDER BY 27.5 - 2.5 * log10(flux), t) = 1),
+gap AS (SELECT object_id, t - before AS size, before, t FROM s WHERE before IS NOT NULL QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY t - before DESC, before DESC) = 1),
+n AS (SELECT object_id, max(t) AS baseline, count(*) FILTER (WHERE band_id = 1) AS n_g, count(*) FILTER (WHERE band_id = 2) AS n_r FROM z GROUP BY 1)
+SELECT n.object_id, round(baseline, 6) AS baseline, n_g, n_r, round(coalesce(size, 0), 6) AS largest_gap, round(coalesce(gap.before, 0), 6) AS gap_start, round(coalesce(gap.t, 0), 6) AS gap_end,
+round(g.mag, 6) AS mag_g, round(g.error, 6) AS error_g, round(g.t, 6) AS day_g, round(r.mag, 6) AS mag_r, round(r.error, 6) AS error_r, round(r.t, 6) AS day_r
+FROM n LEFT JOIN gap USING (object_id) LEFT JOIN b g ON g.object_id = n.object_id AND g.band_id = 1 LEFT JOIN b r ON r.object_id = n.object_id AND r.band_id = 2""")
 def d22(points: DataFrame) -> DataFrame:
     out = lightcurves.photometry_summary(points)
-    return out.select("object_id", F.round("baseline", 6).alias("baseline"), "n_g", "n_r", F.round("largest_gap", 6).alias("largest_gap"), F.round("brightest_mag", 6).alias("brightest_mag"), "brightest_mjd")
+    rounded = [c for c in out.columns if c not in ("object_id", "n_g", "n_r")]
+    return out.withColumns({c: F.round(c, 6) for c in rounded})
 
 
 LINE = "concat_ws(' ', printf('%.5f', mjd - t0), CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END, printf('%.5f', flux), printf('%.5f', err), CASE WHEN flux <> 0 THEN printf('%.5f', 27.5 - 2.5 * log10(abs(flux))) ELSE 'nan' END, CASE WHEN flux <> 0 THEN printf('%.5f', err * (2.5 / ln(10)) / abs(flux)) ELSE 'nan' END)"
@@ -291,10 +296,11 @@ def b25(embeddings: DataFrame) -> DataFrame:
 
 
 @query("b26_plot_bounds", "points", sql="""
-WITH q AS (SELECT object_id, count(*) AS n_points, quantile_cont(flux, 0.005) AS a, quantile_cont(flux, 0.995) AS b FROM {points} WHERE mjd > 0 AND used GROUP BY 1 HAVING count(*) >= 10)
-SELECT object_id, n_points, round(a - 0.1 * (b - a), 6) AS low, round(b + 0.1 * (b - a), 6) AS high FROM q""")
+WITH q AS (SELECT object_id, count(*) AS n_points, quantile_cont(flux, 0.005) AS a, quantile_cont(flux, 0.995) AS b FROM {points} WHERE mjd > 0 AND pos % 29 > 1 AND used GROUP BY 1 HAVING count(*) >= 10)
+SELECT object_id, n_points, round(a - 0.08 * greatest(b - a, 1e-4), 6) AS low, round(b + 0.35 * greatest(b - a, 1e-4), 6) AS high FROM q""")
 def b26(points: DataFrame) -> DataFrame:
-    out = arrays.plot_bounds(points.withColumn("masked", ~F.col("used")), "object_id", "mjd", "flux", "masked")
+    wave = F.when(F.col("pos") % 29 == 0, float("nan")).when(F.col("pos") % 29 == 1, float("inf")).otherwise(F.col("mjd"))
+    out = arrays.plot_bounds(points.withColumn("masked", ~F.col("used")).withColumn("mjd", wave), "object_id", "mjd", "flux", "masked")
     return out.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
@@ -388,14 +394,26 @@ def g5(prose: DataFrame) -> DataFrame:
 
 
 @query("d4_caption_report", "prose", sql=f"""WITH {CLAIMS}, {COMPOSED}, k AS (SELECT DISTINCT doc_id, subset FROM u)
-SELECT (SELECT count(*) FROM k) AS n_captions, (SELECT count(DISTINCT doc_id) FROM k) AS n_captioned, (SELECT count(*) FROM c WHERE support <> '') AS n_claims, (SELECT count(*) FROM c WHERE contains(support, '+')) AS n_relations,
-(SELECT count(*) FROM {{prose}}) AS n_objects, round((SELECT count(DISTINCT doc_id) FROM k) / (SELECT count(*) FROM {{prose}}), 6) AS survival_rate""")
+SELECT (SELECT count(*) FROM k) AS n_captions, (SELECT count(DISTINCT doc_id) FROM k) AS n_captioned, (SELECT count(*) FROM c WHERE support <> '') AS n_claims, (SELECT count(*) FROM c WHERE contains(support, '+')) AS n_relations, (SELECT count(*) FROM c WHERE support <> '' AND NOT contains(support, '+')) AS n_observations,
+(SELECT count(*) FROM {{prose}}) AS n_objects, (SELECT count(*) FROM {{prose}}) - (SELECT count(DISTINCT doc_id) FROM k) AS n_without_text, round((SELECT count(DISTINCT doc_id) FROM k) / (SELECT count(*) FROM {{prose}}), 6) AS survival_rate""")
 def d4(prose: DataFrame) -> DataFrame:
     sets = F.when(F.col("doc_id") % 4 != 0, F.array(F.lit("image"), F.lit("lightcurve"), F.lit("spectra"))).otherwise(F.array(F.lit("image"), F.lit("lightcurve")))
     claims = _claims(prose)
     return captions.caption_report(captions.compose_captions(claims, prose.select("doc_id", sets.alias("subset")), "doc_id"), claims, prose, "doc_id")
 
 
+@query("d4_match_rates", "objects", "labels", sql="""
+WITH h AS (SELECT object_id, 'label' AS modality FROM {objects} WHERE has_label UNION SELECT object_id, 'vector' FROM {objects} WHERE has_vector),
+c AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS object_id, CASE WHEN quality = 1 THEN 'label' ELSE 'vector' END AS modality FROM {labels})
+SELECT coalesce(h.modality, c.modality) AS modality, count(h.object_id) AS n_available, count(*) FILTER (WHERE h.object_id IS NOT NULL AND c.object_id IS NOT NULL) AS n_matched,
+count(*) FILTER (WHERE c.object_id IS NULL) AS n_unmatched, round(count(*) FILTER (WHERE h.object_id IS NOT NULL AND c.object_id IS NOT NULL) / nullif(count(h.object_id), 0), 6) AS match_rate, count(*) FILTER (WHERE h.object_id IS NULL) AS n_foreign
+FROM h FULL OUTER JOIN c ON h.object_id = c.object_id AND h.modality = c.modality GROUP BY 1""")
+def d4_rates(objects: DataFrame, labels: DataFrame) -> DataFrame:
+    have = objects.where("has_label").select("object_id", F.lit("label").alias("modality")).unionByName(objects.where("has_vector").select("object_id", F.lit("vector").alias("modality")))
+    captioned = labels.select(F.col("doc_id").cast("string").alias("object_id"), F.when(F.col("quality") == 1, "label").otherwise("vector").alias("modality"))
+    return captions.match_rates(have, captioned)
+
+
 @query("d5_joint_claims", "prose", sql=f"WITH {CLAIMS} SELECT round(avg(CAST(contains(support, '+') AS INT)), 6) AS joint_fraction FROM c WHERE support <> ''")
 def d5(prose: DataFrame) -> DataFrame:
     return captions.joint_claim_fraction(_claims(prose))
@@ -441,6 +459,10 @@ def d30(rows: DataFrame) -> DataFrame:
 INPUTS["answers"] = """
 SELECT o_orderkey AS k, o_orderpriority AS label, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'It looks LOW but ' WHEN o_orderkey % 4 = 1 THEN 'Class 12, then 3. ' ELSE 'Maybe high. ' END,
   CASE WHEN o_orderkey % 5 = 0 THEN 'no idea' WHEN o_orderkey % 5 = 1 THEN 'final answer: B' WHEN o_orderkey % 5 = 2 THEN concat('FINAL ANSWER: A, C and ', substring(o_orderpriority, 3, 1)) WHEN o_orderkey % 5 = 3 THEN 'FINAL ANSWER: none' ELSE concat('it is ', lower(substring(o_orderpriority, 3, 20)), '.') END) AS text FROM {orders}"""
+#: Answers in more forms: bold and bracketed letters, two final lines, words behind the letter, a blank before the colon.
+INPUTS["replies"] = """
+SELECT k, label, text AS said, CASE k % 9 WHEN 0 THEN concat(text, chr(10), 'FINAL ANSWER: **B**') WHEN 1 THEN 'FINAL ANSWER: A, because' WHEN 2 THEN concat('FINAL ANSWER: Low', chr(10), 'Final answer: High')
+  WHEN 3 THEN 'final answer : medium, not high' WHEN 4 THEN concat('FINAL ANSWER: option(C).', chr(10), 'FINAL ANSWER: Z') WHEN 5 THEN 'FINAL ANSWER: [a]' WHEN 6 THEN concat('FINAL ANSWER:', chr(10), 'B') WHEN 7 THEN 'Choice urgent. FINAL ANSWER: choice C: ' ELSE text END AS text FROM {answers}"""
 WORDS = {"Urgent": ["quick"], "High": ["tall"], "Medium": ["middle"], "Low": ["small"]}
 
 
@@ -469,6 +491,15 @@ def g8(answers: DataFrame) -> DataFrame:
     return answers.select("k", t.last_mention(F.col("text"), {w: [] for w in WORDS}).alias("label"))
 
 
+@query("g8_free_text", "replies", sql=f"""
+WITH two AS (SELECT k, 0 AS whole, regexp_extract(text, '(?i)FINAL ANSWER\\s*:\\s*([^\\n]+)', 1) AS text FROM {{replies}} UNION ALL SELECT k, 1, text FROM {{replies}}),
+e AS (SELECT k, whole, unnest([{{'e': {_last('urgent')}, 'o': 0, 'l': 'Urgent'}}, {{'e': {_last('high')}, 'o': 1, 'l': 'High'}}, {{'e': {_last('medium')}, 'o': 2, 'l': 'Medium'}}, {{'e': {_last('low')}, 'o': 3, 'l': 'Low'}}], recursive := true) FROM two),
+b AS (SELECT k, whole, CASE WHEN max(e) > 0 THEN arg_max(l, e * 10 - o) END AS label FROM e GROUP BY ALL)
+SELECT k, coalesce(max(CASE WHEN whole = 0 THEN label END), max(CASE WHEN whole = 1 THEN label END)) AS label FROM b GROUP BY k""")
+def g8_free(replies: DataFrame) -> DataFrame:
+    return replies.select("k", t.make_predictor("free_text", {w: [] for w in WORDS})(F.col("text"), F.col("label")).alias("label"))
+
+
 @query("g9_predictor_formats", "answers", sql="SELECT 'logprob_argmax' AS format, label, count(*) AS n FROM {answers} GROUP BY ALL UNION ALL SELECT 'digit_code', CASE WHEN k % 4 = 1 THEN 'three' END, count(*) FROM {answers} GROUP BY ALL")
 def g9(answers: DataFrame) -> DataFrame:
     out = None
@@ -501,9 +532,13 @@ def g11(answers: DataFrame) -> DataFrame:
     return answers.select("k", t.parse_final_sentence(F.col("text"), ["High", "Low", "Medium"]).alias("label"))
 
 
-@query("g12_single_choice", "answers", sql="SELECT k, upper(nullif(regexp_extract(text, '(?i)FINAL ANSWER:\\s*([ABC])(?:[^A-Za-z]|$)', 1), '')) AS letter FROM {answers}")
-def g12(answers: DataFrame) -> DataFrame:
-    return answers.select("k", t.parse_single_choice(F.col("text"), "ABC").alias("letter"))
+#: The last letter among A, B and C that stands alone behind FINAL ANSWER:
+CHOICE = """list_filter(list_transform(regexp_extract_all(text, '(?i)FINAL ANSWER:\\s*(?:option\\s*|choice\\s*)?[*(\\[]*([A-Z])[*)\\].:]*(?:\\s|$)', 1), lambda x : upper(x)), lambda x : x IN ('A', 'B', 'C'))[-1]"""
+
+
+@query("g12_single_choice", "replies", sql=f"SELECT k, {CHOICE} AS letter FROM {{replies}}")
+def g12(replies: DataFrame) -> DataFrame:
+    return replies.select("k", t.parse_single_choice(F.col("text"), "ABC").alias("letter"))
 
 
 @query("g13_multi_choice", "answers", sql="""
@@ -512,11 +547,11 @@ def g13(answers: DataFrame) -> DataFrame:
     return answers.select("k", F.array_join(t.parse_multi_choice(F.col("text"), "ABCH"), ",").alias("letters"))
 
 
-@query("g14_task_answer", "answers", sql=f"""
-WITH e AS (SELECT k, upper(nullif(regexp_extract(text, '(?i)FINAL ANSWER:\\s*([ABC])(?:[^A-Za-z]|$)', 1), '')) AS c, unnest([{{'e': {_last('high')}, 'o': 0, 'l': 'High'}}, {{'e': {_last('medium')}, 'o': 1, 'l': 'Medium'}}, {{'e': {_last('low')}, 'o': 2, 'l': 'Low'}}], recursive := true) FROM {{answers}})
+@query("g14_task_answer", "replies", sql=f"""
+WITH e AS (SELECT k, {CHOICE} AS c, unnest([{{'e': {_last('high')}, 'o': 0, 'l': 'High'}}, {{'e': {_last('medium')}, 'o': 1, 'l': 'Medium'}}, {{'e': {_last('low')}, 'o': 2, 'l': 'Low'}}], recursive := true) FROM {{replies}})
 SELECT k, coalesce(CASE any_value(c) WHEN 'A' THEN 'High' WHEN 'B' THEN 'Medium' WHEN 'C' THEN 'Low' END, CASE WHEN max(e) > 0 THEN arg_max(l, e * 10 - o) END) AS label FROM e GROUP BY k""")
-def g14(answers: DataFrame) -> DataFrame:
-    return answers.select("k", t.parse_task_answer(F.col("text"), {"A": "High", "B": "Medium", "C": "Low"}).alias("label"))
+def g14(replies: DataFrame) -> DataFrame:
+    return replies.select("k", t.parse_task_answer(F.col("text"), {"A": "High", "B": "Medium", "C": "Low"}).alias("label"))
 
 
 @query("g15_ground_truth", "orders", sql="SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '5-LOW' THEN 'Low' WHEN '3-MEDIUM' THEN 'Middle' ELSE 'UNKNOWN' END AS class FROM {orders}")
@@ -525,6 +560,19 @@ def g15(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", truth.alias("class"))
 
 
+@query("g15_ground_truth_lines", "multi", sql="""
+WITH d AS (SELECT sample_id, label, max(CASE WHEN k % 2 = 1 THEN snr END) AS snr FROM {multi} GROUP BY ALL)
+SELECT sample_id, string_agg(label || '=' || printf('%.1f', coalesce(snr, 1.0)), ';' ORDER BY label) AS truth, count(*) AS n FROM d GROUP BY 1""")
+def g15_lines(multi: DataFrame) -> DataFrame:
+    known = F.map_from_entries(F.collect_list(F.when(F.col("snr").isNotNull(), F.struct("label", "snr"))))
+    per = multi.groupBy("sample_id", "label").agg(F.max(F.when(F.col("k") % 2 == 1, F.col("snr"))).alias("snr"))
+    lists = per.groupBy("sample_id").agg(F.collect_list("label").alias("detected"), known.alias("snr_of"))
+    truth = F.map_concat(t.ground_truth_lines(F.col("detected"), F.col("snr_of")), F.create_map(F.lit("regime"), F.lit(0.0)))
+    named = lists.select("sample_id", truth.alias("truth")).withColumn("names", t.truth_labels(F.col("truth")))
+    shown = F.transform("names", lambda x: F.concat(x, F.lit("="), F.format_string("%.1f", F.try_element_at("truth", x))))
+    return named.select("sample_id", F.array_join(shown, ";").alias("truth"), F.size("names").cast("long").alias("n"))
+
+
 @query("g16_extract_caption", "answers", sql="SELECT k, k % 2 = 0 AS has, CASE WHEN k % 2 = 0 THEN label ELSE trim(text) END AS caption FROM {answers}")
 def g16(answers: DataFrame) -> DataFrame:
     raw = F.when(F.col("k") % 2 == 0, F.concat(F.lit("x CAPTION: a\nCaption: \""), "label", F.lit("\"  "))).otherwise(F.col("text"))
@@ -555,7 +603,7 @@ def g23(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", t.edit_distance(F.col("o_orderpriority"), F.concat("o_orderstatus", F.lit("-LOW"))).alias("distance"))
 
 
-@query("g27_snr_and_haversine", "points", sql="SELECT pos, round(CASE WHEN err > 3 THEN flux / (err - 3) ELSE 0 END, 6) AS snr, round(degrees(2 * asin(sqrt(pow(sin(radians(0.5) / 2), 2) + cos(radians(10)) * cos(radians(10.5)) * pow(sin(radians(pos % 90) / 2), 2)))) * 3600, 4) AS sep FROM {points}")
+@query("g27_snr_and_haversine", "odd_points", sql="SELECT pos, round(CASE WHEN err > 3 AND NOT isnan(err) THEN flux / (err - 3) ELSE 0 END, 6) AS snr, round(degrees(2 * asin(sqrt(pow(sin(radians(0.5) / 2), 2) + cos(radians(10)) * cos(radians(10.5)) * pow(sin(radians(pos % 90) / 2), 2)))) * 3600, 4) AS sep FROM {odd_points}")
 def g27(points: DataFrame) -> DataFrame:
     sep = c.haversine_arcsec(F.lit(0.0), F.lit(10.0), (F.col("pos") % 90).cast("double"), F.lit(10.5))
     return points.select("pos", F.round(c.snr(F.col("flux"), F.col("err") - 3), 6).alias("snr"), F.round(sep, 4).alias("sep"))

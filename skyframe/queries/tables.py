@@ -13,20 +13,6 @@ from skyframe.sources import io
 ID = r"CASE WHEN regexp_matches(trim(object_id), '^b''.*''$') THEN trim(regexp_extract(trim(object_id), '^b''(.*)''$', 1)) ELSE trim(object_id) END"
 
 
-@query("a1_projected_scan", "lineitem", sql="SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity > 45")
-def a1(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select("l_orderkey", "l_quantity").where("l_quantity > 45")
-
-
-@query("a2_union_of_files", "customer", "supplier", sql="""
-SELECT CAST(c_custkey AS VARCHAR) AS object_id, c_acctbal AS acctbal, c_mktsegment AS segment, 0 AS src_rank FROM {customer}
-UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_acctbal, NULL, 1 FROM {supplier}""")
-def a2(customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    a = customer.select(F.col("c_custkey").alias("object_id"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment"))
-    b = supplier.select(F.col("s_suppkey").cast("string").alias("object_id"), F.col("s_acctbal").alias("acctbal"))
-    return a.withColumn("object_id", F.col("object_id").cast("string")).withColumn("src_rank", F.lit(0)).unionByName(b.withColumn("src_rank", F.lit(1)), allowMissingColumns=True)
-
-
 @query("a4_tag_survey", "catalog_a", sql="""
 SELECT object_id, CASE WHEN seq % 2 = 0 THEN 'building' ELSE lower(trim(survey)) END AS survey FROM {catalog_a}""")
 def a4(catalog: DataFrame) -> DataFrame:
@@ -44,12 +30,6 @@ def a11(customer: DataFrame, orders: DataFrame) -> DataFrame:
     return io.load_all_unique([a, b])
 
 
-@query("a17_frozen_input_hashes", "orders", sql="""
-SELECT o_orderkey, sha256(concat(o_orderpriority, '|', o_orderstatus)) AS input_sha256, 'v1' AS contract FROM {orders}""")
-def a17(orders: DataFrame) -> DataFrame:
-    return orders.select("o_orderkey", F.sha2(F.concat("o_orderpriority", F.lit("|"), "o_orderstatus"), 256).alias("input_sha256"), F.lit("v1").alias("contract"))
-
-
 @query("b1_canonical_id", "spellings", sql=f"SELECT src_rank, {ID} AS object_id FROM {{spellings}}")
 def b1(rows: DataFrame) -> DataFrame:
     return rows.select("src_rank", c.canonical_id(F.col("object_id")).alias("object_id"))
@@ -129,9 +109,12 @@ def b12(rows: DataFrame) -> DataFrame:
     return clean.prepare_groups(rows, "object_id", ["o", "f"], 50, survey="status").select("src_rank", "object_id", F.col("status").alias("survey"))
 
 
-@query("b13_group_digest", "orders")
+@query("b13_group_digest", "orders", sql="""
+WITH r AS (SELECT o_custkey, sha256(concat('{"o_orderkey":', o_orderkey, ',"o_orderstatus":"', o_orderstatus, '","price":', CASE WHEN o_orderkey % 7 < 2 THEN 'null' ELSE CAST(CAST(floor(o_totalprice) AS DOUBLE) AS VARCHAR) END, '}')) AS d FROM {orders})
+SELECT o_custkey, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM r GROUP BY 1""")
 def b13(orders: DataFrame) -> DataFrame:
-    return clean.group_digest(orders, "o_custkey", ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    price = F.when(F.col("o_orderkey") % 7 == 0, float("nan")).when(F.col("o_orderkey") % 7 == 1, float("inf")).otherwise(F.floor("o_totalprice").cast("double"))
+    return clean.group_digest(orders.withColumn("price", price), "o_custkey", ["o_orderkey", "price", "o_orderstatus"])
 
 
 @query("b14_distance_regime", "catalog_a", sql="""

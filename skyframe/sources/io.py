@@ -79,16 +79,24 @@ def read_caption_jsonl(spark: SparkSession, path: str, sentinel: str = "INSUFFIC
     return usable.select("object_key", "caption").distinct(), rows.groupBy("status").agg(F.count("*").alias("n"))
 
 
-PREDICTION_SCHEMA = "sample_id string, object_id string, survey string, task string, regime string, ground_truth string, prediction string"
+#: Objects and lists under a field of type string are read as their JSON text.
+PREDICTION_SCHEMA = """sample_id string, object_id string, survey string, task string, regime string, ground_truth string, prediction string,
+caption struct<text string, responder_type string, model_id string>, candidate_query_lines array<string>,
+frontier_evaluation struct<frontier_model string, prompt string, raw_response string, parsed_successfully boolean, prediction string, is_correct boolean, forced_fallback boolean>"""
 
 
 def read_predictions(spark: SparkSession, path: str, valid: DataFrame | None = None) -> DataFrame:
     """Predictions by sample_id (or object_id); the last line of an id wins.
 
+    ``prediction`` is that of the evaluation where a record has one, else its own. A list is also given as
+    ``predicted_lines``, and a ground truth that maps lines to numbers as ``truth_lines``; else these are null.
     Lines are ordered by file, block and place in the block, so the order is that of the text.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
     rows = raw.select(F.from_json("value", PREDICTION_SCHEMA).alias("r"), "_f", "_b", "_i").select("r.*", "_f", "_b", "_i").withColumn("sample_id", F.coalesce("sample_id", "object_id")).drop("object_id")
+    rows = rows.withColumn("prediction", F.coalesce("frontier_evaluation.prediction", "prediction"))
+    rows = rows.withColumn("predicted_lines", F.when(F.col("prediction").startswith("["), F.from_json("prediction", "array<string>")))
+    rows = rows.withColumn("truth_lines", F.when(F.col("ground_truth").startswith("{"), F.from_json("ground_truth", "map<string,double>")))
     last = Window.partitionBy("sample_id").orderBy(F.desc("_f"), F.desc("_b"), F.desc("_i"))
     out = rows.where("sample_id IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_f", "_b", "_i")
     return out if valid is None else out.join(valid.select("sample_id"), "sample_id", "left_semi")
