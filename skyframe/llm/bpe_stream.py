@@ -302,6 +302,14 @@ def decode_documents(tokens: DataFrame, vocabulary: str | None = None) -> DataFr
     return unclash(tokens, ["doc_id", "n_tokens", "ids"]).mapInArrow(lean(_decode_batches(vocabulary or bpe_tables.default_vocabulary())), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
+def encode_and_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of every document, both ways in the same Python worker."""
+    vocabulary = vocabulary or bpe_tables.default_vocabulary()
+    encode, decode = _encode_batches(vocabulary), _decode_batches(vocabulary)
+    both = lean(lambda batches: decode(encode(batches)), lambda: _encoder(vocabulary).known.clear())
+    return unclash(docs, ["doc_id", "text"]).mapInArrow(both, "doc_id long, n_tokens long, ids binary, decoded string")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode_documents(encode_documents(read_table(spark, sf_dir, "documents")))
+    out = encode_and_decode(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

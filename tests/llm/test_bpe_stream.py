@@ -77,4 +77,5 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (2, "a b"), (2, "a b")], "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS decoded")
     rows = bpe_stream.decode_documents(bpe_stream.encode_documents(docs)).collect()
     assert sorted((r["n_tokens"], r["decoded"]) for r in rows) == [(0, ""), (0, ""), (2, "a b"), (2, "a b")]
+    assert sorted(map(tuple, bpe_stream.encode_and_decode(docs).collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert bpe_stream.encode_documents(docs.limit(0)).count() == 0
