@@ -1,11 +1,12 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Terms are lower-case runs of letters, digits and dots. The space has one dimension for each template term, with idf from the document counts of
-these terms over the whole corpus, and one for all other terms together, with the idf of a term never seen. A header is
-a line of a file; a licence file is one named like it, and is also compared as a whole.
+Terms are lower-case runs of letters, digits and dots, each a dimension of its own, with the idf of its document count
+over the whole corpus: all terms are counted in one aggregate, and the counts are joined to the terms that are compared.
+A header is a line of a file; a licence file is one named like it, and is also compared as a whole.
 
 No file is compared in full for nothing: for each template, ``anchors`` are its heaviest terms such that the other terms
-alone can't reach the threshold, so a line without any anchor is below it and is skipped without loss.
+alone can't reach the threshold, so a line without any anchor is below it and is skipped without loss. Lines that have
+one are written, and everything after works on them.
 
 A file takes the best licence of its own headers; else that of the nearest directory above it that has a licence file.
 Paths join directories by equality, one row for each ancestor of a file without a licence of its own.
@@ -23,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import read_table, unclash
+from skyframe.llm.common import read_table, small_side, stored, unclash
 
 #: Short notices by licence, in their usual wording.
 TEMPLATES = [
@@ -50,20 +51,18 @@ def terms(text: str) -> list[str]:
 
 
 def term_column(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({_TERM})"), F.lit(1))
+    """The same as an expression: pieces between all other characters, without dots at their ends."""
+    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.]+")
+    return F.array_remove(F.transform(pieces, lambda w: F.btrim(w, F.lit("."))), "")
 
 
 def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
     return sorted({t for _, text in templates for t in terms(text)})
 
 
-def document_counts(files: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of files, and of files with each word; one row a word reaches the driver."""
-    known = F.array(*[F.lit(w) for w in words])
-    # Candidates are cut at anything that can't be in a term; dots at their ends go.
-    split = F.array_intersect(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9.]+"), lambda w: F.btrim(w, F.lit("."))), known)
-    counts = {r["t"]: r["n"] for r in files.select(F.explode(split).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    return files.count(), counts
+def document_counts(files: DataFrame) -> DataFrame:
+    """(term, n): in how many files each term is."""
+    return files.select(F.explode_outer(F.array_distinct(term_column(F.col("text")))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
 
 
 class Weights:
@@ -71,7 +70,7 @@ class Weights:
 
     def __init__(self, templates: list[tuple[str, str]], total: int, counts: dict[str, int], least: float):
         self.idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary(templates)}
-        self.other = math.log(1 + total) + 1
+        self.total = total
         self.rows, anchors = [], set()
         for k, (name, text) in enumerate(templates):
             found = terms(text)
@@ -87,39 +86,40 @@ class Weights:
         self.anchors = sorted(anchors)
 
 
-def _best(segments: DataFrame, weights: Weights, least: float) -> DataFrame:
+def _best(segments: DataFrame, counts: DataFrame, weights: Weights, least: float) -> DataFrame:
     """Best licence of each key over its segments (key, place, terms)."""
-    idf = F.create_map(*[F.lit(x) for w, v in sorted(weights.idf.items()) for x in (w, v)])
     each = segments.select("key", "place", F.explode("terms").alias("term")).groupBy("key", "place", "term").agg(F.count("*").alias("tf"))
-    valued = each.withColumn("idf", F.try_element_at(idf, F.col("term")))
-    other = F.coalesce(F.sum(F.when(F.col("idf").isNull(), F.col("tf"))), F.lit(0)) * F.lit(weights.other)
-    norms = valued.groupBy("key", "place").agg(F.sqrt(F.sum(F.coalesce(F.pow(F.col("tf") * F.col("idf"), 2), F.lit(0.0))) + F.pow(other, 2)).alias("norm"))
+    idf = F.log((1 + weights.total) / (1 + F.col("n"))) + 1
+    valued = stored(each.join(small_side(counts), "term").select("key", "place", "term", (F.col("tf") * idf).alias("value")), "license-terms")
+    norms = valued.groupBy("key", "place").agg(F.sqrt(F.sum(F.pow("value", F.lit(2)))).alias("norm"))
     # One row for each term of each template: bounded by the templates, a parameter.
     table = segments.sparkSession.createDataFrame(weights.rows, "template int, license string, term string, weight double")
-    dots = valued.where("idf IS NOT NULL").join(F.broadcast(table), "term").groupBy("key", "place", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
+    dots = valued.join(F.broadcast(table), "term").groupBy("key", "place", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["key", "place"]).select("key", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
     top = scored.groupBy("key").agg(F.max("score").alias("score"))
     return scored.join(top, ["key", "score"]).groupBy("key", "score").agg(F.min("license").alias("license"))
 
 
-def own_licenses(files: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
+def own_licenses(files: DataFrame, counts: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
     """(key, license, score) of files (key, path, text) with a header or licence text of their own."""
     whole = F.coalesce(F.col("path").rlike(LICENCE_NAMES), F.lit(False))
     pattern = r"(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, weights.anchors)) + r")(?![a-z0-9])"
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     parts = F.when(whole, F.concat(F.array(F.coalesce("text", F.lit(""))), lines)).otherwise(lines)
     # Lines are tested for anchors before any is cut into terms.
-    segments = files.select("key", F.posexplode(F.filter(parts, lambda s: s.rlike(pattern))).alias("place", "line"))
-    return _best(segments.select("key", "place", term_column(F.col("line")).alias("terms")), weights, least)
+    segments = stored(files.select("key", F.posexplode(F.filter(parts, lambda s: s.rlike(pattern))).alias("place", "line")), "license-lines")
+    return _best(segments.select("key", "place", term_column(F.col("line")).alias("terms")), counts, weights, least)
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, path, license, score, origin (own, inherited, none) and the directory it came from, of files (doc_id, path, text)."""
     templates = templates or TEMPLATES
     files = unclash(files, ["doc_id", "path", "text"])
-    weights = Weights(templates, *document_counts(files, vocabulary(templates)), least)
+    counts = stored(document_counts(files), "document-counts")
+    known = {r["term"]: r["n"] for r in counts.where(F.col("term").isin(vocabulary(templates))).collect()}  # the templates' terms only
+    weights = Weights(templates, files.count(), known, least)
     keyed = files.withColumn("key", F.struct("doc_id", "path", F.xxhash64("text").alias("print")))
-    found = own_licenses(keyed.select("key", "path", "text"), weights, least).select(F.col("key.doc_id").alias("_d"), F.col("key.path").alias("_p"), F.col("key.print").alias("_t"), "license", "score")
+    found = stored(own_licenses(keyed.select("key", "path", "text"), counts, weights, least), "own-licenses").select(F.col("key.doc_id").alias("_d"), F.col("key.path").alias("_p"), F.col("key.print").alias("_t"), "license", "score")
     rows = files.select("doc_id", "path", F.xxhash64("text").alias("_own"))
     same = rows["doc_id"].eqNullSafe(found["_d"]) & rows["path"].eqNullSafe(found["_p"]) & (rows["_own"] == found["_t"])
     judged = rows.join(found, same, "left").select("doc_id", "path", "license", "score")

@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -7,18 +8,16 @@ from skyframe.llm import license_scan as l
 
 
 def brute(files):
-    vocab = l.vocabulary(l.TEMPLATES)
     total = len(files)
-    df = {w: sum(w in {x.strip(".") for x in re.split(r"[^a-z0-9.]+", (t or "").lower())} for _, _, t in files) for w in vocab}
-    idf = {w: math.log((1 + total) / (1 + df[w])) + 1 for w in vocab}
-    other = math.log(1 + total) + 1
+    df = Counter(w for _, _, t in files for w in set(re.findall(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]", (t or "").lower())))
+    idf = {w: math.log((1 + total) / (1 + df[w])) + 1 for w in [*df, *l.vocabulary(l.TEMPLATES)]}
     own = {}
     for key, path, text in files:
         best = None
         parts = (text or "").split("\n") + ([text or ""] if path and re.search(l.LICENCE_NAMES, path) else [])
         for part in parts:
             found = l.terms(part)
-            norm = math.sqrt(sum((found.count(w) * idf[w]) ** 2 for w in set(found) if w in idf) + (sum(w not in idf for w in found) * other) ** 2)
+            norm = math.sqrt(sum((found.count(w) * idf[w]) ** 2 for w in set(found)))
             for name, template in l.TEMPLATES:
                 tv = {w: l.terms(template).count(w) * idf[w] for w in l.terms(template)}
                 dot = sum(found.count(w) * idf[w] * v for w, v in tv.items())
@@ -59,6 +58,18 @@ def test_documents(spark):
     assert got == brute(rows) and {r[2] for r in got} == {"own", "inherited", "none"}
 
 
+def test_notices_with_words_around_them(spark):
+    """Common words around a notice weigh little, and each foreign term is a dimension of its own."""
+    common = "this is all of the code that you may see in here and it is good to have on the list of files"
+    rows = [(k, f"d/{k}.txt", f"{common} {k}") for k in range(40)]
+    rows += [(100, "e/1.txt", "the code in this is Released under the MIT License."), (101, "e/2.txt", "Licensed under the Apache License, Version 2.0 (the License) of all"), (102, "e/3.txt", "Released under the MIT License. zig zag zug zeg zog zyg zaz zez ziz zoz")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = result(l.scan(files))
+    assert got == brute(rows)
+    found = {k: name for k, name, _, _ in got}
+    assert found[100] == "MIT" and found[101] == "Apache-2.0" and found[102] is None
+
+
 def test_odd_rows(spark):
     rows = [(1, "LICENSE", "junk\nReleased under the MIT License.\nmore"), (2, "a/b/c.txt", None), (3, "a/COPYING", "All rights reserved."), (4, "a/b/d.txt", ""), (5, None, "x"), (6, "z.txt", "no licence " * 20_000), (7, "a/LICENSE.md", "Licensed under CC BY 4.0."), (8, "q/e.txt", "// licensed under the apache license version 2.0")]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit(1)).withColumn("key", F.lit("x"))
