@@ -51,8 +51,9 @@ def test_odd_rows_in_every_stage(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     item = next(r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() if len(r[0].split()) >= 8)
     passage = " ".join(f"p{k}" for k in range(60))
+    first = " ".join(f"a{k}" for k in range(60)) + " " + passage
     near = " ".join(f"n{k}" for k in range(40))
-    rows = [(1, None), (2, ""), (None, "no id " + passage), (3, "first " + passage), (4, passage + " second"), (4, passage + " second"), (5, near), (6, near + " more"), (7, "leak " + item), (7, "leak " + item), (8, "long " * 30_000), (None, None)]
+    rows = [(1, None), (2, ""), (None, "no id " + passage), (3, first), (4, passage + " second"), (4, passage + " second"), (5, near), (6, near + " more"), (7, "leak " + item), (7, "leak " + item), (8, "long " * 30_000), (None, None)]
     docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in rows], schema)
     docs = docs.selectExpr("*", "1 AS kept", "2 AS bands", "3 AS ids", "4 AS words", "'x' AS _print", "5 AS item_id", "6 AS component_id")
     got = []
@@ -66,7 +67,7 @@ def test_odd_rows_in_every_stage(spark, sf):
     assert set(got[0]) <= set(rows) and not {1, 2} & set(by_id(got[0]))
     assert got[1] == sorted((r for r in rows if r[0] != 6), key=str)
     text = dict(got[2])
-    assert by_id(got[2]) == sorted(ids, key=str) and text[1] == "" and text[3] == "first " + passage and text[4] == "second"
+    assert by_id(got[2]) == sorted(ids, key=str) and text[1] == "" and text[3] == first and text[4] == "second"
     assert (None, "no id " + passage) in got[2] and (8, rows[10][1]) in got[2]
     assert by_id(got[3]) == sorted((i for i in ids if i != 7), key=str)
     assert by_id(got[4]) == sorted(ids, key=str) and dict(got[4])[1] == 0 and dict(got[4])[8] > 30_000
