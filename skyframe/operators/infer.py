@@ -53,6 +53,8 @@ def projection_encoder(width: int = 4, seed: int = 7) -> Callable[[], Callable]:
     return factory
 
 
+#: Lengths of the prefixes of an order by which costs are summed.
+ORDER_PREFIXES = (6, 12, 18, 21)
 RESULT = "answer string, raw string, n_calls int, forced boolean, failure_reason string, seconds double"
 
 
@@ -129,15 +131,29 @@ def reserve(prompt: Column, output_tokens: int, input_price: float, output_price
 
 
 def within_budget(df: DataFrame, cost: str, limit: float, order: str, spent: float = 0.0) -> DataFrame:
-    """Rows in order before the first one that would cross the limit.
+    """Rows in order before the first one that would cross the limit; rows without an order are left out.
 
-    Costs are summed per bucket of the order first, so that no task sees all rows: only bucket sums are accumulated.
+    Costs are summed by prefixes of the order of 21, 18, ... characters, each sum from the one below it. What lies before
+    a prefix is what lies before its parent and its earlier siblings, so no task accumulates more than the siblings of
+    one prefix. Numbers are compared as numbers (not negative), texts as texts.
     """
     from pyspark.sql import Window
 
-    dealt = df.withColumn("_bucket", F.substring(F.lpad(F.col(order).cast("string"), 24, "0"), 1, 21))
-    sums = dealt.groupBy("_bucket").agg(F.sum(cost).alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_bucket")) - F.col("_sum")).drop("_sum")
+    text = F.col(order) if df.schema[order].dataType.simpleString() == "string" else F.lpad(F.col(order).cast("string"), 24, "0")
+    dealt = df.where(F.col(order).isNotNull()).withColumn("_bucket", F.substring(text, 1, ORDER_PREFIXES[-1]))
+    sums = [dealt.groupBy("_bucket").agg(F.sum(cost).alias("_sum"))]
+    for size in reversed(ORDER_PREFIXES[:-1]):
+        sums.append(sums[-1].groupBy(F.substring("_bucket", 1, size).alias("_bucket")).agg(F.sum("_sum").alias("_sum")))
+    before = None
+    for level, parent in zip(reversed(sums), [0, *ORDER_PREFIXES[:-1]], strict=True):
+        level = level.withColumn("_parent", F.substring("_bucket", 1, parent))
+        earlier = F.sum("_sum").over(Window.partitionBy("_parent").orderBy("_bucket")) - F.col("_sum")
+        level = level.select("_bucket", "_parent", earlier.alias("_earlier"))
+        if before is None:
+            before = level.select("_bucket", F.col("_earlier").alias("_before"))
+        else:
+            above = before.select(F.col("_bucket").alias("_parent"), F.col("_before").alias("_above"))
+            before = level.join(above, "_parent").select("_bucket", (F.col("_above") + F.col("_earlier")).alias("_before"))
     run = F.sum(cost).over(Window.partitionBy("_bucket").orderBy(order))
     return dealt.join(before, "_bucket").withColumn("running", F.col("_before") + run + spent).where(F.col("running") <= limit).drop("_bucket", "_before")
 

@@ -39,5 +39,6 @@ def linear_probe(train: DataFrame, held_out: DataFrame, values: str, label: str,
         found = [scores(weighted.where(F.col("fold") != f), weighted.where(F.col("fold") == f), reg).first() for f in range(folds)]
         rank = (sum(r["macro_f1"] for r in found), sum(r["balanced_accuracy"] for r in found), -reg)
         best = max(best, (rank, reg)) if best else (rank, reg)
-    out = scores(weighted, prepared(held_out), best[1])
+    out = scores(weighted, prepared(held_out), best[1])  # fitted here; only the held-out rows are read later
+    weighted.unpersist()
     return out.withColumn("reg", F.lit(best[1]))

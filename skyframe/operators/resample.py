@@ -4,6 +4,10 @@ All metrics here depend on a row only through a small cell: its score, its (true
 scores. So rows are counted by cell once, and each replicate draws cell counts from a multinomial: the distribution of
 index resampling at a cost that doesn't depend on the number of rows. Replicates are spread over tasks; each has a
 generator of its own seed, so results don't depend on the layout.
+
+A group with more than MAX_CELLS cells is drawn where its cells are read instead: each cell of n rows gets a Poisson(n)
+weight per replicate from a generator seeded by the cell, and only weighted sums are shuffled. That is the multinomial
+without its fixed total; on so many cells the two intervals are the same to a part in a hundred or so.
 """
 
 from __future__ import annotations
@@ -23,15 +27,6 @@ MAX_CELLS = 100_000
 BLOCK = 500
 
 
-def _cells(df: DataFrame, columns: list[str]) -> pd.DataFrame:
-    """Counts per cell; the number of cells is checked before they reach the driver."""
-    cells = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    rows = cells.orderBy(*columns).limit(MAX_CELLS + 1).toPandas()
-    if len(rows) > MAX_CELLS:
-        raise ValidationError(f"more than {MAX_CELLS} distinct cells; round the scores or use poisson_ci")
-    return rows
-
-
 def _replicates(spark, n: int, seed: int, draw: Callable[[np.random.Generator], dict[str, float]], names: list[str]) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -50,56 +45,99 @@ def _interval(reps: DataFrame, names: list[str], points: dict[str, float], extra
 
 def bootstrap_ci(df: DataFrame, score: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """(metric, value, low, high, n): mean score with its 95 per cent interval; zeros without rows, the value with one."""
-    cells = _cells(df.where(F.col(score).isNotNull()), [score])
-    n, values = int(cells["n"].sum()), cells[score].to_numpy(float)
-    if n < 2:
-        v = float(values[0]) if n else 0.0
-        return df.sparkSession.createDataFrame([("mean", v, v, v, n)], "metric string, value double, low double, high double, n int")
-    p = cells["n"].to_numpy() / n
-    reps = _replicates(df.sparkSession, replicates, seed, lambda g: {"mean": float(g.multinomial(n, p) @ values / n)}, ["mean"])
-    return _interval(reps, ["mean"], {"mean": float(p @ values)}, {"n": n})
+    known = df.select(F.lit(0).alias("_all"), F.col(score).alias("_score")).where("_score IS NOT NULL")
+    if known.isEmpty():
+        return df.sparkSession.createDataFrame([("mean", 0.0, 0.0, 0.0, 0)], "metric string, value double, low double, high double, n int")
+    return bootstrap_by(known, "_score", "_all", replicates, seed).drop("_all")
+
 
+#: Linear metrics by name: the weights of the columns' means.
+Linear = dict[str, list[float]]
+PAIRED: Linear = {"base": [1.0, 0.0], "treatment": [0.0, 1.0], "delta": [-1.0, 1.0]}
 
-def _grouped(df: DataFrame, columns: list[str], by: str, replicates: int, seed: int, draw: Callable[[np.ndarray, list[np.ndarray]], dict[str, float]], names: list[str], empty: bool) -> DataFrame:
-    """Per group: ``n``, and for each name the value of the cells (``name``) and its two quantiles (``_name``), besides all replicates' ``delta <= 0`` if there is a delta.
 
-    Cells of all groups are counted at once; tasks get the cells of a group and a block of replicates. Rows with a null
-    among the columns count only as members of their group; a group without other rows has zeros, or is an error unless ``empty``.
+def _exact(cells: DataFrame, width: int, replicates: int, seed: int, metrics: Linear) -> DataFrame:
+    """(_by, n, each metric of the cells, and of each replicate with an underscore) by multinomial draws.
+
+    Tasks get the cells of a group and a block of replicates.
     """
-    known = F.lit(True)
-    for c in columns:
-        known = known & F.col(f"`{c}`").isNotNull()
-    cells = df.select(F.col(by).alias("_by"), *[F.when(known, F.col(f"`{c}`")).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
-    cells = cells.groupBy(*cells.columns).agg(F.count("*").alias("_n"))
-    per = cells.groupBy("_by").agg(F.count("_x0").alias("k")).agg(F.min("k"), F.max("k")).first()
-    if per[1] is not None and per[1] > MAX_CELLS:
-        raise ValidationError(f"more than {MAX_CELLS} distinct cells; round the scores or use poisson_ci")
-    if per[0] == 0 and not empty:
-        raise ValidationError("no pairs")
+    columns, weights = [f"_x{k}" for k in range(width)], np.array(list(metrics.values()))
 
     def run(table: pa.Table) -> pa.Table:
         first, group = table["_first"][0].as_py(), table["_by"].slice(0, 1).combine_chunks()
-        rows = table.select([c for c in table.column_names if c not in ("_by", "_first")]).to_pandas().dropna().sort_values([f"_x{k}" for k in range(len(columns))])
-        n, values = int(rows["_n"].sum()), [rows[f"_x{k}"].to_numpy(float) for k in range(len(columns))]
+        rows = table.select([*columns, "_n"]).to_pandas().dropna().sort_values(columns)
+        n, size = int(rows["_n"].sum()), min(BLOCK, replicates - first)
+        values = rows[columns].to_numpy(float) @ weights.T
         p = rows["_n"].to_numpy() / max(n, 1)
-        size = min(BLOCK, replicates - first)
-        each = [draw(np.random.default_rng([seed, r]).multinomial(n, p) / n, values) if n else dict.fromkeys(names, 0.0) for r in range(first, first + size)]
-        points = draw(p, values) if n else dict.fromkeys(names, 0.0)
+        each = np.array([np.random.default_rng([seed, r]).multinomial(n, p) / n @ values if n else np.zeros(len(metrics)) for r in range(first, first + size)])
+        points = p @ values if n else np.zeros(len(metrics))
         out = {"_by": group.take(pa.array([0] * size)), "n": pa.array([n] * size, pa.int64())}
-        out |= {c: pa.array([points[c]] * size, pa.float64()) for c in names}
-        return pa.table(out | {f"_{c}": pa.array([float(e[c]) for e in each], pa.float64()) for c in names})
+        out |= {c: pa.array([points[k]] * size, pa.float64()) for k, c in enumerate(metrics)}
+        return pa.table(out | {f"_{c}": pa.array(each[:, k], pa.float64()) for k, c in enumerate(metrics)})
 
     blocks = cells.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))))
     kind = cells.schema["_by"].dataType.simpleString()
-    reps = blocks.groupBy("_by", "_first").applyInArrow(run, ", ".join([f"_by {kind}", "n long", *[f"`{c}` double" for c in names], *[f"`_{c}` double" for c in names]]))
+    return blocks.groupBy("_by", "_first").applyInArrow(run, ", ".join([f"_by {kind}", "n long", *[f"`{c}` double" for c in metrics], *[f"`_{c}` double" for c in metrics]]))
+
+
+def _summed(cells: DataFrame, width: int, replicates: int, seed: int, metrics: Linear) -> DataFrame:
+    """The same columns by Poisson weights of the cells, summed per group and replicate before they are shuffled."""
+    columns = [f"_x{k}" for k in range(width)]
+    kind = cells.schema["_by"].dataType
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b["_group"].to_numpy()
+            values, counts, marks = np.column_stack([b[c].to_numpy(zero_copy_only=False) for c in columns]), b["_n"].to_numpy(), b["_mark"].to_numpy()
+            for code in np.unique(codes):
+                at = np.flatnonzero(codes == code)
+                sums = np.zeros((replicates, width + 1))
+                for i in at:
+                    weights = np.random.default_rng([seed, int(marks[i]) & ((1 << 63) - 1)]).poisson(counts[i], replicates)
+                    sums += weights[:, None] * np.append(values[i], 1.0)
+                group = b["_by"].take(pa.array([at[0]] * replicates))
+                yield pa.RecordBatch.from_arrays([group, pa.array(range(replicates), pa.int64()), *[pa.array(sums[:, k]) for k in range(width + 1)]], names=["_by", "replicate", *columns, "_w"])
+
+    # In order of groups, so that a batch holds few of them.
+    read = cells.dropna(subset=columns).select("_by", *columns, "_n", F.xxhash64("_by", *columns).alias("_mark"), F.xxhash64("_by").alias("_group")).repartition("_by", *columns).sortWithinPartitions("_group")
+    sums = read.mapInArrow(run, ", ".join([f"_by {kind.simpleString()}", "replicate long", *[f"{c} double" for c in columns], "_w double"]))
+    sums = sums.groupBy("_by", "replicate").agg(*[F.sum(c).alias(c) for c in [*columns, "_w"]])
+    mix = lambda w: sum((F.col(c) * w[k] for k, c in enumerate(columns)), F.lit(0.0)) / F.col("_w")
+    drawn = sums.select(F.col("_by").alias("_g"), *[mix(w).alias(f"_{c}") for c, w in metrics.items()])
+    whole = cells.dropna(subset=columns).groupBy("_by").agg(F.sum("_n").alias("_w"), *[F.sum(F.col(c) * F.col("_n")).alias(c) for c in columns])
+    points = whole.select("_by", F.col("_w").alias("n"), *[mix(w).alias(c) for c, w in metrics.items()])
+    return points.join(drawn, F.col("_by").eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def _grouped(df: DataFrame, columns: list[str], by: str, replicates: int, seed: int, metrics: Linear, empty: bool) -> DataFrame:
+    """Per group: ``n``, and for each metric its value (``name``) and its two quantiles (``_name``), besides all replicates' ``delta <= 0`` if there is a delta.
+
+    Cells of all groups are counted at once. Rows with a null among the columns count only as members of their group; a
+    group without other rows has zeros, or is an error unless ``empty``.
+    """
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(f"`{c}`").isNotNull()
+    cells = df.select(F.col(by).alias("_by"), *[F.when(known, F.col(f"`{c}`")).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
+    cells = cells.groupBy(*cells.columns).agg(F.count("*").alias("_n"))
+    sizes = cells.groupBy("_by").agg(F.count("_x0").alias("_k"))
+    least, most = sizes.agg(F.min("_k"), F.max("_k")).first()
+    if least == 0 and not empty:
+        raise ValidationError("no pairs")
+    if most is None or most <= MAX_CELLS:
+        reps = _exact(cells, len(columns), replicates, seed, metrics)
+    else:
+        marked = cells.join(sizes.select(F.col("_by").alias("_g"), "_k"), F.col("_by").eqNullSafe(F.col("_g"))).drop("_g")
+        small, large = marked.where(F.col("_k") <= MAX_CELLS).drop("_k"), marked.where(F.col("_k") > MAX_CELLS).drop("_k")
+        reps = _exact(small, len(columns), replicates, seed, metrics).unionByName(_summed(large, len(columns), replicates, seed, metrics))
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    gains = [F.avg((F.col("_delta") <= 0).cast("int")).alias("p_value")] if "delta" in names else []
-    return reps.groupBy("_by").agg(F.max("n").cast("int").alias("n"), *[F.max(c).alias(c) for c in names], *[q(f"_{c}").alias(f"_{c}") for c in names], *gains)
+    gains = [F.avg((F.col("_delta") <= 0).cast("int")).alias("p_value")] if "delta" in metrics else []
+    return reps.groupBy("_by").agg(F.max("n").cast("int").alias("n"), *[F.max(c).alias(c) for c in metrics], *[q(f"_{c}").alias(f"_{c}") for c in metrics], *gains)
 
 
 def bootstrap_by(df: DataFrame, score: str, by: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Interval of the mean score in each group."""
-    out = _grouped(df, [score], by, replicates, seed, lambda w, v: {"mean": float(w @ v[0])}, ["mean"], True)
+    out = _grouped(df, [score], by, replicates, seed, {"mean": [1.0]}, True)
     return out.select(F.lit("mean").alias("metric"), F.col("mean").alias("value"), F.get("_mean", F.lit(0)).alias("low"), F.get("_mean", F.lit(1)).alias("high"), "n", F.col("_by").alias(by))
 
 
@@ -132,9 +170,11 @@ def _class_metrics(counts: np.ndarray, labels: list[str]) -> dict[str, float]:
 
 def stratified_bootstrap(df: DataFrame, truth: str, predicted: str, labels: list[str], replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Intervals of class metrics, resampled inside each true class; a class without rows is an error."""
-    cells = _cells(df.where(F.col(truth).isin(labels)), [truth, predicted])
+    # Answers that are no label count as one, so there are at most labels * (labels + 1) cells.
+    answer = F.when(F.col(predicted).isin(labels), F.col(predicted))
+    cells = df.where(F.col(truth).isin(labels)).groupBy(F.col(truth), answer).agg(F.count("*")).collect()
     table = np.zeros((len(labels), len(labels) + 1))
-    for t, p, n in cells.itertuples(index=False):
+    for t, p, n in cells:
         table[labels.index(t), labels.index(p) if p in labels else len(labels)] += n
     sizes = table.sum(axis=1)
     if (sizes == 0).any():
@@ -147,30 +187,15 @@ def stratified_bootstrap(df: DataFrame, truth: str, predicted: str, labels: list
 def paired_bootstrap(df: DataFrame, base: str, treatment: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """One row: means of both runs and of their difference with intervals, and the share of replicates without a gain."""
     both = df.select(F.col(base).alias("_base"), F.col(treatment).alias("_treatment")).dropna()
-    cells = _cells(both, ["_base", "_treatment"])
-    if not len(cells):
+    if both.isEmpty():
         raise ValidationError("no pairs")
-    n, a, b = int(cells["n"].sum()), cells["_base"].to_numpy(float), cells["_treatment"].to_numpy(float)
-    p = cells["n"].to_numpy() / n
-
-    def draw(g: np.random.Generator) -> dict[str, float]:
-        w = g.multinomial(n, p) / n
-        return {"base": float(w @ a), "treatment": float(w @ b), "delta": float(w @ (b - a))}
-
-    names = ["base", "treatment", "delta"]
-    q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    one = _replicates(df.sparkSession, replicates, seed, draw, names).agg(*[q(c).alias(f"_{c}") for c in names], F.avg((F.col("delta") <= 0).cast("int")).alias("p_value"))
-    points = {"base": float(p @ a), "treatment": float(p @ b), "delta": float(p @ (b - a))}
-    cols = [x for c in names for x in (F.lit(points[c]).alias(c), F.get(f"_{c}", F.lit(0)).alias(f"{c}_low"), F.get(f"_{c}", F.lit(1)).alias(f"{c}_high"))]
-    return one.select(*cols, "p_value", F.lit(n).alias("n"))
+    return paired_bootstrap_by(both.withColumn("_all", F.lit(0)), "_base", "_treatment", "_all", replicates, seed).drop("_all")
 
 
 def paired_bootstrap_by(df: DataFrame, base: str, treatment: str, by: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """:func:`paired_bootstrap` of each group."""
-    names = ["base", "treatment", "delta"]
-    draw = lambda w, v: {"base": float(w @ v[0]), "treatment": float(w @ v[1]), "delta": float(w @ (v[1] - v[0]))}
-    out = _grouped(df, [base, treatment], by, replicates, seed, draw, names, False)
-    cols = [x for c in names for x in (F.col(c), F.get(f"_{c}", F.lit(0)).alias(f"{c}_low"), F.get(f"_{c}", F.lit(1)).alias(f"{c}_high"))]
+    out = _grouped(df, [base, treatment], by, replicates, seed, PAIRED, False)
+    cols = [x for c in PAIRED for x in (F.col(c), F.get(f"_{c}", F.lit(0)).alias(f"{c}_low"), F.get(f"_{c}", F.lit(1)).alias(f"{c}_high"))]
     return out.select(*cols, "p_value", "n", F.col("_by").alias(by))
 
 

@@ -264,7 +264,7 @@ def b18(lineitem: DataFrame) -> DataFrame:
     return lineitem.select("l_orderkey", (F.get(picked, F.lit(1))["flux"] * 100 + F.get(picked, F.lit(0))["flux"]).alias("picked"))
 
 
-@query("b19_repair_rows", "embeddings")
+@query("b19_repair_rows", "embeddings", sql="SELECT vec_id, CAST(8 AS INT) AS n_rows, CAST(8 * len(list_filter(range(8), lambda k : (k + vec_id) % 5 = 0)) AS INT) AS n_nan FROM {embeddings}")
 def b19(embeddings: DataFrame) -> DataFrame:
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when((k + F.col("vec_id")) % 5 != 0, F.transform(F.slice("embedding", k * 8 + 1, 8), lambda x: x.cast("double"))))
     fixed = arrays.repair_rows(rows)
@@ -283,7 +283,9 @@ def b21(arr: DataFrame) -> DataFrame:
     return _spectra(arr).groupBy(arrays.length_bucket(F.col("wave")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("b22_pad_spectra", "arr")
+@query("b22_pad_spectra", "arr", sql="""
+WITH g AS (SELECT object_id, count(*) AS k, list(wave ORDER BY pos, wave, flux, ivar, masked)[-1] AS ending, count(*) FILTER (WHERE masked) AS m FROM {arr} GROUP BY 1), w AS (SELECT *, max(k) OVER (PARTITION BY object_id % 50) AS n FROM g)
+SELECT object_id, CAST(n AS INT) AS n, round(ending + (n - k) * 0.8e0, 3) AS last_wave, CAST(m + n - k AS INT) AS n_masked FROM w""")
 def b22(arr: DataFrame) -> DataFrame:
     padded = arrays.pad_spectra(_spectra(arr).withColumn("batch", F.pmod(F.col("object_id"), F.lit(50))), "batch", "wave", "flux", "ivar", "masked")
     return padded.select("object_id", F.size("wave").alias("n"), F.round(F.element_at("wave", -1), 3).alias("last_wave"), F.size(F.filter("masked", lambda m: m)).alias("n_masked"))
@@ -304,7 +306,7 @@ def b26(points: DataFrame) -> DataFrame:
     return out.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
-@query("b27_pad_tokens", "embeddings")
+@query("b27_pad_tokens", "embeddings", sql="SELECT vec_id, CAST(6 AS INT) AS n, CAST(greatest(5 - label, 0) AS INT) AS n_absent FROM {embeddings}")
 def b27(embeddings: DataFrame) -> DataFrame:
     tokens = F.transform(F.sequence(F.lit(0), F.col("label").cast("int")), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda x: x.cast("double")))
     p = arrays.pad_tokens(tokens, 6, 4)
@@ -331,7 +333,9 @@ def g19(arr: DataFrame) -> DataFrame:
     return _spectra(arr).select("object_id", arrays.spectrum_text(F.col("wave"), F.col("flux"), 100).alias("text"))
 
 
-@query("d29_half_precision_error", "embeddings")
+@query("d29_half_precision_error", "embeddings", sql="""
+WITH x AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM {embeddings}), u AS (SELECT x, pow(2, greatest(floor(log2(abs(x))), -14) - 10) AS step FROM x WHERE x <> 0)
+SELECT max(abs(x - round_even(x / step, 0) * step)) AS max_error FROM u""")
 def d29(embeddings: DataFrame) -> DataFrame:
     return arrays.fp16_error(embeddings, "embedding")
 
@@ -593,7 +597,8 @@ def g21(objects: DataFrame) -> DataFrame:
     return objects.select("object_id", t.wrapper_text(subset, {"label": "a label"}, "The {modalities} of:", " end").alias("text"))
 
 
-@query("g22_fingerprint", "orders")
+@query("g22_fingerprint", "orders", sql="""
+SELECT o_orderkey, sha256(concat('{"o_custkey":', o_custkey, ',"o_orderstatus":"', o_orderstatus, '"}')) AS fingerprint, substr(sha256(concat('{"o_custkey":', o_custkey, '}')), 1, 16) AS short FROM {orders}""")
 def g22(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", c.fingerprint(F.col("o_custkey"), F.col("o_orderstatus")).alias("fingerprint"), c.short_fingerprint(F.col("o_custkey")).alias("short"))
 

@@ -444,8 +444,8 @@ def manifest_balance(catalog: DataFrame, images: DataFrame) -> DataFrame:
 
 
 @query("d31_overlap_rate", "customer", "orders", sql="""
-WITH b AS (SELECT DISTINCT o_custkey AS k FROM {orders}), a AS (SELECT c_custkey AS k FROM {customer} WHERE c_custkey % 3 = 0)
+WITH b AS (SELECT DISTINCT o_custkey AS k FROM {orders}), a AS (SELECT c_custkey AS k FROM {customer} WHERE c_acctbal > 0)
 SELECT count(*) AS n_keys, count(a.k) AS n_found, round(count(a.k) / count(*), 6) AS rate, count(a.k) / count(*) < 0.5 AS low FROM b LEFT JOIN a USING (k)""")
 def d31(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    out = joins.overlap_rate(customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("object_id")), orders.select(F.col("o_custkey").alias("object_id")))
+    out = joins.overlap_rate(customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("object_id")), orders.select(F.col("o_custkey").alias("object_id")))
     return out.withColumn("rate", F.round("rate", 6))

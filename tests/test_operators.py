@@ -11,6 +11,7 @@ from skyframe.functions import columns as c
 from skyframe.functions import text as t
 from skyframe.operators import captions, checks, clean, infer, joins, lightcurves, resample, scoring, splits
 from skyframe.sources import io
+from skyframe.streaming import ledger as streams
 
 
 def sep(a, b):
@@ -276,3 +277,60 @@ def test_prose_holds_whole_texts(spark, sf):
     docs = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.length("text")).collect())
     prose = dict(registry.base.frame(spark, sf, "prose").select("doc_id", F.length("text")).collect())
     assert prose == docs and max(n or 0 for n in docs.values()) > 400
+
+
+def test_bootstrap_of_groups_with_many_cells(spark, monkeypatch):
+    """Beyond the limit of cells, weights are drawn where cells are read: the same values, nearly the same intervals, on any layout."""
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x), float(x + rng.normal(0.1, 1))) for g, n in (("big", 800), ("small", 50)) for x in np.round(rng.normal(size=n), 6)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").unionByName(spark.createDataFrame([(None, 1.0, 2.0), ("big", None, 1.0)], "g string, a double, b double"))
+    exact = {r["g"]: r for r in resample.paired_bootstrap_by(df, "a", "b", "g", 600).collect()}
+    monkeypatch.setattr(resample, "MAX_CELLS", 100)
+    drawn, again = ({r["g"]: r for r in resample.paired_bootstrap_by(x, "a", "b", "g", 600).collect()} for x in (df, df.repartition(7)))
+    assert set(drawn) == set(exact) == {"big", "small", None}
+    for name in ("small", None):
+        assert drawn[name] == exact[name]
+    e, d = exact["big"], drawn["big"]
+    assert d["n"] == e["n"] == 800
+    for m in ("base", "treatment", "delta"):
+        assert abs(d[m] - e[m]) < 1e-9 and d[f"{m}_low"] < d[m] < d[f"{m}_high"]
+        assert all(abs(d[f"{m}_{end}"] - e[f"{m}_{end}"]) < 0.25 * (e[f"{m}_high"] - e[f"{m}_low"]) for end in ("low", "high"))
+    assert all(abs(d[c] - again["big"][c]) < 1e-9 for c in d.asDict() if c != "g")
+    one = resample.bootstrap_ci(df.where("g = 'big'"), "b", 300).first()
+    assert one["n"] == 801 and one["low"] < one["value"] < one["high"]
+
+
+def test_budget_by_prefixes(spark):
+    def kept(rows, kind, limit):
+        df = spark.createDataFrame(rows, f"o {kind}, cost double")
+        return sorted((r["o"], r["running"]) for r in infer.within_budget(df, "cost", limit, "o").collect())
+
+    rng = np.random.default_rng(2)
+    numbers = [(int(k), float(rng.integers(1, 9))) for k in rng.choice(10**13, 300, replace=False)] + [(5, 1.0), (40, 2.0)]
+    texts = [(f"{'ab' * int(n)}{n}{k}", float(rng.integers(1, 9))) for k, n in enumerate(rng.integers(0, 20, 300))] + [("", 1.0), ("a", 1.0)]
+    for rows, kind in ((numbers, "long"), (texts, "string")):
+        total, want = 0.0, []
+        for o, cost in sorted(rows):
+            total += cost
+            want += [(o, total)] if total <= 500 else []
+        assert kept([*rows, (None, 1.0)], kind, 500.0) == want and 10 < len(want) < len(rows)
+    assert kept([(None, 1.0)], "long", 5.0) == []
+
+
+def test_stream_ledger_rewrites_touched_parts(spark, tmp_path):
+    root, schema = f"file://{tmp_path}", "object_id string, seq long, status string"
+    fold = lambda rows: (spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{root}/in"), streams.stream_ledger(spark, f"{root}/in", schema, f"{root}/out", f"{root}/at", parts=8).awaitTermination())
+    versions = lambda: {b.name: {p.name for p in b.glob("part=*")} for b in (tmp_path / "out").glob("batch=*")}
+    fold([(str(k), 1, "a") for k in range(100)])
+    assert len(versions()["batch=0"]) == 8
+    fold([("3", 2, "b"), ("new", 1, "c")])
+    touched = versions()["batch=1"]
+    assert 1 <= len(touched) <= 2 and len(versions()["batch=0"]) == 8
+    # A batch that runs again starts from the versions before it.
+    (tmp_path / "at" / "commits" / "1").unlink()
+    (tmp_path / "at" / "commits" / ".1.crc").unlink(missing_ok=True)
+    fold([("3", 1, "old")])
+    assert versions()["batch=1"] == touched and versions()["batch=0"].isdisjoint(touched) and len(versions()["batch=0"]) == 8 - len(touched)
+    got = {r["object_id"]: (r["seq"], r["status"]) for r in streams.current_table(spark, f"{root}/out").collect()}
+    assert got == {str(k): (1, "a") for k in range(100)} | {"3": (2, "b"), "new": (1, "c")}
+    assert streams.current_table(spark, f"{root}/none") is None
