@@ -6,7 +6,9 @@ the entries of all patterns that its URL has, and the as-of condition leaves tho
 longest active pattern decides; without one, or where it was removed, the capture is allowed.
 
 All steps are equi-joins, windows and aggregates. Patterns of the list are first reduced to one entry a day, so a window
-holds days and not entries; a host with very many captures is on the splittable side of its join.
+holds days and not entries. The intervals of a pattern are gathered by calendar year, 366 at most in a row, so a capture
+meets one row for each of its patterns, however many dated entries they have, and looks its interval up in it; a host
+with very many captures is on the splittable side of its join.
 
 Defined cases: a null or unparsable URL has no pattern and is allowed; a null fetch time is allowed; entries with a null
 pattern or date are ignored; of several entries for one pattern and day the last sequence number counts, then the
@@ -44,20 +46,31 @@ def url_patterns(url: Column, depth: int) -> Column:
 
 def validity(entries: DataFrame) -> DataFrame:
     """(pattern, action, valid_from, valid_to) from entries (pattern, action, entry_date, seq); ``remove`` ends an interval."""
-    days = entries.where("pattern IS NOT NULL AND entry_date IS NOT NULL").groupBy("pattern", "entry_date").agg(F.max(F.struct("seq", "action")).alias("_last"))
+    days = entries.where("pattern IS NOT NULL AND entry_date IS NOT NULL").groupBy("pattern", F.to_date("entry_date").alias("entry_date")).agg(F.max(F.struct("seq", "action")).alias("_last"))
     order = Window.partitionBy("pattern").orderBy("entry_date")
     spans = days.select("pattern", F.col("_last.action").alias("action"), F.col("entry_date").alias("valid_from"), F.lead("entry_date").over(order).alias("valid_to"))
     return spans.where("action <> 'remove'")
 
 
+def by_year(spans: DataFrame, first: int, last: int) -> DataFrame:
+    """(pattern, year, spans): the intervals that reach into each year from ``first`` to ``last``."""
+    start = F.greatest(F.year("valid_from"), F.lit(first))
+    end = F.least(F.coalesce(F.year("valid_to"), F.lit(last)), F.lit(last))
+    each = spans.where(start <= end).select("pattern", F.struct("valid_from", "valid_to", "action").alias("span"), F.explode(F.sequence(start, end)).alias("year"))
+    return each.groupBy("pattern", "year").agg(F.collect_list("span").alias("spans"))
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Captures (page_id, url, fetched_on) with the deciding pattern, its action and ``blocked``."""
     spans = validity(entries)
     depth = spans.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     own = unclash(captures, ["page_id", "url", "fetched_on"])
     asked = own.select("url", "fetched_on").where("url IS NOT NULL AND fetched_on IS NOT NULL").distinct()
-    keyed = asked.select("url", "fetched_on", F.explode(url_patterns(F.col("url"), depth)).alias("pattern"))
-    active = keyed.join(spans, "pattern").where("valid_from <= fetched_on AND (valid_to IS NULL OR fetched_on < valid_to)")
+    years = own.where("url IS NOT NULL").agg(F.min(F.year("fetched_on")), F.max(F.year("fetched_on"))).first()
+    keyed = asked.select("url", "fetched_on", F.year("fetched_on").alias("year"), F.explode(url_patterns(F.col("url"), depth)).alias("pattern"))
+    met = keyed.join(by_year(spans, years[0] or 0, years[1] or 0), ["pattern", "year"])
+    holds = F.filter("spans", lambda s: (s["valid_from"] <= F.col("fetched_on")) & (s["valid_to"].isNull() | (F.col("fetched_on") < s["valid_to"])))
+    active = met.select("url", "fetched_on", "pattern", F.get(holds, F.lit(0)).alias("_span")).where("_span IS NOT NULL").select("url", "fetched_on", "pattern", "_span.action", "_span.valid_from")
     # Patterns of one URL are nested or are suffixes of its host, so length orders them; a path pattern beats any host.
     best = active.groupBy("url", "fetched_on").agg(F.max(F.struct(F.contains("pattern", F.lit("/")).alias("deep"), F.length("pattern").alias("size"), "pattern", "action", "valid_from")).alias("_best"))
     out = own.join(best, ["url", "fetched_on"], "left")

@@ -26,3 +26,23 @@ def test_intervals_and_precedence(spark):
     assert out == [(1, "a.example.com/ok", False), (2, "a.example.com", True), (2, "a.example.com", True), (3, None, False), (4, "example.com", True), (5, None, False), (6, None, False), (7, None, False), (8, None, False)]
     assert not any(r["blocked"] for r in u.filter_urls(caps, ent.limit(0)).collect())
     assert u.filter_urls(caps.limit(0), ent).count() == 0
+
+
+def test_busy_pattern_against_brute_force(spark):
+    """A hot host with an entry on most days of four years: as-of by the last entry up to the fetch day."""
+    start = dt.date(2020, 11, 3)
+    day = lambda n: start + dt.timedelta(days=n)
+    entries = [("hot.org", ("block", "allow", "remove")[n * n % 3], day(n), 1) for n in range(0, 1400) if n % 5] + [("hot.org/a", "allow", day(700), 1), ("hot.org/a", "remove", day(900), 1)]
+    caps = [(n, "http://hot.org/" + ("a" if n % 2 else "b"), day(n - 60)) for n in range(0, 2400, 3)]
+    state = {p: sorted((d, a) for q, a, d, _ in entries if q == p) for p in ("hot.org", "hot.org/a")}
+
+    def active(pattern, at):
+        past = [a for d, a in state[pattern] if d <= at]
+        return past[-1] if past and past[-1] != "remove" else None
+
+    want = []
+    for n, url, at in caps:
+        found = [(p, active(p, at)) for p in (["hot.org/a"] if url.endswith("a") else []) + ["hot.org"]]
+        want.append((n, *next(((p, a) for p, a in found if a), (None, "allow"))))
+    got = u.filter_urls(spark.createDataFrame(caps, "page_id long, url string, fetched_on date"), spark.createDataFrame(entries, "pattern string, action string, entry_date date, seq int"))
+    assert sorted((r["page_id"], r["pattern"], r["action"]) for r in got.collect()) == want and len({r[1:] for r in want}) == 4
