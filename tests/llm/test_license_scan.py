@@ -77,3 +77,12 @@ def test_odd_rows(spark):
     twice = l.scan(files.unionByName(files.where("doc_id IN (2, 3)"))).collect()
     assert len(twice) == 10
     assert l.scan(files.limit(0)).count() == 0
+
+
+def test_every_notice_is_its_own_licence(spark):
+    """Each template, and each with words around it, goes to its licence, alone and among its relatives."""
+    rows = [(k, f"d/{k}.txt", f"some words\n{text}\nmore words") for k, (_, text) in enumerate(l.TEMPLATES)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = result(l.scan(files))
+    assert got == brute(rows)
+    assert {k: name for k, name, _, _ in got} == {k: name for k, (name, _) in enumerate(l.TEMPLATES)}
