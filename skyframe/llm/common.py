@@ -53,11 +53,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a fresh
-    temporary folder takes its place and is remembered in the session.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset in a local session, as in tests, a fresh
+    temporary folder takes its place and is remembered in the session; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("skyframe.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skyframe-")
         spark.conf.set("skyframe.shared.dir", found)
     return found.rstrip("/")
