@@ -2,7 +2,10 @@
 
 Byte-level vocabularies split a text into pieces before merging, and merges never cross a piece. The split is computed
 for a whole Arrow buffer with numpy; pieces are identified by 64-bit hashes; the library encodes each distinct piece
-once and a bounded cache keeps its ids. Texts that hold a special token's string go to the library whole.
+once and a bounded cache keeps its ids. Texts that hold a special token's string go to the library whole, unless special
+strings are to count as plain text.
+
+:class:`PrefixedEncoder` does the same for sentencepiece models whose pieces hold white space in front only.
 
 Fixed values of the split, in order of preference:
     's  't  're  've  'm  'll  'd
@@ -72,7 +75,7 @@ def piece_starts(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Encodes Arrow string arrays; keep one per Python worker."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, plain_special: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocabulary)
@@ -80,9 +83,18 @@ class PieceEncoder:
         self.tok.no_padding()
         # Pieces go to the merge model itself, which the library offers as tokenizer.model: same ids, no split to redo.
         self.model, self.letters = self.tok.model, dict(byte_letters())
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [] if plain_special else [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
+    def starts(self, chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+        """Where pieces start, as a mask over code points."""
+        return piece_starts(chars, doc_starts)
+
+    def tokens(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces by the library."""
+        tokenize, letters = self.model.tokenize, self.letters
+        return [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
@@ -92,9 +104,8 @@ class PieceEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
 
     def _learn(self, hashes: list[int], pieces: list[bytes]) -> list[int]:
-        """Ids of new pieces by the library; returns the pieces' places in the cache."""
-        tokenize, letters = self.model.tokenize, self.letters
-        found = [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+        """Remember the ids of new pieces; returns the pieces' places in the cache."""
+        found = self.tokens(pieces)
         lens = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lens.sum()))
         if self.used + len(flat) > len(self.flat):
@@ -124,7 +135,7 @@ class PieceEncoder:
         char_at = np.flatnonzero((data & 0xC0) != 0x80)
         chars = data if len(char_at) == len(data) else np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         begins = np.searchsorted(char_at, offsets[:-1])
-        starts = char_at[piece_starts(chars, begins[begins < len(chars)])]
+        starts = char_at[self.starts(chars, begins[begins < len(chars)])]
         ends = np.append(starts[1:], len(data))
         hashes, at, inverse = np.unique(byte_range_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if self.n + len(hashes) > MAX_CACHED:
@@ -144,6 +155,34 @@ class PieceEncoder:
         return ids, total[np.searchsorted(starts, offsets)]
 
 
+class PrefixedEncoder(PieceEncoder):
+    """Ids of texts that begin with the space which a sentencepiece model puts in front of its input.
+
+    Such a model writes a space as U+2581. Where no piece of it has that mark behind another character, no merge crosses
+    from a character to the space after it, so what lies between two such places is encoded on its own.
+    """
+
+    def __init__(self, model: str):
+        import sentencepiece
+
+        self.processor = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.names = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
+        self.separable = not any("\u2581" in name.lstrip("\u2581") for name in self.names)
+        self.special = []
+        self.clear()
+
+    def starts(self, chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+        start = np.zeros(len(chars), bool)
+        if self.separable:
+            space = chars == 32
+            start[1:] = space[1:] & ~space[:-1]
+        start[doc_starts] = True
+        return start
+
+    def tokens(self, pieces: list[bytes]) -> list[list[int]]:
+        return self.processor.encode([p[1:].decode() for p in pieces], num_threads=1)
+
+
 @lru_cache(maxsize=1)
 def worker_encoder(vocabulary: str) -> PieceEncoder:
     """The encoder of this Python worker."""

@@ -11,11 +11,13 @@ from skyframe.llm.line_dedup import OP12_SQL, op12_line_dedup
 from skyframe.llm.near_dedup import op2_near_dedup
 from skyframe.llm.quality_rules import op8_quality_rules
 from skyframe.llm.sharding import op6_sharding
+from skyframe.llm.spelling import op13_spelling_variants
 from skyframe.llm.substring_dedup import op10_substring_dedup
+from skyframe.llm.token_alignment import op11_token_alignment
 from skyframe.llm.token_files import op9_token_files
 from skyframe.llm.url_filters import OP7_SQL, op7_url_filters
 
-QUERIES = [op1_license_scan, op2_near_dedup, op3_bpe, op4_lm_score, op5_decontamination, op6_sharding, op7_url_filters, op8_quality_rules, op9_token_files, op10_substring_dedup, op12_line_dedup]
+QUERIES = [op1_license_scan, op2_near_dedup, op3_bpe, op4_lm_score, op5_decontamination, op6_sharding, op7_url_filters, op8_quality_rules, op9_token_files, op10_substring_dedup, op11_token_alignment, op12_line_dedup, op13_spelling_variants]
 
 
 def queries():
