@@ -18,6 +18,11 @@ def canonical_id(c: Column) -> Column:
     return F.when(text.rlike(literal), strip(F.regexp_extract(text, literal, 2))).otherwise(text)
 
 
+def refuse(why: str | Column) -> Column:
+    """Where this is evaluated, the job stops with that message: a check that costs no pass of its own."""
+    return F.raise_error(why if isinstance(why, Column) else F.lit(why)).cast("string")
+
+
 def missing(c: Column) -> Column:
     """NaN as null."""
     return F.nanvl(c, F.lit(None).cast("double"))

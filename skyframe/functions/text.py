@@ -58,16 +58,20 @@ def predict_free_text(text: Column, synonyms: dict[str, list[str]]) -> Column:
 
 
 def make_predictor(answer_format: str, synonyms: dict[str, list[str]], codes: dict[str, str] | None = None):
-    """Expression of (text, stored label) for an answer format."""
-    kinds = {
-        "free_text": lambda text, stored: predict_free_text(text, synonyms),
-        "digit_code": lambda text, stored: predict_code(text, codes or {}),
-        "verbose_class": lambda text, stored: predict_label(text, synonyms),
-        "logprob_argmax": lambda text, stored: stored,
-    }
-    if answer_format not in kinds:
-        raise ValueError(f"unknown answer format {answer_format}")
-    return kinds[answer_format]
+    """Expression of (text, stored label) for an answer format.
+
+    ``digit_code`` looks for a code (and needs them), ``verbose_class`` for what is said last, ``logprob_argmax`` takes
+    the stored label; ``free_text`` and any other format give the first label of the vocabulary that the text holds.
+    """
+    if answer_format == "digit_code":
+        if codes is None:
+            raise ValueError("digit_code needs the codes of the labels")
+        return lambda text, stored: predict_code(text, codes)
+    if answer_format == "verbose_class":
+        return lambda text, stored: predict_free_text(text, synonyms)
+    if answer_format == "logprob_argmax":
+        return lambda text, stored: stored
+    return lambda text, stored: predict_label(text, synonyms)
 
 
 def argmax_label(logprobs: Column) -> Column:
@@ -91,25 +95,47 @@ def parse_final_sentence(text: Column, labels: list[str]) -> Column:
     return F.when(total == 1, F.coalesce(*[F.when(c == 1, w) for c, w in zip(counts, labels, strict=True)]))
 
 
+#: Fixed values of a final choice: what announces it, words and marks that may stand before the letter, and marks behind it.
+FINAL, CHOICE_WORDS, OPENING, CLOSING = "FINAL ANSWER:", ("option", "choice"), "*([", "*)].:"
+
+
+def _one_of(marks: str) -> str:
+    return "[" + "".join("\\" + m for m in marks) + "]*"
+
+
+#: The announcement, a word, opening marks, one letter, closing marks, then a blank or the end.
+CHOICE = rf"(?i){FINAL}\s*(?:(?:{'|'.join(CHOICE_WORDS)})\s*)?{_one_of(OPENING)}([A-Z]){_one_of(CLOSING)}(?:\s|$)"
+#: A letter that is a word of its own: no letter, digit or underscore beside it.
+LONE_LETTER = r"(?U)\b([A-Za-z])\b"
+
+
 def parse_single_choice(text: Column, letters: str) -> Column:
-    """Last allowed letter behind FINAL ANSWER:, after "option" or "choice" and opening marks; only closing marks and white space may follow."""
-    pattern = r"(?i)FINAL ANSWER:\s*(?:option\s*|choice\s*)?[*(\[]*([A-Z])[*)\].:]*(?:\s|$)"
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.upper)
+    """Last allowed letter that is announced as the final choice; only closing marks and white space may follow it."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(CHOICE), F.lit(1)), F.upper)
     return F.try_element_at(F.filter(found, lambda x: x.isin(*letters.upper())), F.lit(-1))
 
 
 def parse_multi_choice(text: Column, letters: str) -> Column:
-    """Allowed letters of the last FINAL ANSWER line in order, equal ones once; empty for NONE; null without a line."""
-    line = F.upper(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?i)FINAL ANSWER:\s*([^\n]*)"), F.lit(1)), F.lit(-1)))
-    found = F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?<![A-Z])([{letters}])(?![A-Z])"), F.lit(1)))
-    return F.when(line.isNotNull(), found)
+    """Allowed lone letters of the last FINAL ANSWER line in order, equal ones once; empty for NONE; null without a line."""
+    line = F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?i){FINAL}\s*([^\n]*)"), F.lit(1)), F.lit(-1))
+    found = F.transform(F.regexp_extract_all(line, F.lit(LONE_LETTER), F.lit(1)), F.upper)
+    return F.when(line.isNotNull(), F.array_distinct(F.filter(found, lambda x: x.isin(*letters.upper()))))
+
+
+def _says(text: Column, word: str) -> Column:
+    """Whether a word or phrase stands in the text with word bounds around it, ignoring case."""
+    return text.rlike(rf"(?iuU)\b{re.escape(word)}\b")
+
 
+def parse_task_answer(text: Column, letters: dict[str, str], classes: dict[str, str] | None = None) -> Column:
+    """Label of the chosen letter, else the first category that the text names, else that of the first class key it names.
 
-def parse_task_answer(text: Column, letters: dict[str, str], synonyms: dict[str, list[str]] | None = None) -> Column:
-    """Label of the chosen letter, else the last label mentioned."""
+    Categories are taken in the order of their letters, class keys in the order of ``classes`` (key to category).
+    """
     by_letter = F.create_map(*[F.lit(x) for kv in letters.items() for x in kv])
     chosen = F.try_element_at(by_letter, parse_single_choice(text, "".join(letters)))
-    return F.coalesce(chosen, last_mention(text, synonyms or {v: [] for v in letters.values()}))
+    named = [F.when(_says(text, word), label) for word, label in [*[(v, v) for v in letters.values()], *(classes or {}).items()]]
+    return F.coalesce(chosen, *named)
 
 
 def parse_lines_answer(text: Column, letters: dict[str, str], candidates: Column | None = None) -> Column:

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.functions.columns import canonical_id, clean_quotes, strip
+from skyframe.functions.columns import canonical_id, clean_quotes, refuse, strip
 
 
 def canonicalize_ids(df: DataFrame, key: str = "object_id") -> DataFrame:
-    """Canonical ids; rows without one are left out (see :func:`id_report`)."""
-    return df.withColumn(key, canonical_id(F.col(key))).where(F.col(key).isNotNull())
+    """Canonical ids; a row without an id stops the job that reads it (see :func:`id_report` for counts)."""
+    return df.withColumn(key, F.when(F.col(key).isNull(), refuse("a row has no " + key)).otherwise(canonical_id(F.col(key))))
 
 
 def id_report(df: DataFrame, key: str = "object_id") -> DataFrame:
@@ -103,18 +103,32 @@ def extract_quotes(df: DataFrame, key: str, order: str, quote: Column, least: in
 
 
 def prepare_groups(df: DataFrame, key: str, surveys: list[str], limit: int = 0, ids: list[str] | None = None, survey: str = "survey") -> DataFrame:
-    """Rows of whole objects, up to ``limit`` objects in key order (0: all), with canonical keys and known surveys."""
+    """Rows of whole objects, up to ``limit`` objects in key order (0: all), with canonical keys and known surveys.
+
+    A null or empty key and a null or unknown survey stop the job that reads the row, whether it is asked for or not.
+    Requested ids are made canonical; unknown ones are an error, and so is a selection of nothing.
+    """
     if limit < 0:
         raise ValueError("limit can't be negative")
-    rows = canonicalize_ids(df, key).where(F.col(key) != "").withColumn(survey, F.lower(strip(F.col(survey)))).where(F.col(survey).isin(surveys))
+    lost = [c for c in (key, survey) if c not in df.columns]
+    if lost:
+        raise ValueError(f"columns {lost} are missing")
+    rows = canonicalize_ids(df, key)
+    name = F.lower(strip(F.col(survey)))
+    checked = F.when(F.col(key) == "", refuse("a row has an empty " + key)).otherwise(F.col(key))
+    # Both checks are in the key, which every use reads.
+    checked = F.when(name.isNull() | ~name.isin(surveys), refuse(f"a row's {survey} is none of {surveys}")).otherwise(checked)
+    rows = rows.withColumn(key, checked).withColumn(survey, name)
     if ids is not None:
-        wanted = df.sparkSession.createDataFrame([(i,) for i in ids], f"{key} string")
+        wanted = df.sparkSession.createDataFrame([(i,) for i in ids], f"`{key}` string").select(canonical_id(F.col(key)).alias(key)).distinct()
         unknown = [r[0] for r in wanted.join(rows, key, "left_anti").limit(5).collect()]
         if unknown:
             raise ValueError(f"unknown ids: {unknown}")
         rows = rows.join(wanted, key, "left_semi")
     if limit:
         rows = rows.join(rows.select(key).distinct().orderBy(key).limit(limit), key, "left_semi")
+    if rows.isEmpty():
+        raise ValueError("no objects selected")
     return rows
 
 

@@ -7,7 +7,9 @@ to a row is data (an answer, or a failure reason), never a crash of the job.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skyframe.operators.checks import ValidationError, stale_records
 from skyframe.operators.joins import pending
-from skyframe.operators.splits import completed
+from skyframe.sources.records import RecordSink, keep_run, latest_records, ledger_schema, read_records
 
 
 def encode(df: DataFrame, values: str, factory: Callable[[], Callable], width: int, spec_hash: str, key: str = "object_id") -> DataFrame:
@@ -55,61 +57,71 @@ def projection_encoder(width: int = 4, seed: int = 7) -> Callable[[], Callable]:
 
 #: Lengths of the prefixes of an order by which costs are summed.
 ORDER_PREFIXES = (6, 12, 18, 21)
-RESULT = "answer string, raw string, n_calls int, forced boolean, failure_reason string, seconds double"
+RESULT = "answer string, raw string, n_calls int, forced boolean, failure_reason string, seconds double, cost double"
 
 
-def generate(df: DataFrame, prompt: str, factory: Callable[[], Callable[[str], str]], key: str, retries: int = 3, delay: float = 0.0, parse: Callable[[str], str | None] | None = None, second: Callable[[str, str], str] | None = None, concurrency: int | None = None) -> DataFrame:
+class Reply(str):
+    """A client's answer with what the call cost. An exception may have a ``cost``, too."""
+
+    def __new__(cls, text: str, cost: float = 0.0):
+        out = super().__new__(cls, text)
+        out.cost = cost
+        return out
+
+
+def generate(df: DataFrame, prompt: str, factory: Callable[[], Callable[[str], str]], key: str, retries: int = 3, delay: float = 0.0, parse: Callable[[str], str | None] | None = None, second: Callable[[str, str], str] | None = None, concurrency: int | None = None, sink: RecordSink | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Answers to prompts: ``factory`` gives a client, errors are retried with doubling delay.
 
     If ``parse`` finds nothing, ``second`` makes a forced follow-up prompt from prompt and answer. The number of
-    partitions is the number of calls at a time.
+    partitions is the number of calls at a time. ``cost`` adds up what all calls of a row report. With a ``sink`` each
+    answer is written as soon as it is there, with the columns ``carry``; a task that runs again takes the answers that
+    its earlier attempts wrote.
     """
+    fields = [x.split()[0] for x in RESULT.split(", ")]
 
-    def call(client, text: str) -> tuple[str | None, int, str | None]:
-        wait, why = delay, None
+    def call(client, text: str) -> tuple[str | None, int, str | None, float]:
+        wait, why, cost = delay, None, 0.0
         for n in range(1, retries + 1):
             try:
-                return client(text), n, None
+                reply = client(text)
+                return reply, n, None, cost + getattr(reply, "cost", 0.0)
             except Exception as e:  # the service's own errors, whatever they are, become data
-                why = f"{type(e).__name__}: {e}"
+                why, cost = f"{type(e).__name__}: {e}", cost + getattr(e, "cost", 0.0)
                 if wait and n < retries:
                     time.sleep(wait)
                     wait *= 2
-        return None, retries, why
+        return None, retries, why, cost
+
+    def ask(client, text: str | None) -> dict:
+        began = time.time()
+        raw, n, why, cost = (None, 0, "no prompt", 0.0) if text is None else call(client, text)
+        answer, forced = (parse(raw) if parse else raw) if raw is not None else None, False
+        if raw is not None and answer is None and second:
+            raw, more, why, extra = call(client, second(text, raw))
+            n, forced, cost = n + more, True, cost + extra
+            answer = parse(raw) if raw is not None else None
+        plain = lambda x: None if x is None else str(x)
+        return dict(zip(fields, (plain(answer), plain(raw), n, forced, why, time.time() - began, cost), strict=True))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
-        for b in batches:
-            rows = []
-            for text in b[prompt]:
-                began = time.time()
-                raw, n, why = (None, 0, "no prompt") if text is None else call(client, text)
-                answer, forced = (parse(raw) if parse else raw) if raw is not None else None, False
-                if raw is not None and answer is None and second:
-                    raw, more, why = call(client, second(text, raw))
-                    n, forced = n + more, True
-                    answer = parse(raw) if raw is not None else None
-                rows.append((answer, raw, n, forced, why, time.time() - began))
-            out = pd.DataFrame(rows, columns=["answer", "raw", "n_calls", "forced", "failure_reason", "seconds"])
-            yield pd.concat([b[[key]].reset_index(drop=True), out], axis=1)
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, prompt)
-    return (rows.repartition(concurrency, key) if concurrency else rows).mapInPandas(run, f"{key} {kind}, {RESULT}")
-
-
-def mock_client(answers: dict[str, str], default: str = "FINAL ANSWER: A", vague: str | None = None) -> Callable[[], Callable[[str], str]]:
-    """Answers by what a prompt contains; prompts with ``vague`` get an answer that can't be parsed until they are forced."""
-
-    def factory():
-        def client(prompt: str) -> str:
-            if vague and vague in prompt and "FORCED" not in prompt:
-                return "hard to say"
-            return next((a for k, a in answers.items() if k in prompt), default)
-
-        return client
-
-    return factory
+        with sink.open() if sink else nullcontext() as out:
+            for b in batches:
+                lead, rows = [key, *carry], []
+                for *own, text in b[[*lead, prompt]].itertuples(index=False, name=None):
+                    own = dict(zip(lead, [x.item() if isinstance(x, np.generic) else x for x in own], strict=True))
+                    done = out.known.get(own[key]) if out else None
+                    row = done or own | ask(client, text)
+                    if out and not done:
+                        out.append(row)
+                    rows.append([row[c] for c in [*lead, *fields]])
+                yield pd.DataFrame(rows, columns=[*lead, *fields])
+
+    lead = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [key, *carry])
+    if sink:
+        sink.prepare(f"{lead}, {RESULT}")
+    rows = df.select(*dict.fromkeys([key, *carry, prompt]))
+    return (rows.repartition(concurrency, key) if concurrency else rows).mapInPandas(run, f"{lead}, {RESULT}")
 
 
 def judge(captions: DataFrame, caption: str, factory, labels: list[str], key: str, template: str = "Classes: {classes}\nCaption: {caption}\nNumber:") -> DataFrame:
@@ -168,35 +180,90 @@ def runtime_summary(df: DataFrame, seconds: str) -> DataFrame:
     return df.agg(F.round(F.sum(seconds), 6).alias("total_seconds"), F.round(F.avg(seconds), 6).alias("mean_seconds"))
 
 
-def resumable_run(worklist: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, key: str, settings_hash: str, input_hash: Column, resume: bool = True, success: Column | None = None) -> DataFrame:
-    """Run ``step`` on objects without a success in the ledger at ``path``, append the records, return the latest ones.
+def resumable_run(worklist: DataFrame, step: Step, path: str, key: str, settings_hash: str, input_hash: Column, resume: bool = True, success: Column | None = None, flush_rows: int = 1, flush_seconds: float = 10.0) -> DataFrame:
+    """Run ``step`` on objects without a success in the ledger at ``path``; returns the latest record of each object.
 
-    An existing ledger is refused without ``resume``, and when its settings or an object's input have changed. Records
-    get ``seq``, ``settings_hash`` and ``input_hash``.
+    ``step(todo, sink)`` gives a DataFrame whose tasks write records to the sink: ``generate(todo, ..., sink=sink,
+    carry=CONTRACT)``, or ``sink.record(df)`` for a DataFrame with the record's columns. Records carry ``input_hash`` and
+    ``settings_hash`` of the worklist. What tasks have written before a run dies counts in the next one. An existing
+    ledger is refused without ``resume``, and when its settings or an object's input have changed.
     """
-    from skyframe.operators.splits import latest_record
-    from skyframe.sources.io import append_ledger, exists, read_ledger
-
-    spark = worklist.sparkSession
-    work = worklist.withColumn("input_hash", input_hash)
+    if ledger_schema(path) is not None and not resume:
+        raise ValidationError(f"{path} exists")
     ok = success if success is not None else F.col("failure_reason").isNull()
-    todo, seq = work, 0
-    if exists(spark, path):
-        if not resume:
-            raise ValidationError(f"{path} exists")
-        ledger = read_ledger(spark, path)
-        contract = work.select(key, "input_hash").withColumn("settings_hash", F.lit(settings_hash))
-        stale = stale_records(ledger, contract, key, ["settings_hash", "input_hash"], ~ok, "input_hash").limit(3).collect()
-        if stale:
-            raise ValidationError(f"ledger of other settings or inputs: {[tuple(r) for r in stale]}")
-        todo = pending(work, completed(ledger, key, "seq", ok), key)
-        seq = ledger.agg(F.max("seq")).first()[0] or 0
-    records = step(todo.drop("input_hash")).join(work.select(key, "input_hash"), key).withColumn("settings_hash", F.lit(settings_hash)).withColumn("seq", F.lit(seq + 1))
-    append_ledger(records, path)
-    return latest_record(read_ledger(spark, path), key, "seq")
-
-
-def evaluate_captions(benchmark: DataFrame, captions: DataFrame, factory, letters: dict[str, str], template: str, key: str = "sample_id") -> DataFrame:
+    todo, seq = _todo(_contract(worklist, settings_hash, input_hash), path, key, ok)
+    _run_once(todo, seq + 1, step, path, key, flush_rows, flush_seconds)
+    return latest_records(worklist.sparkSession, path, key)
+
+
+Step = Callable[[DataFrame, RecordSink], DataFrame]
+CONTRACT = ("input_hash", "settings_hash")
+BUDGETED = (*CONTRACT, "reserve")
+
+
+def _contract(worklist: DataFrame, settings_hash: str, input_hash: Column) -> DataFrame:
+    return worklist.withColumn("input_hash", input_hash).withColumn("settings_hash", F.lit(settings_hash))
+
+
+def _todo(work: DataFrame, path: str, key: str, ok: Column) -> tuple[DataFrame, int]:
+    """(work without a success in the ledger, number of the last run); a ledger of other settings or inputs is an error."""
+    if ledger_schema(path) is None:
+        return work, 0
+    spark = work.sparkSession
+    stale = stale_records(read_records(spark, path, key), work.select(key, *CONTRACT), key, ["settings_hash", "input_hash"], ~ok, "input_hash").limit(3).collect()
+    if stale:
+        raise ValidationError(f"ledger of other settings or inputs: {[tuple(r) for r in stale]}")
+    last = latest_records(spark, path, key)
+    return pending(work, last.where(ok).select(key), key), last.agg(F.max("seq")).first()[0] or 0
+
+
+def _run_once(todo: DataFrame, seq: int, step: Step, path: str, key: str, flush_rows: int, flush_seconds: float) -> None:
+    sink = RecordSink(path, f"run-{seq:06d}-{uuid.uuid4().hex}", seq, key, flush_rows, flush_seconds)
+    step(todo, sink).write.format("noop").mode("overwrite").save()
+    keep_run(todo.sparkSession, path, sink.run)
+
+
+def true_spend(records: DataFrame, ok: Column, failed: str = "reserve") -> float:
+    """What the calls of a ledger have cost: ``cost`` of a success, and of a failed call its ``reserve`` or its reported ``cost``."""
+    if failed not in ("reserve", "reported"):
+        raise ValueError(f"failed calls cost their reserve or what is reported, not {failed}")
+    lost = F.col("reserve") if failed == "reserve" else F.coalesce("cost", F.lit(0.0))
+    return float(records.agg(F.sum(F.when(ok, F.coalesce("cost", F.lit(0.0))).otherwise(lost))).first()[0] or 0.0)
+
+
+def budgeted_run(worklist: DataFrame, step: Step, path: str, key: str, settings_hash: str, input_hash: Column, reserve: Column, order: str, limit: float, failed: str = "reserve", success: Column | None = None, flush_rows: int = 1, flush_seconds: float = 10.0) -> DataFrame:
+    """A resumable run that stops before the first object, in ``order``, whose reserve would cross the limit.
+
+    The objects are those that a loop over them would do which, before each call, adds its reserve to what the calls so
+    far really cost. They are done in waves: a wave is all next objects whose reserves together fit what is left, so the
+    loop would do each of them; then the ledger's true spend takes the reserves' place. Waves end when not even the next
+    object fits. That is exact as long as no call costs more than its reserve. Each object is tried once, and spend
+    counts every call in the ledger. Records must carry ``reserve`` besides the contract: ``carry=BUDGETED``.
+    """
+    spark, ok = worklist.sparkSession, success if success is not None else F.col("failure_reason").isNull()
+    work = _contract(worklist, settings_hash, input_hash).withColumn("reserve", reserve.cast("double"))
+    todo, before = _todo(work, path, key, ok)
+    seq = before
+    while True:
+        spent = 0.0
+        if ledger_schema(path) is not None:
+            records = read_records(spark, path, key)
+            spent = true_spend(records, ok, failed)
+            tried = records.where(F.col("seq") > before).select(key)
+            left = pending(todo, tried, key)
+        else:
+            left = todo
+        wave = within_budget(left, "reserve", limit, order, spent).drop("running")
+        if not wave.limit(1).count():
+            break
+        seq += 1
+        _run_once(wave, seq, step, path, key, flush_rows, flush_seconds)
+    if ledger_schema(path) is None:
+        raise ValidationError("the limit is below the first object's reserve")
+    return latest_records(spark, path, key)
+
+
+def evaluate_captions(benchmark: DataFrame, captions: DataFrame, factory, letters: dict[str, str], template: str, key: str = "sample_id", classes: dict[str, str] | None = None) -> DataFrame:
     """(key, truth, predicted, correct, failed): benchmark with captions, prompts with lettered options, answers, scores."""
     from skyframe.functions.text import fill_template, is_correct, lettered, parse_task_answer
     from skyframe.operators.joins import attach_captions
@@ -206,7 +273,7 @@ def evaluate_captions(benchmark: DataFrame, captions: DataFrame, factory, letter
     asked = rows.select(key, fill_template(template, options=options, caption=F.col("caption")).alias("prompt"))
     answers = generate(asked, "prompt", factory, key)
     out = rows.select(key, "truth").join(answers, key)
-    predicted = parse_task_answer(F.col("answer"), letters)
+    predicted = parse_task_answer(F.col("answer"), letters, classes)
     return out.select(key, "truth", predicted.alias("predicted"), is_correct(predicted, F.col("truth")).alias("correct"), F.col("failure_reason").isNotNull().alias("failed"))
 
 

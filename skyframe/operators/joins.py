@@ -1,18 +1,16 @@
 """Joins between catalogs, captions, predictions and claims.
 
-Everything is an equi-join in the end. The sky cross-match turns nearness into equality of cells: one side gets one cell
-per row, the other is exploded to the few cells that its search circle can touch.
+Everything is an equi-join in the end, the sky cross-match too: see :mod:`skyframe.operators.nearest`.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.functions.columns import draw_key, haversine_arcsec
+from skyframe.functions.columns import draw_key
 from skyframe.operators.checks import overlap, require_empty
+from skyframe.operators.nearest import nearest
 from skyframe.operators.splits import ranked
 
 
@@ -46,65 +44,25 @@ def overlap_rate(a: DataFrame, b: DataFrame, key: str = "object_id") -> DataFram
 # --- sky cross-match ----------------------------------------------------------------------------------------------------
 
 
-def _band_columns(dec: Column, height: float) -> Column:
-    return F.floor((dec + 90) / height).cast("long")
-
-
-def _cells_in_band(band: Column, height: float) -> Column:
-    """RA cells of a declination band: as many as keep a cell at least ``height`` wide where the band is narrowest."""
-    low, high = band * height - 90, (band + 1) * height - 90
-    widest = F.least(F.greatest(F.abs(low), F.abs(high)), F.lit(90.0))
-    return F.greatest(F.lit(1).cast("long"), F.floor(360 * F.cos(F.radians(widest)) / height).cast("long"))
-
-
-def nearest_within(a: DataFrame, b: DataFrame, radius_arcsec: float, a_id: str, b_id: str, ra: str = "ra", dec: str = "dec", cell_deg: float | None = None) -> DataFrame:
-    """(a_id, b_id, sep_arcsec): for each a its nearest b within the radius; ties go to the least b_id.
-
-    Positions that are null take no part. Declination bands are ``cell_deg`` high (at least twice the radius), so a
-    circle touches two bands at most, and at most a few cells in each, except around the poles, where bands have few
-    cells and all of them are tried.
-    """
-    r = radius_arcsec / 3600
-    height = max(cell_deg or 0.0, 2 * r, 1e-3)
-    has = f"{ra} IS NOT NULL AND {dec} IS NOT NULL"
-    band = _band_columns(F.col(dec), height)
-    right = b.where(has).select(F.col(b_id).alias("_b"), F.pmod(F.col(ra), F.lit(360.0)).alias("_bra"), F.col(dec).alias("_bdec")).withColumn("_band", _band_columns(F.col("_bdec"), height))
-    right = right.withColumn("_cell", F.pmod(F.floor(F.col("_bra") / 360 * _cells_in_band(F.col("_band"), height)), _cells_in_band(F.col("_band"), height)))
-
-    left = a.where(has).select(F.col(a_id).alias("_a"), F.pmod(F.col(ra), F.lit(360.0)).alias("_ara"), F.col(dec).alias("_adec"))
-    bands = F.sequence(_band_columns(F.col("_adec") - r, height), _band_columns(F.col("_adec") + r, height))
-    left = left.withColumn("_band", F.explode(bands)).withColumn("_n", _cells_in_band(F.col("_band"), height))
-    ratio = math.sin(math.radians(r)) / F.cos(F.radians("_adec"))
-    polar = F.abs("_adec") + r >= 90
-    half = F.degrees(F.asin(F.when(~polar, F.least(ratio, F.lit(1.0))).otherwise(F.lit(1.0))))
-    width = 360 / F.col("_n")
-    first, last = F.floor((F.col("_ara") - half) / width).cast("long"), F.floor((F.col("_ara") + half) / width).cast("long")
-    all_cells = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
-    some = F.array_distinct(F.transform(F.sequence(first, last), lambda k: F.pmod(k, F.col("_n"))))
-    left = left.withColumn("_cell", F.explode(F.when(polar | (last - first + 1 >= F.col("_n")), all_cells).otherwise(some)))
-    near = left.join(right, ["_band", "_cell"]).withColumn("_sep", haversine_arcsec(F.col("_ara"), F.col("_adec"), F.col("_bra"), F.col("_bdec"))).where(F.col("_sep") <= radius_arcsec)
-    best = near.groupBy("_a").agg(F.min(F.struct("_sep", "_b")).alias("_best"))
-    return best.select(F.col("_a").alias(a_id), F.col("_best._b").alias(b_id if b_id != a_id else f"{b_id}_right"), F.col("_best._sep").alias("sep_arcsec"))
-
-
 def crossmatch(a: DataFrame, b: DataFrame, radius_arcsec: float = 1.0, key: str = "object_id", ra: str = "ra", dec: str = "dec") -> DataFrame:
     """Joint, a-only and b-only rows: each a with its nearest b within the radius, and every b that no a took.
 
     Columns of b get the suffix ``_right`` where they clash.
     """
-    matched = nearest_within(a, b, radius_arcsec, key, key, ra, dec)
+    matched = nearest(a, b, key, key, ra, dec, radius_arcsec)
     right = _suffixed(b.withColumnRenamed(key, f"{key}_right"), a, [], "_right")
     joint = a.join(matched, key, "left").join(right, f"{key}_right", "left")
     rest = right.join(matched.select(f"{key}_right").distinct(), f"{key}_right", "left_anti")
     return joint.unionByName(rest, allowMissingColumns=True)
 
 
-def attach_nearest(sample: DataFrame, votes: DataFrame, radius_arcsec: float, search_arcsec: float, values: list[str], masks: list[str], key: str = "object_id") -> DataFrame:
-    """Sample with the values of the nearest vote row within the radius; else values are null and masks true.
+def attach_nearest(sample: DataFrame, votes: DataFrame, radius_arcsec: float, values: list[str], masks: list[str], key: str = "object_id") -> DataFrame:
+    """Sample with the values of the nearest vote row if it is within the radius; else values are null and masks true.
 
-    The separation of a row without a match is reported up to ``search_arcsec`` and null beyond.
+    The separation from the nearest vote row is reported however far it is; it is null only for a row without a position,
+    or if no vote row has one.
     """
-    near = nearest_within(sample, votes, max(radius_arcsec, search_arcsec), key, key)
+    near = nearest(sample, votes, key, key)
     out = sample.select(key).join(near, key, "left")
     ok = F.coalesce(F.col("sep_arcsec") <= radius_arcsec, F.lit(False))
     out = out.withColumn("crossmatched", ok).withColumn("_hit", F.when(ok, F.col(f"{key}_right")))

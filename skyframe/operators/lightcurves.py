@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from skyframe.functions.columns import band_name, draw_key, magnitude, magnitude_error, snr
 from skyframe.operators.checks import require_empty
+from skyframe.operators.quantiles import exact_quantiles
 
 ARRAYS = ["mjd", "flux", "err", "band_id", "used"]
 
 
 def to_points(df: DataFrame, key: str = "object_id", arrays: list[str] = ARRAYS) -> DataFrame:
-    """Long form of aligned arrays."""
-    zipped = F.posexplode(F.arrays_zip(*arrays)).alias("pos", "_p")
+    """Long form of aligned arrays. Arrays of unequal length, a null beside others too, stop the job that reads them."""
+    sizes = [F.coalesce(F.size(a), F.lit(-1)) for a in arrays]
+    told = F.concat_ws(", ", *[F.concat(F.lit(f"{a}: "), s.cast("string")) for a, s in zip(arrays, sizes, strict=True)])
+    unequal = F.greatest(*sizes) != F.least(*sizes) if len(arrays) > 1 else F.lit(False)
+    wrong = F.raise_error(F.concat(F.lit("arrays of "), F.col(key).cast("string"), F.lit(" disagree on length: "), told))
+    zipped = F.posexplode(F.when(unequal, wrong).otherwise(F.arrays_zip(*arrays))).alias("pos", "_p")
     return df.select(key, zipped).select(key, "pos", *[F.col(f"_p.{a}").alias(a) for a in arrays])
 
 
@@ -128,11 +133,11 @@ def score_spans(claims: DataFrame, facts: DataFrame, key: str = "object_id") ->
 
 
 def claim_error_summary(errors: DataFrame, columns: list[str]) -> DataFrame:
-    """(metric, n, mean, median, p90) of error columns, quantiles by linear interpolation."""
-    long = errors.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.abs(F.col(c)).alias("v")) for c in columns])).alias("e")).where("e.v IS NOT NULL")
-    q = F.percentile("e.v", F.array(F.lit(0.5), F.lit(0.9)))
-    out = long.groupBy("e.metric").agg(F.count("*").alias("n"), F.avg("e.v").alias("m"), q.alias("q"))
-    return out.select("metric", "n", F.round("m", 6).alias("mean"), F.round(F.get("q", F.lit(0)), 6).alias("median"), F.round(F.get("q", F.lit(1)), 6).alias("p90"))
+    """(metric, n, mean, median, p90) of error columns without their sign, quantiles exact by linear interpolation."""
+    long = errors.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.abs(F.col(c)).cast("double").alias("v")) for c in columns])).alias("e")).select("e.*").where("v IS NOT NULL")
+    spans = exact_quantiles(long, "metric", "v", [0.5, 0.9]).groupBy("metric").pivot("quantile", [0.5, 0.9]).agg(F.first("value"))
+    means = long.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return means.join(spans, "metric").select("metric", "n", "mean", F.round("`0.5`", 6).alias("median"), F.round("`0.9`", 6).alias("p90"))
 
 
 def claim_validation_totals(extracted: DataFrame, reviewed: DataFrame, key: str = "object_id") -> DataFrame:

@@ -5,9 +5,8 @@ scores. So rows are counted by cell once, and each replicate draws cell counts f
 index resampling at a cost that doesn't depend on the number of rows. Replicates are spread over tasks; each has a
 generator of its own seed, so results don't depend on the layout.
 
-A group with more than MAX_CELLS cells is drawn where its cells are read instead: each cell of n rows gets a Poisson(n)
-weight per replicate from a generator seeded by the cell, and only weighted sums are shuffled. That is the multinomial
-without its fixed total; on so many cells the two intervals are the same to a part in a hundred or so.
+Cells of a group are dealt into blocks, and a replicate's draws are split between blocks by a tree of binomial draws, which
+is the same multinomial however many cells and blocks there are: one way for every size, with exact totals.
 """
 
 from __future__ import annotations
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 
 from skyframe.operators.checks import ValidationError
 
-MAX_CELLS = 100_000
-#: Replicates of a group that one call draws.
+#: Cells of a block, about.
+LEAF = 2048
+#: Replicates that a block draws at a time.
 BLOCK = 500
 
 
@@ -56,57 +56,54 @@ Linear = dict[str, list[float]]
 PAIRED: Linear = {"base": [1.0, 0.0], "treatment": [0.0, 1.0], "delta": [-1.0, 1.0]}
 
 
-def _exact(cells: DataFrame, width: int, replicates: int, seed: int, metrics: Linear) -> DataFrame:
-    """(_by, n, each metric of the cells, and of each replicate with an underscore) by multinomial draws.
+def _blocks(cells: DataFrame, width: int) -> DataFrame:
+    """Cells with ``_total``, ``_depth`` and ``_block``, and with ``_path``: how a group's draws are split on the way to the block.
 
-    Tasks get the cells of a group and a block of replicates.
+    A group of k cells has 2**depth blocks of about LEAF cells, told by the first bits of the cells' hashes, so that
+    blocks follow from the cells alone. An entry of the path is a node of the binary tree over the blocks: its level and
+    number, its weight, that of its left half, and whether the way goes right.
+    """
+    known = cells.where("_x0 IS NOT NULL")
+    sizes = known.groupBy("_by").agg(F.count("*").alias("_k"), F.sum("_n").alias("_total"))
+    sizes = sizes.select(F.col("_by").alias("_g"), "_total", F.greatest(F.lit(0), F.ceil(F.log2(F.col("_k") / LEAF))).cast("int").alias("_depth"))
+    bits = F.xxhash64(*[f"_x{k}" for k in range(width)])
+    dealt = known.join(sizes, (F.col("_by") == F.col("_g"))).drop("_g").withColumn("_h", bits)
+    dealt = dealt.withColumn("_block", F.when(F.col("_depth") > 0, F.expr("shiftrightunsigned(_h, 64 - _depth)")).otherwise(F.lit(0)).cast("long")).drop("_h")
+    weights = dealt.where("_depth > 0").groupBy("_by", "_depth", "_block").agg(F.sum("_n").alias("_w"))
+    at = weights.select("*", F.explode(F.sequence(F.lit(1), "_depth")).alias("_level")).withColumn("_child", F.expr("shiftright(_block, _depth - _level)")).withColumn("_node", F.shiftright("_child", 1))
+    left = F.sum(F.when(F.col("_child") % 2 == 0, F.col("_w")).otherwise(0))
+    nodes = at.groupBy(F.col("_by").alias("_g"), F.col("_level").alias("_l"), F.col("_node").alias("_m")).agg(F.sum("_w").alias("_whole"), left.alias("_left"))
+    steps = at.join(nodes, (F.col("_by") == F.col("_g")) & (F.col("_level") == F.col("_l")) & (F.col("_node") == F.col("_m")))
+    step = F.struct(F.col("_level").alias("level"), F.col("_node").alias("node"), F.col("_whole").alias("whole"), F.col("_left").alias("left"), (F.col("_child") % 2 == 1).alias("right"))
+    paths = steps.groupBy(F.col("_by").alias("_g"), F.col("_block").alias("_b")).agg(F.array_sort(F.collect_list(step)).alias("_path"))
+    return dealt.join(paths, (F.col("_by") == F.col("_g")) & (F.col("_block") == F.col("_b")), "left").drop("_g", "_b")
+
+
+def _drawn(cells: DataFrame, width: int, replicates: int, seed: int, metrics: Linear) -> DataFrame:
+    """(_by, replicate, each metric with an underscore) of multinomial draws over all cells of a group, ``_by`` being text.
+
+    A block finds its number of draws by binomial splits from the root of its group's tree; generators are seeded by
+    node, so all blocks below a node see the same split and totals are exact. Then it draws its own cells. Replicates'
+    sums of all blocks are added up by Spark.
     """
     columns, weights = [f"_x{k}" for k in range(width)], np.array(list(metrics.values()))
 
     def run(table: pa.Table) -> pa.Table:
-        first, group = table["_first"][0].as_py(), table["_by"].slice(0, 1).combine_chunks()
-        rows = table.select([*columns, "_n"]).to_pandas().dropna().sort_values(columns)
-        n, size = int(rows["_n"].sum()), min(BLOCK, replicates - first)
-        values = rows[columns].to_numpy(float) @ weights.T
-        p = rows["_n"].to_numpy() / max(n, 1)
-        each = np.array([np.random.default_rng([seed, r]).multinomial(n, p) / n @ values if n else np.zeros(len(metrics)) for r in range(first, first + size)])
-        points = p @ values if n else np.zeros(len(metrics))
-        out = {"_by": group.take(pa.array([0] * size)), "n": pa.array([n] * size, pa.int64())}
-        out |= {c: pa.array([points[k]] * size, pa.float64()) for k, c in enumerate(metrics)}
-        return pa.table(out | {f"_{c}": pa.array(each[:, k], pa.float64()) for k, c in enumerate(metrics)})
-
-    blocks = cells.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))))
-    kind = cells.schema["_by"].dataType.simpleString()
-    return blocks.groupBy("_by", "_first").applyInArrow(run, ", ".join([f"_by {kind}", "n long", *[f"`{c}` double" for c in metrics], *[f"`_{c}` double" for c in metrics]]))
-
-
-def _summed(cells: DataFrame, width: int, replicates: int, seed: int, metrics: Linear) -> DataFrame:
-    """The same columns by Poisson weights of the cells, summed per group and replicate before they are shuffled."""
-    columns = [f"_x{k}" for k in range(width)]
-    kind = cells.schema["_by"].dataType
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = b["_group"].to_numpy()
-            values, counts, marks = np.column_stack([b[c].to_numpy(zero_copy_only=False) for c in columns]), b["_n"].to_numpy(), b["_mark"].to_numpy()
-            for code in np.unique(codes):
-                at = np.flatnonzero(codes == code)
-                sums = np.zeros((replicates, width + 1))
-                for i in at:
-                    weights = np.random.default_rng([seed, int(marks[i]) & ((1 << 63) - 1)]).poisson(counts[i], replicates)
-                    sums += weights[:, None] * np.append(values[i], 1.0)
-                group = b["_by"].take(pa.array([at[0]] * replicates))
-                yield pa.RecordBatch.from_arrays([group, pa.array(range(replicates), pa.int64()), *[pa.array(sums[:, k]) for k in range(width + 1)]], names=["_by", "replicate", *columns, "_w"])
-
-    # In order of groups, so that a batch holds few of them.
-    read = cells.dropna(subset=columns).select("_by", *columns, "_n", F.xxhash64("_by", *columns).alias("_mark"), F.xxhash64("_by").alias("_group")).repartition("_by", *columns).sortWithinPartitions("_group")
-    sums = read.mapInArrow(run, ", ".join([f"_by {kind.simpleString()}", "replicate long", *[f"{c} double" for c in columns], "_w double"]))
-    sums = sums.groupBy("_by", "replicate").agg(*[F.sum(c).alias(c) for c in [*columns, "_w"]])
-    mix = lambda w: sum((F.col(c) * w[k] for k, c in enumerate(columns)), F.lit(0.0)) / F.col("_w")
-    drawn = sums.select(F.col("_by").alias("_g"), *[mix(w).alias(f"_{c}") for c, w in metrics.items()])
-    whole = cells.dropna(subset=columns).groupBy("_by").agg(F.sum("_n").alias("_w"), *[F.sum(F.col(c) * F.col("_n")).alias(c) for c in columns])
-    points = whole.select("_by", F.col("_w").alias("n"), *[mix(w).alias(c) for c, w in metrics.items()])
-    return points.join(drawn, F.col("_by").eqNullSafe(F.col("_g"))).drop("_g")
+        one = lambda c: table[c][0].as_py()
+        rows = table.select([*columns, "_n"]).to_pandas().sort_values(columns)
+        values, counts = rows[columns].to_numpy(float) @ weights.T, rows["_n"].to_numpy()
+        draws = np.full(replicates, one("_total"), np.int64)
+        for step in one("_path") or ():
+            left = np.random.default_rng([seed, 1, step["level"], step["node"]]).binomial(draws, step["left"] / step["whole"])
+            draws = draws - left if step["right"] else left
+        own = np.random.default_rng([seed, 2, one("_depth"), one("_block")])
+        share = counts / counts.sum()
+        sums = np.concatenate([own.multinomial(draws[k : k + BLOCK], share) @ values for k in range(0, replicates, BLOCK)]) / one("_total")
+        out = {"_by": pa.array([one("_by")] * replicates, pa.string()), "replicate": pa.array(range(replicates), pa.int64())}
+        return pa.table(out | {f"_{c}": pa.array(sums[:, k], pa.float64()) for k, c in enumerate(metrics)})
+
+    each = _blocks(cells, width).groupBy("_by", "_block").applyInArrow(run, ", ".join(["_by string", "replicate long", *[f"`_{c}` double" for c in metrics]]))
+    return each.groupBy("_by", "replicate").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in metrics])
 
 
 def _grouped(df: DataFrame, columns: list[str], by: str, replicates: int, seed: int, metrics: Linear, empty: bool) -> DataFrame:
@@ -120,19 +117,21 @@ def _grouped(df: DataFrame, columns: list[str], by: str, replicates: int, seed:
         known = known & F.col(f"`{c}`").isNotNull()
     cells = df.select(F.col(by).alias("_by"), *[F.when(known, F.col(f"`{c}`")).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
     cells = cells.groupBy(*cells.columns).agg(F.count("*").alias("_n"))
-    sizes = cells.groupBy("_by").agg(F.count("_x0").alias("_k"))
-    least, most = sizes.agg(F.min("_k"), F.max("_k")).first()
-    if least == 0 and not empty:
+    if not empty and cells.groupBy("_by").agg(F.count("_x0").alias("_k")).where("_k = 0").limit(1).count():
+        raise ValidationError("no pairs")
+    if not empty and cells.isEmpty():
         raise ValidationError("no pairs")
-    if most is None or most <= MAX_CELLS:
-        reps = _exact(cells, len(columns), replicates, seed, metrics)
-    else:
-        marked = cells.join(sizes.select(F.col("_by").alias("_g"), "_k"), F.col("_by").eqNullSafe(F.col("_g"))).drop("_g")
-        small, large = marked.where(F.col("_k") <= MAX_CELLS).drop("_k"), marked.where(F.col("_k") > MAX_CELLS).drop("_k")
-        reps = _exact(small, len(columns), replicates, seed, metrics).unionByName(_summed(large, len(columns), replicates, seed, metrics))
+    count = F.sum(F.when(F.col("_x0").isNotNull(), F.col("_n")).otherwise(0))
+    mean = lambda w: F.coalesce(sum((F.sum(F.col(f"_x{k}") * F.col("_n")) * w[k] for k in range(len(columns))), F.lit(0.0)) / F.nullif(count, F.lit(0)), F.lit(0.0))
+    points = cells.groupBy("_by").agg(count.cast("int").alias("n"), *[mean(w).alias(c) for c, w in metrics.items()])
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     gains = [F.avg((F.col("_delta") <= 0).cast("int")).alias("p_value")] if "delta" in metrics else []
-    return reps.groupBy("_by").agg(F.max("n").cast("int").alias("n"), *[F.max(c).alias(c) for c in metrics], *[q(f"_{c}").alias(f"_{c}") for c in metrics], *gains)
+    # A group of any type by its JSON text, which is never null.
+    name = F.to_json(F.struct("_by"))
+    spans = _drawn(cells.withColumn("_by", name), len(columns), replicates, seed, metrics).groupBy(F.col("_by").alias("_g")).agg(*[q(f"_{c}").alias(f"_{c}") for c in metrics], *gains)
+    out = points.join(spans, name == F.col("_g"), "left").drop("_g")
+    none = F.array(F.lit(0.0), F.lit(0.0))
+    return out.withColumns({f"_{c}": F.coalesce(f"_{c}", none) for c in metrics})
 
 
 def bootstrap_by(df: DataFrame, score: str, by: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
@@ -199,10 +198,17 @@ def paired_bootstrap_by(df: DataFrame, base: str, treatment: str, by: str, repli
     return out.select(*cols, "p_value", "n", F.col("_by").alias(by))
 
 
-def compare_all(scores: DataFrame, target: str, key: str = "sample_id", replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    """(model, task, ..., significant): every model against the target model per task, over (model, task, key, score)."""
+def compare_all(scores: DataFrame, target: str, key: str = "sample_id", replicates: int = 10_000, seed: int = 42, regime_tasks: list[str] | None = None) -> DataFrame:
+    """(model, task, regime, ..., significant): every model against the target model per task, over (model, task, key, score).
+
+    The regime of these rows is ``all``. Tasks in ``regime_tasks`` also get a row for each regime of the samples that both
+    models have (column ``regime`` of ``scores``, the compared model's where they differ).
+    """
     own = scores.where(F.col("model") == target).select("task", key, F.col("score").alias("_target"))
-    pairs = scores.where(F.col("model") != target).join(own, ["task", key]).withColumn("_which", F.concat_ws("\t", "model", "task"))
-    out = paired_bootstrap_by(pairs, "score", "_target", "_which", replicates, seed)
-    parts = F.split("_which", "\t")
-    return out.select(F.get(parts, F.lit(0)).alias("model"), F.get(parts, F.lit(1)).alias("task"), *[c for c in out.columns if c != "_which"], (F.col("p_value") < 0.05).alias("significant"))
+    pairs = scores.where(F.col("model") != target).join(own, ["task", key])
+    whole = pairs.withColumn("_regime", F.lit("all"))
+    if regime_tasks:
+        parts = pairs.where(F.col("task").isin(regime_tasks) & F.col("regime").isNotNull()).withColumn("_regime", F.col("regime").cast("string"))
+        whole = whole.unionByName(parts)
+    out = paired_bootstrap_by(whole.withColumn("_which", F.struct("model", "task", F.col("_regime").alias("regime"))), "score", "_target", "_which", replicates, seed)
+    return out.select("_which.model", "_which.task", "_which.regime", *[c for c in out.columns if c != "_which"], (F.col("p_value") < 0.05).alias("significant"))

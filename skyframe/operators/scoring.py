@@ -172,4 +172,4 @@ def redshift_labels(df: DataFrame, bins: str, z: str) -> DataFrame:
 def lines_by_snr(df: DataFrame, key: str, label: str, snr: str) -> DataFrame:
     """(key, lines): labels with their SNR, strongest first."""
     parts = F.array_sort(F.collect_list(F.struct((-F.col(snr)).alias("s"), F.col(label).alias("l"))))
-    return df.groupBy(key).agg(F.transform(parts, lambda x: F.format_string("%s (SNR %.1f)", x["l"], -x["s"])).alias("lines"))
+    return df.groupBy(key).agg(F.transform(parts, lambda x: F.format_string("%s (SNR: %.1f)", x["l"], -x["s"])).alias("lines"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyframe.operators import checks, infer, probe, resample, scoring, splits
 from skyframe.queries.base import INPUTS, ORACLES, QUERIES, frame, plain, query
 from skyframe.sources import io
+from skyframe.sources.records import RecordSink, keep_run, read_records
 from skyframe.streaming import ledger as streams
 
 LABELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -181,12 +182,12 @@ def h1(rows: DataFrame) -> DataFrame:
 def h2(multi: DataFrame) -> DataFrame:
     s = _sets(multi)
     jaccard = scoring.set_scores(F.col("a"), F.col("b"))["jaccard"]
-    return _round(resample.bootstrap_by(s.withColumn("s", F.round(jaccard, 9)), "s", "regime", 2000))
+    return _round(resample.bootstrap_by(s.withColumn("s", F.round(jaccard, 9)), "s", "regime"))
 
 
 @query("h3_stratified_bootstrap", "predictions")
 def h3(rows: DataFrame) -> DataFrame:
-    return _round(resample.stratified_bootstrap(rows, "truth", "predicted", LABELS, 2000))
+    return _round(resample.stratified_bootstrap(rows, "truth", "predicted", LABELS))
 
 
 def _paired(rows: DataFrame) -> DataFrame:
@@ -201,19 +202,37 @@ def h4(rows: DataFrame) -> DataFrame:
 
 @query("h5_paired_by_regime", "predictions")
 def h5(rows: DataFrame) -> DataFrame:
-    return _round(resample.paired_bootstrap_by(_paired(rows), "a", "b", "regime", 2000))
+    return _round(resample.paired_bootstrap_by(_paired(rows), "a", "b", "regime"))
+
+
+def _models(rows: DataFrame) -> DataFrame:
+    """Scores of both models, as samples of one task."""
+    return _paired(rows).select("sample_id", F.lit("lines").alias("task"), "regime", F.explode(F.create_map(F.lit("first"), "a", F.lit("target"), "b")).alias("model", "score"))
 
 
 @query("h6_compare_all", "predictions")
 def h6(rows: DataFrame) -> DataFrame:
-    p = _paired(rows)
-    long = p.select("sample_id", F.col("regime").alias("task"), F.explode(F.create_map(F.lit("first"), "a", F.lit("target"), "b")).alias("model", "score"))
-    return _round(resample.compare_all(long, "target", replicates=2000))
+    return _round(resample.compare_all(_models(rows), "target", regime_tasks=["lines"]))
+
+
+#: Means are exact; an interval must hold its mean and be as wide as the scores' spread says, to a tenth.
+@query("h6_points", "predictions", sql="""
+WITH s AS (SELECT regime, CAST(coalesce(truth = predicted, false) AS DOUBLE) AS a, CAST(coalesce(truth = predicted_b, false) AS DOUBLE) AS b FROM {predictions}),
+r AS (SELECT 'all' AS regime, a, b FROM s UNION ALL SELECT regime, a, b FROM s)
+SELECT 'first' AS model, 'lines' AS task, regime, CAST(count(*) AS INT) AS n, round(avg(a), 9) AS base, round(avg(b), 9) AS treatment, round(avg(b - a), 9) AS delta, true AS plausible FROM r GROUP BY regime""")
+def h6_points(rows: DataFrame) -> DataFrame:
+    models = _models(rows)
+    out = resample.compare_all(models, "target", regime_tasks=["lines"])
+    wide = _paired(rows).select(F.explode(F.array(F.lit("all"), "regime")).alias("regime"), (F.col("b") - F.col("a")).alias("d")).groupBy("regime").agg((2 * 1.96 * F.stddev_pop("d") / F.sqrt(F.count("*"))).alias("_width"))
+    joined = out.join(wide, "regime")
+    holds = F.col("delta").between(F.col("delta_low"), F.col("delta_high"))
+    fits = F.abs(F.col("delta_high") - F.col("delta_low") - F.col("_width")) < 0.1 * F.col("_width")
+    return joined.select("model", "task", "regime", "n", F.round("base", 9).alias("base"), F.round("treatment", 9).alias("treatment"), F.round("delta", 9).alias("delta"), (holds & fits).alias("plausible"))
 
 
 @query("h1_poisson_ci", "orders")
 def h1_poisson(orders: DataFrame) -> DataFrame:
-    return resample.poisson_ci(orders, "o_totalprice", 200).select(F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+    return resample.poisson_ci(orders, "o_totalprice").select(F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
 INPUTS["answers_prompts"] = "SELECT o_orderkey AS k, o_orderstatus AS o, concat('status ', o_orderstatus) AS prompt FROM {orders}"
@@ -231,8 +250,15 @@ def j1(embeddings: DataFrame) -> DataFrame:
     return out.select("object_id", "n_tokens", F.round(F.aggregate(F.flatten("embedding"), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-def _mock(answers: dict[str, str], vague: str | None = None):
-    return infer.mock_client(answers, "FINAL ANSWER: C", vague)
+def _stand_in(answers: dict[str, str], default: str = "FINAL ANSWER: C", vague: str | None = None):
+    """A factory of clients for queries: answers by what a prompt contains; ``vague`` prompts need a forced follow-up."""
+
+    def client(prompt: str) -> str:
+        if vague and vague in prompt and "FORCED" not in prompt:
+            return "hard to say"
+        return next((a for k, a in answers.items() if k in prompt), default)
+
+    return lambda: client
 
 
 @query("j2_generate", "answers_prompts", sql="SELECT k, CASE o WHEN 'O' THEN 'A' WHEN 'F' THEN 'B' ELSE 'C' END AS answer, o = 'F' AS forced, CAST(CASE WHEN o = 'F' THEN 2 ELSE 1 END AS INT) AS n_calls FROM {answers_prompts}")
@@ -240,19 +266,19 @@ def j2(rows: DataFrame) -> DataFrame:
     import re
 
     parse = lambda x: m[1] if (m := re.search(r"FINAL ANSWER: (\w)", x)) else None
-    out = infer.generate(rows, "prompt", _mock({"status O": "FINAL ANSWER: A", "status F": "FINAL ANSWER: B"}, "status F"), "k", parse=parse, second=lambda p, a: f"FORCED {p}")
+    out = infer.generate(rows, "prompt", _stand_in({"status O": "FINAL ANSWER: A", "status F": "FINAL ANSWER: B"}, vague="status F"), "k", parse=parse, second=lambda p, a: f"FORCED {p}")
     return out.select("k", "answer", "forced", "n_calls")
 
 
 @query("j3_mock_answers", "answers_prompts", sql="SELECT CASE WHEN o = 'O' THEN 'yes' ELSE 'FINAL ANSWER: C' END AS answer, count(*) AS n FROM {answers_prompts} GROUP BY 1")
 def j3(rows: DataFrame) -> DataFrame:
-    return infer.generate(rows, "prompt", _mock({"status O": "yes"}), "k").groupBy("answer").agg(F.count("*").alias("n"))
+    return infer.generate(rows, "prompt", _stand_in({"status O": "yes"}), "k").groupBy("answer").agg(F.count("*").alias("n"))
 
 
 @query("j4_judge", "answers_prompts", sql="SELECT k, CASE WHEN k % 5 = 0 THEN NULL WHEN o = 'O' THEN 'open' ELSE 'other' END AS predicted, false AS failed FROM {answers_prompts}")
 def j4(rows: DataFrame) -> DataFrame:
     df = rows.withColumn("caption", F.when(F.col("k") % 5 != 0, F.col("prompt")).otherwise("  "))
-    return infer.judge(df, "caption", infer.mock_client({"status O": "0"}, "1"), ["open", "other"], "k")
+    return infer.judge(df, "caption", _stand_in({"status O": "0"}, "1"), ["open", "other"], "k")
 
 
 @query("j5_evaluate_captions", "answers_prompts", sql="SELECT k AS sample_id, CASE WHEN o = 'O' THEN 'open' ELSE 'done' END AS predicted, (o = 'O') = (k % 2 = 0) AS correct FROM {answers_prompts} WHERE o <> 'P'")
@@ -260,26 +286,63 @@ def j5(rows: DataFrame) -> DataFrame:
     bench = rows.select(F.col("k").alias("sample_id"), F.when(F.col("k") % 2 == 0, "open").otherwise("done").alias("truth"))
     # Orders in progress have no caption yet.
     caps = rows.where("o <> 'P'").select(F.col("k").alias("sample_id"), F.col("prompt").alias("caption"))
-    out = infer.evaluate_captions(bench, caps, infer.mock_client({"status O": "FINAL ANSWER: A"}, "FINAL ANSWER: B"), {"A": "open", "B": "done"}, "{caption}\n{options}")
+    out = infer.evaluate_captions(bench, caps, _stand_in({"status O": "FINAL ANSWER: A"}, "FINAL ANSWER: B"), {"A": "open", "B": "done"}, "{caption}\n{options}")
     return out.select("sample_id", "predicted", "correct")
 
 
-@query("j6_resumable_run", "answers_prompts", sql="SELECT k, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS seq FROM {answers_prompts}")
-def j6(rows: DataFrame) -> DataFrame:
-    path, hashed = work_path(rows.sparkSession, "ledger"), F.sha2("prompt", 256)
+INPUTS["numbered_prompts"] = "SELECT o_orderkey AS k, concat('order ', CAST(o_orderkey AS STRING), ' costs ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)) AS prompt FROM {orders}"
 
-    def step(todo: DataFrame, fail: bool) -> DataFrame:
-        reason = F.when((F.col("k") % 4 == 0) & F.lit(fail), "timeout")
-        return todo.select("k", F.lit("a").alias("answer"), F.coalesce(reason, F.lit("")).alias("failure_reason"))
 
-    ok = F.col("failure_reason") == ""
-    infer.resumable_run(rows, lambda d: step(d, True), path, "k", "s1", hashed, success=ok)
-    return infer.resumable_run(rows, lambda d: step(d, False), path, "k", "s1", hashed, success=ok).select("k", F.col("seq").cast("int").alias("seq"))
+class Refused(Exception):
+    """What a paid service answers with; it may cost something."""
 
+    def __init__(self, cost: float):
+        super().__init__("refused")
+        self.cost = cost
 
-@query("j7_budget_guard", "answers_prompts", sql="""
-WITH r AS (SELECT k, lpad(CAST(k AS VARCHAR), 24, '0') AS o, (length(prompt) + 10) * 0.5 + 100 * 2 AS cost FROM {answers_prompts}), s AS (SELECT *, sum(cost) OVER (ORDER BY o) AS running FROM r) SELECT k, CAST(cost AS DOUBLE) AS cost FROM s WHERE running <= 5000""")
+
+def _paid(refuses: int):
+    """A factory of clients that report a cost and refuse orders whose number is divisible by ``refuses`` (0: none)."""
+
+    def client(prompt: str) -> str:
+        order = int(prompt.split()[1])
+        if refuses and order % refuses == 0:
+            raise Refused(0.25)
+        return infer.Reply(f"FINAL ANSWER: {'ABC'[order % 3]}", len(prompt) * 0.75)
+
+    return lambda: client
+
+
+@query("j6_resumable_run", "numbered_prompts", sql="SELECT k, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS seq, concat('FINAL ANSWER: ', substr('ABC', CAST(k % 3 AS INT) + 1, 1)) AS answer, length(prompt) * 0.75e0 AS cost FROM {numbered_prompts}")
+def j6(rows: DataFrame) -> DataFrame:
+    path, hashed = work_path(rows.sparkSession, "ledger"), F.sha2("prompt", 256)
+    for refuses in (4, 0):
+        step = lambda todo, sink, refuses=refuses: infer.generate(todo, "prompt", _paid(refuses), "k", retries=1, sink=sink, carry=infer.CONTRACT)
+        out = infer.resumable_run(rows, step, path, "k", "s1", hashed, flush_rows=1000)
+    return out.select("k", F.col("seq").cast("int").alias("seq"), "answer", "cost")
+
+
+@query("j7_budget_guard", "numbered_prompts", sql="""
+WITH r AS (SELECT k, row_number() OVER (ORDER BY k) AS place, length(prompt) + 4e0 AS reserve, length(prompt) * 0.75e0 AS cost, k % 3 = 0 AS lost FROM {numbered_prompts}),
+c AS (SELECT 'reserve' AS rule, *, CASE WHEN lost THEN reserve ELSE cost END AS spend FROM r UNION ALL SELECT 'reported', *, CASE WHEN lost THEN 0.25e0 ELSE cost END FROM r),
+s AS (SELECT *, coalesce(sum(spend) OVER (PARTITION BY rule ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM c),
+f AS (SELECT rule, min(place) AS first FROM s WHERE before + reserve > 60000 GROUP BY rule)
+SELECT rule, k, spend FROM s LEFT JOIN f USING (rule) WHERE place < coalesce(first, place + 1)""")
 def j7(rows: DataFrame) -> DataFrame:
+    out = None
+    for rule in ("reserve", "reported"):
+        path = work_path(rows.sparkSession, "paid")
+        step = lambda todo, sink: infer.generate(todo, "prompt", _paid(3), "k", retries=1, sink=sink, carry=infer.BUDGETED)
+        done = infer.budgeted_run(rows, step, path, "k", "s1", F.sha2("prompt", 256), F.length("prompt") + 4, "k", 60000.0, rule, flush_rows=1000)
+        spend = F.when(F.col("failure_reason").isNull() | (F.lit(rule) == "reported"), F.col("cost")).otherwise(F.col("reserve"))
+        one = done.select(F.lit(rule).alias("rule"), "k", spend.alias("spend"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("j7_within_budget", "answers_prompts", sql="""
+WITH r AS (SELECT k, lpad(CAST(k AS VARCHAR), 24, '0') AS o, (length(prompt) + 10) * 0.5 + 100 * 2 AS cost FROM {answers_prompts}), s AS (SELECT *, sum(cost) OVER (ORDER BY o) AS running FROM r) SELECT k, CAST(cost AS DOUBLE) AS cost FROM s WHERE running <= 5000""")
+def j7_prefix(rows: DataFrame) -> DataFrame:
     priced = rows.withColumn("o", F.lpad(F.col("k").cast("string"), 24, "0")).withColumn("cost", infer.reserve(F.col("prompt"), 100, 0.5, 2.0, 10))
     return infer.within_budget(priced, "cost", 5000.0, "o").select("k", F.col("cost").cast("double").alias("cost"))
 
@@ -426,12 +489,17 @@ def a14(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
     return index.select("object_id", "n_tokens", "modality")
 
 
-@written("a15_append_ledger", "ledger", sql="SELECT object_id, max(seq) AS seq, count(*) AS n FROM {ledger} GROUP BY 1")
+@written("a15_append_ledger", "ledger", sql="SELECT object_id, max(seq) AS turn, count(*) AS n, count(DISTINCT seq % 2) AS n_runs FROM {ledger} GROUP BY 1")
 def a15(spark: SparkSession, ledger: DataFrame) -> DataFrame:
     path = work_path(spark, "ledger")
-    for odd in (0, 1):
-        io.append_ledger(ledger.where(F.col("seq") % 2 == odd), path)
-    return io.read_ledger(spark, path, "object_id string, seq bigint, status string").groupBy("object_id").agg(F.max("seq").alias("seq"), F.count("*").alias("n"))
+    rows = ledger.select(F.concat_ws("-", "object_id", F.col("seq").cast("string")).alias("record_id"), "object_id", F.col("seq").alias("turn"), "status")
+    # The first run is finished, the second leaves its tasks' files as they are.
+    for run in (0, 1):
+        sink = RecordSink(path, f"run-{run}", run, "record_id", flush_rows=500)
+        sink.record(rows.where(F.col("turn") % 2 == run)).write.format("noop").mode("overwrite").save()
+        if not run:
+            keep_run(spark, path, sink.run)
+    return read_records(spark, path, "record_id").groupBy("object_id").agg(F.max("turn").alias("turn"), F.count("*").alias("n"), F.count_distinct("seq").alias("n_runs"))
 
 
 @written("a16_summary_csv", "results", sql="SELECT model, printf('%.4f', max(score) FILTER (WHERE task = '1-URGENT')) AS \"1-URGENT\", printf('%.4f', max(score) FILTER (WHERE task = '5-LOW')) AS \"5-LOW\" FROM {results} GROUP BY model")

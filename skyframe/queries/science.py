@@ -39,10 +39,12 @@ def c3(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 @query("c4_attach_nearest", "catalog_a", "catalog_b", sql=f"""
-WITH {NEAR.replace("sep <= 3", "sep <= 20")} SELECT a.object_id, round(sep, 6) AS sep_arcsec, coalesce(sep <= 2, false) AS crossmatched, CASE WHEN sep <= 2 THEN b.vote END AS vote, CASE WHEN sep <= 2 THEN b.vote_mask ELSE true END AS vote_mask
+WITH near AS (SELECT a.object_id AS a_id, b.object_id AS b_id, {HAV} AS sep FROM {{catalog_a}} a CROSS JOIN {{catalog_b}} b),
+best AS (SELECT a_id, min(sep) AS sep, arg_min(b_id, struct_pack(s := sep, b := b_id)) AS b_id FROM near GROUP BY a_id)
+SELECT a.object_id, round(sep, 4) AS sep_arcsec, coalesce(sep <= 2, false) AS crossmatched, CASE WHEN sep <= 2 THEN b.vote END AS vote, CASE WHEN sep <= 2 THEN b.vote_mask ELSE true END AS vote_mask
 FROM {{catalog_a}} a LEFT JOIN best ON a.object_id = a_id LEFT JOIN {{catalog_b}} b ON b.object_id = b_id""")
 def c4(a: DataFrame, b: DataFrame) -> DataFrame:
-    return joins.attach_nearest(a, b, 2.0, 20.0, ["vote"], ["vote_mask"]).withColumn("sep_arcsec", F.round("sep_arcsec", 6))
+    return joins.attach_nearest(a, b, 2.0, ["vote"], ["vote_mask"]).withColumn("sep_arcsec", F.round("sep_arcsec", 4))
 
 
 @query("c5_append_disjoint", "catalog_a", "catalog_b", sql="SELECT object_id, survey, CAST(NULL AS DOUBLE) AS vote FROM {catalog_a} UNION ALL SELECT object_id, NULL, vote FROM {catalog_b}")
@@ -441,7 +443,7 @@ def d23(rows: DataFrame) -> DataFrame:
     return captions.mentions_summary(rows.withColumn("q", F.array("text")), "conv_id", "role", "q")
 
 
-@query("d24_lines_by_snr", "multi", sql="SELECT sample_id, string_agg(concat(label, k, printf(' (SNR %.1f)', snr)), '|' ORDER BY snr DESC, concat(label, k)) AS lines FROM {multi} GROUP BY 1")
+@query("d24_lines_by_snr", "multi", sql="SELECT sample_id, string_agg(concat(label, k, printf(' (SNR: %.1f)', snr)), '|' ORDER BY snr DESC, concat(label, k)) AS lines FROM {multi} GROUP BY 1")
 def d24(multi: DataFrame) -> DataFrame:
     named = multi.withColumn("name", F.concat("label", F.col("k").cast("string")))
     return scoring.lines_by_snr(named, "sample_id", "name", "snr").select("sample_id", F.array_join("lines", "|").alias("lines"))
@@ -495,21 +497,29 @@ def g8(answers: DataFrame) -> DataFrame:
     return answers.select("k", t.last_mention(F.col("text"), {w: [] for w in WORDS}).alias("label"))
 
 
-@query("g8_free_text", "replies", sql=f"""
-WITH two AS (SELECT k, 0 AS whole, regexp_extract(text, '(?i)FINAL ANSWER\\s*:\\s*([^\\n]+)', 1) AS text FROM {{replies}} UNION ALL SELECT k, 1, text FROM {{replies}}),
+#: What is said last, in the final line if it names a label, else in the whole reply; the rule of ``verbose_class``.
+SAID_LAST = f"""two AS (SELECT k, 0 AS whole, regexp_extract(text, '(?i)FINAL ANSWER\\s*:\\s*([^\\n]+)', 1) AS text FROM {{replies}} UNION ALL SELECT k, 1, text FROM {{replies}}),
 e AS (SELECT k, whole, unnest([{{'e': {_last('urgent')}, 'o': 0, 'l': 'Urgent'}}, {{'e': {_last('high')}, 'o': 1, 'l': 'High'}}, {{'e': {_last('medium')}, 'o': 2, 'l': 'Medium'}}, {{'e': {_last('low')}, 'o': 3, 'l': 'Low'}}], recursive := true) FROM two),
-b AS (SELECT k, whole, CASE WHEN max(e) > 0 THEN arg_max(l, e * 10 - o) END AS label FROM e GROUP BY ALL)
-SELECT k, coalesce(max(CASE WHEN whole = 0 THEN label END), max(CASE WHEN whole = 1 THEN label END)) AS label FROM b GROUP BY k""")
+b AS (SELECT k, whole, CASE WHEN max(e) > 0 THEN arg_max(l, e * 10 - o) END AS label FROM e GROUP BY ALL),
+last AS (SELECT k, coalesce(max(CASE WHEN whole = 0 THEN label END), max(CASE WHEN whole = 1 THEN label END)) AS label FROM b GROUP BY k)"""
+SAID_FIRST = f"CASE WHEN {_contains(['urgent', 'quick'])} THEN 'Urgent' WHEN {_contains(['high', 'tall'])} THEN 'High' WHEN {_contains(['medium', 'middle'])} THEN 'Medium' WHEN {_contains(['low', 'small'])} THEN 'Low' END"
+
+
+@query("g8_free_text", "replies", sql=f"WITH {SAID_LAST} SELECT k, label FROM last")
 def g8_free(replies: DataFrame) -> DataFrame:
-    return replies.select("k", t.make_predictor("free_text", {w: [] for w in WORDS})(F.col("text"), F.col("label")).alias("label"))
+    return replies.select("k", t.predict_free_text(F.col("text"), {w: [] for w in WORDS}).alias("label"))
 
 
-@query("g9_predictor_formats", "answers", sql="SELECT 'logprob_argmax' AS format, label, count(*) AS n FROM {answers} GROUP BY ALL UNION ALL SELECT 'digit_code', CASE WHEN k % 4 = 1 THEN 'three' END, count(*) FROM {answers} GROUP BY ALL")
-def g9(answers: DataFrame) -> DataFrame:
+@query("g9_predictor_formats", "replies", sql=f"""
+WITH {SAID_LAST} SELECT 'verbose_class' AS format, k, label FROM last
+UNION ALL SELECT unnest(['free_text', 'of a later version']), k, {SAID_FIRST} FROM {{replies}}
+UNION ALL SELECT 'logprob_argmax', k, label FROM {{replies}} UNION ALL SELECT 'digit_code', k, CASE WHEN text LIKE '%Class 12, then 3.%' THEN 'three' END FROM {{replies}}""")
+def g9(replies: DataFrame) -> DataFrame:
     out = None
-    for name in ("logprob_argmax", "digit_code"):
-        predict = t.make_predictor(name, WORDS, {"3": "three", "1": "one"})
-        one = answers.groupBy(F.lit(name).alias("format"), predict(F.col("text"), F.col("label")).alias("label")).agg(F.count("*").alias("n"))
+    for name in ("verbose_class", "free_text", "of a later version", "logprob_argmax", "digit_code"):
+        words = {w: [] for w in WORDS} if name == "verbose_class" else WORDS
+        predict = t.make_predictor(name, words, {"3": "three", "1": "one"})
+        one = replies.select(F.lit(name).alias("format"), "k", predict(F.col("text"), F.col("label")).alias("label"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -537,7 +547,7 @@ def g11(answers: DataFrame) -> DataFrame:
 
 
 #: The last letter among A, B and C that stands alone behind FINAL ANSWER:
-CHOICE = """list_filter(list_transform(regexp_extract_all(text, '(?i)FINAL ANSWER:\\s*(?:option\\s*|choice\\s*)?[*(\\[]*([A-Z])[*)\\].:]*(?:\\s|$)', 1), lambda x : upper(x)), lambda x : x IN ('A', 'B', 'C'))[-1]"""
+CHOICE = f"""list_filter(list_transform(regexp_extract_all(text, '{t.CHOICE}', 1), lambda x : upper(x)), lambda x : x IN ('A', 'B', 'C'))[-1]"""
 
 
 @query("g12_single_choice", "replies", sql=f"SELECT k, {CHOICE} AS letter FROM {{replies}}")
@@ -545,17 +555,33 @@ def g12(replies: DataFrame) -> DataFrame:
     return replies.select("k", t.parse_single_choice(F.col("text"), "ABC").alias("letter"))
 
 
-@query("g13_multi_choice", "answers", sql="""
-SELECT k, CASE k % 5 WHEN 1 THEN 'B' WHEN 2 THEN CASE WHEN substr(label, 3, 1) IN ('H') THEN 'A,C,H' ELSE 'A,C' END WHEN 3 THEN '' END AS letters FROM {answers}""")
-def g13(answers: DataFrame) -> DataFrame:
-    return answers.select("k", F.array_join(t.parse_multi_choice(F.col("text"), "ABCH"), ",").alias("letters"))
+#: Lists of letters: letters in words and beside digits or underscores, small ones, repeats, NONE with and without others.
+INPUTS["lists"] = """
+SELECT k, CASE k % 10 WHEN 0 THEN 'FINAL ANSWER: A1, B' WHEN 1 THEN 'FINAL ANSWER: a, (b), A' WHEN 2 THEN 'FINAL ANSWER: NONE' WHEN 3 THEN 'final answer: None of these, but C' WHEN 4 THEN 'FINAL ANSWER: Z and 3'
+  WHEN 5 THEN concat('FINAL ANSWER: A', chr(10), 'FINAL ANSWER: B_, H-C ', label) WHEN 6 THEN concat('FINAL ANSWER:', chr(10), 'C; b') WHEN 7 THEN 'the answer is A' WHEN 8 THEN 'FINAL ANSWER: é A éB' ELSE text END AS text FROM {answers}"""
+
+
+@query("g13_multi_choice", "lists", sql="""
+WITH l AS (SELECT k, regexp_extract_all(text, '(?i)FINAL ANSWER:\\s*([^\\n]*)', 1)[-1] AS line FROM {lists}),
+w AS (SELECT k, line, list_filter(list_transform(regexp_split_to_array(line, '[^\\pL\\pN_]+'), lambda x : upper(x)), lambda x : x IN ('A', 'B', 'C', 'H')) AS found FROM l)
+SELECT k, CASE WHEN line IS NOT NULL THEN coalesce(array_to_string(list_transform(list_filter(list_zip(found, range(1, len(found) + 1)), lambda z : list_position(found, z[1]) = z[2]), lambda z : z[1]), ','), '') END AS letters FROM w""")
+def g13(lists: DataFrame) -> DataFrame:
+    return lists.select("k", F.array_join(t.parse_multi_choice(F.col("text"), "ABCH"), ",").alias("letters"))
+
+
+def _named(word: str) -> str:
+    return f"regexp_matches(text, '(?i)\\b{word}\\b')"
+
+
+#: Replies that name two categories, class keys, parts of words, or nothing.
+INPUTS["task_replies"] = """
+SELECT k, CASE k % 11 WHEN 0 THEN 'Low rather than high' WHEN 1 THEN 'surely a rush order' WHEN 2 THEN 'highly likely lower' WHEN 3 THEN 'it can wait, a medium one' WHEN 4 THEN 'IT CAN WAIT' ELSE text END AS text FROM {replies}"""
 
 
-@query("g14_task_answer", "replies", sql=f"""
-WITH e AS (SELECT k, {CHOICE} AS c, unnest([{{'e': {_last('high')}, 'o': 0, 'l': 'High'}}, {{'e': {_last('medium')}, 'o': 1, 'l': 'Medium'}}, {{'e': {_last('low')}, 'o': 2, 'l': 'Low'}}], recursive := true) FROM {{replies}})
-SELECT k, coalesce(CASE any_value(c) WHEN 'A' THEN 'High' WHEN 'B' THEN 'Medium' WHEN 'C' THEN 'Low' END, CASE WHEN max(e) > 0 THEN arg_max(l, e * 10 - o) END) AS label FROM e GROUP BY k""")
+@query("g14_task_answer", "task_replies", sql=f"""
+SELECT k, coalesce(CASE {CHOICE} WHEN 'A' THEN 'High' WHEN 'B' THEN 'Medium' WHEN 'C' THEN 'Low' END, CASE WHEN {_named('high')} THEN 'High' WHEN {_named('medium')} THEN 'Medium' WHEN {_named('low')} THEN 'Low' WHEN {_named('can wait')} THEN 'Low' WHEN {_named('rush')} THEN 'High' END) AS label FROM {{task_replies}}""")
 def g14(replies: DataFrame) -> DataFrame:
-    return replies.select("k", t.parse_task_answer(F.col("text"), {"A": "High", "B": "Medium", "C": "Low"}).alias("label"))
+    return replies.select("k", t.parse_task_answer(F.col("text"), {"A": "High", "B": "Medium", "C": "Low"}, {"can wait": "Low", "rush": "High"}).alias("label"))
 
 
 @query("g15_ground_truth", "orders", sql="SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '5-LOW' THEN 'Low' WHEN '3-MEDIUM' THEN 'Middle' ELSE 'UNKNOWN' END AS class FROM {orders}")

@@ -42,6 +42,11 @@ def b2(rows: DataFrame) -> DataFrame:
     return clean.id_report(rows)
 
 
+@query("b2_canonicalize_ids", "spellings", sql=f"SELECT src_rank, {ID} AS object_id, price FROM {{spellings}}")
+def b2_ids(rows: DataFrame) -> DataFrame:
+    return clean.canonicalize_ids(rows).select("src_rank", "object_id", "price")
+
+
 @query("b3_propagate_first", "spellings", sql=f"""
 WITH r AS (SELECT src_rank, {ID} AS object_id, split_label FROM {{spellings}}), f AS (SELECT object_id, arg_min(split_label, src_rank) AS first_label FROM r WHERE split_label IS NOT NULL GROUP BY object_id)
 SELECT src_rank, r.object_id, coalesce(split_label, first_label) AS split_label FROM r LEFT JOIN f USING (object_id)""")
@@ -103,10 +108,10 @@ def b11(rows: DataFrame) -> DataFrame:
 
 
 @query("b12_prepare_groups", "spellings", sql=f"""
-WITH r AS (SELECT src_rank, {ID} AS object_id, lower(trim(status)) AS survey FROM {{spellings}} WHERE lower(trim(status)) IN ('o', 'f'))
+WITH r AS (SELECT src_rank, {ID} AS object_id, lower(trim(status)) AS survey FROM {{spellings}})
 SELECT src_rank, object_id, survey FROM r QUALIFY dense_rank() OVER (ORDER BY object_id) <= 50""")
 def b12(rows: DataFrame) -> DataFrame:
-    return clean.prepare_groups(rows, "object_id", ["o", "f"], 50, survey="status").select("src_rank", "object_id", F.col("status").alias("survey"))
+    return clean.prepare_groups(rows, "object_id", ["o", "f", "p"], 50, survey="status").select("src_rank", "object_id", F.col("status").alias("survey"))
 
 
 @query("b13_group_digest", "orders", sql="""

@@ -184,14 +184,6 @@ def write_embedding_cache(embeddings: DataFrame, path: str, modality: str, key:
     return cache.select(key, "n_tokens", "modality", "spec_hash", F.col("_metadata.file_name").alias("shard_file")), bad
 
 
-def append_ledger(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
-
-
-def read_ledger(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).json(path)
-
-
 def replace_report(report: DataFrame, path: str) -> None:
     """The whole report, swapped in by Spark's commit."""
     report.coalesce(1).write.mode("overwrite").json(path)

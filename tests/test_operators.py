@@ -116,18 +116,50 @@ def test_paired_and_stratified(spark):
 def test_ids_and_duplicates(spark):
     rows = [("b'  12'", 2.0, 1), (" 12 ", 1.0, 2), ("12", None, 3), ("b1234", 5.0, 4), (None, 1.0, 5)]
     df = spark.createDataFrame(rows, "object_id string, dist double, src int")
-    out = clean.dedup_closest(clean.canonicalize_ids(df), "object_id", "dist", "src").collect()
+    with pytest.raises(Exception, match="no object_id"):
+        clean.dedup_closest(clean.canonicalize_ids(df), "object_id", "dist", "src").collect()
+    out = clean.dedup_closest(clean.canonicalize_ids(df.dropna(subset=["object_id"])), "object_id", "dist", "src").collect()
     assert sorted((r["object_id"], r["src"]) for r in out) == [("12", 2), ("b1234", 4)]
     assert tuple(clean.id_report(df).first()) == (5, 1, 2, 4, 2)
 
 
 def test_prepare_groups_errors(spark):
-    df = spark.createDataFrame([("1", "SDSS"), ("2", " desi "), ("3", "x"), (None, "sdss")], "object_id string, survey string")
-    assert clean.prepare_groups(df, "object_id", ["sdss", "desi"]).count() == 2
-    with pytest.raises(ValueError):
-        clean.prepare_groups(df, "object_id", ["sdss"], limit=-1)
-    with pytest.raises(ValueError):
-        clean.prepare_groups(df, "object_id", ["sdss"], ids=["9"])
+    kinds = "object_id string, survey string"
+    df = spark.createDataFrame([("1", "SDSS"), ("b'2'", " desi "), (" 3 ", "sdss"), ("2", "sdss")], kinds)
+    assert sorted(map(tuple, clean.prepare_groups(df, "object_id", ["sdss", "desi"]).collect())) == [("1", "sdss"), ("2", "desi"), ("2", "sdss"), ("3", "sdss")]
+    assert clean.prepare_groups(df, "object_id", ["sdss", "desi"], ids=["b'2'", " 3"]).count() == 3
+    for bad, why in (((None, "sdss"), "no object_id"), (("  ", "sdss"), "empty object_id"), (("b''", "sdss"), "empty object_id"), (("9", "x"), "none of"), (("9", None), "none of")):
+        with pytest.raises(Exception, match=why):
+            clean.prepare_groups(df.unionByName(spark.createDataFrame([bad], kinds)), "object_id", ["sdss", "desi"]).collect()
+    for wrong in ({"limit": -1}, {"ids": ["9"]}):
+        with pytest.raises(ValueError):
+            clean.prepare_groups(df, "object_id", ["sdss", "desi"], **wrong)
+    with pytest.raises(ValueError, match="no objects"):
+        clean.prepare_groups(df.limit(0), "object_id", ["sdss"])
+    with pytest.raises(ValueError, match="missing"):
+        clean.prepare_groups(df.drop("survey"), "object_id", ["sdss"])
+
+
+def test_flagship_refuses_rows_without_an_id(spark):
+    from skyframe.plans.manifest import build_manifest
+
+    spectra = spark.createDataFrame([("1", 1, 0.1), (None, 2, 0.2)], "object_id string, seq int, dist double")
+    images = spark.createDataFrame([("1",), ("2",)], "object_id string")
+    with pytest.raises(Exception, match="no object_id"):
+        build_manifest(spectra, images).collect()
+    assert build_manifest(spectra.where("seq = 1"), images).count() == 2
+
+
+def test_arrays_of_unequal_length(spark):
+    kinds = "object_id string, mjd array<double>, flux array<double>, err array<double>, band_id array<int>, used array<boolean>"
+    good = ("a", [1.0, 2.0], [1.0, 2.0], [0.1, 0.1], [1, 2], [True, False])
+    assert lightcurves.to_points(spark.createDataFrame([good, ("empty", [], [], [], [], [])], kinds)).count() == 2
+    for at in range(1, 6):
+        for short in (good[at][:1], None):
+            bad = [*good]
+            bad[0], bad[at] = "b", short
+            with pytest.raises(Exception, match="arrays of b disagree"):
+                lightcurves.to_points(spark.createDataFrame([good, tuple(bad)], kinds)).collect()
 
 
 def test_digest_ignores_row_order(spark):
@@ -154,6 +186,22 @@ def test_answer_parsers(spark):
     assert one(spark, t.parse_multi_choice(lit("FINAL ANSWER: NONE"), "ABC")) == []
     assert one(spark, t.parse_multi_choice(lit("FINAL ANSWER: NONE, but B and A, B"), "ABC")) == ["B", "A"]
     assert one(spark, t.parse_multi_choice(lit("A"), "ABC")) is None
+    assert one(spark, t.parse_multi_choice(lit("FINAL ANSWER: A1, B"), "ABC")) == ["B"]
+    assert one(spark, t.parse_multi_choice(lit("FINAL ANSWER: A_, éB, c."), "ABC")) == ["C"]
+    assert one(spark, t.parse_multi_choice(lit("FINAL ANSWER: Z"), "ABC")) == []
+    shapes = {"Round": ["disk"], "Merging": []}
+    hedge = lit("resembles Merging, but is Round")
+    assert one(spark, t.make_predictor("verbose_class", shapes)(lit("is Round, or Merging"), None)) == "Merging"
+    assert one(spark, t.make_predictor("verbose_class", shapes)(hedge, None)) == "Round"
+    assert one(spark, t.make_predictor("free_text", shapes)(lit("Merging, or a disk"), None)) == "Round"
+    assert one(spark, t.make_predictor("older", {"Merging": [], "Round": []})(hedge, None)) == "Merging"
+    with pytest.raises(ValueError):
+        t.make_predictor("digit_code", shapes)
+    task = {"A": "Galaxy", "B": "Quasar"}
+    assert one(spark, t.parse_task_answer(lit("a Quasar, or a galaxy"), task)) == "Galaxy"
+    assert one(spark, t.parse_task_answer(lit("galaxy. FINAL ANSWER: B"), task)) == "Quasar"
+    assert one(spark, t.parse_task_answer(lit("a QSO"), task, {"QSO": "Quasar"})) == "Quasar"
+    assert one(spark, t.parse_task_answer(lit("galaxies, QSOs"), task, {"QSO": "Quasar"})) is None
     assert one(spark, t.parse_lines_answer(lit("FINAL ANSWER: A, C"), {"A": "z", "B": "y", "C": "x"}, F.array(lit("x"), lit("q")))) == ["x"]
     assert one(spark, t.extract_caption(lit('CAPTION: no\nCaption: "yes"'))) == "yes"
     assert one(spark, t.caption_target(lit("a b c d e"), "end now", 4)) == "a b end now"
@@ -217,7 +265,7 @@ def test_generate_retries_and_failures(spark):
 
 def test_resume_refuses_changes(spark, tmp_path):
     work = spark.createDataFrame([(1, "a"), (2, "b")], "k int, prompt string")
-    step = lambda d: d.select("k", F.lit("x").alias("answer"), F.lit("").alias("failure_reason"))
+    step = lambda d, sink: sink.record(d.select("k", *infer.CONTRACT, F.lit("x").alias("answer"), F.lit("").alias("failure_reason")))
     run = lambda w, s, **o: infer.resumable_run(w, step, f"file://{tmp_path}/l", "k", s, F.sha2("prompt", 256), success=F.col("failure_reason") == "", **o)
     assert run(work, "s").count() == 2 and run(work, "s").count() == 2
     for bad in (lambda: run(work, "other"), lambda: run(work.withColumn("prompt", F.lit("new")), "s"), lambda: run(work, "s", resume=False)):
@@ -280,13 +328,13 @@ def test_prose_holds_whole_texts(spark, sf):
 
 
 def test_bootstrap_of_groups_with_many_cells(spark, monkeypatch):
-    """Beyond the limit of cells, weights are drawn where cells are read: the same values, nearly the same intervals, on any layout."""
+    """Any number of blocks: the same values, the same distribution, on any layout."""
     rng = np.random.default_rng(5)
     rows = [(g, float(x), float(x + rng.normal(0.1, 1))) for g, n in (("big", 800), ("small", 50)) for x in np.round(rng.normal(size=n), 6)]
     df = spark.createDataFrame(rows, "g string, a double, b double").unionByName(spark.createDataFrame([(None, 1.0, 2.0), ("big", None, 1.0)], "g string, a double, b double"))
-    exact = {r["g"]: r for r in resample.paired_bootstrap_by(df, "a", "b", "g", 600).collect()}
-    monkeypatch.setattr(resample, "MAX_CELLS", 100)
-    drawn, again = ({r["g"]: r for r in resample.paired_bootstrap_by(x, "a", "b", "g", 600).collect()} for x in (df, df.repartition(7)))
+    exact = {r["g"]: r for r in resample.paired_bootstrap_by(df, "a", "b", "g", 4000).collect()}
+    monkeypatch.setattr(resample, "LEAF", 60)
+    drawn, again = ({r["g"]: r for r in resample.paired_bootstrap_by(x, "a", "b", "g", 4000).collect()} for x in (df, df.repartition(7)))
     assert set(drawn) == set(exact) == {"big", "small", None}
     for name in ("small", None):
         assert drawn[name] == exact[name]
@@ -294,12 +342,36 @@ def test_bootstrap_of_groups_with_many_cells(spark, monkeypatch):
     assert d["n"] == e["n"] == 800
     for m in ("base", "treatment", "delta"):
         assert abs(d[m] - e[m]) < 1e-9 and d[f"{m}_low"] < d[m] < d[f"{m}_high"]
-        assert all(abs(d[f"{m}_{end}"] - e[f"{m}_{end}"]) < 0.25 * (e[f"{m}_high"] - e[f"{m}_low"]) for end in ("low", "high"))
+        assert all(abs(d[f"{m}_{end}"] - e[f"{m}_{end}"]) < 0.06 * (e[f"{m}_high"] - e[f"{m}_low"]) for end in ("low", "high"))
     assert all(abs(d[c] - again["big"][c]) < 1e-9 for c in d.asDict() if c != "g")
     one = resample.bootstrap_ci(df.where("g = 'big'"), "b", 300).first()
     assert one["n"] == 801 and one["low"] < one["value"] < one["high"]
 
 
+def test_bootstrap_totals_are_exact(spark, monkeypatch):
+    """With every score 1 a replicate's mean is its number of draws over n: exactly 1 in every tree."""
+    rows = [(float(k), 1.0) for k in range(500)]
+    df = spark.createDataFrame(rows, "x double, one double")
+    for leaf in (2048, 64, 3):
+        monkeypatch.setattr(resample, "LEAF", leaf)
+        cells = df.select(F.lit("g").alias("_by"), F.col("x").alias("_x0"), F.col("one").alias("_x1"), F.lit(7).cast("long").alias("_n"))
+        reps = resample._drawn(cells, 2, 200, 1, {"x": [1.0, 0.0], "one": [0.0, 1.0]})
+        got = reps.toPandas()
+        assert len(got) == 200 and np.allclose(got["_one"], 1.0, atol=1e-12)
+        # Mean and variance of a bootstrap mean of 3500 rows.
+        assert abs(got["_x"].mean() - 249.5) < 1.0 and abs(got["_x"].std() / (np.arange(500).std() / math.sqrt(3500)) - 1) < 0.2
+
+
+def test_compare_all_by_regime(spark):
+    rows = [(m, t, str(k), "r\t1" if k % 3 else "r2", float((k * w) % 7 < 3)) for m, w in (("target", 3), ("a\tb", 5), (None, 2)) for t in ("lines", "class") for k in range(60)]
+    scores = spark.createDataFrame(rows, "model string, task string, sample_id string, regime string, score double")
+    out = {(r["model"], r["task"], r["regime"]): r for r in resample.compare_all(scores, "target", replicates=100, regime_tasks=["lines"]).collect()}
+    assert set(out) == {("a\tb", "class", "all"), ("a\tb", "lines", "all"), ("a\tb", "lines", "r\t1"), ("a\tb", "lines", "r2")}
+    for (m, t, regime), r in out.items():
+        own = [(x[4], y[4]) for x in rows for y in rows if x[0] == m and y[0] == "target" and x[1] == y[1] == t and x[2] == y[2] and regime in ("all", x[3])]
+        assert r["n"] == len(own) and r["delta"] == pytest.approx(sum(b - a for a, b in own) / len(own))
+
+
 def test_budget_by_prefixes(spark):
     def kept(rows, kind, limit):
         df = spark.createDataFrame(rows, f"o {kind}, cost double")
