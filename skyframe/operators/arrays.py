@@ -11,16 +11,23 @@ from skyframe.functions.columns import canonical_band
 
 
 def select_bands(images: Column, bands: list[str]) -> Column:
-    """Images of the requested bands in that order; null if a band is missing."""
+    """Images of the requested bands in that order; of several of a band the last one. A missing band stops the job."""
 
     def of(name: str) -> Column:
-        return F.try_element_at(F.filter(images, lambda x: canonical_band(x["band"]) == name), F.lit(1))
+        key = canonical_band(F.lit(name))
+        found = F.filter(images, lambda x: canonical_band(x["band"]) == key)
+        present = F.array_join(F.array_sort(F.array_distinct(F.transform(images, lambda x: canonical_band(x["band"])))), ", ")
+        why = F.concat(F.lit(f"band {name} is not available; bands present: "), F.when(F.size(images) > 0, present).otherwise("none"))
+        return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.try_element_at(found, F.lit(-1))).otherwise(F.raise_error(why))
 
-    picked = [of(b) for b in bands]
-    whole = picked[0].isNotNull()
-    for p in picked[1:]:
-        whole &= p.isNotNull()
-    return F.when(whole, F.array(*picked))
+    return F.array(*[of(b) for b in bands])
+
+
+def image_stack(images: Column, bands: list[str]) -> Column:
+    """Repaired pixels (band, row, column) of the requested bands; bands of unequal shape stop the job."""
+    stack = F.transform(select_bands(images, bands), lambda x: repair_rows(x["flux"]))
+    shapes = F.array_distinct(F.transform(stack, lambda b: F.concat(F.size(b).cast("string"), F.lit("x"), F.size(F.get(b, F.lit(0))).cast("string"))))
+    return F.when(F.size(shapes) == 1, stack).otherwise(F.raise_error(F.concat(F.lit("bands of unequal shapes: "), F.array_join(shapes, ", "))))
 
 
 def select_positions(images: Column, places: list[int]) -> Column:
@@ -34,10 +41,12 @@ def ragged(flux: Column) -> Column:
 
 
 def repair_rows(flux: Column) -> Column:
-    """Missing pixel rows become NaN rows of the common width; null for a ragged image."""
-    width = F.get(F.array_distinct(F.transform(F.filter(flux, lambda r: r.isNotNull()), F.size)), F.lit(0))
-    filled = F.transform(flux, lambda r: F.coalesce(r, F.array_repeat(F.lit(float("nan")).cast("double"), width)))
-    return F.when(~ragged(flux), filled)
+    """Missing pixel rows become NaN rows of the common width. An image without any row, or with rows of several widths, stops the job."""
+    widths = F.array_distinct(F.transform(F.filter(flux, lambda r: r.isNotNull()), F.size))
+    filled = F.transform(flux, lambda r: F.coalesce(r, F.array_repeat(F.lit(float("nan")).cast("double"), F.get(widths, F.lit(0)))))
+    told = F.array_join(F.transform(F.array_sort(widths), lambda w: w.cast("string")), ", ")
+    none = F.coalesce(F.size(widths), F.lit(0)) <= 0
+    return F.when(F.size(widths) == 1, filled).when(none, F.raise_error(F.lit("an image has no usable rows"))).otherwise(F.raise_error(F.concat(F.lit("an image has rows of different widths: "), told)))
 
 
 def trim_spectrum(wave: Column, *others: Column) -> Column:

@@ -9,7 +9,7 @@ from skyframe.operators.checks import leaking_claims
 
 
 def compose_captions(claims: DataFrame, available: DataFrame, key: str = "object_id", order: str = "claim_pos") -> DataFrame:
-    """(key, subset, text, n_claims): a caption for each single modality, and one for the full set.
+    """(key, subset, text, n_claims, claims): a caption for each single modality, and one for the full set.
 
     A single-modality caption takes the claims supported by exactly it; the full-set caption of an object with two
     modalities or more takes every claim whose support lies inside the set. Partial sets get none. ``available`` has
@@ -17,9 +17,9 @@ def compose_captions(claims: DataFrame, available: DataFrame, key: str = "object
     """
     single = claims.where(F.size("supporting") == 1).withColumn("subset", F.col("supporting"))
     inside = claims.join(available.where(F.size("subset") > 1), key).where(F.size(F.array_except("supporting", "subset")) == 0)
-    both = single.select(key, "subset", order, "text").unionByName(inside.select(key, "subset", order, "text"))
-    parts = F.array_sort(F.collect_list(F.struct(order, "text")))
-    return both.groupBy(key, "subset").agg(F.concat_ws(" ", F.transform(parts, lambda p: p["text"])).alias("text"), F.count("*").alias("n_claims"))
+    both = single.select(key, "subset", order, "text", "supporting").unionByName(inside.select(key, "subset", order, "text", "supporting"))
+    parts = F.array_sort(F.collect_list(F.struct(order, "text", "supporting")))
+    return both.groupBy(key, "subset").agg(F.concat_ws(" ", F.transform(parts, lambda p: p["text"])).alias("text"), F.count("*").alias("n_claims"), F.transform(parts, lambda p: F.struct(p["text"].alias("text"), p["supporting"].alias("supporting"))).alias("claims"))
 
 
 def assemble_captions(text_claims: DataFrame, vetted: list[tuple[str, DataFrame]], available: DataFrame, key: str = "object_id") -> DataFrame:
@@ -35,13 +35,20 @@ def assemble_captions(text_claims: DataFrame, vetted: list[tuple[str, DataFrame]
     return compose_captions(every, available, key)
 
 
-def caption_report(captions: DataFrame, claims: DataFrame, objects: DataFrame, key: str = "object_id") -> DataFrame:
-    """One row: captions, captioned objects, all objects and those without any text, survival rate, claims by kind."""
+def caption_report(captions: DataFrame, claims: DataFrame, sentences: DataFrame, objects: DataFrame, key: str = "object_id") -> DataFrame:
+    """One row: captions, captioned objects, leaking claims, sentences, surviving claims and their share, claims by kind, objects without text.
+
+    ``sentences`` has a row for each sentence of the source texts, ``claims`` one for each that became a claim; without
+    sentences the share is 0. ``captions`` have key, subset and claims (an array with ``text`` and ``supporting``).
+    """
     a = captions.agg(F.count("*").alias("n_captions"), F.count_distinct(key).alias("n_captioned"))
     b = claims.agg(F.count("*").alias("n_claims"), F.count_if(F.col("kind") == "relation").alias("n_relations"), F.count_if(F.col("kind") == "observation").alias("n_observations"))
     c = objects.agg(F.count_distinct(key).alias("n_objects"))
-    out = a.join(b, how="cross").join(c, how="cross")  # single rows
-    return out.withColumn("n_without_text", F.col("n_objects") - F.col("n_captioned")).withColumn("survival_rate", F.round(F.try_divide("n_captioned", "n_objects"), 6))
+    d = sentences.agg(F.count("*").alias("n_sentences"))
+    e = leaking_claims(captions, key, "subset", "claims").agg(F.count("*").alias("n_leakage_violations"))
+    out = a.join(b, how="cross").join(c, how="cross").join(d, how="cross").join(e, how="cross")  # single rows
+    share = F.coalesce(F.round(F.try_divide("n_claims", "n_sentences"), 6), F.lit(0.0))
+    return out.withColumn("n_without_text", F.col("n_objects") - F.col("n_captioned")).withColumn("survival_rate", share)
 
 
 def match_rates(available: DataFrame, captioned: DataFrame, key: str = "object_id") -> DataFrame:

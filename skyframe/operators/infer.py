@@ -277,3 +277,7 @@ def evaluate_captions(benchmark: DataFrame, captions: DataFrame, factory, letter
     return out.select(key, "truth", predicted.alias("predicted"), is_correct(predicted, F.col("truth")).alias("correct"), F.col("failure_reason").isNotNull().alias("failed"))
 
 
+def evaluation_summary(scored: DataFrame, task: str) -> DataFrame:
+    """One row for a task: samples, those answered, those right, accuracy; all zero where nothing was scored."""
+    rate = F.coalesce(F.round(F.avg(F.col("correct").cast("int")), 6), F.lit(0.0))
+    return scored.agg(F.count("*").alias("total_samples"), F.count("predicted").alias("n_answered"), F.count_if("correct").alias("n_correct"), rate.alias("accuracy")).withColumn("task_name", F.lit(task))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.columns import draw_key
-from skyframe.operators.checks import overlap, require_empty
+from skyframe.operators.checks import ValidationError, overlap, require_empty
 from skyframe.operators.nearest import nearest
 from skyframe.operators.splits import ranked
 
@@ -87,6 +87,13 @@ def translate_ids(captions: DataFrame, mapping: DataFrame, source: str, target:
     return captions.join(last, source).drop(source)
 
 
+def translation_report(captions: DataFrame, mapping: DataFrame, source: str) -> DataFrame:
+    """One row: captions, those whose id the mapping has, and those that :func:`translate_ids` leaves out."""
+    known = mapping.select(source).where(F.col(source).isNotNull()).distinct().withColumn("_known", F.lit(1))
+    out = captions.select(source).join(known, source, "left").agg(F.count("*").alias("n_captions"), F.count("_known").alias("n_matched"))
+    return out.withColumn("n_unmatched", F.col("n_captions") - F.col("n_matched"))
+
+
 def lookup_caption(manifest: DataFrame, captions: DataFrame, legacy: str, key: str = "object_id") -> DataFrame:
     """Manifest rows with the caption of their legacy id or, without one, of their id."""
     keyed = manifest.withColumn("_key", F.coalesce(legacy, key))
@@ -94,13 +101,17 @@ def lookup_caption(manifest: DataFrame, captions: DataFrame, legacy: str, key: s
 
 
 def attach_captions(benchmark: DataFrame, captions: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Benchmark rows that have a caption; none is no error (see :func:`skyframe.operators.infer.evaluation_summary`)."""
     return benchmark.join(captions.select(key, "caption"), key)
 
 
 def pair_predictions(base: DataFrame, treatment: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Samples of both runs, with each column once per run."""
+    """Samples of both runs, with each column once per run; runs without a common sample are an error."""
     a = base.select(key, *[F.col(c).alias(f"{c}_base") for c in columns])
-    return a.join(treatment.select(key, *[F.col(c).alias(f"{c}_treatment") for c in columns]), key)
+    out = a.join(treatment.select(key, *[F.col(c).alias(f"{c}_treatment") for c in columns]), key)
+    if out.isEmpty():
+        raise ValidationError("the runs have no sample in common")
+    return out
 
 
 def join_modalities(a: DataFrame, b: DataFrame, keys: list[str], suffix: str) -> DataFrame:

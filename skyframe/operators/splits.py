@@ -153,6 +153,13 @@ def sample_subset(available: DataFrame, captioned: DataFrame, weights: DataFrame
     return hit.groupBy(key).agg(F.min("subset").alias("subset"))
 
 
+def subset_report(available: DataFrame, captioned: DataFrame, weights: DataFrame, key: str = "object_id") -> DataFrame:
+    """One row: objects with an available subset, those that :func:`sample_subset` can draw for, and those it drops."""
+    usable = available.select(key, "subset").join(captioned.select(key, "subset"), [key, "subset"], "left_semi").join(weights.where("weight > 0"), "subset", "left_semi")
+    marked = available.select(key).distinct().join(usable.select(key).distinct().withColumn("_ok", F.lit(1)), key, "left")
+    return marked.agg(F.count("*").alias("n_objects"), F.count("_ok").alias("n_usable")).withColumn("n_dropped", F.col("n_objects") - F.col("n_usable"))
+
+
 def sample_prompts(df: DataFrame, variants: list[str], epoch: int, modalities: Column, seed: int = 42, key: str = "object_id") -> DataFrame:
     """(key, prompt): one variant per object and epoch, with {modalities} filled."""
     at = F.floor(hash_uniform(f"{seed}:{epoch}:prompt", F.col(key)) * len(variants)).cast("int")

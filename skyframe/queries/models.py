@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyframe.operators import checks, infer, probe, resample, scoring, splits
 from skyframe.queries.base import INPUTS, ORACLES, QUERIES, frame, plain, query
 from skyframe.sources import io
+from skyframe.sources.cache import EmbeddingCache
 from skyframe.sources.records import RecordSink, keep_run, read_records
 from skyframe.streaming import ledger as streams
 
@@ -313,6 +314,15 @@ def _paid(refuses: int):
     return lambda: client
 
 
+@query("c8_zero_report", "answers_prompts", sql="SELECT 'priority' AS task_name, 0 AS total_samples, 0 AS n_answered, 0 AS n_correct, 0e0 AS accuracy UNION ALL SELECT 'status', count(*) FILTER (WHERE o <> 'P'), count(*) FILTER (WHERE o <> 'P'), count(*) FILTER (WHERE o <> 'P' AND (o = 'O') = (k % 2 = 0)), round(avg(CASE WHEN o <> 'P' THEN CAST((o = 'O') = (k % 2 = 0) AS INT) END), 6) FROM {answers_prompts}")
+def c8_zero(rows: DataFrame) -> DataFrame:
+    """A task whose captions are all of other samples, beside one that has some."""
+    bench = rows.select(F.col("k").alias("sample_id"), F.when(F.col("k") % 2 == 0, "open").otherwise("done").alias("truth"))
+    caps = rows.where("o <> 'P'").select(F.col("k").alias("sample_id"), F.col("prompt").alias("caption"))
+    scored = lambda c: infer.evaluate_captions(bench, c, _stand_in({"status O": "FINAL ANSWER: A"}, "FINAL ANSWER: B"), {"A": "open", "B": "done"}, "{caption}\n{options}")
+    return infer.evaluation_summary(scored(caps), "status").unionByName(infer.evaluation_summary(scored(caps.withColumn("sample_id", -1 - F.col("sample_id"))), "priority"))
+
+
 @query("j6_resumable_run", "numbered_prompts", sql="SELECT k, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS seq, concat('FINAL ANSWER: ', substr('ABC', CAST(k % 3 AS INT) + 1, 1)) AS answer, length(prompt) * 0.75e0 AS cost FROM {numbered_prompts}")
 def j6(rows: DataFrame) -> DataFrame:
     path, hashed = work_path(rows.sparkSession, "ledger"), F.sha2("prompt", 256)
@@ -403,18 +413,57 @@ def a3(spark: SparkSession, orders: DataFrame) -> DataFrame:
     return spark.read.parquet(*io.discover(spark, f"{path}-none", path)).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
-@written("a5_caption_jsonl", "quotes", sql="""
-WITH r AS (SELECT object_id || '-' || pos AS k, CASE WHEN pos % 4 = 1 THEN 'INSUFFICIENT' WHEN pos % 4 = 2 THEN '' ELSE trim(text) END AS c FROM {quotes})
-SELECT k AS object_key, sha256(c) AS digest FROM r WHERE c NOT IN ('', 'INSUFFICIENT')""")
+#: Lines of a caption file: by turn with a sentinel, a flag, no output, an empty caption or a usable one, all with blanks around keys and texts.
+INPUTS["caption_lines"] = """
+SELECT concat(object_id, '-', CAST(pos AS STRING)) AS k, CASE pos % 6 WHEN 1 THEN 'sentinel' WHEN 2 THEN 'flag' WHEN 3 THEN 'none' WHEN 4 THEN 'empty' ELSE 'usable' END AS kind, text FROM {quotes}"""
+
+
+def _caption_lines(rows: DataFrame) -> DataFrame:
+    text = F.when(F.col("kind") == "sentinel", " INSUFFICIENT_SPECTRAL_DATA ").when(F.col("kind") == "empty", "  ").otherwise(F.concat(F.lit("  "), "text", F.lit("\n")))
+    output = F.when(F.col("kind") != "none", F.struct(text.alias("caption"), F.when(F.col("kind") == "flag", True).alias("is_insufficient")))
+    return rows.select(F.to_json(F.struct(F.concat(F.lit(" "), "k", F.lit(" ")).alias("object_key"), output.alias("output"))).alias("value"))
+
+
+@written("a5_caption_jsonl", "caption_lines", sql=r"""
+SELECT k AS object_key, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM {caption_lines} WHERE kind = 'usable'""")
 def a5(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = work_path(spark, "captions")
-    text = F.when(F.col("pos") % 4 == 1, "INSUFFICIENT").when(F.col("pos") % 4 == 2, "").otherwise(F.trim("text"))
-    both = rows.select(F.concat_ws("-", "object_id", F.col("pos").cast("string")).alias("object_key"), F.struct(text.alias("caption"), F.lit(False).alias("is_insufficient")).alias("output"))
-    both.unionByName(both).write.json(path)
+    both = _caption_lines(rows)
+    both.unionByName(both).write.text(path)
     usable, _ = io.read_caption_jsonl(spark, path)
     return usable.select("object_key", F.sha2("caption", 256).alias("digest"))
 
 
+@written("a5_line_status", "caption_lines", sql="""
+SELECT CASE kind WHEN 'sentinel' THEN 'insufficient' WHEN 'flag' THEN 'insufficient' WHEN 'none' THEN 'missing' WHEN 'empty' THEN 'missing' ELSE kind END AS status, CAST(count(*) * CASE WHEN any_value(kind) = 'usable' THEN 1 ELSE 2 END AS BIGINT) AS n FROM {caption_lines} GROUP BY 1
+UNION ALL SELECT 'duplicate', count(*) FROM {caption_lines} WHERE kind = 'usable'""")
+def a5_status(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = work_path(spark, "captions")
+    both = _caption_lines(rows)
+    both.unionByName(both).write.text(path)
+    return io.read_caption_jsonl(spark, path)[1]
+
+
+@written("a5_line_numbers", "quotes", sql="SELECT file, line, object_id, pos FROM (SELECT CAST(pos % 3 AS INT) AS file, row_number() OVER (PARTITION BY pos % 3 ORDER BY object_id, pos) AS line, object_id, pos FROM {quotes})")
+def a5_numbers(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Three files in order, each read in many splits."""
+    path = work_path(spark, "lines")
+    for part in range(3):
+        rows.where(F.col("pos") % 3 == part).orderBy("object_id", "pos").select(F.concat_ws("\t", "object_id", F.col("pos").cast("string"))).coalesce(1).write.text(f"{path}/part={part}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = io.text_lines(spark, f"{path}/*/*.txt")
+        numbered = io.numbered_lines(lines, lines)
+        parts = F.split("value", "\t")
+        out = numbered.select(F.regexp_extract("file", "part=(\\d)", 1).cast("int").alias("file"), F.col("line").cast("long").alias("line"), F.get(parts, F.lit(0)).alias("object_id"), F.get(parts, F.lit(1)).cast(rows.schema["pos"].dataType).alias("pos"))
+        stored = work_path(spark, "numbered")
+        out.write.parquet(stored)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return spark.read.parquet(stored)
+
+
 @written("a6_predictions_jsonl", "predictions", sql="""
 SELECT sample_id, CASE WHEN regime = 'F' THEN '["' || predicted || '"]' ELSE predicted END AS prediction, CASE WHEN regime = 'F' THEN 1 ELSE 0 END AS n_predicted,
 CASE WHEN regime = 'F' THEN 3.5 END AS snr, CASE WHEN regime = 'O' THEN NULL ELSE 'text of ' || sample_id END AS caption FROM {predictions} WHERE predicted IS NOT NULL""")
@@ -440,15 +489,17 @@ def a7(spark: SparkSession, customer: DataFrame) -> DataFrame:
 
 
 @written("a8_line_metadata", "orders", "lineitem", sql="""
-WITH t AS (SELECT o_custkey AS k, arg_min(o_orderpriority, o_orderkey) AS class, arg_min(o_orderstatus, o_orderkey) AS subclass FROM {orders} GROUP BY 1), l AS (SELECT l_suppkey AS k, count(*) AS n_lines FROM {lineitem} GROUP BY 1)
-SELECT CAST(t.k AS VARCHAR) AS id, class, subclass, coalesce(n_lines, 0) AS n_lines FROM t LEFT JOIN l USING (k)""")
+WITH t AS (SELECT o_custkey AS k, arg_min(o_orderpriority, o_orderkey) AS class, arg_min(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE '' END, o_orderkey) AS subclass FROM {orders} GROUP BY 1), l AS (SELECT l_suppkey AS k, count(*) AS n_lines, max(l_quantity) AS best FROM {lineitem} GROUP BY 1)
+SELECT CAST(t.k AS VARCHAR) AS id, class, nullif(subclass, '') AS subclass, coalesce(n_lines, 0) AS n_lines, CAST(best AS DOUBLE) AS best FROM t LEFT JOIN l USING (k)""")
 def a8(spark: SparkSession, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     path = work_path(spark, "csv")
-    orders.select(F.col("o_custkey").alias("wiki_entity_id"), F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("subclass"), F.col("o_orderkey").alias("row")).write.csv(f"{path}/types", header=True)
-    lineitem.select(F.col("l_suppkey").alias("wiki_entity_id"), F.col("l_returnflag").alias("LINE_NAME"), F.col("l_quantity").alias("SNR")).write.csv(f"{path}/lines", header=True)
+    # Columns in another order, with one that isn't asked for; the first row of an id in the file counts, whole.
+    types = orders.orderBy("o_orderkey").select(F.col("o_orderpriority").alias("class"), "o_comment" if "o_comment" in orders.columns else F.lit("x").alias("note"), F.col("o_custkey").alias("wiki_entity_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("subclass"))
+    types.coalesce(1).write.csv(f"{path}/types", header=True)
+    lineitem.select(F.col("l_quantity").alias("SNR"), F.col("l_suppkey").alias("wiki_entity_id"), F.col("l_returnflag").alias("LINE_NAME")).write.csv(f"{path}/lines", header=True)
     types, lines = io.read_line_metadata(spark, f"{path}/types", f"{path}/lines")
-    n = lines.groupBy("wiki_entity_id").agg(F.count("*").alias("n_lines"))
-    return types.join(n, "wiki_entity_id", "left").select(F.col("wiki_entity_id").alias("id"), "class", "subclass", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    n = lines.groupBy("wiki_entity_id").agg(F.count("*").alias("n_lines"), F.max("SNR").alias("best"))
+    return types.join(n, "wiki_entity_id", "left").select(F.col("wiki_entity_id").alias("id"), "class", "subclass", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "best")
 
 
 @written("a9_context_jsonl", "documents", sql="SELECT CAST(doc_id AS VARCHAR) AS object_id, length(text) AS n FROM {documents} WHERE trim(text) <> ''")
@@ -458,35 +509,79 @@ def a9(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return io.read_context_jsonl(spark, path, 10_000_000).select("object_id", F.length("context").cast("long").alias("n"))
 
 
-@written("a10_load_benchmark", "orders", sql="SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_totalprice AS ground_truth FROM {orders}")
+@written("a10_load_benchmark", "orders", sql="SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderstatus AS survey, CAST(o_totalprice AS DOUBLE) AS z, o_orderpriority AS redshift_bin FROM {orders}")
 def a10(spark: SparkSession, orders: DataFrame) -> DataFrame:
     path = work_path(spark, "benchmark")
-    orders.select(F.col("o_orderkey").alias("object_id"), F.col("o_totalprice").alias("ground_truth")).write.parquet(path)
-    return io.load_benchmark(spark, "distance", path, {"ground_truth": "double"})
+    truth = F.struct(F.col("o_totalprice").cast("double").alias("z"), F.col("o_orderpriority").alias("redshift_bin"))
+    orders.select(F.col("o_orderkey").alias("object_id"), F.col("o_orderstatus").alias("survey"), F.array("o_totalprice").alias("spectrum"), truth.alias("ground_truth")).write.parquet(path)
+    return io.load_benchmark(spark, "redshift", path).select("sample_id", "survey", "ground_truth.z", "ground_truth.redshift_bin")
 
 
-@written("a12_write_manifest", "objects", sql="SELECT 'joint' AS tier, split, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (ORDER BY sha256(concat('42:', object_id))) <= round_even(count(*) OVER () * 0.1, 0) THEN 'val' WHEN row_number() OVER (ORDER BY sha256(concat('42:', object_id))) <= 2 * round_even(count(*) OVER () * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM {objects}) GROUP BY split")
+#: Splits drawn for all objects together, as the assignment of splits does it.
+DRAWN = "SELECT object_id, split_upstream, CASE WHEN row_number() OVER (ORDER BY sha256(concat('42:', object_id))) <= round_even(count(*) OVER () * 0.1, 0) THEN 'val' WHEN row_number() OVER (ORDER BY sha256(concat('42:', object_id))) <= 2 * round_even(count(*) OVER () * 0.1, 0) THEN 'test' ELSE 'train' END AS split FROM {objects}"
+
+
+@written("a12_write_manifest", "objects", sql=f"SELECT 'joint' AS tier, split, count(*) AS n FROM ({DRAWN}) GROUP BY split")
 def a12(spark: SparkSession, objects: DataFrame) -> DataFrame:
     path = work_path(spark, "manifest")
     io.write_manifest(splits.assign_splits(objects.select("object_id").withColumn("tier", F.lit("joint"))), path)
-    return spark.read.parquet(path).groupBy("tier", "split").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{path}/table").groupBy("tier", "split").agg(F.count("*").alias("n"))
 
 
-@written("a13_write_captions", "quotes", sql="SELECT object_id, count(*) AS n FROM {quotes} GROUP BY 1")
-def a13(spark: SparkSession, rows: DataFrame) -> DataFrame:
+@written("a12_manifest_stats", "objects", sql=f"""
+WITH d AS ({DRAWN}), u AS (SELECT count(split_upstream) AS k FROM d)
+SELECT 'n_objects' AS fact, CAST(count(*) AS VARCHAR) AS value FROM d UNION ALL SELECT 'split_' || split, CAST(count(*) AS VARCHAR) FROM d GROUP BY split UNION ALL SELECT 'tier_joint', CAST(count(*) AS VARCHAR) FROM d
+UNION ALL SELECT 'given_' || split_upstream, CAST(count(*) AS VARCHAR) FROM d WHERE split_upstream IS NOT NULL GROUP BY split_upstream UNION ALL SELECT 'n_upstream', CAST(k AS VARCHAR) FROM u UNION ALL SELECT 'source', 'upstream+seeded_draw' UNION ALL SELECT 'thin', CASE WHEN count(*) < 100000 THEN 'joint' ELSE '' END FROM d""")
+def a12_stats(spark: SparkSession, objects: DataFrame) -> DataFrame:
+    path = work_path(spark, "manifest")
+    drawn = splits.assign_splits(objects.select("object_id").withColumn("tier", F.lit("joint"))).join(objects.select("object_id", "split_upstream"), "object_id")
+    io.write_manifest(drawn, path, least=100_000)
+    stats = spark.read.schema("n_objects long, tier_histogram map<string,long>, split_histogram map<string,long>, split_source string, n_upstream_labelled_objects long, upstream_split_histogram map<string,long>, thin_tiers array<string>").json(f"{path}/stats")
+    one = lambda name, value: F.array(F.struct(F.lit(name).alias("fact"), value.cast("string").alias("value")))
+    many = lambda prefix, c: F.transform(F.map_entries(c), lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("fact"), e["value"].cast("string").alias("value")))
+    facts = F.concat(one("n_objects", F.col("n_objects")), many("split_", "split_histogram"), many("tier_", "tier_histogram"), many("given_", "upstream_split_histogram"), one("n_upstream", F.col("n_upstream_labelled_objects")), one("source", F.col("split_source")), one("thin", F.array_join("thin_tiers", ",")))
+    return stats.select(F.explode(facts).alias("f")).select("f.*")
+
+
+def _captions(rows: DataFrame) -> DataFrame:
     claims = F.array(F.struct("text", F.array(F.lit("image")).alias("supporting")))
-    caps = rows.select("object_id", "text", F.array(F.lit("image")).alias("subset"), claims.alias("claims"))
-    out = io.write_captions(caps, checks.leaking_claims(caps, "object_id", "subset", "claims"), work_path(spark, "captions"))
-    return out.groupBy("object_id").agg(F.count("*").alias("n"))
+    wide = F.when(F.col("pos") % 2 == 0, F.array(F.lit("image"), F.lit("spectra"))).otherwise(F.array(F.lit("image")))
+    return rows.select(F.concat_ws("-", "object_id", F.col("pos").cast("string")).alias("object_id"), "text", wide.alias("subset"), claims.alias("claims"))
+
 
+@written("a13_write_captions", "quotes", sql="SELECT concat(object_id, '-', CAST(pos AS VARCHAR)) AS object_id, sha256(text) AS digest, CAST(CASE WHEN pos % 2 = 0 THEN 2 ELSE 1 END AS INT) AS n FROM {quotes}")
+def a13(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    out = io.write_captions(_captions(rows), work_path(spark, "captions"), rows.agg(F.count("*").alias("n_captions")))
+    return out.select("object_id", F.sha2("text", 256).alias("digest"), F.size("subset").alias("n"))
+
+
+@written("a13_review_and_report", "quotes", sql="""
+WITH c AS (SELECT concat(object_id, '-', CAST(pos AS VARCHAR)) AS object_id, pos % 2 = 0 AS joint FROM {quotes}), r AS (SELECT object_id, row_number() OVER (PARTITION BY joint ORDER BY sha256(concat('0:', object_id)), object_id) AS k FROM c)
+SELECT 'review' AS part, object_id AS value FROM r WHERE k <= 25 UNION ALL SELECT 'n_captions', CAST(count(*) AS VARCHAR) FROM c UNION ALL SELECT 'n_leakage_violations', '0'""")
+def a13_review(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = work_path(spark, "captions")
+    io.write_captions(_captions(rows), path, rows.agg(F.count("*").alias("n_captions")))
+    review = spark.read.schema("object_id string").json(f"{path}/review").select(F.lit("review").alias("part"), F.col("object_id").alias("value"))
+    report = spark.read.schema("n_captions long, n_leakage_violations long").json(f"{path}/report")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("value")) for c in report.columns])).alias("x")
+    return review.unionByName(report.select(each).select("x.*"))
 
-@written("a14_embedding_cache", "embeddings", sql="SELECT vec_id AS object_id, 16 AS n_tokens, 'image' AS modality FROM {embeddings} WHERE vec_id % 6 <> 0")
+
+@written("a14_embedding_cache", "embeddings", sql="""
+SELECT vec_id AS object_id, CASE WHEN vec_id % 4 = 1 THEN 8 ELSE 16 END AS n_tokens, 4 AS out_dim, 'image' AS modality, 'fixed' AS spec_impl,
+round(CASE WHEN vec_id % 4 = 1 THEN 2 ELSE 1 END * CAST(embedding[1] AS DOUBLE), 5) AS first FROM {embeddings} WHERE vec_id % 6 <> 0""")
 def a14(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
-    emb = infer.encode(embeddings.withColumnRenamed("vec_id", "object_id"), "embedding", infer.projection_encoder(4), 4, "spec1")
-    nan = F.array(F.array(F.lit(float("nan"))))
-    odd = emb.withColumn("embedding", F.when(F.col("object_id") % 6 == 0, nan).otherwise(F.col("embedding")))
-    index, _ = io.write_embedding_cache(odd, work_path(spark, "cache"), "image")
-    return index.select("object_id", "n_tokens", "modality")
+    path, nan = work_path(spark, "cache"), F.array(F.array(F.lit(float("nan"))))
+    tokens = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda x: x.cast("double")))
+    rows = embeddings.select(F.col("vec_id").alias("object_id"), F.when(F.col("vec_id") % 6 == 0, nan).otherwise(tokens(16)).alias("embedding"), F.lit(16).alias("n_tokens"))
+    cache = EmbeddingCache(spark, path, "image", {"impl": "fixed", "width": 4})
+    cache.write(rows)
+    # Another encoder's cache doesn't mix with it, and a second run of a part replaces that part.
+    EmbeddingCache(spark, path, "image", {"impl": "other", "width": 4}).write(rows)
+    again = embeddings.where("vec_id % 4 = 1 AND vec_id % 6 <> 0").select(F.col("vec_id").alias("object_id"), F.transform(tokens(8), lambda t: F.transform(t, lambda x: x * 2)).alias("embedding"), F.lit(8).alias("n_tokens"))
+    index, _ = cache.write(again)
+    held = cache.read().select("object_id", F.round(F.get(F.get("embedding", F.lit(0)), F.lit(0)), 5).alias("first"))
+    return index.join(held, "object_id").select("object_id", "n_tokens", "out_dim", "modality", "spec_impl", "first")
 
 
 @written("a15_append_ledger", "ledger", sql="SELECT object_id, max(seq) AS turn, count(*) AS n, count(DISTINCT seq % 2) AS n_runs FROM {ledger} GROUP BY 1")
@@ -509,6 +604,18 @@ def a16(spark: SparkSession, results: DataFrame) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
+@written("a16_comparisons_csv", "predictions", sql="""
+WITH s AS (SELECT regime, CAST(coalesce(truth = predicted, false) AS DOUBLE) AS a, CAST(coalesce(truth = predicted_b, false) AS DOUBLE) AS b FROM {predictions}), r AS (SELECT 'all' AS regime, a, b FROM s UNION ALL SELECT regime, a, b FROM s)
+SELECT 'target' AS model_id, 'first' AS baseline_model, 'lines' AS task, regime, 'jaccard' AS metric, CAST(count(*) AS VARCHAR) AS num_samples, printf('%.4f', avg(a)) AS score_baseline, printf('%.4f', avg(b)) AS score_model, printf('%+.4f', avg(b - a)) AS delta_observed, true AS ordered FROM r GROUP BY regime""")
+def a16_comparisons(spark: SparkSession, predictions: DataFrame) -> DataFrame:
+    path = work_path(spark, "comparisons")
+    io.export_comparisons_csv(resample.compare_all(_models(predictions), "target", regime_tasks=["lines"]), path, "target", {"lines": "jaccard"})
+    back = spark.read.csv(path, header=True)
+    number = lambda c: F.col(c).cast("double")
+    ordered = number("delta_observed").between(number("ci_delta_lower"), number("ci_delta_upper")) & number("score_model").between(number("ci_model_lower"), number("ci_model_upper")) & ((number("p_value") < 0.05) == (F.col("is_significant") == "True"))
+    return back.select("model_id", "baseline_model", "task", "regime", "metric", "num_samples", "score_baseline", "score_model", "delta_observed", ordered.alias("ordered"))
+
+
 @written("v13_claims_json", "orders", sql="""
 SELECT o_orderkey AS object_id, CASE o_orderkey % 7 WHEN 1 THEN 'unknown_field' WHEN 2 THEN 'bad_band' WHEN 3 THEN 'bad_number' WHEN 4 THEN 'empty_quote' WHEN 5 THEN 'unknown_item_field' WHEN 6 THEN 'not_an_object' END AS problem FROM {orders} WHERE o_orderkey % 7 > 0""")
 def v13(spark: SparkSession, orders: DataFrame) -> DataFrame:

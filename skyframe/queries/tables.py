@@ -372,6 +372,15 @@ def e8(subsets: DataFrame) -> DataFrame:
     return splits.sample_subset(have, told, subsets.select("subset", "weight").distinct(), 3)
 
 
+@query("e8_dropped", "subsets", sql="""
+WITH a AS (SELECT * FROM {subsets} WHERE NOT (CAST(object_id AS BIGINT) % 3 = 0 AND subset = 'spectra')), u AS (SELECT DISTINCT object_id FROM a WHERE CAST(object_id AS BIGINT) % 10 <> 0)
+SELECT count(*) AS n_objects, count(u.object_id) AS n_usable, count(*) - count(u.object_id) AS n_dropped FROM (SELECT DISTINCT object_id FROM a) a LEFT JOIN u USING (object_id)""")
+def e8_dropped(subsets: DataFrame) -> DataFrame:
+    have = subsets.where("NOT (CAST(object_id AS BIGINT) % 3 = 0 AND subset = 'spectra')").select("object_id", "subset")
+    told = subsets.where("CAST(object_id AS BIGINT) % 10 <> 0").select("object_id", "subset")
+    return splits.subset_report(have, told, subsets.select("subset", "weight").distinct())
+
+
 @query("e9_sample_prompts", "objects", sql=f"""
 SELECT object_id, replace(CASE CAST(floor({_uniform("'42:1:prompt'")} * 2) AS INT) WHEN 0 THEN 'Describe the {{modalities}}.' ELSE 'What does the {{modalities}} show?' END, '{{modalities}}', survey) AS prompt FROM {{objects}} WHERE survey IS NOT NULL""".replace("{modalities}", "[modalities]"))
 def e9(objects: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyframe.functions.columns import canonical_id, fingerprint, strip
-from skyframe.operators.checks import ValidationError, not_unique, require_empty
+from skyframe.functions.columns import fingerprint, strip
+from skyframe.operators.checks import ValidationError, leaking_claims, not_unique, require_empty
+from skyframe.operators.lineage import settled
+from skyframe.operators.splits import review_sample
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,23 +62,74 @@ def tag_survey(df: DataFrame, surveys: list[str], file_name: str = "_file", colu
     return out
 
 
-CAPTION_SCHEMA = "object_key string, dataset_source string, output struct<caption:string,is_insufficient:boolean>, usage struct<input_tokens:bigint,output_tokens:bigint>"
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, place, value): lines of text files; ``block`` is where the split begins, ``place`` orders a split's lines."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
 
 
-def read_caption_jsonl(spark: SparkSession, path: str, sentinel: str = "INSUFFICIENT") -> tuple[DataFrame, DataFrame]:
-    """((object_key, caption), (status, n)): usable captions, and lines by status.
+def numbered_lines(lines: DataFrame, all_lines: DataFrame) -> DataFrame:
+    """``lines`` with ``line``: the number from 1 in its file, whatever splits the file is read in.
 
-    Identical repeats collapse; two captions for one key are an error that names the file and key.
+    Lines are counted by split; the splits before a line's own and its place in the own one give the number, so no file
+    is ever in one task. ``all_lines`` are all of :func:`text_lines`, of which ``lines`` are some.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    parsed = raw.where(F.trim("value") != "").select(F.from_json("value", CAPTION_SCHEMA).alias("r"), "file")
-    caption = strip(F.col("r.output.caption"))
-    status = F.when(F.col("r").isNull() | F.col("r.object_key").isNull(), "bad").when(F.coalesce("r.output.is_insufficient", F.lit(False)) | (caption == sentinel), "insufficient").when(F.coalesce(caption, F.lit("")) == "", "missing").otherwise("usable")
-    rows = parsed.select(F.col("r.object_key").alias("object_key"), caption.alias("caption"), status.alias("status"), "file")
+    splits = all_lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("place").alias("_first"))
+    # A row for each split of a file.
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block")) - F.col("_n")
+    starts = splits.select("file", "block", "_first", before.alias("_before"))
+    return lines.join(starts, ["file", "block"]).withColumn("line", F.col("_before") + F.col("place") - F.col("_first") + 1).drop("_before", "_first")
+
+
+#: Fixed value: what a captioner writes where a spectrum says too little.
+INSUFFICIENT = "INSUFFICIENT_SPECTRAL_DATA"
+
+
+def read_caption_jsonl(spark: SparkSession, path: str, sentinel: str = INSUFFICIENT) -> tuple[DataFrame, DataFrame]:
+    """((object_key, caption), (status, n)): usable captions with keys and texts trimmed, and lines by status.
+
+    A line is ``insufficient`` by its flag or the sentinel, ``missing`` without an output, key or caption, a ``duplicate`` if
+    it repeats a usable one, else ``usable``; blank lines don't count. Invalid JSON, a line or output that is no object, a
+    caption that is no text and a second caption for a key are errors, named by file and line in the order of the lines.
+    """
+    lines = text_lines(spark, path)
+    said = lines.where(strip(F.col("value")) != "").withColumn("_v", F.try_parse_json("value"))
+    part = lambda field: F.try_variant_get("_v", field, "variant")
+    kind = lambda v: F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("VOID"))
+    rows = said.withColumns({"_output": part("$.output"), "_key": part("$.object_key"), "_caption": part("$.output.caption"), "_flag": part("$.output.is_insufficient")})
+    rows = rows.withColumns({f"_k{c}": kind(F.col(c)) for c in ("_v", "_output", "_key", "_caption", "_flag")})
+    text = lambda c: F.when(F.col(f"_k{c}") == "STRING", F.try_variant_get(c, "$", "string"))
+    rows = rows.withColumns({"_text": text("_caption"), "object_key": strip(text("_key"))})
+    raised = F.when(F.col("_k_flag") == "BOOLEAN", F.try_variant_get("_flag", "$", "boolean")).when(F.col("_k_flag") == "VOID", False).otherwise(~F.to_json("_flag").isin("0", "0.0", '""', "[]", "{}"))
+    status = (
+        F.when(F.col("_v").isNull(), "invalid JSON")
+        .when(F.col("_k_v") != "OBJECT", "no object")
+        .when(F.col("_k_output") == "VOID", "missing")
+        .when(F.col("_k_output") != "OBJECT", "output is no object")
+        .when(F.coalesce(raised, F.lit(False)) | F.coalesce(F.col("_text") == sentinel, F.lit(False)), "insufficient")
+        .when((F.coalesce("object_key", F.lit("")) == "") | (F.col("_k_caption") == "VOID"), "missing")
+        .when(F.col("_k_caption") != "STRING", "caption is no text")
+        .when(strip(F.col("_text")) == "", "missing")
+        .when(strip(F.col("_text")) == sentinel, "insufficient")
+        .otherwise("usable")
+    )
+    rows = settled(rows.select("file", "block", "place", status.alias("status"), "object_key", strip(F.col("_text")).alias("caption")))
     usable = rows.where("status = 'usable'")
-    conflicts = usable.groupBy("object_key").agg(F.count_distinct("caption").alias("n"), F.min("file").alias("file")).where("n > 1").select("object_key", "file")
-    require_empty(conflicts, "conflicting captions")
-    return usable.select("object_key", "caption").distinct(), rows.groupBy("status").agg(F.count("*").alias("n"))
+    several = usable.groupBy("object_key").agg(F.count_distinct("caption").alias("n")).where("n > 1").select("object_key")
+    bad = rows.where(~F.col("status").isin("missing", "insufficient", "usable"))
+    if several.limit(1).count() or bad.limit(1).count():
+        # Only now are lines numbered: the first of a conflicting key is right, the first that differs from it isn't.
+        mine = numbered_lines(usable.join(several, "object_key"), lines)
+        first = mine.groupBy("object_key").agg(F.min_by("caption", F.struct("file", "line")).alias("_first"))
+        conflicts = mine.join(first, "object_key").where("caption <> _first").select("file", "line", F.concat(F.lit("second caption for "), "object_key").alias("status"))
+        wrong = numbered_lines(bad, lines).select("file", "line", "status").unionByName(conflicts)
+        told = [f"{r['file']}:{r['line']}: {r['status']}" for r in wrong.orderBy("file", "line").limit(3).collect()]
+        raise ValidationError("; ".join(told))
+    captions = usable.select("object_key", "caption").distinct()
+    counts = rows.groupBy("status").agg(F.count("*").alias("n"))
+    once = captions.agg(F.count("*").alias("_k"))
+    repeats = counts.where("status = 'usable'").join(once, how="cross")  # single rows
+    split = repeats.select(F.explode(F.array(F.struct(F.lit("usable").alias("status"), F.col("_k").alias("n")), F.struct(F.lit("duplicate").alias("status"), (F.col("n") - F.col("_k")).alias("n")))).alias("x")).select("x.*").where("n > 0")
+    return captions, counts.where("status <> 'usable'").unionByName(split)
 
 
 #: Objects and lists under a field of type string are read as their JSON text.
@@ -109,10 +162,18 @@ def read_answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_line_metadata(spark: SparkSession, types_path: str, lines_path: str) -> tuple[DataFrame, DataFrame]:
-    """(types with the first row per id, emission lines)."""
-    types = spark.read.schema("wiki_entity_id string, class string, subclass string, row long").csv(types_path, header=True)
-    first = types.groupBy("wiki_entity_id").agg(F.min_by("class", "row").alias("class"), F.min_by("subclass", "row").alias("subclass"))
-    return first, spark.read.schema("wiki_entity_id string, LINE_NAME string, SNR double").csv(lines_path, header=True)
+    """((wiki_entity_id, class, subclass) with the first row of each id in file order, (wiki_entity_id, LINE_NAME, SNR)).
+
+    Columns are found by the names in the header; others are left out.
+    """
+    types = spark.read.option("header", True).csv(types_path)
+    lost = [c for c in ("wiki_entity_id", "class", "subclass") if c not in types.columns]
+    if lost:
+        raise ValidationError(f"{types_path} lacks columns {lost}")
+    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    first = types.select("wiki_entity_id", F.struct("class", "subclass").alias("_r"), order.alias("_at")).groupBy("wiki_entity_id").agg(F.min_by("_r", "_at").alias("_r"))
+    lines = spark.read.option("header", True).csv(lines_path).select("wiki_entity_id", "LINE_NAME", F.col("SNR").cast("double").alias("SNR"))
+    return first.select("wiki_entity_id", "_r.class", "_r.subclass"), lines
 
 
 def read_context_jsonl(spark: SparkSession, path: str, longest: int = 25_000) -> DataFrame:
@@ -124,23 +185,47 @@ def read_context_jsonl(spark: SparkSession, path: str, longest: int = 25_000) ->
     return rows
 
 
-BENCHMARKS: dict[str, T.StructType] = {}
+#: What every benchmark has, and the keys of each benchmark's ground truth.
+BENCHMARK_COLUMNS = ("survey", "spectrum", "ground_truth")
+BENCHMARKS: dict[str, tuple[str, ...]] = {
+    "redshift": ("z", "redshift_bin"),
+    "source_class": ("source_class",),
+    "subclass": ("subclass",),
+    "emission_lines": ("detected_lines", "absent_lines"),
+}
+
 
+def register_benchmark(name: str, truth_keys: tuple[str, ...]) -> None:
+    """Make a benchmark known by name, with the keys that its ground truth must have."""
+    BENCHMARKS[name] = tuple(truth_keys)
 
-def register_benchmark(name: str, schema: str) -> None:
-    """Required columns of a benchmark."""
-    BENCHMARKS[name] = T._parse_datatype_string(schema)
 
+def load_benchmark(spark: SparkSession, name: str, path: str, required: tuple[str, ...] = BENCHMARK_COLUMNS) -> DataFrame:
+    """A known benchmark with sample ids as text, from object_id where there is no sample_id.
 
-def load_benchmark(spark: SparkSession, name: str, path: str, required: dict[str, str]) -> DataFrame:
-    """A benchmark with sample ids as text (object_id where there is no sample_id) and its required columns."""
+    An unknown name, a missing column, a ground truth (a struct or a map) without one of its keys and repeated samples are
+    errors.
+    """
+    if name not in BENCHMARKS:
+        raise ValidationError(f"unknown benchmark {name}; known are {sorted(BENCHMARKS)}")
     df = spark.read.parquet(path)
-    if "sample_id" not in df.columns and "object_id" in df.columns:
-        df = df.withColumnRenamed("object_id", "sample_id")
-    lost = [c for c in ["sample_id", *required] if c not in df.columns]
+    if "sample_id" not in df.columns:
+        if "object_id" not in df.columns:
+            raise ValidationError(f"benchmark {name} has neither sample_id nor object_id")
+        df = df.withColumn("sample_id", F.col("object_id"))
+    lost = [c for c in required if c not in df.columns]
     if lost:
         raise ValidationError(f"benchmark {name} lacks {lost}")
-    out = df.withColumn("sample_id", canonical_id(F.col("sample_id"))).withColumns({c: F.col(c).cast(t) for c, t in required.items()})
+    out = df.withColumn("sample_id", F.col("sample_id").cast("string"))
+    if "ground_truth" in df.columns:
+        kind = df.schema["ground_truth"].dataType
+        if isinstance(kind, T.StructType):
+            lost = [k for k in BENCHMARKS[name] if k not in kind.fieldNames()]
+            if lost:
+                raise ValidationError(f"the ground truth of {name} lacks {lost}")
+        elif isinstance(kind, T.MapType):
+            missing = F.array_except(F.array(*[F.lit(k) for k in BENCHMARKS[name]]), F.map_keys("ground_truth"))
+            require_empty(out.where(F.size(missing) > 0).select("sample_id", missing.alias("missing")), f"ground truths of {name} without a key")
     require_empty(not_unique(out, "sample_id"), f"benchmark {name} has repeated samples")
     return out
 
@@ -156,32 +241,51 @@ def load_all_unique(benchmarks: list[DataFrame], key: str = "sample_id") -> Data
     return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumnRenamed("_src", "src_rank")
 
 
-def write_manifest(df: DataFrame, path: str) -> DataFrame:
-    """Write a manifest with splits; an empty train or test is an error. Returns (tier, split, n)."""
-    stats = df.groupBy("tier", "split").agg(F.count("*").alias("n"))
-    have = {r["split"] for r in stats.collect()}
-    if not {"train", "test"} <= have:
-        raise ValidationError("train or test is empty")
-    df.write.mode("errorifexists").parquet(path)
-    return stats
-
+def write_manifest(df: DataFrame, path: str, least: int = 50, upstream: str = "split_upstream", honoured: bool = True) -> DataFrame:
+    """Write a manifest with tiers and splits to ``path/table``, and its statistics to ``path/stats`` as one JSON record.
 
-def write_captions(captions: DataFrame, violations: DataFrame, path: str) -> DataFrame:
-    """Write captions unless claims leak; returns what was written."""
-    require_empty(violations, "claims outside their caption's subset")
-    captions.write.mode("errorifexists").parquet(path)
-    return captions.sparkSession.read.schema(captions.schema).parquet(path)
+    An empty train or test is an error, before anything is written. The statistics: rows, histograms of tiers, splits
+    and given splits, whether splits follow the given ones, and tiers with fewer than ``least`` objects. Returns them as
+    one row.
+    """
+    given = upstream in df.columns
+    counts = df.groupBy("tier", "split", F.col(upstream).cast("string").alias("_given") if given else F.lit(None).cast("string").alias("_given")).agg(F.count("*").alias("n")).collect()  # a row for each tier and split
+    total = {c: {} for c in ("tier", "split", "_given")}
+    for r in counts:
+        for c, seen in total.items():
+            if r[c] is not None:
+                seen[r[c]] = seen.get(r[c], 0) + r["n"]
+    lost = [s for s in ("train", "test") if not total["split"].get(s)]
+    if lost:
+        raise ValidationError(f"splits {lost} are empty: {total['split']}")
+    labelled = sum(total["_given"].values()) if honoured else 0
+    thin = sorted(t for t, n in total["tier"].items() if n < least)
+    record = (sum(total["split"].values()), total["tier"], total["split"], "upstream+seeded_draw" if labelled else "seeded_draw", labelled, total["_given"] if labelled else {}, thin)
+    stats = df.sparkSession.createDataFrame([record], "n_objects long, tier_histogram map<string,long>, split_histogram map<string,long>, split_source string, n_upstream_labelled_objects long, upstream_split_histogram map<string,long>, thin_tiers array<string>")
+    df.write.mode("errorifexists").parquet(f"{path}/table")
+    stats.coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    return stats
 
 
-def write_embedding_cache(embeddings: DataFrame, path: str, modality: str, key: str = "object_id") -> tuple[DataFrame, DataFrame]:
-    """(index, ids left out): finite embeddings under modality and spec hash; the index is a projection of the same files."""
-    from skyframe.operators.checks import non_finite
+def write_captions(captions: DataFrame, path: str, report: DataFrame, key: str = "object_id", subset: str = "subset", claims: str = "claims", sample: int = 25, seed: int = 0) -> DataFrame:
+    """Write captions, a one-row report and a sample to read to ``path/captions``, ``path/report`` and ``path/review``.
 
-    bad = non_finite(embeddings, "embedding", key)
-    good = embeddings.join(bad, key, "left_anti").withColumn("modality", F.lit(modality))
-    good.write.mode("append").partitionBy("modality", "spec_hash").parquet(path)
-    cache = embeddings.sparkSession.read.parquet(path).where(F.col("modality") == modality)
-    return cache.select(key, "n_tokens", "modality", "spec_hash", F.col("_metadata.file_name").alias("shard_file")), bad
+    The sample holds up to ``sample`` captions of a single modality and as many of several. The report gets the number of
+    claims outside their caption's subset. All three are written even if there are such claims, so that one can look at
+    them; then the gate fails.
+    """
+    spark = captions.sparkSession
+    leaks = leaking_claims(captions, key, subset, claims)
+    n_leaks = leaks.count()
+    captions.write.mode("errorifexists").parquet(f"{path}/captions")
+    out = spark.read.schema(captions.schema).parquet(f"{path}/captions")
+    report.withColumn("n_leakage_violations", F.lit(n_leaks)).coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    kind = F.when(F.size(subset) > 1, "joint").otherwise("single")
+    chosen = review_sample(out, kind, sample, seed, key).select(key, subset, "text")
+    chosen.coalesce(1).write.mode("overwrite").json(f"{path}/review")  # twice ``sample`` rows
+    if n_leaks:
+        raise ValidationError(f"{n_leaks} claims outside their caption's subset: {[tuple(r) for r in leaks.limit(3).collect()]}")
+    return out
 
 
 def replace_report(report: DataFrame, path: str) -> None:
@@ -196,10 +300,23 @@ def export_summary_csv(results: DataFrame, tasks: list[str], path: str) -> DataF
     return wide
 
 
-def export_comparisons_csv(comparisons: DataFrame, path: str, numbers: list[str]) -> DataFrame:
-    """Long comparison table with four decimals and a significance flag."""
-    out = comparisons.withColumns({c: F.format_string("%.4f", F.col(c)) for c in numbers}).withColumn("significant", F.when(F.col("significant"), "yes").otherwise("no"))
-    out.coalesce(1).write.mode("overwrite").csv(path, header=True)  # a row for each model, task and regime
+def export_comparisons_csv(comparisons: DataFrame, path: str, target: str, metrics: dict[str, str] | None = None) -> DataFrame:
+    """Rows of ``compare_all`` as one CSV file of the stated columns; ``metrics`` names the metric of tasks other than accuracy.
+
+    Scores have four decimals, differences a sign too.
+    """
+    named = F.coalesce(*[F.when(F.col("task") == t, m) for t, m in (metrics or {}).items()], F.lit("accuracy"))
+    plain, signed = (lambda c: F.format_string("%.4f", F.col(c))), (lambda c: F.format_string("%+.4f", F.col(c)))
+    # Names and order of the columns.
+    columns = {
+        "model_id": F.lit(target), "baseline_model": F.col("model"), "task": F.col("task"), "regime": F.col("regime"), "metric": named, "num_samples": F.col("n"),
+        "score_baseline": plain("base"), "ci_baseline_lower": plain("base_low"), "ci_baseline_upper": plain("base_high"),
+        "score_model": plain("treatment"), "ci_model_lower": plain("treatment_low"), "ci_model_upper": plain("treatment_high"),
+        "delta_observed": signed("delta"), "ci_delta_lower": signed("delta_low"), "ci_delta_upper": signed("delta_high"),
+        "p_value": plain("p_value"), "is_significant": F.when(F.col("p_value") < 0.05, "True").otherwise("False"),
+    }
+    out = comparisons.select(*[c.alias(n) for n, c in columns.items()])
+    out.orderBy("baseline_model", "task", "regime").coalesce(1).write.mode("overwrite").csv(path, header=True)  # a row for each model, task and regime
     return out
 
 

@@ -280,10 +280,6 @@ def test_files(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "object_id long, a string").write.parquet(f"{root}/p1")
     spark.createDataFrame([("2", 3.0)], "object_id string, b double").write.parquet(f"{root}/p2")
     assert sorted(tuple(r) for r in io.read_union(spark, [f"{root}/p1", f"{root}/p2"]).select("object_id", "a", "b", "src_rank").collect()) == [("1", "x", None, 0), ("2", None, 3.0, 1)]
-    lines = ['{"object_key": "k", "output": {"caption": "one"}}', '{"object_key": "k", "output": {"caption": "two"}}', "broken"]
-    (tmp_path / "c.jsonl").write_text("\n".join(lines))
-    with pytest.raises(checks.ValidationError):
-        io.read_caption_jsonl(spark, f"{root}/c.jsonl")
     df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, rendered string")
     assert io.freeze_inputs(df, f"{root}/frozen", "v1", "id", "rendered").count() == 2
     assert io.freeze_inputs(df, f"{root}/frozen", "v1", "id", "rendered").count() == 2
@@ -293,6 +289,93 @@ def test_files(spark, tmp_path):
         io.write_manifest(spark.createDataFrame([("a", "joint", "train")], "id string, tier string, split string"), f"{root}/m")
 
 
+def test_caption_lines_are_named(spark, tmp_path):
+    """Errors name file and line, in files of several splits."""
+    import json as j
+
+    line = lambda k, c, **o: j.dumps({"object_key": k, "output": {"caption": c, **o}})
+    root = f"file://{tmp_path}"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        good = [line(f" k{i} ", f" caption {i} ") for i in range(60)] + ["", "   ", line("k1", "caption 1"), line("s", " INSUFFICIENT_SPECTRAL_DATA"), line("f", "x", is_insufficient=True), line("g", "kept", is_insufficient=False), line("  ", "x"), line("n", None), j.dumps({"object_key": "o"}), j.dumps({"object_key": 5, "output": {"caption": "x"}}), line("e", " "), j.dumps({"output": None, "object_key": "z"})]
+        (tmp_path / "good.jsonl").write_text("\n".join(good))
+        found, counts = io.read_caption_jsonl(spark, f"{root}/good.jsonl")
+        assert {r["object_key"]: r["caption"] for r in found.collect()} == {f"k{i}": f"caption {i}" for i in range(60)} | {"g": "kept"}
+        assert {r["status"]: r["n"] for r in counts.collect()} == {"usable": 61, "duplicate": 1, "insufficient": 2, "missing": 6}
+        for k, (bad, why) in enumerate([("broken", "invalid JSON"), ("[1]", "no object"), ('{"object_key": "a", "output": 3}', "output is no object"), ('{"object_key": "a", "output": {"caption": 3}}', "caption is no text"), (line("k7", "another"), "second caption for k7")]):
+            rows = [*good[:45], bad, *good[45:]]
+            (tmp_path / f"bad{k}.jsonl").write_text("\n".join(rows))
+            with pytest.raises(checks.ValidationError, match=f"bad{k}.jsonl:46: {why}"):
+                io.read_caption_jsonl(spark, f"{root}/bad{k}.jsonl")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_line_metadata_by_name_and_file_order(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("wiki_entity_id,class,subclass\nb,GALAXY,AGN\na,STAR,\nb,QSO,BL\na,QSO,X\n")
+    (tmp_path / "l.csv").write_text("SNR,LINE_NAME,wiki_entity_id\n2.5,OII,a\n")
+    types, lines = io.read_line_metadata(spark, f"file://{tmp_path}/t.csv", f"file://{tmp_path}/l.csv")
+    assert sorted(map(tuple, types.collect())) == [("a", "STAR", None), ("b", "GALAXY", "AGN")]
+    assert list(map(tuple, lines.collect())) == [("a", "OII", 2.5)]
+    (tmp_path / "w.csv").write_text("id,class,subclass\n")
+    with pytest.raises(checks.ValidationError, match="wiki_entity_id"):
+        io.read_line_metadata(spark, f"file://{tmp_path}/w.csv", f"file://{tmp_path}/l.csv")
+
+
+def test_benchmark_registry(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    good = spark.createDataFrame([("1", "sdss", [1.0], (0.5, "close"))], "sample_id string, survey string, spectrum array<double>, ground_truth struct<z: double, redshift_bin: string>")
+    good.write.parquet(f"{root}/good")
+    assert io.load_benchmark(spark, "redshift", f"{root}/good").count() == 1
+    with pytest.raises(checks.ValidationError, match="source_class"):
+        io.load_benchmark(spark, "source_class", f"{root}/good")
+    with pytest.raises(checks.ValidationError, match="unknown"):
+        io.load_benchmark(spark, "other", f"{root}/good")
+    good.withColumn("ground_truth", F.create_map(F.lit("z"), F.lit(1.0))).write.parquet(f"{root}/map")
+    with pytest.raises(checks.ValidationError, match="without a key"):
+        io.load_benchmark(spark, "redshift", f"{root}/map")
+    for column, why in (("spectrum", "spectrum"), ("sample_id", "neither")):
+        good.drop(column).write.parquet(f"{root}/{column}")
+        with pytest.raises(checks.ValidationError, match=why):
+            io.load_benchmark(spark, "redshift", f"{root}/{column}")
+    good.unionByName(good).write.parquet(f"{root}/twice")
+    with pytest.raises(checks.ValidationError, match="repeated"):
+        io.load_benchmark(spark, "redshift", f"{root}/twice")
+
+
+def test_leaking_captions_are_written_and_refused(spark, tmp_path):
+    kinds = "object_id string, subset array<string>, text string, claims array<struct<text: string, supporting: array<string>>>"
+    rows = [(f"o{i}", ["image"] if i % 2 else ["image", "spectra"], f"text {i}", [(f"text {i}", ["spectra"] if i in (2, 5) else ["image"])]) for i in range(80)]
+    root = f"file://{tmp_path}/out"
+    with pytest.raises(checks.ValidationError, match="1 claims outside"):
+        io.write_captions(spark.createDataFrame(rows, kinds), root, spark.createDataFrame([(80,)], "n_captions int"))
+    assert spark.read.parquet(f"{root}/captions").count() == 80 and spark.read.json(f"{root}/review").count() == 50
+    assert spark.read.json(f"{root}/report").first()["n_leakage_violations"] == 1
+
+
+def test_images_that_can_not_be_used(spark):
+    from skyframe.operators import arrays
+
+    kinds = "id int, images array<struct<band: string, flux: array<array<double>>>>"
+    square, wide, holes = [[1.0, 2.0], [3.0, 4.0]], [[1.0, 2.0, 3.0], [3.0, 4.0, 5.0]], [[1.0, 2.0], None]
+    stack = lambda images: spark.createDataFrame([(1, images)], kinds).select(arrays.image_stack(F.col("images"), ["G", "des-r"]).alias("s")).first()["s"]
+    out = stack([("des-g", square), ("R", holes)])
+    assert out[0] == square and out[1][0] == [1.0, 2.0] and all(math.isnan(x) for x in out[1][1])
+    assert stack([("g", wide), ("r", square), ("x_g", square)])[0] == square
+    for images, why in (([("g", square)], "band des-r is not available; bands present: g"), ([], "bands present: none"), ([("g", square), ("r", [None, None])], "no usable rows"), ([("g", square), ("r", [[1.0], [1.0, 2.0]])], "different widths: 1, 2"), ([("g", square), ("r", wide)], "unequal shapes: 2x2, 2x3")):
+        with pytest.raises(Exception, match=why):
+            stack(images)
+
+
+def test_runs_without_a_common_sample(spark):
+    a = spark.createDataFrame([("1", "x")], "k string, p string")
+    with pytest.raises(checks.ValidationError, match="no sample in common"):
+        joins.pair_predictions(a, a.withColumn("k", F.lit("2")), "k", ["p"])
+    report = captions.caption_report(spark.createDataFrame([], "object_id string, subset array<string>, claims array<struct<text: string, supporting: array<string>>>"), spark.createDataFrame([], "kind string"), spark.createDataFrame([], "s string"), a.withColumnRenamed("k", "object_id")).first()
+    assert report["survival_rate"] == 0.0 and report["n_leakage_violations"] == 0 and report["n_without_text"] == 1
+
+
 def test_crossmatch_result_does_not_depend_on_layout(spark):
     rng = np.random.default_rng(3)
     rows = [(str(i), float(rng.uniform(0, 360)), float(rng.uniform(-90, 90))) for i in range(300)]
