@@ -5,14 +5,16 @@ unsigned 32-bit integers; the last frame lists the documents (validity bytes, th
 a skippable frame that gives each frame's compressed size, size and xxHash64 checksum (low 32 bits), as in the public
 zstandard seekable format, so a reader finds, decompresses and checks just the documents asked for.
 
-Work: texts are encoded where they are read; only compressed frames are shuffled, to the file that their id falls in
-(bounds are quantiles of the id, so files are about equal); each task writes its files under names of its own, so a
-retried task leaves nothing wrong, and the manifest lists the files of the attempts that counted. Frames are written as
-they come; a writer holds the sizes of one file's frames, and a file has ``docs_per_file`` documents, about. Files are
-read back by as many tasks as there are files.
+Work: texts are encoded where they are read; only compressed frames are shuffled, to the range that their id falls in
+(bounds are quantiles of the id, so ranges are about equal). There are MAX_RANGES ranges at most, whatever the input,
+and a task writes its range as files of ``docs_per_file`` documents, so neither bounds nor shuffle partitions grow with
+the number of files. An id that many rows share takes several ranges, as do rows without an id. Each task writes its
+files under names of its own, so a retried task leaves nothing wrong, and the manifest lists the files of the attempts
+that counted. Frames are written as they come; a writer holds the sizes of one file's frames. Files are read back by
+as many tasks as there are files, up to 20,000.
 
 Defined cases: a null or empty text gives just the end id; null doc_ids come first; rows with equal doc_ids are all
-kept, ordered by length and checksum; an empty table gives no file and an empty result.
+kept, one after another; an empty table gives no file and an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from skyframe.llm.bpe_tables import default_vocabulary
 from skyframe.llm.common import fresh_path, read_table, stored, unclash
 
+#: Ranges of ids, so also the shuffle's partitions and the bounds in each task.
+MAX_RANGES = 4096
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
@@ -93,11 +97,22 @@ class TokenFile:
         return np.frombuffer(self.frame(position), "<u4")
 
 
-def _encode(vocabulary: str, end_id: int, bounds: list[int], level: int):
+def ranges_of(ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, n_null: int, row: int) -> np.ndarray:
+    """The range of each row; ``row`` is the first row's number in its task.
+
+    Ranges 0 to n_null - 1 hold rows without an id. A bound that comes k times is an id with many rows, which takes k
+    ranges in turn: the first of them also holds smaller ids, the others nothing else.
+    """
+    first, last = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    at = row + np.arange(len(ids))
+    return np.where(known, n_null + first + at % np.maximum(last - first, 1), at % max(n_null, 1))
+
+
+def _encode(vocabulary: str, end_id: int, bounds: list[int], n_null: int, level: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from skyframe.llm.pretokens import worker_encoder
 
-        encoder, packer, limits = worker_encoder(vocabulary), zstandard.ZstdCompressor(level=level), np.array(bounds)
+        encoder, packer, limits, row = worker_encoder(vocabulary), zstandard.ZstdCompressor(level=level), np.array(bounds, np.int64), 0
         for batch in batches:
             doc_ids = batch.column(0)
             for first, ids, offsets in encoder.encode(batch.column(1)):
@@ -110,52 +125,62 @@ def _encode(vocabulary: str, end_id: int, bounds: list[int], level: int):
                     sums.append(_checksum(raw))
                     crcs.append(zlib.crc32(raw))
                 own = doc_ids.slice(first, len(frames))
-                part = np.where(own.is_valid().to_numpy(False), np.searchsorted(limits, own.fill_null(0).to_numpy(False), "left") if len(limits) else 0, 0)
+                part = ranges_of(own.fill_null(0).to_numpy(False), own.is_valid().to_numpy(False), limits, n_null, row)
+                row += len(frames)
                 yield pa.RecordBatch.from_arrays([own, pa.array(part, pa.int32()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(crcs, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "part", "size", "sum", "crc", "frame"])
 
     return run
 
 
-def _write(folder: str):
+def _write(folder: str, docs_per_file: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        part, file, uri, n_ids = None, None, "", 0
+        part, place, file, uri, n_ids = None, 0, None, "", 0
 
         def close():
             file.close()
-            done.append((part, uri, len(file.doc_ids), n_ids))
+            done.append((part, place, uri, len(file.doc_ids), n_ids))
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for doc, p, size, total, _, frame in zip(*cols, strict=True):
-                if p != part:
+                if p != part or len(file.doc_ids) >= docs_per_file:
                     if file:
                         close()
-                    uri = f"{folder}/part-{p:08d}-{uuid.uuid4().hex}.ids.zst"
-                    part, file, n_ids = p, TokenWriter(uri), 0
+                    part, place = p, place + 1 if p == part else 0
+                    uri = f"{folder}/part-{p:08d}-{place:08d}-{uuid.uuid4().hex}.ids.zst"
+                    file, n_ids = TokenWriter(uri), 0
                 file.add(doc, frame, size, total)
                 n_ids += size // 4
         if file:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "uri", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "place", "uri", "n_docs", "n_ids"])
 
     return run
 
 
 def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, docs_per_file: int = 2048, level: int = 3) -> DataFrame:
-    """Write token files; returns their manifest (part, uri, n_docs, n_ids, start), one row per file in doc_id order."""
+    """Write token files; returns their manifest (part, place, uri, n_docs, n_ids, start), one row per file.
+
+    Files in order of part and place hold the documents in ascending doc_id order; ``start`` counts the ids before a file.
+    """
     spark = docs.sparkSession
     docs = unclash(docs, ["doc_id", "text"])
-    files = docs.count() // docs_per_file + 1
-    cuts = [k / files for k in range(1, files)]
-    bounds = sorted(set((docs.agg(F.percentile_approx("doc_id", cuts, 100 * files).alias("b")).first()["b"] if cuts else None) or []))
+    n, n_known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    ranges = min(MAX_RANGES, n // docs_per_file + 1)
+    n_null = -(-ranges * (n - n_known) // max(n, 1))
+    cuts = [k / (ranges - n_null) for k in range(1, ranges - n_null)]
+    bounds = sorted((docs.agg(F.percentile_approx("doc_id", cuts, 100 * ranges).alias("b")).first()["b"] if cuts else None) or [])
     folder = fresh_path(spark, "token-files")
     pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1])
-    encoded = docs.mapInArrow(_encode(vocabulary or default_vocabulary(), end_id, bounds, level), "doc_id long, part int, size long, sum long, crc long, frame binary")
-    dealt = encoded.repartition(files, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "size", "crc")
-    manifest = stored(dealt.mapInArrow(_write(folder), "part int, uri string, n_docs long, n_ids long"), "token-manifest")
-    # One row per file.
-    return manifest.withColumn("start", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
+    encoded = docs.mapInArrow(_encode(vocabulary or default_vocabulary(), end_id, bounds, n_null, level), "doc_id long, part int, size long, sum long, crc long, frame binary")
+    dealt = encoded.repartition(ranges, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "size", "crc")
+    manifest = stored(dealt.mapInArrow(_write(folder, docs_per_file), "part int, place int, uri string, n_docs long, n_ids long"), "token-manifest")
+    # A row for each range, of which there are MAX_RANGES and one at most; then files within their range.
+    sums = manifest.groupBy("part").agg(F.sum("n_ids").alias("_sum"))
+    before = sums.select("part", (F.sum("_sum").over(Window.orderBy("part")) - F.col("_sum")).alias("_before"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("place")) - F.col("n_ids")
+    return manifest.withColumn("_within", within).join(F.broadcast(before), "part").withColumn("start", F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,31 @@ def test_random_access_and_damage(tmp_path):
     (tmp_path / "f").write_bytes(raw)
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_files.TokenFile(uri).ids(2)
+
+
+def test_hot_ids_take_several_ranges(spark, monkeypatch):
+    """Most rows have one id or none: still many files, ids in order, every row once, starts without gaps."""
+    rows = [(7, f"copy {k % 5}") for k in range(150)] + [(None, f"null {k}") for k in range(90)] + [(k, f"text number {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (4096, 5):
+        monkeypatch.setattr(token_files, "MAX_RANGES", most)
+        manifest = token_files.write_tokens(docs, docs_per_file=10)
+        files = manifest.orderBy("part", "place").collect()
+        assert len(files) >= 28 and max(f["n_docs"] for f in files) <= 10 and len({f["part"] for f in files}) <= most + 1
+        # No range has a third of the rows when there are enough of them.
+        assert most < 10 or max(sum(f["n_docs"] for f in files if f["part"] == p) for p in {f["part"] for f in files}) < 40
+        start, order = 0, []
+        for f in files:
+            assert f["start"] == start
+            start += f["n_ids"]
+            order += token_files.TokenFile(f["uri"]).doc_ids
+        assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+        out = sorted(map(tuple, token_files.read_tokens(manifest).collect()), key=lambda r: r[1])
+        assert sorted([(r[0], *r[2:]) for r in out], key=str) == sorted([(d, n, c) for d, _, n, c in expected(rows)], key=str)
+        assert [r[1] for r in out] == np.concatenate([[0], np.cumsum([r[2] for r in out])[:-1]]).tolist()
+
+
+def test_ranges_are_in_order():
+    ids = np.array([5, 5, 5, 5, 1, 9, 0, 7])
+    got = token_files.ranges_of(ids, np.array([True] * 6 + [False, True]), np.array([2, 5, 5, 5, 8]), 2, 0)
+    assert got.tolist() == [3, 4, 5, 3, 2, 7, 0, 6]
