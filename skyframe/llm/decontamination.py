@@ -9,8 +9,10 @@ cases). Items of ``HARD`` lengths need one mask more, which texts are only searc
 
 Everything is DataFrame expressions: words are split and hashed once, positions are exploded, and a seed is one hash of
 words that generated code picks from the array, in one stage with the join on it. Seeds of items are broadcast only if a
-count shows that they are few; else they meet in a shuffled join. Diagonals of seeds that met are made distinct, and
-only documents that have one are read again. Items shorter than ``SPAN`` words are looked for as a
+count shows that they are few, and their words only if all of them together are; else they meet in a shuffled join.
+Diagonals of seeds that met are made distinct, and only documents that have one are read again, as pieces twice as long
+as the longest item that overlap by half: a diagonal is compared inside the piece that it begins in, so its cost is that
+of an item, however long the document and however many diagonals it has. Items shorter than ``SPAN`` words are looked for as a
 whole and unchanged, at every position, through a seed of their own length.
 
 Defined cases: words are runs of ASCII letters and digits and of all other characters above ASCII, in lower case; null or empty texts and
@@ -29,6 +31,8 @@ from skyframe.llm.common import read_table, small_side, stored, unclash
 MASKS = ["111011", "11111", "11010011"]
 HARD = [10, 11]
 SPAN, OVERLAP, PERCENT, MAX_SEEDS = 8, 16, 80, 200_000
+#: Items are broadcast up to so many words in all (8 bytes each); a document's pieces begin so many words apart at least.
+MAX_ITEM_WORDS, LEAST_PIECE = 2_000_000, 512
 
 
 #: What parts words, after letters are in lower case: all other ASCII characters.
@@ -74,6 +78,11 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_key", word_hashes(F.col("text")).alias("words")).withColumn("n", F.size("words"))
 
 
+def _pieces(words: Column, step: int) -> Column:
+    """Overlapping pieces of 2 * step words that begin every ``step`` words; whatever begins in a piece's first half ends in it."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(words) - 1, F.lit(0)) / step).cast("int")), lambda k: F.slice(words, k * step + 1, F.lit(2 * step)))
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """(doc_key, item_id, agreeing): documents and the items found in them, by a fingerprint of the text.
 
@@ -90,10 +99,15 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, max_seeds: int = M
     doc_seeds = _seeds(texts.withColumn("hard", F.lit(True)), MASKS if set(HARD) & set(lengths) else MASKS[:2])
     met = doc_seeds.select("doc_key", "seed", "at").join(small_side(item_seeds, max_seeds), "seed")
     diagonals = stored(met.select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "diagonals")
-    again = _words(docs.join(small_side(diagonals.select("doc_key").distinct()), "doc_key", "left_semi")).select("doc_key", "words")
-    hits = diagonals.join(again, "doc_key").join(small_side(items.select("item_key", "item")), "item_key")
+    longest, item_words = items.agg(F.max("m"), F.sum("m")).first()
+    step = max(LEAST_PIECE, longest or 0)
+    again = _words(docs.join(small_side(diagonals.select("doc_key").distinct()), "doc_key", "left_semi"))
+    pieces = again.select("doc_key", F.posexplode(_pieces(F.col("words"), step)).alias("piece", "words"))
+    texts_of = items.select("item_key", "item")
+    begun = diagonals.withColumn("piece", F.floor(F.greatest(F.col("diagonal"), F.lit(0)) / step).cast("int"))
+    hits = begun.join(pieces, ["doc_key", "piece"]).join(F.broadcast(texts_of) if (item_words or 0) <= MAX_ITEM_WORDS else texts_of, "item_key")
     size = F.least(F.size("item"), F.lit(OVERLAP))
-    scored = hits.select("doc_key", "item_key", _agreement(F.col("words"), F.col("item"), size, F.col("diagonal")).alias("agreeing"), size.alias("_size"))
+    scored = hits.select("doc_key", "item_key", _agreement(F.col("words"), F.col("item"), size, F.col("diagonal") - F.col("piece") * step).alias("agreeing"), size.alias("_size"))
     found = scored.where(100 * F.col("agreeing") >= PERCENT * F.col("_size")).groupBy("doc_key", "item_key").agg(F.max("agreeing").alias("agreeing"))
 
     for m in [m for m in lengths if m < SPAN]:

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skyframe.llm import decontamination as d
@@ -12,35 +13,61 @@ def words(text):
 
 
 def brute(docs, items):
-    out = {}
+    """All windows on all diagonals of every document with every item, with numpy, whatever their length."""
+    number, out = {}, {}
+    ids = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], np.int64)
+    asked = [(item, ids(words(text))) for item, text in items]
     for key, text in docs:
-        w = words(text)
-        for item, itext in items:
-            v = words(itext)
-            if not v:
+        w = ids(words(text))
+        n = len(w)
+        for item, v in asked:
+            m = len(v)
+            size = min(m, d.OVERLAP)
+            if not m or n < size:
                 continue
-            size = min(len(v), d.OVERLAP)
-            for diag in range(-len(v), len(w)):
-                same = [0 <= p + diag < len(w) and w[p + diag] == v[p] for p in range(len(v))]
-                for b in range(len(v) - size + 1):
-                    if b + diag < 0 or b + diag + size > len(w):
-                        continue
-                    n = sum(same[b : b + size])
-                    need = size if len(v) < d.SPAN else d.PERCENT * size / 100
-                    if n >= need:
-                        out.setdefault(key, set()).add(item)
+            need = size if m < d.SPAN else d.PERCENT * size / 100
+            if np.isin(v, w).sum() < need:
+                continue
+            diagonals = np.arange(-m, n)
+            at = diagonals[None, :] + np.arange(m)[:, None]
+            inside = (at >= 0) & (at < n)
+            same = np.vstack([np.zeros(len(diagonals), int), np.cumsum(inside & (w[np.clip(at, 0, n - 1)] == v[:, None]), 0)])
+            full = np.vstack([np.zeros(len(diagonals), int), np.cumsum(inside, 0)])
+            if (((same[size:] - same[:-size]) >= need) & ((full[size:] - full[:-size]) == size)).any():
+                out.setdefault(key, set()).add(item)
     return out
 
 
 def test_documents(spark):
+    """300 documents whole, the longest of them too."""
     sf = "/root/testdata/sf0.01"
-    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(300).collect()]
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in table.limit(290).union(table.orderBy(F.length("text").desc()).limit(10)).distinct().collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     got = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = brute([(k, t) for k, t in docs if len(t) < 3000], items)
-    short = {k for k, t in docs if len(t) < 3000}
-    assert len(got) == len(docs) and want
-    assert {r["doc_id"]: set(r["item_ids"]) for r in got if r["contaminated"] and r["doc_id"] in short} == want
+    want = brute(docs, items)
+    assert len(got) == len(docs) and want and max(len(t) for _, t in docs) > 20_000
+    assert {r["doc_id"]: set(r["item_ids"]) for r in got if r["contaminated"]} == want
+
+
+def test_long_texts_with_many_diagonals(spark, monkeypatch):
+    """One word over and over gives a diagonal at every position; hits lie at the ends of texts and across pieces."""
+    rng = random.Random(5)
+    item = [f"w{k}" for k in range(30)]
+    texts, hit = ["same " * 9_000, " ".join(rng.choice(["same", "other"]) for _ in range(6_000))], []
+    for at in (0, 7, 63, 64, 65, 100, 127, 128, 1_000, 4_970):
+        body = [rng.choice("abcdefgh") * 3 for _ in range(5_000)]
+        body[at : at + 30] = item[: 5_000 - at]
+        body[at + 3] = "changed"
+        hit.append(len(texts))
+        texts.append(" ".join(body))
+    docs, items = list(enumerate(texts)), [(1, " ".join(item)), (2, "same " * 20), (3, "same other " * 9), (4, " ".join(f"x{k}" for k in range(9)))]
+    for step in (64, 512):
+        monkeypatch.setattr(d, "LEAST_PIECE", step)
+        monkeypatch.setattr(d, "MAX_ITEM_WORDS", 0 if step == 64 else 2_000_000)
+        got = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        found = {r["doc_id"]: set(r["item_ids"]) for r in got if r["contaminated"]}
+        assert found == brute(docs, items) and all(1 in found[k] for k in hit)
 
 
 def test_substitutions(spark):
