@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.columns import canonical_band
@@ -61,6 +61,53 @@ def length_bucket(wave: Column) -> Column:
     return F.size(trim_spectrum(wave))
 
 
+def length_grid(longest: int, ratio: float = 1.125) -> list[int]:
+    """Widths that lengths are rounded up to, each at most ``ratio`` times (or one more than) the one before."""
+    widths = [1]
+    while widths[-1] < longest:
+        widths.append(max(widths[-1] + 1, int(widths[-1] * ratio)))
+    return widths
+
+
+def token_batches(df: DataFrame, length: Column, budget: int, key: str, ratio: float = 1.125, salts: int = 1024) -> DataFrame:
+    """``df`` with ``width`` and ``batch``: rows of nearly equal length together, so many that a padded batch fits the budget.
+
+    Lengths are rounded up to a grid of widths; a batch holds rows of one width, ``budget // width`` of them, so padding is at
+    most the grid's ratio. Batches are numbered from 0 without gaps and without a sort of all rows: rows are counted by
+    width and by a hash of the key, the sums of these counts (a row for each width and one of ``salts`` hashes) say where
+    a hash's rows begin, and only rows of one width and hash are put in order, by key. A length of zero or null counts
+    as one; a length over the budget stops the job.
+    """
+    size = F.greatest(F.coalesce(length, F.lit(1)), F.lit(1)).cast("long")
+    longest = df.agg(F.max(size)).first()[0]
+    if longest is None:
+        return df.withColumns({"width": F.lit(None).cast("int"), "batch": F.lit(None).cast("long")})
+    if longest > budget:
+        raise ValueError(f"a row of length {longest} is over the budget of {budget}")
+    # The last width may pass the longest row, and the budget with it.
+    grid = [min(w, longest) for w in length_grid(longest, ratio)]
+    wide = F.try_element_at(F.filter(F.array(*[F.lit(w) for w in grid]), lambda w: w >= size), F.lit(1))
+    dealt = df.withColumn("width", wide).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    counts = dealt.groupBy("width", "_salt").agg(F.count("*").alias("_n"))
+    begin = F.sum("_n").over(Window.partitionBy("width").orderBy("_salt")) - F.col("_n")
+    holds = F.floor(F.lit(budget) / F.col("width")).cast("long")
+    sizes = counts.groupBy("width").agg(F.sum("_n").alias("_all")).withColumn("_batches", F.ceil(F.col("_all") / holds))
+    # A row for each width.
+    earlier = F.sum("_batches").over(Window.orderBy("width")) - F.col("_batches")
+    places = counts.select("width", "_salt", begin.alias("_begin")).join(sizes.select("width", earlier.cast("long").alias("_earlier")), "width")
+    at = F.col("_begin") + F.row_number().over(Window.partitionBy("width", "_salt").orderBy(key)) - 1
+    out = dealt.join(places, ["width", "_salt"]).withColumn("batch", F.col("_earlier") + F.floor(at / holds).cast("long"))
+    return out.drop("_salt", "_begin", "_earlier")
+
+
+def padding_report(batches: DataFrame, length: Column, budget: int) -> DataFrame:
+    """One row: rows, batches, elements, elements with padding to each batch's longest row, the share of padding, the largest batch, batches over the budget."""
+    size = F.greatest(F.coalesce(length, F.lit(1)), F.lit(1)).cast("long")
+    each = batches.groupBy("batch").agg(F.count("*").alias("n"), F.sum(size).alias("used"), F.max(size).alias("most")).withColumn("padded", F.col("n") * F.col("most"))
+    out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_batches"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_used"), F.coalesce(F.sum("padded"), F.lit(0)).alias("n_padded"), F.coalesce(F.max("padded"), F.lit(0)).alias("largest"), F.count_if(F.col("padded") > budget).alias("n_over"))
+    return out.withColumn("padding_share", F.round(F.coalesce(1 - F.try_divide("n_used", "n_padded"), F.lit(0.0)), 6))
+
+
 def pad_values(values: Column, length: Column, fill) -> Column:
     return F.concat(values, F.array_repeat(F.lit(fill), F.greatest(length - F.size(values), F.lit(0))))
 

@@ -215,12 +215,16 @@ def d22(points: DataFrame) -> DataFrame:
 LINE = "concat_ws(' ', printf('%.5f', mjd - t0), CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END, printf('%.5f', flux), printf('%.5f', err), CASE WHEN flux <> 0 THEN printf('%.5f', 27.5 - 2.5 * log10(abs(flux))) ELSE 'nan' END, CASE WHEN flux <> 0 THEN printf('%.5f', err * (2.5 / ln(10)) / abs(flux)) ELSE 'nan' END)"
 
 
-@query("g17_render_table", "points", sql="""
-SELECT object_id, count(*) + 1 AS n_lines, sha256(string_agg(concat_ws(' ', CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END, printf('%.2f', err)), ';' ORDER BY mjd, pos)) AS digest FROM {points} WHERE used GROUP BY 1""")
+def _mag(c: str) -> str:
+    return f"CASE WHEN flux <> 0 THEN printf('%.6f', {c}) ELSE 'nan' END"
+
+
+@query("g17_render_table", "points", sql=f"""
+WITH p AS (SELECT object_id, pos, mjd - min(mjd) OVER (PARTITION BY object_id) AS t, mjd, band_id, flux, err FROM {{points}} WHERE used)
+SELECT object_id, concat('TIME_DAYS BAND FLUXCAL FLUXCAL_ERR DIFF_MAG DIFF_MAG_ERR', chr(10), string_agg(concat_ws(' ', printf('%.6f', t), CASE WHEN band_id = 1 THEN 'g' ELSE 'r' END, printf('%.6f', flux), printf('%.6f', err),
+{_mag('27.5e0 - 2.5e0 * log10(abs(flux))')}, {_mag('err * (2.5e0 / ln(10e0)) / abs(flux)')}), chr(10) ORDER BY mjd, pos)) AS table_text FROM p GROUP BY 1""")
 def g17(points: DataFrame) -> DataFrame:
-    lines = F.split("table", "\n")
-    parts = F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.concat_ws(" ", F.get(F.split(x, " "), F.lit(1)), F.get(F.split(x, " "), F.lit(3))))
-    return lightcurves.render_table(points, decimals=2).select("object_id", F.size(lines).cast("long").alias("n_lines"), F.sha2(F.array_join(parts, ";"), 256).alias("digest"))
+    return lightcurves.render_table(points, decimals=6).select("object_id", F.col("table").alias("table_text"))
 
 
 @query("g18_parse_table", "points", sql="""
@@ -292,12 +296,42 @@ def b21(arr: DataFrame) -> DataFrame:
     return _spectra(arr).groupBy(arrays.length_bucket(F.col("wave")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("b22_pad_spectra", "arr", sql="""
-WITH g AS (SELECT object_id, count(*) AS k, list(wave ORDER BY pos, wave, flux, ivar, masked)[-1] AS ending, count(*) FILTER (WHERE masked) AS m FROM {arr} GROUP BY 1), w AS (SELECT *, max(k) OVER (PARTITION BY object_id % 50) AS n FROM g)
-SELECT object_id, CAST(n AS INT) AS n, round(ending + (n - k) * 0.8e0, 3) AS last_wave, CAST(m + n - k AS INT) AS n_masked FROM w""")
+#: Widths of the grid, by the same rule: an eighth more than the one before, or one more.
+GRID = "grid AS (SELECT w FROM (WITH RECURSIVE r AS (SELECT CAST(1 AS BIGINT) AS w UNION ALL SELECT greatest(w + 1, CAST(floor(w * 1.125e0) AS BIGINT)) FROM r WHERE w < (SELECT max(greatest(n_chars, 1)) FROM {documents})) SELECT w FROM r))"
+
+
+@query("b21_token_batches", "documents", sql=f"""
+WITH {GRID}, l AS (SELECT greatest(coalesce(n_chars, 1), 1) AS n FROM {{documents}}), top AS (SELECT max(n) AS most FROM l), w AS (SELECT n, least((SELECT min(w) FROM grid WHERE w >= n), most) AS width FROM l, top)
+SELECT CAST(width AS INT) AS width, count(*) AS n_rows, CAST(ceil(count(*) / (400000 // width)) AS BIGINT) AS n_batches, CAST(sum(n) AS BIGINT) AS n_used, true AS within, true AS gapless FROM w GROUP BY width""")
+def b21_batches(documents: DataFrame) -> DataFrame:
+    out = arrays.token_batches(documents.select("doc_id", "n_chars"), F.col("n_chars"), 400_000, "doc_id")
+    size = F.greatest(F.col("n_chars"), F.lit(1))
+    each = out.groupBy("width", "batch").agg(F.count("*").alias("n"), F.max(size).alias("most"), F.sum(size).alias("used"))
+    gapless = (F.max("batch") - F.min("batch") + 1 == F.count("*"))
+    return each.groupBy("width").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_batches"), F.sum("used").alias("n_used"), F.bool_and(F.col("n") * F.col("most") <= 400_000).alias("within"), gapless.alias("gapless"))
+
+
+@query("b21_padding_report", "documents", sql="SELECT count(*) AS n_rows, CAST(sum(greatest(coalesce(n_chars, 1), 1)) AS BIGINT) AS n_used, CAST(0 AS BIGINT) AS n_over, true AS thin, true AS numbered FROM {documents}")
+def b21_report(documents: DataFrame) -> DataFrame:
+    out = arrays.token_batches(documents.select("doc_id", "n_chars"), F.col("n_chars"), 400_000, "doc_id")
+    report = arrays.padding_report(out, F.col("n_chars"), 400_000)
+    last = out.agg((F.max("batch") + 1).alias("_last"))
+    # The grid bounds padding by an eighth.
+    return report.join(last, how="cross").select("n_rows", "n_used", "n_over", (F.col("padding_share") < 0.125).alias("thin"), (F.col("n_batches") == F.col("_last")).alias("numbered"))  # single rows
+
+
+def _list(column: str, ending: str) -> str:
+    return f"array_to_string(list_concat(list_transform(list({column} ORDER BY pos, wave, flux, ivar, masked), lambda x : printf('%.3f', CAST(x AS DOUBLE))), list_transform(range(n - k), lambda i : printf('%.3f', {ending}))), ' ')"
+
+
+@query("b22_pad_spectra", "arr", sql=f"""
+WITH g AS (SELECT object_id, count(*) AS k, list(wave ORDER BY pos, wave, flux, ivar, masked)[-1] AS ending FROM {{arr}} GROUP BY 1), w AS (SELECT *, max(k) OVER (PARTITION BY object_id % 50) AS n FROM g),
+a AS (SELECT arr.*, CAST(arr.masked AS INT) AS m, w.n, w.k, w.ending FROM {{arr}} arr JOIN w USING (object_id))
+SELECT object_id, {_list('wave', 'ending + (i + 1) * 0.8e0')} AS wave, {_list('flux', '0e0')} AS flux, {_list('ivar', '0e0')} AS ivar, {_list('m', '1e0')} AS mask FROM a GROUP BY object_id, n, k, ending""")
 def b22(arr: DataFrame) -> DataFrame:
     padded = arrays.pad_spectra(_spectra(arr).withColumn("batch", F.pmod(F.col("object_id"), F.lit(50))), "batch", "wave", "flux", "ivar", "masked")
-    return padded.select("object_id", F.size("wave").alias("n"), F.round(F.element_at("wave", -1), 3).alias("last_wave"), F.size(F.filter("masked", lambda m: m)).alias("n_masked"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.3f", x.cast("double"))), " ").alias(c.replace("masked", "mask"))
+    return padded.select("object_id", *[shown(c) for c in ("wave", "flux", "ivar")], F.array_join(F.transform("masked", lambda m: F.when(m, "1.000").otherwise("0.000")), " ").alias("mask"))
 
 
 @query("b25_subsample", "embeddings", sql="SELECT vec_id, round(list_sum(list_transform(range(10), lambda i : CAST(embedding[CAST(floor(i * 63 / 9) AS BIGINT) + 1] AS DOUBLE))), 5) AS total FROM {embeddings}")
@@ -315,11 +349,12 @@ def b26(points: DataFrame) -> DataFrame:
     return out.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
-@query("b27_pad_tokens", "embeddings", sql="SELECT vec_id, CAST(6 AS INT) AS n, CAST(greatest(5 - label, 0) AS INT) AS n_absent FROM {embeddings}")
+@query("b27_pad_tokens", "embeddings", sql="""
+SELECT vec_id, array_to_string(list_transform(range(24), lambda k : printf('%.5f', CASE WHEN k < 4 * least(label + 1, 6) THEN CAST(embedding[k + 1] AS DOUBLE) ELSE 0e0 END)), ' ') AS tokens, array_to_string(list_transform(range(6), lambda k : CASE WHEN k > label THEN 1 ELSE 0 END), '') AS mask FROM {embeddings}""")
 def b27(embeddings: DataFrame) -> DataFrame:
     tokens = F.transform(F.sequence(F.lit(0), F.col("label").cast("int")), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda x: x.cast("double")))
     p = arrays.pad_tokens(tokens, 6, 4)
-    return embeddings.select("vec_id", F.size(p["tokens"]).alias("n"), F.size(F.filter(p["mask"], lambda m: m)).alias("n_absent"))
+    return embeddings.select("vec_id", F.array_join(F.transform(F.flatten(p["tokens"]), lambda x: F.format_string("%.5f", x)), " ").alias("tokens"), F.array_join(F.transform(p["mask"], lambda m: m.cast("int").cast("string")), "").alias("mask"))
 
 
 @query("b28_spectrum_extent", "arr", "orders", sql="""

@@ -142,11 +142,15 @@ def b16(points: DataFrame, orders: DataFrame) -> DataFrame:
     return a.unionByName(orders.groupBy(F.lit("orders").alias("what"), c.canonical_band(F.col("o_orderpriority")).alias("band")).agg(F.count("*").alias("n")))
 
 
-@query("b17_line_labels", "lineitem", sql="""
-SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'Hβ' WHEN 1 THEN '[O III] 5007' WHEN 2 THEN 'OTHER' ELSE 'Hβ (broad)' END AS label FROM {lineitem}""")
+#: Every known line, an unknown one, and each of them as a broad line.
+LINES = [*c.LINE_LABELS, "OTHER"]
+
+
+@query("b17_line_labels", "lineitem", sql=f"""
+SELECT l_orderkey, l_linenumber, concat(list_element([{', '.join(f"'{c.LINE_LABELS.get(v, v)}'" for v in LINES)}], CAST((l_orderkey + l_linenumber) % {len(LINES)} AS INT) + 1), CASE WHEN l_partkey % 2 = 0 THEN ' (broad)' ELSE '' END) AS label FROM {{lineitem}}""")
 def b17(lineitem: DataFrame) -> DataFrame:
-    names = F.array(*[F.lit(v) for v in ("HBETA", "OIII_5007", "OTHER", "HBETA_BROAD")])
-    return lineitem.select("l_orderkey", "l_linenumber", c.line_name(F.get(names, F.col("l_linenumber") % 4)).alias("label"))
+    name = F.get(F.array(*[F.lit(v) for v in LINES]), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(LINES)).cast("int"))
+    return lineitem.select("l_orderkey", "l_linenumber", c.line_name(F.concat(name, F.when(F.col("l_partkey") % 2 == 0, "_BROAD").otherwise(""))).alias("label"))
 
 
 @query("v1_not_unique", "spellings", sql=f"SELECT object_id, count(*) AS n_rows FROM (SELECT {ID} AS object_id FROM {{spellings}}) GROUP BY object_id HAVING count(*) > 1")

@@ -489,3 +489,33 @@ def test_stream_ledger_rewrites_touched_parts(spark, tmp_path):
     got = {r["object_id"]: (r["seq"], r["status"]) for r in streams.current_table(spark, f"{root}/out").collect()}
     assert got == {str(k): (1, "a") for k in range(100)} | {"3": (2, "b"), "new": (1, "c")}
     assert streams.current_table(spark, f"{root}/none") is None
+
+
+def test_batches_by_budget(spark):
+    """Each row in one batch, batches within the budget and numbered without gaps, little padding; one length is very frequent."""
+    from skyframe.operators import arrays
+
+    rng = random.Random(6)
+    rows = [(k, 40 if k % 3 == 0 else rng.choice([0, 1, 2, 3, 17, 100, 999, 1000])) for k in range(3000)] + [(3000, None)]
+    df = spark.createDataFrame(rows, "k int, n int")
+    for salts in (1, 7):
+        out = arrays.token_batches(df, F.col("n"), 1000, "k", salts=salts)
+        got = out.collect()
+        assert sorted(r["k"] for r in got) == list(range(3001))
+        by = {}
+        for r in got:
+            by.setdefault(r["batch"], []).append(max(r["n"] or 1, 1))
+        assert sorted(by) == list(range(len(by))) and all(len(v) * max(v) <= 1000 for v in by.values())
+        assert sum(len(v) * max(v) for v in by.values()) <= 1.125 * sum(map(sum, by.values()))
+        report = arrays.padding_report(out, F.col("n"), 1000).first()
+        assert (report["n_rows"], report["n_batches"], report["n_over"]) == (3001, len(by), 0)
+        assert report["n_used"] == sum(map(sum, by.values())) and report["padding_share"] == pytest.approx(1 - report["n_used"] / report["n_padded"], abs=1e-6)
+        # As few batches as the widths allow.
+        widths = {}
+        for r in got:
+            widths.setdefault(r["width"], []).append(r["k"])
+        assert len(by) == sum(-(-len(v) // (1000 // w)) for w, v in widths.items())
+    with pytest.raises(ValueError, match="over the budget"):
+        arrays.token_batches(df, F.col("n"), 999, "k")
+    assert arrays.token_batches(df.limit(0), F.col("n"), 10, "k").count() == 0
+    assert arrays.padding_report(arrays.token_batches(df.limit(0), F.col("n"), 10, "k"), F.col("n"), 10).first()["padding_share"] == 0.0
