@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skyframe.operators.checks import ValidationError, stale_records
 from skyframe.operators.joins import pending
+from skyframe.operators.lineage import settled
 from skyframe.sources.records import RecordSink, keep_run, latest_records, ledger_schema, read_records
 
 
@@ -242,22 +243,20 @@ def budgeted_run(worklist: DataFrame, step: Step, path: str, key: str, settings_
     """
     spark, ok = worklist.sparkSession, success if success is not None else F.col("failure_reason").isNull()
     work = _contract(worklist, settings_hash, input_hash).withColumn("reserve", reserve.cast("double"))
-    todo, before = _todo(work, path, key, ok)
-    seq = before
+    todo, seq = _todo(work, path, key, ok)
+    # Reserves are summed in order once; a wave is what lies between two of these sums.
+    line = settled(within_budget(todo, "reserve", float("inf"), order))
+    low, after = 0.0, F.lit(True)
     while True:
-        spent = 0.0
-        if ledger_schema(path) is not None:
-            records = read_records(spark, path, key)
-            spent = true_spend(records, ok, failed)
-            tried = records.where(F.col("seq") > before).select(key)
-            left = pending(todo, tried, key)
-        else:
-            left = todo
-        wave = within_budget(left, "reserve", limit, order, spent).drop("running")
-        if not wave.limit(1).count():
+        spent = true_spend(read_records(spark, path, key), ok, failed) if ledger_schema(path) is not None else 0.0
+        wave = line.where(after & (F.col("running") - low + spent <= limit))
+        last = wave.agg(F.max("running")).first()[0]
+        if last is None:
             break
         seq += 1
-        _run_once(wave, seq, step, path, key, flush_rows, flush_seconds)
+        _run_once(wave.drop("running"), seq, step, path, key, flush_rows, flush_seconds)
+        low, after = last, F.col("running") > last
+    line.unpersist()
     if ledger_schema(path) is None:
         raise ValidationError("the limit is below the first object's reserve")
     return latest_records(spark, path, key)

@@ -333,17 +333,17 @@ def j6(rows: DataFrame) -> DataFrame:
 
 
 @query("j7_budget_guard", "numbered_prompts", sql="""
-WITH r AS (SELECT k, row_number() OVER (ORDER BY k) AS place, length(prompt) + 4e0 AS reserve, length(prompt) * 0.75e0 AS cost, k % 3 = 0 AS lost FROM {numbered_prompts}),
+WITH r AS (SELECT k, row_number() OVER (ORDER BY k) AS place, length(prompt) + 4e0 AS reserve, length(prompt) * 0.75e0 AS cost, k % 13 = 0 AS lost FROM {numbered_prompts}),
 c AS (SELECT 'reserve' AS rule, *, CASE WHEN lost THEN reserve ELSE cost END AS spend FROM r UNION ALL SELECT 'reported', *, CASE WHEN lost THEN 0.25e0 ELSE cost END FROM r),
 s AS (SELECT *, coalesce(sum(spend) OVER (PARTITION BY rule ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM c),
-f AS (SELECT rule, min(place) AS first FROM s WHERE before + reserve > 60000 GROUP BY rule)
+f AS (SELECT rule, min(place) AS first FROM s WHERE before + reserve > 12000 GROUP BY rule)
 SELECT rule, k, spend FROM s LEFT JOIN f USING (rule) WHERE place < coalesce(first, place + 1)""")
 def j7(rows: DataFrame) -> DataFrame:
     out = None
     for rule in ("reserve", "reported"):
         path = work_path(rows.sparkSession, "paid")
-        step = lambda todo, sink: infer.generate(todo, "prompt", _paid(3), "k", retries=1, sink=sink, carry=infer.BUDGETED)
-        done = infer.budgeted_run(rows, step, path, "k", "s1", F.sha2("prompt", 256), F.length("prompt") + 4, "k", 60000.0, rule, flush_rows=1000)
+        step = lambda todo, sink: infer.generate(todo, "prompt", _paid(13), "k", retries=1, sink=sink, carry=infer.BUDGETED)
+        done = infer.budgeted_run(rows, step, path, "k", "s1", F.sha2("prompt", 256), F.length("prompt") + 4, "k", 12000.0, rule, flush_rows=1000)
         spend = F.when(F.col("failure_reason").isNull() | (F.lit(rule) == "reported"), F.col("cost")).otherwise(F.col("reserve"))
         one = done.select(F.lit(rule).alias("rule"), "k", spend.alias("spend"))
         out = one if out is None else out.unionByName(one)
