@@ -5,9 +5,9 @@ A line's key is the line without ASCII white space at both ends and with A-Z in
 holds it and loses all others; other lines stay in place. Keys are told apart by 128 bits of their SHA-256 digest.
 
 Work: digests are exploded where texts are read and counted by distinct (digest, document), so no key is one task's
-load. Digests with 1/4096 of all counted lines or more are hot: there are at most 4096 of them whatever the input, so
-they reach every task, and no hot line is shuffled again. The rest is joined by digest, in which a key holds less than
-1/4096 of the lines; what a document loses is gathered by document (its own lines at most), and its text is put
+load. Digests with 1/4096 or more of the documents counted for all shared digests are hot: there are at most 4096 of
+them whatever the input, so they reach every task, and no hot line is shuffled again. The rest is joined by digest, in
+which a key holds less than 1/4096 of that; what a document loses is gathered by document (its own lines at most), and its text is put
 together again in one pass over its lines.
 
 Defined cases: a null or empty text is one empty line; a null id keeps all its lines and is no document that counts;
@@ -28,7 +28,7 @@ from skyframe.llm.common import lean, read_table, stored, unclash
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A digest is hot from this share of all counted lines on; so at most HOT digests are.
+#: A digest is hot with a HOT-th or more of what all shared digests hold; so at most HOT digests are.
 HOT = 4096
 
 
