@@ -159,7 +159,9 @@ class PrefixedEncoder(PieceEncoder):
     """Ids of texts that begin with the space which a sentencepiece model puts in front of its input.
 
     Such a model writes a space as U+2581. Where no piece of it has that mark behind another character, no merge crosses
-    from a character to the space after it, so what lies between two such places is encoded on its own.
+    from a character to the space after it, so what lies between two such places is encoded on its own. A single space
+    at the end stays with the word before it: by itself it would be the space in front of nothing. U+2581 in a text
+    counts as a space, and stays with the spaces after it.
     """
 
     def __init__(self, model: str):
@@ -175,7 +177,9 @@ class PrefixedEncoder(PieceEncoder):
         start = np.zeros(len(chars), bool)
         if self.separable:
             space = chars == 32
-            start[1:] = space[1:] & ~space[:-1]
+            start[1:] = space[1:] & ~(space | (chars == 0x2581))[:-1]
+            last = np.append(doc_starts[1:], len(chars)) - 1
+            start[last[space[last]]] = False
         start[doc_starts] = True
         return start
 

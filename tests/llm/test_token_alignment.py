@@ -119,6 +119,27 @@ def test_odd_rows(spark, sides):
     assert token_alignment.with_link_counts(token_alignment.align_documents(docs.limit(0))).count() == 0
 
 
+def test_single_space_at_the_end(spark, sides):
+    """A text's last space is a token of its own, also in front of another text of the batch."""
+    rows = [(1, "abc "), (2, "a b "), (3, " "), (4, "x"), (5, "ends with two  "), (6, "漢 "), (7, "a\n ")]
+    out = token_alignment.with_link_counts(token_alignment.align_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    got = sorted((r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_best"], r["count_sum"], hashlib.sha256(r["groups"].encode()).hexdigest()) for r in out.collect())
+    assert got == [r[:4] + r[5:] for r in brute(rows, sides)] and all(r[1] > 0 for r in got)
+
+
+def test_mark_before_spaces():
+    """Ids of whole texts in which the model's mark for a space stands before spaces."""
+    import pyarrow as pa
+    import sentencepiece
+
+    from skyframe.llm.pretokens import PrefixedEncoder
+
+    model, texts = token_alignment.default_model(), ["a▁  b", "▁ ", " ▁", "x ▁ y ", "▁▁   z"]
+    known = sentencepiece.SentencePieceProcessor(model_file=model)
+    [(_, ids, bounds)] = PrefixedEncoder(model).encode(pa.array([" " + x for x in texts]))
+    assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == [known.encode(x) for x in texts]
+
+
 def test_overlaps(spark, sides):
     """All pairs of tokens that share a byte, by comparing every token with every other."""
     some = [r for r in ODD if r[0] is not None and r[0] != 9 and len(r[1] or "") < 200]
