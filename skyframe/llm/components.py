@@ -3,7 +3,8 @@
 A large-star step points every greater neighbour of a node to the least node around it; a small-star step does so for
 the neighbours that are not greater. Both keep components as they are, and together they end in stars whose centre is
 the least node of each component, after about log(n) rounds. Each step is a partial aggregate and a join on the node, so
-a node with very many neighbours is spread over tasks, and every round is written to the shared folder.
+a node with very many neighbours is spread over tasks, and every round is written to the shared folder. Rounds end as
+soon as the edges are stars, which one aggregate by node shows.
 """
 
 from __future__ import annotations
@@ -27,9 +28,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v) are stars around v: no centre has a centre, no other node has two."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("centre")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("centre").alias("centre"))
+    return nodes.agg(F.count_if(F.col("out") + F.col("centre") > 1)).first()[0] == 0
+
+
+def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) of every node with an edge that isn't the least of its component, in a stored table.
+
+    Edges of an earlier result may be among ``edges`` in place of what they came from, so that new edges cost few rounds.
+    """
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    for n in range(max_rounds):
+        after = stored(_small_star(_large_star(now)), "edges")
+        if n:
+            drop_stored(edges.sparkSession, now)
+        now = after
+        if _settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError("components did not settle")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,18 +57,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     The component is its least node. Loops and repeated edges do no harm; null ends are left out; without edges the
     result is empty.
     """
-    spark = edges.sparkSession
-    now, state = None, None
-    given = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    for _ in range(max_rounds):
-        after = stored(_small_star(_large_star(given if now is None else now)), "edges")
-        found = _state(after)
-        if now is not None:
-            drop_stored(spark, now)
-        now, same, state = after, found == state, found
-        if same or not found[0]:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    found = stars(edges, max_rounds)
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -11,10 +11,12 @@ between passes, so that pairs already connected aren't looked at again:
 1. every document with the bucket leader (least id) that it shares most bands with;
 2. every document with its other leaders; and in buckets that still hold several components, with ``FEW`` rows or less
    outside the largest one, those rows with all the others;
-3. crowded buckets, with more such rows, are counted again: where ``FEW`` or less are left, those are compared with all
-   the others as in pass 2;
-4. documents that meet in the other crowded buckets form crowds; those outside a crowd's largest component are compared
-   with all of it, ``ASKERS`` by ``MEMBERS`` at a time, where they share a band.
+3. documents that meet in crowded buckets, with more such rows, that still hold several components form crowds; those
+   outside a crowd's largest component are compared with all of it, ``ASKERS`` by ``MEMBERS`` at a time, where they
+   share a band.
+
+Components after a pass are made from those before it and the new links, not from all links again; a pass without links
+leaves them as they are. A pass is a dozen small jobs, whose bookkeeping is what fills the driver.
 
 The rule is one and the same everywhere: two documents that share a band, and aren't connected yet, are compared in full.
 ``FEW`` only decides whether such pairs are listed or met inside blocks, which is cheaper where they are many.
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm.common import lean, read_table, small_side, stored, unclash
-from skyframe.llm.components import connected_components
+from skyframe.llm.components import connected_components, stars
 from skyframe.llm.textkernel import Words, as_long, chunks, grams, mix, word_range_hashes
 
 SHINGLE, BANDS, ROWS, FEW, ASKERS, MEMBERS = 5, 45, 5, 8, 64, 256
@@ -147,16 +149,21 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataF
 
 
 class _Linker:
-    """Passes of candidate pairs: tested pairs, links found, and the components that they make."""
+    """Passes of candidate pairs: tested pairs, and the components that the links found so far make."""
 
     def __init__(self, docs: DataFrame, percent: int):
-        self.docs, self.percent, self.tested, self.links, self._component = docs, percent, None, None, None
+        self.docs, self.percent, self.tested, self.fresh, self._component = docs, percent, None, None, None
+
+    def edges(self) -> DataFrame | None:
+        """Edges (u, v) that give the components of all links so far: earlier components and newer links."""
+        known = self._component.select(F.col("node").alias("u"), F.col("component").alias("v")) if self._component is not None else None
+        return self.fresh if known is None else known if self.fresh is None else known.unionByName(self.fresh)
 
     @property
     def component(self) -> DataFrame | None:
-        """Components of the links so far; formed when they are first asked for."""
-        if self._component is None and self.links is not None:
-            self._component = stored(connected_components(self.links), "components")
+        """(node, component) of nodes that aren't the least of theirs; formed when they are first asked for."""
+        if self.fresh is not None:
+            self._component, self.fresh = stars(self.edges()), None
         return self._component
 
     def across(self, pairs: DataFrame) -> DataFrame:
@@ -181,8 +188,8 @@ class _Linker:
 
     def add(self, links: DataFrame) -> None:
         links = stored(links, "links")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self._component = None
+        if not links.isEmpty():
+            self.fresh = links if self.fresh is None else self.fresh.unionByName(links)
 
     def with_component(self, rows: DataFrame) -> DataFrame:
         """Rows with ``_c``, the component of their document."""
@@ -258,7 +265,7 @@ def _crowd_links(linker: _Linker, crowded: DataFrame, signed: DataFrame) -> Data
 
 
 def link(signed: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Confirmed links (u, v) among the least documents of each class, enough to give all components."""
+    """Edges (u, v) with the components that all confirmed links among the least documents of each class make."""
     linker = _Linker(docs, percent)
     keys = signed.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
@@ -271,14 +278,12 @@ def link(signed: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     thin, crowded = F.col("others") <= FEW, F.col("others") > FEW
     rows = stored(_unsettled(linker, members.select("key", "doc_id")), "unsettled")
     linker.test(linker.across(led.select("u", "v").unionByName(_across_pairs(rows.where(thin)))))
-    # Pass 2 has compared the pairs of thin buckets only. Crowded ones that have become thin are compared now, the others as crowds.
-    rows = stored(_unsettled(linker, rows.where(crowded).select("key", "doc_id")), "crowded")
-    linker.test(linker.across(_across_pairs(rows.where(thin))))
-    crowded_rows = rows.where(crowded).select("key", "doc_id")
-    if not crowded_rows.isEmpty():
-        linker.add(_crowd_links(linker, crowded_rows, signed))
-    empty = members.select(F.col("leader").alias("u"), F.col("doc_id").alias("v")).where("false")
-    return linker.links if linker.links is not None else empty
+    # Pass 2 has compared the pairs of thin buckets only; what it left in the crowded ones is compared as crowds.
+    rows = stored(_unsettled(linker, rows.where(crowded).select("key", "doc_id")).select("key", "doc_id"), "crowded")
+    if not rows.isEmpty():
+        linker.add(_crowd_links(linker, rows, signed))
+    edges = linker.edges()
+    return edges if edges is not None else led.select("u", "v").where("false")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -291,7 +296,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     leaders = known.join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     links = link(leaders.select("doc_id", "bands"), docs, percent)
     edges = links.unionByName(of_class.where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")))
-    found = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    # The least document of a component has no row here: it is its own component.
+    found = stars(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from skyframe.llm import near_dedup
+from skyframe.llm import components, near_dedup
 from skyframe.llm.components import connected_components
 
 
@@ -57,6 +57,18 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rounds_of_components(spark, monkeypatch):
+    """Edges that one round makes stars take one round, also stars of an earlier result with a new edge between leaves."""
+    rounds = []
+    monkeypatch.setattr(components, "stored", lambda df, label, real=components.stored: rounds.append(label) or real(df, label))
+    frame = lambda edges: spark.createDataFrame(edges, "u long, v long")
+    first = connected_components(frame([(1, k) for k in range(2, 9)])).collect()
+    assert sorted(tuple(r) for r in first) == [(k, 1) for k in range(1, 9)] and len(rounds) == 1
+    rounds.clear()
+    again = components.stars(frame([(k, 1) for k in range(2, 9)] + [(k, 20) for k in range(21, 25)] + [(5, 23)])).collect()
+    assert sorted(tuple(r) for r in again) == [(k, 1) for k in [*range(2, 9), *range(20, 25)]] and len(rounds) <= 3
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     agrees(near_dedup.op2_near_dedup(spark, sf), [tuple(r) for r in docs.select("doc_id", "text").collect()])
