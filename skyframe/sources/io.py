@@ -156,7 +156,10 @@ def read_predictions(spark: SparkSession, path: str, valid: DataFrame | None = N
 
 
 def read_answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document with a header and an ``objects`` array: a row per object, header columns kept."""
+    """JSON documents with a header and an ``objects`` array: a row per object, header columns kept.
+
+    A file holds one document; Spark doesn't read what follows it in the same file.
+    """
     doc = spark.read.schema(schema).json(path, multiLine=True)
     return doc.select(*[c for c in doc.columns if c != "objects"], F.explode("objects").alias("o")).select("*", "o.*").drop("o")
 

@@ -519,3 +519,13 @@ def test_batches_by_budget(spark):
         arrays.token_batches(df, F.col("n"), 999, "k")
     assert arrays.token_batches(df.limit(0), F.col("n"), 10, "k").count() == 0
     assert arrays.padding_report(arrays.token_batches(df.limit(0), F.col("n"), 10, "k"), F.col("n"), 10).first()["padding_share"] == 0.0
+
+
+def test_answers_of_many_runs(spark):
+    """A document for each run, none lost where there are more of them than tasks."""
+    from skyframe.queries import models
+
+    customer = spark.range(0, 60_000, 1, 6).selectExpr("id AS c_custkey", "IF(id % 41 = 40, NULL, concat('segment ', CAST(id % 41 AS STRING))) AS c_mktsegment")
+    got = models.a7(spark, customer)
+    assert got.columns == ["model", "id", "answer"]
+    assert got.count() == 60_000 and got.subtract(customer.selectExpr("'m' AS model", "c_custkey AS id", "c_mktsegment AS answer")).isEmpty()
