@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IDENTITY = ["seq", "attempt"]
+#: A file of a finished run has about so many bytes at most; one task reads and writes it.
+KEPT_BYTES = 1 << 26
 
 
 def _store(spark: SparkSession, path: str):
@@ -152,11 +154,15 @@ def latest_records(spark: SparkSession, path: str, key: str) -> DataFrame:
     return read_records(spark, path, key).withColumn("_at", F.row_number().over(last)).where("_at = 1").drop("_at")
 
 
-def keep_run(spark: SparkSession, path: str, run: str, files: int = 8) -> None:
-    """Rewrite a finished run's records into few files. A crash between writing and removal leaves repeats, which readers drop."""
+def keep_run(spark: SparkSession, path: str, run: str, files: int = 8, file_bytes: int = KEPT_BYTES) -> None:
+    """Rewrite a finished run's records into few files: ``files``, or more where these would be larger than ``file_bytes``.
+
+    A crash between writing and removal leaves repeats, which readers drop.
+    """
     folder, store = _store(spark, f"{path}/loose/{run}")
     if not store.exists(folder):
         return
+    files = max(files, -(-store.getContentSummary(folder).getLength() // file_bytes))
     rows = spark.read.schema(ledger_schema(path)).option("recursiveFileLookup", "true").json(f"{path}/loose/{run}")
     rows.coalesce(files).write.mode("append").json(f"{path}/kept")
     store.delete(folder, True)

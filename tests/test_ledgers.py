@@ -139,3 +139,16 @@ def test_budget_below_the_first_reserve(spark, tmp_path):
     with pytest.raises(infer.ValidationError):
         infer.budgeted_run(work, step, f"file://{tmp_path}/l", "k", "s", F.sha2("prompt", 256), F.lit(5), "k", 4.0)
     assert not (tmp_path / "log").exists()
+
+
+def test_files_of_a_finished_run_grow_in_number(spark, tmp_path):
+    """No file of a finished run, and so no task that rewrites it, gets much more than the bound, however long the run."""
+    path, sink = f"file://{tmp_path}/ledger", None
+    sink = records.RecordSink(path, "run-1", 1, "k", flush_rows=50)
+    rows = spark.range(0, 4000, 1, 40).selectExpr("id AS k", "repeat('x', 200) AS answer")
+    sink.record(rows).write.format("noop").mode("overwrite").save()
+    total = sum(p.stat().st_size for p in tmp_path.rglob("*.json"))
+    records.keep_run(spark, path, "run-1", files=2, file_bytes=total // 16)
+    kept = [p.stat().st_size for p in (tmp_path / "ledger/kept").glob("*.json")]
+    assert len(kept) >= 8 and max(kept) < total / 4
+    assert sorted(r["k"] for r in records.read_records(spark, path, "k").collect()) == list(range(4000))
