@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +14,14 @@ from skyframe.functions.columns import strip
 
 def split_sentences(text: Column) -> Column:
     """Sentences: cut after . ! ? where white space follows, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    # Trimmed by a set of characters, those of \s: a regular expression would look at every character of every sentence.
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r"))), lambda s: s != "")
 
 
 def tag_support(sentence: Column, vocabulary: dict[str, list[str]], available: dict[str, Column]) -> Column:
     """Sorted modalities whose keywords occur in the sentence and that the object has."""
     low = F.lower(sentence)
-    marks = [F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)) & available[m], m) for m, words in sorted(vocabulary.items())]
+    marks = [F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in words], F.lit(False)) & available[m], m) for m, words in sorted(vocabulary.items())]
     return F.array_compact(F.array(*marks))
 
 

@@ -529,3 +529,18 @@ def test_answers_of_many_runs(spark):
     got = models.a7(spark, customer)
     assert got.columns == ["model", "id", "answer"]
     assert got.count() == 60_000 and got.subtract(customer.selectExpr("'m' AS model", "c_custkey AS id", "c_mktsegment AS answer")).isEmpty()
+
+
+def test_caption_report_reads_claims_once(spark, sf):
+    """Sentences are cut once for captions and leaks, once for claims and once for their number."""
+    from skyframe import registry
+
+    plan = registry.queries()["d4_caption_report"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(") == 2 and "regexp_replace" not in plan
+
+
+def test_captions_of_objects_without_or_with_several_sets(spark):
+    claims = spark.createDataFrame([("a", 0, "x", ["image"]), ("a", 1, "y", ["image", "spectra"]), ("b", 0, "z", ["image"]), (None, 0, "n", ["image"])], "object_id string, claim_pos int, text string, supporting array<string>")
+    sets = spark.createDataFrame([("a", ["image", "spectra"]), ("a", ["image", "lightcurve"]), ("c", ["image", "spectra"])], "object_id string, subset array<string>")
+    got = sorted((str(r["object_id"]), "+".join(r["subset"]), r["text"], r["n_claims"]) for r in captions.compose_captions(claims, sets).collect())
+    assert got == [("None", "image", "n", 1), ("a", "image", "x", 1), ("a", "image+lightcurve", "x", 1), ("a", "image+spectra", "x y", 2), ("b", "image", "z", 1)]
