@@ -307,12 +307,18 @@ def run_values(grams: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Open addressing in numpy: keys to values."""
+    """Open addressing in numpy: keys to values, at most three quarters full. Keys go in by slices, so filling takes little besides the table."""
+
+    SLICE = 1 << 18
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.bits = max(4, int(len(keys) * 4 // 3 + 1).bit_length())
         self.keys, self.values = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, values.dtype)
         self.used = np.zeros(1 << self.bits, bool)
+        for k in range(0, len(keys), self.SLICE):
+            self._put(keys[k : k + self.SLICE], values[k : k + self.SLICE])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             free = left[~self.used[slot[left]]]
@@ -354,12 +360,15 @@ def _score_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 current, held, table = units[a], [], None
             n = len(part) - part.column(1).null_count
             if n:
-                held.append((part.column(1).slice(0, n).to_numpy().view(np.uint64), part.column(2).slice(0, n).to_numpy()))
+                # Copies: a view would keep the whole batch.
+                held.append((part.column(1).slice(0, n).to_numpy().view(np.uint64).copy(), part.column(2).slice(0, n).to_numpy().copy()))
             if n == len(part):
                 continue
             if table is None:
                 keys, values = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, _U), np.empty(0))
-                held, table = [], Lookup(keys, values)
+                held = []
+                table = Lookup(keys, values)
+                del keys, values
             docs = part.slice(n)
             for start, end, data, offsets in chunks(docs.column(5)):
                 words, size = Words(data, offsets), end - start

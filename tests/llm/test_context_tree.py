@@ -144,3 +144,17 @@ def test_no_training_and_empty(spark):
     r = c.score_documents(docs, F.lit(True)).first()
     assert math.isclose(r["score"], 3 * 8 * math.log10(0.5), rel_tol=1e-9) and r["base_score"] == 0
     assert c.score_documents(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_lookup_takes_little_besides_its_table():
+    """A full unit's lookups: right values, and less than 120 MB while they are filled."""
+    import tracemalloc
+
+    keys = np.random.default_rng(3).permutation(np.arange(1, (1 << 21) + 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    values = np.arange(len(keys), dtype=float)
+    tracemalloc.start()
+    table = c.Lookup(keys, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (table.get(keys[::7]) == values[::7]).all() and (table.get(keys[:1000] + np.uint64(1)) == 0).all()
+    assert peak < 120e6
