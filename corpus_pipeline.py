@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from skyframe.llm import bpe_stream, decontamination, near_dedup, quality_rules, substring_dedup
 from skyframe.llm.common import read_table, small_side, stored
 
+#: Ids of near copies that may be broadcast, some 10 MB in the driver; with more, that join shuffles.
+MAX_GONE = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(*COLUMNS)
     gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(small_side(stored(gone, "near-copies")), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small_side(stored(gone, "near-copies"), MAX_GONE), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

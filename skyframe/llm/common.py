@@ -96,6 +96,11 @@ def small_side(side: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
 
 
+def big_side(side: DataFrame) -> DataFrame:
+    """``side`` with a hint that joins shuffle and sort it, however small it looks: no copy of it goes through the driver."""
+    return side.hint("merge")
+
+
 def unclash(df: DataFrame, keep: list[str]) -> DataFrame:
     """Only the columns an operator needs, so that extra columns can't clash with its own names."""
     small_batches(df.sparkSession)

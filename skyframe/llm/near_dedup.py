@@ -16,7 +16,9 @@ between passes, so that pairs already connected aren't looked at again:
    share a band.
 
 Components after a pass are made from those before it and the new links, not from all links again; a pass without links
-leaves them as they are. A pass is a dozen small jobs, whose bookkeeping is what fills the driver.
+leaves them as they are. A pass is a dozen small jobs, whose bookkeeping is what fills the driver. The texts of all
+documents that share a band are looked for once and stored; passes read only these. All joins shuffle, none is a
+broadcast, so that no table in the driver grows with the input.
 
 The rule is one and the same everywhere: two documents that share a band, and aren't connected yet, are compared in full.
 ``FEW`` only decides whether such pairs are listed or met inside blocks, which is cheaper where they are many.
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import lean, read_table, small_side, stored, unclash
+from skyframe.llm.common import big_side, lean, read_table, stored, unclash
 from skyframe.llm.components import connected_components, stars
 from skyframe.llm.textkernel import Words, as_long, chunks, grams, mix, word_range_hashes
 
@@ -133,26 +135,24 @@ def _confirm(percent: int):
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents; repeated rows give one row."""
-    found = unclash(docs, ["doc_id", "text"]).join(small_side(ids), "doc_id", "left_semi")
+    """The texts of some documents; repeated rows give one row. Texts are shuffled to the ids, and not sorted for it."""
+    found = unclash(docs, ["doc_id", "text"]).join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     return found.groupBy("doc_id", F.xxhash64("text").alias("_print")).agg(F.max("text").alias("text")).select("doc_id", "text")
 
 
-def confirm_pairs(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Those of the pairs (u, v) whose full shingle sets reach the similarity."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = _texts(docs, ids)
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+    """Those of the pairs (u, v) whose full shingle sets reach the similarity; texts has doc_id and text of their ends."""
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("_left"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("_right"))
-    joined = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "_left", "_right")
+    joined = pairs.select("u", "v").join(big_side(left), "u").join(big_side(right), "v").select("u", "v", "_left", "_right")
     return joined.mapInArrow(lean(_confirm(percent)), "u long, v long")
 
 
 class _Linker:
     """Passes of candidate pairs: tested pairs, and the components that the links found so far make."""
 
-    def __init__(self, docs: DataFrame, percent: int):
-        self.docs, self.percent, self.tested, self.fresh, self._component = docs, percent, None, None, None
+    def __init__(self, texts: DataFrame, percent: int):
+        self.texts, self.percent, self.tested, self.fresh, self._component = texts, percent, None, None, None
 
     def edges(self) -> DataFrame | None:
         """Edges (u, v) that give the components of all links so far: earlier components and newer links."""
@@ -170,10 +170,11 @@ class _Linker:
         """Distinct untested pairs whose ends aren't connected yet."""
         pairs = pairs.select("u", "v").distinct()
         if self.tested is not None:
-            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
+            pairs = pairs.join(big_side(self.tested), ["u", "v"], "left_anti")
         if self.component is not None:
             of = self.component
-            pairs = pairs.join(of.select(F.col("node").alias("u"), F.col("component").alias("_cu")), "u", "left").join(of.select(F.col("node").alias("v"), F.col("component").alias("_cv")), "v", "left")
+            of_u, of_v = (of.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}")) for x in "uv")
+            pairs = pairs.join(big_side(of_u), "u", "left").join(big_side(of_v), "v", "left")
             pairs = pairs.where(F.coalesce("_cu", "u") != F.coalesce("_cv", "v")).select("u", "v")
         return pairs
 
@@ -183,7 +184,7 @@ class _Linker:
         if pairs.isEmpty():
             return False
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.add(confirm_pairs(pairs, self.docs, self.percent))
+        self.add(confirm_pairs(pairs, self.texts, self.percent))
         return True
 
     def add(self, links: DataFrame) -> None:
@@ -196,7 +197,7 @@ class _Linker:
         if self.component is None:
             return rows.withColumn("_c", F.col("doc_id"))
         of = self.component.select(F.col("node").alias("doc_id"), "component")
-        return rows.join(of, "doc_id", "left").withColumn("_c", F.coalesce("component", "doc_id")).drop("component")
+        return rows.join(big_side(of), "doc_id", "left").withColumn("_c", F.coalesce("component", "doc_id")).drop("component")
 
 
 def _unsettled(linker: _Linker, rows: DataFrame) -> DataFrame:
@@ -204,13 +205,13 @@ def _unsettled(linker: _Linker, rows: DataFrame) -> DataFrame:
     rows = linker.with_component(rows)
     sizes = rows.groupBy("key", "_c").agg(F.count("*").alias("_k"))
     per = sizes.groupBy("key").agg(F.sum("_k").alias("_n"), F.max("_k").alias("_most"), F.max_by("_c", "_k").alias("_main")).where("_n > _most")
-    return rows.join(per.select("key", "_main", (F.col("_n") - F.col("_most")).alias("others")), "key")
+    return rows.join(big_side(per.select("key", "_main", (F.col("_n") - F.col("_most")).alias("others"))), "key")
 
 
 def _across_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of the rows outside a bucket's largest component with all its rows of another component."""
     few = rows.where("_c <> _main").select("key", F.col("doc_id").alias("_a"), F.col("_c").alias("_ca"))
-    both = few.join(rows.select("key", F.col("doc_id").alias("_b"), F.col("_c").alias("_cb")), "key").where("_ca <> _cb AND _a <> _b")
+    both = few.join(big_side(rows.select("key", F.col("doc_id").alias("_b"), F.col("_c").alias("_cb"))), "key").where("_ca <> _cb AND _a <> _b")
     return both.select(F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"))
 
 
@@ -248,28 +249,30 @@ def _crowd_links(linker: _Linker, crowded: DataFrame, signed: DataFrame) -> Data
     compared with all of it, in blocks of bounded size, and only links leave a block.
     """
     heads = crowded.groupBy("key").agg(F.min("doc_id").alias("_head"))
-    edges = crowded.join(heads, "key").select(F.col("_head").alias("u"), F.col("doc_id").alias("v")).distinct()
-    crowds = stored(connected_components(edges), "crowds").select(F.col("node").alias("doc_id"), F.col("component").alias("crowd"))
+    edges = crowded.join(big_side(heads), "key").select(F.col("_head").alias("u"), F.col("doc_id").alias("v")).distinct()
+    crowds = connected_components(stored(edges, "crowd-edges")).select(F.col("node").alias("doc_id"), F.col("component").alias("crowd"))
     rows = linker.with_component(crowds)
     sizes = rows.groupBy("crowd", "_c").agg(F.count("*").alias("_k"))
     per = sizes.groupBy("crowd").agg(F.sum("_k").alias("_n"), F.max("_k").alias("_most"), F.max_by("_c", "_k").alias("_main")).where("_n > _most")
-    rows = rows.join(per, "crowd").withColumn("ask", F.col("_c") != F.col("_main"))
+    rows = stored(rows.join(big_side(per), "crowd").withColumn("ask", F.col("_c") != F.col("_main")), "crowds")
     n_ask, n_all = F.ceil((F.col("_n") - F.col("_most")) / ASKERS), F.ceil(F.col("_n") / MEMBERS)
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), n)
     asking = rows.where("ask").withColumn("_a", spot(n_ask)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)))
     asked = rows.withColumn("ask", F.lit(False)).withColumn("_b", spot(n_all)).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), n_ask - 1)))
     blocks = asking.unionByName(asked).select("crowd", "_a", "_b", "ask", "doc_id", "_c")
-    texts = _texts(linker.docs, rows.select("doc_id").distinct())
-    loaded = blocks.join(signed.select("doc_id", "bands"), "doc_id").join(texts, "doc_id")
+    loaded = blocks.join(big_side(signed.select("doc_id", "bands")), "doc_id").join(big_side(linker.texts), "doc_id")
     return loaded.groupBy("crowd", "_a", "_b").applyInArrow(_compare_blocks(linker.percent), "u long, v long").distinct()
 
 
 def link(signed: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Edges (u, v) with the components that all confirmed links among the least documents of each class make."""
-    linker = _Linker(docs, percent)
+    """Edges (u, v) with the components that all confirmed links among the least documents of each class make.
+
+    signed is a stored table.
+    """
     keys = signed.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    members = stored(keys.join(shared, "key").select("key", "doc_id", "leader"), "buckets")
+    members = stored(keys.join(big_side(shared), "key").select("key", "doc_id", "leader"), "buckets")
+    linker = _Linker(stored(_texts(docs, members.select("doc_id").distinct()), "texts"), percent)
     led = members.where("doc_id <> leader").groupBy(F.col("leader").alias("u"), F.col("doc_id").alias("v")).agg(F.count("*").alias("times"))
     led = stored(led, "led")
     best = led.groupBy("v").agg(F.max_by("u", F.struct("times", -F.col("u"))).alias("u"))
@@ -291,14 +294,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = stored(signatures(docs), "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    of_class = stored(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "least"), "classes")
+    of_class = stored(known.select("doc_id", "digest").join(big_side(classes), "digest").select("doc_id", "digest", "least"), "classes")
     least = of_class.where("doc_id = least").select("doc_id", "digest").distinct()
-    leaders = known.join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    links = link(leaders.select("doc_id", "bands"), docs, percent)
+    leaders = known.join(big_side(least), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    links = link(stored(leaders.select("doc_id", "bands"), "leaders"), docs, percent)
     edges = links.unionByName(of_class.where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")))
     # The least document of a component has no row here: it is its own component.
     found = stars(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = signed.select("doc_id", "n_shingles").join(big_side(found), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

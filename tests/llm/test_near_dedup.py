@@ -97,6 +97,24 @@ def test_crowded_buckets_that_become_thin(spark):
     agrees(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_no_table_through_the_driver(spark, monkeypatch):
+    """No join is a broadcast, however small its sides; texts are looked for once in all passes."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared, plans = [word() for _ in range(60)], []
+    rows = [(k, " ".join(shared + [word() for _ in range(rng.choice([8, 18, 30]))])) for k in range(120)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "stored", lambda df, label, real=module.stored: plans.append((label, plan(df))) or real(df, label))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    agrees(out, rows)
+    labels = [label for label, _ in plans]
+    assert "crowds" in labels and labels.count("texts") == 1
+    assert [label for label, text in [*plans, ("out", plan(out))] if "Broadcast" in text] == []
+    # A round over stored edges shuffles each of its sides once: two joins, their aggregates, and the distinct edges.
+    assert max(text.count("Exchange hashpartitioning") for label, text in plans if label == "edges") <= 10
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One TWO"), (5, "one two"), (6, "one two three"), (8, "x y z w v u " * 9000), (9, "X y z w v u " * 9000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bands", F.lit(1)).withColumn("u", F.lit("a"))
